@@ -7,15 +7,13 @@ regex pass, and on ordinary source text most rules are settled by it.
 Case-insensitive matching folds four non-ASCII characters onto ASCII letters
 (I with dot, dotless i, long s, Kelvin sign).  A text holding one of them skips
 the guards and goes to the regexes directly, so no match is lost.
-"""
-
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+The conditions are SQL text: some eighty rules as single Column calls would take
+seconds of driver time before a job even starts.
+"""
 
 from . import registries as R
-from .text import contains_any, regex
+from .text import quoted, regex
 
 FOLDING_CHARACTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
 
@@ -104,32 +102,29 @@ REFLECTION_GUARD = [".setaccessible(true)", "class.forname(", "getdeclaredmethod
 # whole-text test of this rule leaves it out; the line test keeps it.
 WHOLE_TEXT_REGEX = {"PY-005": r"\byaml\.load\s*\([^)]*\)"}
 
-TEXT_COLUMNS = ["content", "_lowered", "_folds"]
-
 
 def with_guard_columns(files):
     """Adds what :func:`found` needs: the lower-cased text and its folding flag."""
-    return files.withColumns(
-        {
-            "_lowered": F.lower("content"),
-            "_folds": contains_any(F.col("content"), FOLDING_CHARACTERS),
-        }
-    )
+    folds = " OR ".join(f"contains(content, {quoted(c)})" for c in FOLDING_CHARACTERS)
+    return files.selectExpr("*", "lower(content) AS _lowered", f"({folds}) AS _folds")
 
 
-def possible(words) -> Column:
-    return contains_any(F.col("_lowered"), words) | F.col("_folds")
+def possible(words) -> str:
+    """SQL condition: one of the words occurs, or the guards do not apply."""
+    tests = ["_folds"] + [f"contains(_lowered, {quoted(word)})" for word in words]
+    return f"({' OR '.join(tests)})"
 
 
-def found(pattern: str, flags: str, words) -> Column:
-    """Whether the text matches the pattern anywhere, guard first."""
-    return possible(words) & F.col("content").rlike(regex(pattern, flags))
+def found(pattern: str, flags: str, words) -> str:
+    """SQL condition: the text matches the pattern anywhere, guard first."""
+    return f"({possible(words)} AND content RLIKE {quoted(regex(pattern, flags))})"
 
 
-def found_any(patterns, flags: str, word_lists) -> Column:
+def found_any(patterns, flags: str, word_lists) -> str:
     tests = [found(p, flags, words) for p, words in zip(patterns, word_lists, strict=True)]
-    return reduce(lambda left, right: left | right, tests)
+    return f"({' OR '.join(tests)})"
 
 
-def surface_test(category: str) -> Column:
-    return found_any(R.ATTACK_SURFACE_PATTERNS[category], "im", SURFACE_GUARDS[category])
+def in_category(category: str) -> str:
+    patterns = R.ATTACK_SURFACE_PATTERNS[category]
+    return found_any(patterns, "im", SURFACE_GUARDS[category])

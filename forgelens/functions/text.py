@@ -1,7 +1,5 @@
 """Text helpers as Spark Columns: line splitting, stripping, path parts, regex flags."""
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +26,9 @@ def regex(pattern: str, flags: str = "") -> str:
     return f"(?{flags}dU)" + pattern
 
 
-def any_of(patterns, flags: str = "") -> str:
-    """One alternation that matches where at least one of the patterns does."""
-    return regex("|".join(f"(?:{p})" for p in patterns), flags)
+def quoted(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def raw_lines(content: Column) -> Column:
@@ -111,6 +109,3 @@ def depth(path: Column) -> Column:
 def mentions(text: Column, pattern: str, flags: str = "i") -> Column:
     return F.regexp_count(text, F.lit(regex(pattern, flags))).cast("bigint")
 
-
-def literal(word: str) -> str:
-    return re.escape(word)

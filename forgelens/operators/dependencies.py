@@ -9,9 +9,9 @@ from ..functions import text as T
 from ..functions import versions as V
 from .listing import dependency_file
 
-NAME = r"[a-zA-Z0-9_\-\.]+"
-PINNED_REQUIREMENT = rf"^({NAME})\s*([><=!~^]{{1,2}})\s*([\d\.\*]+)"
-ANY_REQUIREMENT = rf"^({NAME})"
+# name, then operator and version where both follow
+REQUIREMENT = r"^([a-zA-Z0-9_\-\.]+)(?:\s*([><=!~^]{1,2})\s*([\d\.\*]+))?.*$"
+SEPARATOR = "\n"  # cannot occur inside a line
 PINNING_OPERATORS = ["==", "~="]
 NO_SUMMARY = "No summary available"
 NO_DATE = "?"
@@ -19,35 +19,37 @@ IDS_PER_ROW = 500
 
 
 def requirement(line: Column) -> Column:
-    """struct(package, version) of one requirement line, null if it holds none."""
+    """array with the struct(package, version) of a requirement line, or empty.
+
+    The line is matched once; the array functions only name intermediate values.
+    """
     stripped = T.strip(line)
-    spec = F.regexp_replace(stripped, r"\[.*?\]", "")
-    pinned = T.regex(PINNED_REQUIREMENT)
-    name = F.regexp_extract(spec, T.regex(ANY_REQUIREMENT), 1)
-    operator = F.regexp_extract(spec, pinned, 2)
-    version = F.when(
-        operator.isin(PINNING_OPERATORS), F.regexp_extract(spec, pinned, 3)
+    spec = F.when(
+        stripped.contains("["), F.regexp_replace(stripped, r"\[.*?\]", "")
+    ).otherwise(stripped)
+    fields = F.split(
+        F.regexp_replace(spec, T.regex(REQUIREMENT), SEPARATOR.join(["$1", "$2", "$3"])),
+        SEPARATOR,
+    )
+    listed = F.when(
+        ~stripped.startswith("#") & ~stripped.startswith("-"), F.array(fields)
     )
-    skipped = (stripped == "") | stripped.startswith("#") | stripped.startswith("-")
-    return F.when(
-        ~skipped & (name != ""), F.struct(name.alias("package"), version.alias("version"))
+    parsed = F.transform(
+        # a line that does not match is not split
+        F.filter(listed, lambda f: F.size(f) == 3),
+        lambda f: F.struct(
+            f[0].alias("package"),
+            F.when(f[1].isin(PINNING_OPERATORS), f[2]).alias("version"),
+        ),
     )
+    return parsed
 
 
 def parse_dependency_lines(dep_lines: DataFrame, ecosystem: str = "PyPI") -> DataFrame:
     """``dep_lines(repo, dep_file, pos, line)`` to the dependencies table."""
-    return (
-        dep_lines.withColumn("_requirement", requirement(F.col("line")))
-        .where(F.col("_requirement").isNotNull())
-        .select(
-            "repo",
-            "dep_file",
-            "pos",
-            "_requirement.package",
-            "_requirement.version",
-            F.lit(ecosystem).alias("ecosystem"),
-        )
-    )
+    return dep_lines.select(
+        "repo", "dep_file", "pos", F.inline(requirement(F.col("line")))
+    ).withColumn("ecosystem", F.lit(ecosystem))
 
 
 def first_dependencies(dependencies: DataFrame, max_deps: int) -> DataFrame:
@@ -98,60 +100,59 @@ def advisory_severity(advisories: DataFrame) -> DataFrame:
     return rated_advisories(advisories).select("id", "severity")
 
 
-def matched_specs(dependencies: DataFrame, rated: DataFrame) -> DataFrame:
-    """J1 on the distinct (ecosystem, package, version) instead of every dependency.
+def dependency_vulnerabilities(
+    dependencies: DataFrame, rated: DataFrame, how: str = "left"
+) -> DataFrame:
+    """A row per dependency and advisory; a clean dependency keeps one row.
 
-    A package that every repository depends on meets its advisories once per
-    version, not once per repository.
+    An equi-join on (ecosystem, package) with the version test as the rest of
+    the condition.  Spark broadcasts the advisories where they are small and
+    splits the dependencies of a hot package where they are not.
     """
-    specs = dependencies.select("ecosystem", "package", "version").distinct()
-    return (
-        specs.join(rated, ["ecosystem", "package"])
-        .where(V.affects(F.col("affected"), F.col("versions"), F.col("version")))
-        .select(
-            "ecosystem",
-            "package",
-            "version",
-            "id",
-            F.coalesce("summary", F.lit(NO_SUMMARY)).alias("summary"),
-            "severity",
-            F.coalesce("published", F.lit(NO_DATE)).alias("published"),
-            F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
-        )
+    deps, adv = dependencies.alias("d"), rated.alias("a")
+    condition = (
+        (F.col("d.ecosystem") == F.col("a.ecosystem"))
+        & (F.col("d.package") == F.col("a.package"))
+        & V.affects(F.col("a.affected"), F.col("a.versions"), F.col("d.version"))
     )
-
-
-def _join_specs(dependencies: DataFrame, by_spec: DataFrame, how: str) -> DataFrame:
-    keyed = by_spec.withColumn("_version", F.coalesce("version", F.lit(""))).drop("version")
-    return (
-        dependencies.withColumn("_version", F.coalesce("version", F.lit("")))
-        .join(keyed, ["ecosystem", "package", "_version"], how)
-        .drop("_version")
+    matched = F.col("a.id").isNotNull()
+    return deps.join(adv, condition, how).select(
+        "d.*",
+        "a.id",
+        F.when(matched, F.coalesce("a.summary", F.lit(NO_SUMMARY))).alias("summary"),
+        "a.severity",
+        F.when(matched, F.coalesce("a.published", F.lit(NO_DATE))).alias("published"),
+        F.when(
+            matched, F.coalesce("a.aliases", F.array().cast("array<string>"))
+        ).alias("aliases"),
     )
 
 
-def dependency_vulnerabilities(dependencies: DataFrame, rated: DataFrame) -> DataFrame:
-    """A row per dependency and advisory; a clean dependency keeps one row."""
-    return _join_specs(dependencies, matched_specs(dependencies, rated), "left")
-
-
 def dependency_counts(
     dependencies: DataFrame, rated: DataFrame, critical_label: str = "Critical"
 ) -> DataFrame:
-    """Advisories per dependency, counted per spec first: no fan-out of the big side."""
+    """Advisories per dependency, counted per distinct (package, version) first.
+
+    A package that every repository depends on meets its advisories once per
+    version, and the dependencies themselves are never multiplied.
+    """
+    specs = dependencies.select("ecosystem", "package", "version").distinct()
     by_spec = (
-        matched_specs(dependencies, rated)
-        .groupBy("ecosystem", "package", "version")
+        dependency_vulnerabilities(specs, rated, "inner")
+        .groupBy("ecosystem", "package", F.coalesce("version", F.lit("")).alias("_version"))
         .agg(
             F.count("*").alias("vuln_count"),
             F.count_if(F.col("severity") == critical_label).alias("critical_count"),
         )
     )
-    counted = _join_specs(dependencies, by_spec, "left")
-    return counted.withColumns(
+    counted = dependencies.withColumn("_version", F.coalesce("version", F.lit(""))).join(
+        by_spec, ["ecosystem", "package", "_version"], "left"
+    )
+    zero = F.lit(0).cast("bigint")
+    return counted.drop("_version").withColumns(
         {
-            "vuln_count": F.coalesce("vuln_count", F.lit(0)).cast("bigint"),
-            "critical_count": F.coalesce("critical_count", F.lit(0)).cast("bigint"),
+            "vuln_count": F.coalesce("vuln_count", zero),
+            "critical_count": F.coalesce("critical_count", zero),
         }
     )
 
@@ -180,7 +181,7 @@ def package_vulnerability_rollup(dependencies: DataFrame, rated: DataFrame) -> D
     """
     per_package = dependencies.select("repo", "ecosystem", "package", "version").distinct()
     matches = (
-        _join_specs(per_package, matched_specs(dependencies, rated), "inner")
+        dependency_vulnerabilities(per_package, rated, "inner")
         .select("repo", "package", "id", S.severity_rank(F.col("severity")).alias("_rank"))
         .groupBy("repo", "package", "id")
         .agg(F.min("_rank").alias("_rank"))

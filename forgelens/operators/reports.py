@@ -98,24 +98,25 @@ def _tab(tab: str, keywords: list[str]) -> Column:
 OK, INCONSISTENT, RESERVATION = "ok", "inconsistent", "reservation"
 
 
-def report_consistency(audit: DataFrame, action_order: DataFrame, hotspot_rows: DataFrame):
+def plan_order(plan: DataFrame) -> DataFrame:
+    """First place of a quality action and last place of a Critical security one."""
+    critical = (F.col("source") == "security") & (F.col("severity") == "Critical")
+    return plan.groupBy("repo").agg(
+        F.min(F.when(F.col("source") == "quality", F.col("order_rank"))).alias("first_quality"),
+        F.max(F.when(critical, F.col("order_rank"))).alias("last_critical"),
+    )
+
+
+def report_consistency(scored: DataFrame, order: DataFrame, hotspots: DataFrame) -> DataFrame:
     """Repo, check, status.
 
     * score_vs_findings: a Critical finding asks for a score below 20; 25 and
       more beside one is an inconsistency.
-    * priority_order: no code-quality action before a Critical security one.
+    * priority_order: no code-quality action before a Critical security one
+      (``order`` from :func:`plan_order`).
     * hotspot_section: at least one file with score, level and sentence.
     """
-    order = action_order.groupBy("repo").agg(
-        F.min(F.when(F.col("source") == "quality", F.col("priority"))).alias("_quality"),
-        F.max(
-            F.when(
-                (F.col("source") == "security") & (F.col("severity") == "Critical"),
-                F.col("priority"),
-            )
-        ).alias("_critical"),
-    )
-    integrity = hotspot_rows.groupBy("repo").agg(
+    integrity = hotspots.groupBy("repo").agg(
         F.bool_and(
             F.col("hotspot_score").isNotNull()
             & F.col("risk_level").isNotNull()
@@ -123,27 +124,22 @@ def report_consistency(audit: DataFrame, action_order: DataFrame, hotspot_rows:
         ).alias("_complete")
     )
     critical = (F.col("dangerous_critical") + F.col("n_critical_cves")) > 0
+    score, early = F.col("score"), F.col("first_quality") < F.col("last_critical")
+    check = lambda name, status: F.struct(
+        F.lit(name).alias("check"), status.alias("status")
+    )
     checks = F.array(
-        F.struct(
-            F.lit("score_vs_findings").alias("check"),
-            F.when(critical & (F.col("score") >= 25), INCONSISTENT)
-            .when(critical & (F.col("score") >= 20), RESERVATION)
-            .otherwise(OK)
-            .alias("status"),
-        ),
-        F.struct(
-            F.lit("priority_order").alias("check"),
-            F.when(F.col("_quality") < F.col("_critical"), INCONSISTENT)
-            .otherwise(OK)
-            .alias("status"),
-        ),
-        F.struct(
-            F.lit("hotspot_section").alias("check"),
-            F.when(F.col("_complete"), OK).otherwise(RESERVATION).alias("status"),
+        check(
+            "score_vs_findings",
+            F.when(critical & (score >= 25), INCONSISTENT)
+            .when(critical & (score >= 20), RESERVATION)
+            .otherwise(OK),
         ),
+        check("priority_order", F.when(early, INCONSISTENT).otherwise(OK)),
+        check("hotspot_section", F.when(F.col("_complete"), OK).otherwise(RESERVATION)),
     )
     return (
-        audit.join(order, "repo", "left")
+        scored.join(order, "repo", "left")
         .join(integrity, "repo", "left")
         .select("repo", F.inline(checks))
     )

@@ -1,13 +1,11 @@
 """Content scans: secrets, dangerous APIs, attack surface and file-level smells.
 
-Every scan is a projection over one file row followed by ``explode``: no
+Every scan is a projection over one file row followed by ``inline``: no
 shuffle, no join, one read of ``content`` however many scans are asked for.
 Memory is bounded by a single file, and a repository that holds a third of all
 files is simply spread over more tasks.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +13,15 @@ from ..functions import guards as G
 from ..functions import registries as R
 from ..functions import text as T
 
-HIT_FIELDS = ["kind", "key", "severity", "lineno", "text"]
 SECRET, DANGEROUS, SURFACE, SMELL = "secret", "dangerous", "surface", "smell"
 ALL_KINDS = (SECRET, DANGEROUS, SURFACE, SMELL)
+HIT_ARRAY = "array<struct<kind:string,key:string,severity:string,lineno:bigint,text:string>>"
+
+GOD_OBJECT = "God Security Object"
+LEGACY_ENGINE = "Legacy Template Engine: "
+DYNAMIC_SQL = "Dynamic SQL Construction"
+OPEN_ACCESS = "Disabled Security Access Control"
+REFLECTION = "Excessive Reflection Usage"
 
 
 def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=False) -> DataFrame:
@@ -28,25 +32,9 @@ def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=Fals
     input holds.
     """
     applies = applies or {}
-    texts = G.with_guard_columns(
-        files.where("content <> ''").select(
-            "repo", "path", "content", *[c.alias(f"_on_{k}") for k, c in applies.items()]
-        )
-    )
-
-    flags: dict[str, Column] = {}
-    for kind in (SECRET, DANGEROUS):
-        if kind in kinds:
-            condition = F.col(f"_on_{kind}") if kind in applies else F.lit(True)
-            flags |= {name: condition & test for name, test in _line_rule_tests(kind).items()}
-    flagged = texts.withColumns(flags)
-    if flags:
-        # a text is split into lines only where a line rule can match
-        some = reduce(lambda a, b: a | b, [F.col(f"`{name}`") for name in flags])
-        flagged = flagged.withColumn(
-            "_lines", F.when(some, T.raw_lines(F.col("content")))
-        )
-
+    conditions = [c.alias(f"_on_{kind}") for kind, c in applies.items()]
+    texts = files.where("content <> ''").select("repo", "path", "content", *conditions)
+    flagged = _with_line_flags(G.with_guard_columns(texts), kinds, applies)
     builders = {
         SECRET: lambda: _secret_hits(strict_mask),
         DANGEROUS: _dangerous_hits,
@@ -58,48 +46,62 @@ def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=Fals
         hits = builders[kind]()
         if kind in applies and kind in (SURFACE, SMELL):
             hits = F.when(F.col(f"_on_{kind}"), hits)
-        parts.append(F.coalesce(hits, F.array().cast(_HIT_ARRAY)))
+        parts.append(F.coalesce(hits, F.array().cast(HIT_ARRAY)))
     all_hits = F.concat(*parts) if len(parts) > 1 else parts[0]
     return flagged.select("repo", "path", F.inline(all_hits))
 
 
-_HIT_ARRAY = "array<struct<kind:string,key:string,severity:string,lineno:bigint,text:string>>"
-
-
-def _hit(kind, key, severity, lineno, text) -> Column:
-    values = [F.lit(kind), key, severity, lineno.cast("bigint"), text]
-    return F.struct(*[v.alias(n) for v, n in zip(values, HIT_FIELDS, strict=True)])
+def _with_line_flags(texts: DataFrame, kinds, applies) -> DataFrame:
+    """Adds whether each line rule can match, and the lines where any of them can."""
+    flags = {}
+    if SECRET in kinds:
+        flags |= {
+            f"_s{i}": G.found(pattern, "", G.SECRET_GUARDS[name])
+            for i, (name, pattern) in enumerate(R.SECRET_PATTERNS)
+        }
+        if SECRET in applies:
+            flags = {name: f"_on_{SECRET} AND {test}" for name, test in flags.items()}
+    if DANGEROUS in kinds:
+        on = f"_on_{DANGEROUS} AND " if DANGEROUS in applies else ""
+        texts = texts.withColumn("_language", T.language(F.col("path")))
+        flags |= {
+            f"_d{i}": f"{on}_language = '{rule[1]}' AND "
+            + G.found(G.WHOLE_TEXT_REGEX.get(rule[0], rule[2]), "im", G.DANGEROUS_GUARDS[rule[0]])
+            for i, rule in enumerate(R.DANGEROUS_PATTERNS)
+        }
+    if not flags:
+        return texts
+    flagged = texts.selectExpr("*", *[f"({test}) AS {name}" for name, test in flags.items()])
+    return flagged.withColumn(
+        "_lines", F.when(F.expr(" OR ".join(flags)), T.raw_lines(F.col("content")))
+    )
 
 
-def _present(candidates) -> Column:
-    return F.filter(F.array(*candidates), lambda hit: hit.isNotNull())
+def _any_secret() -> str:
+    return " OR ".join(f"_s{i}" for i in range(len(R.SECRET_PATTERNS)))
 
 
-def _line_rule_tests(kind) -> dict[str, Column]:
-    if kind == SECRET:
-        return {
-            f"_s{i}": G.found(pattern, "", G.SECRET_GUARDS[name])
-            for i, (name, pattern) in enumerate(R.SECRET_PATTERNS)
-        }
-    language = T.language(F.col("path"))
-    return {
-        f"_d{rule[0]}": (language == rule[1])
-        & G.found(G.WHOLE_TEXT_REGEX.get(rule[0], rule[2]), "im", G.DANGEROUS_GUARDS[rule[0]])
-        for rule in R.DANGEROUS_PATTERNS
-    }
+def _hit(kind, key, severity, lineno, text) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        key.alias("key"),
+        severity.alias("severity"),
+        lineno.cast("bigint").alias("lineno"),
+        text.alias("text"),
+    )
 
 
 def _secret_hits(strict_mask: bool) -> Column:
     """At most one hit per line: the first pattern of the registry that matches."""
-
-    def hit(line, index):
-        name = F.coalesce(
-            *[
-                F.when(F.col(f"_s{i}") & line.rlike(T.regex(pattern)), F.lit(pattern_name))
-                for i, (pattern_name, pattern) in enumerate(R.SECRET_PATTERNS)
-            ]
-        )
-        return F.struct(name.alias("name"), (index + 1).alias("lineno"), line.alias("line"))
+    cases = " ".join(
+        f"WHEN _s{i} AND line RLIKE {T.quoted(T.regex(pattern))} THEN {T.quoted(name)}"
+        for i, (name, pattern) in enumerate(R.SECRET_PATTERNS)
+    )
+    matching = F.expr(
+        "filter(transform(_lines, (line, i) -> "
+        f"struct(CASE {cases} END AS name, i + 1 AS lineno, line AS line)), "
+        "found -> found.name IS NOT NULL)"
+    )
 
     def shown(found):
         if strict_mask:
@@ -110,34 +112,18 @@ def _secret_hits(strict_mask: bool) -> Column:
         none = F.lit(None).cast("string")
         return _hit(SECRET, found["name"], none, found["lineno"], text)
 
-    matching = F.filter(
-        F.transform(F.col("_lines"), hit), lambda found: found["name"].isNotNull()
-    )
-    some = reduce(lambda a, b: a | b, [F.col(f"_s{i}") for i in range(len(R.SECRET_PATTERNS))])
-    return F.when(some, F.transform(matching, shown))
-
-
-def _first_line(pattern: str) -> Column:
-    matches = F.transform(F.col("_lines"), lambda line: line.rlike(T.regex(pattern, "im")))
-    return F.array_position(matches, True)
+    return F.when(F.expr(_any_secret()), F.transform(matching, shown))
 
 
 def _dangerous_hits() -> Column:
     """First matching line per rule of the file's language."""
-    positions = _present(
-        [
-            F.when(
-                F.col(f"`_d{rule_id}`"),
-                F.struct(
-                    F.lit(rule_id).alias("id"),
-                    F.lit(severity).alias("severity"),
-                    _first_line(pattern).alias("lineno"),
-                ),
-            )
-            for rule_id, _, pattern, severity, *_ in R.DANGEROUS_PATTERNS
-        ]
+    candidates = ", ".join(
+        f"CASE WHEN _d{i} THEN struct('{identifier}' AS id, '{severity}' AS severity, "
+        "array_position(transform(_lines, "
+        f"line -> line RLIKE {T.quoted(T.regex(pattern, 'im'))}), true) AS lineno) END"
+        for i, (identifier, _, pattern, severity, *_) in enumerate(R.DANGEROUS_PATTERNS)
     )
-    on_a_line = F.filter(positions, lambda p: p["lineno"] > 0)
+    on_a_line = F.expr(f"filter(array({candidates}), p -> p.lineno > 0)")
     return F.transform(
         on_a_line,
         lambda p: _hit(
@@ -151,15 +137,13 @@ def _dangerous_hits() -> Column:
 
 
 def _surface_hits() -> Column:
+    categories = ", ".join(
+        f"CASE WHEN {G.in_category(name)} THEN '{name}' END" for name in R.ATTACK_SURFACE_PATTERNS
+    )
     none = F.lit(None).cast("string")
-    return _present(
-        [
-            F.when(
-                G.surface_test(category),
-                _hit(SURFACE, F.lit(category), none, F.lit(None), none),
-            )
-            for category in R.ATTACK_SURFACE_PATTERNS
-        ]
+    return F.transform(
+        F.expr(f"filter(array({categories}), c -> c IS NOT NULL)"),
+        lambda category: _hit(SURFACE, category, none, F.lit(None), none),
     )
 
 
@@ -172,68 +156,66 @@ def _smell_hits() -> Column:
         )
 
     size = T.line_count(content)
-    engine = F.coalesce(
-        *[
-            F.when(G.found(pattern, "i", G.LEGACY_ENGINE_GUARDS[name]), F.lit(name))
-            for pattern, name in R.LEGACY_ENGINES
-        ]
+    engines = " ".join(
+        f"WHEN {G.found(pattern, 'i', G.LEGACY_ENGINE_GUARDS[name])} THEN '{name}'"
+        for pattern, name in R.LEGACY_ENGINES
     )
+    engine = F.expr(f"CASE {engines} END")
     reflections = T.mentions(content, R.REFLECTION_REGEX, "")
-    return _present(
-        [
-            smell(
-                T.contains_any(F.lower(path), R.SECURITY_PATH_KEYWORDS)
-                & (size > R.GOD_OBJECT_LINES),
-                "Medium",
-                F.lit("God Security Object"),
-                F.format_string(
-                    "Security file '%s' is very large (%d lines). "
-                    "Overloaded security modules are difficult to audit and prone to flaws.",
-                    path, size,
-                ),
+    candidates = F.array(
+        smell(
+            T.contains_any(F.lower(path), R.SECURITY_PATH_KEYWORDS)
+            & (size > R.GOD_OBJECT_LINES),
+            "Medium",
+            F.lit(GOD_OBJECT),
+            F.format_string(
+                "Security file '%s' is very large (%d lines). "
+                "Overloaded security modules are difficult to audit and prone to flaws.",
+                path, size,
             ),
-            smell(
-                engine.isNotNull(),
-                "Medium",
-                F.concat(F.lit("Legacy Template Engine: "), engine),
-                F.format_string(
-                    "Legacy rendering engine '%s' detected in '%s'. "
-                    "Older engines have a history of XSS and SSTI vulnerabilities.",
-                    engine, path,
-                ),
+        ),
+        smell(
+            engine.isNotNull(),
+            "Medium",
+            F.concat(F.lit(LEGACY_ENGINE), engine),
+            F.format_string(
+                "Legacy rendering engine '%s' detected in '%s'. "
+                "Older engines have a history of XSS and SSTI vulnerabilities.",
+                engine, path,
             ),
-            smell(
-                G.found(R.DYNAMIC_SQL_REGEX, "i", G.DYNAMIC_SQL_GUARD),
-                "High",
-                F.lit("Dynamic SQL Construction"),
-                F.format_string(
-                    "Raw SQL queries constructed via concatenation or string formatting in '%s'. "
-                    "High risk of SQL injection outside parameterized queries.",
-                    path,
-                ),
+        ),
+        smell(
+            F.expr(G.found(R.DYNAMIC_SQL_REGEX, "i", G.DYNAMIC_SQL_GUARD)),
+            "High",
+            F.lit(DYNAMIC_SQL),
+            F.format_string(
+                "Raw SQL queries constructed via concatenation or string formatting in '%s'. "
+                "High risk of SQL injection outside parameterized queries.",
+                path,
             ),
-            smell(
-                G.found(R.PERMIT_ALL_REGEX, "", G.PERMIT_ALL_GUARD),
-                "High",
-                F.lit("Disabled Security Access Control"),
-                F.format_string(
-                    "Explicit bypass of access control detected in '%s'. "
-                    "Verify that permitAll() does not expose sensitive administration routes.",
-                    path,
-                ),
+        ),
+        smell(
+            F.expr(G.found(R.PERMIT_ALL_REGEX, "", G.PERMIT_ALL_GUARD)),
+            "High",
+            F.lit(OPEN_ACCESS),
+            F.format_string(
+                "Explicit bypass of access control detected in '%s'. "
+                "Verify that permitAll() does not expose sensitive administration routes.",
+                path,
             ),
-            smell(
-                G.possible(G.REFLECTION_GUARD) & (reflections >= R.REFLECTION_LIMIT),
-                "Medium",
-                F.lit("Excessive Reflection Usage"),
-                F.format_string(
-                    "%d dynamic reflection calls detected in '%s'. "
-                    "Forced access increases attack surface and hinders static code auditing.",
-                    reflections, path,
-                ),
+        ),
+        smell(
+            F.expr(G.possible(G.REFLECTION_GUARD)) & (reflections >= R.REFLECTION_LIMIT),
+            "Medium",
+            F.lit(REFLECTION),
+            F.format_string(
+                "%d dynamic reflection calls detected in '%s'. "
+                "Forced access increases attack surface and hinders static code auditing.",
+                reflections, path,
             ),
-        ]
+        ),
     )
+    return F.filter(candidates, lambda hit: hit.isNotNull())
 
 
 # ---------------------------------------------------------------------------
@@ -254,21 +236,18 @@ def secret_findings(hits: DataFrame) -> DataFrame:
 
 def secret_counts(files: DataFrame) -> DataFrame:
     """Findings per file, files without a finding included; stays map-only."""
-    found = files.select("repo", "path", F.coalesce("content", F.lit("")).alias("content"))
-    texts = G.with_guard_columns(found).withColumns(_line_rule_tests(SECRET))
-    some = reduce(lambda a, b: a | b, [F.col(f"_s{i}") for i in range(len(R.SECRET_PATTERNS))])
-    matches = F.filter(
-        T.raw_lines(F.col("content")),
-        lambda line: reduce(
-            lambda a, b: a | b,
-            [
-                F.col(f"_s{i}") & line.rlike(T.regex(pattern))
-                for i, (_, pattern) in enumerate(R.SECRET_PATTERNS)
-            ],
-        ),
+    texts = files.selectExpr("repo", "path", "coalesce(content, '') AS content")
+    flagged = _with_line_flags(G.with_guard_columns(texts), [SECRET], {})
+    matches = " OR ".join(
+        f"(_s{i} AND line RLIKE {T.quoted(T.regex(pattern))})"
+        for i, (_, pattern) in enumerate(R.SECRET_PATTERNS)
+    )
+    return flagged.selectExpr(
+        "repo",
+        "path",
+        f"CAST(CASE WHEN {_any_secret()} THEN size(filter(_lines, line -> {matches})) "
+        "ELSE 0 END AS BIGINT) AS finding_count",
     )
-    count = F.when(some, F.size(matches)).otherwise(0)
-    return texts.select("repo", "path", count.cast("bigint").alias("finding_count"))
 
 
 def dangerous_scan(files: DataFrame) -> DataFrame:
@@ -276,39 +255,32 @@ def dangerous_scan(files: DataFrame) -> DataFrame:
     return dangerous_findings(scan_files(files, [DANGEROUS]))
 
 
+def rule_texts(rule_id: Column) -> Column:
+    """Title, risk, remediation and category of a rule, from a constant map."""
+    entries = ", ".join(
+        f"'{identifier}', named_struct('title', {T.quoted(title)}, 'risk', {T.quoted(risk)}, "
+        f"'remediation', {T.quoted(remediation)}, 'owasp', {T.quoted(owasp)})"
+        for identifier, _, _, _, title, risk, remediation, owasp in R.DANGEROUS_PATTERNS
+    )
+    return F.expr(f"map({entries})")[rule_id]
+
+
 def dangerous_findings(hits: DataFrame) -> DataFrame:
     found = hits.where(F.col("kind") == DANGEROUS)
-    texts = _rule_texts(F.col("key"))
-    return found.withColumn("_rule", texts).select(
+    return found.withColumn("_rule", rule_texts(F.col("key"))).select(
         "repo",
         F.col("key").alias("id"),
         F.col("path").alias("file"),
         F.col("lineno").alias("line"),
         "severity",
-        F.col("_rule.title").alias("title"),
-        F.col("_rule.risk").alias("risk"),
-        F.col("_rule.remediation").alias("remediation"),
-        F.col("_rule.owasp").alias("owasp"),
+        "_rule.title",
+        "_rule.risk",
+        "_rule.remediation",
+        "_rule.owasp",
         F.col("text").alias("snippet"),
     )
 
 
-def _rule_texts(rule_id: Column) -> Column:
-    """The registry as a constant map, looked up by rule id."""
-    entries = []
-    for identifier, _, _, _, title, risk, remediation, owasp in R.DANGEROUS_PATTERNS:
-        entries += [
-            F.lit(identifier),
-            F.struct(
-                F.lit(title).alias("title"),
-                F.lit(risk).alias("risk"),
-                F.lit(remediation).alias("remediation"),
-                F.lit(owasp).alias("owasp"),
-            ),
-        ]
-    return F.create_map(*entries)[rule_id]
-
-
 def attack_surface_hits(files: DataFrame) -> DataFrame:
     """Repo, category, path; one row per category a file belongs to."""
     return surface_hits(scan_files(files, [SURFACE]))

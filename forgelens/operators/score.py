@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tallies import concentrated_surface, surface_rating, weak_crypto_density
+from .tallies import surface_rating
 
 MAX_SCORE = 30
 
@@ -15,7 +15,7 @@ DEDUCTIONS = [
     ("dangerous_critical", 4, 12, "%d Critical API pattern(s) detected (−%d pts)"),
     ("dangerous_high", 2, 6, "%d High-risk API pattern(s) detected (−%d pts)"),
     ("dangerous_medium", 1, 3, "%d Medium-risk API pattern(s) detected (−%d pts)"),
-    ("all_smells_high", 2, 4, "%d High-severity security smell(s) (−%d pts)"),
+    ("smells_high", 2, 4, "%d High-severity security smell(s) (−%d pts)"),
     ("smells_medium", 1, 2, "%d Medium-severity security smell(s) (−%d pts)"),
 ]
 # Deduction per attack-surface rating.
@@ -27,18 +27,6 @@ SURFACE_DEDUCTIONS = [
 RISK_BANDS = [(25, "LOW"), (17, "MEDIUM"), (10, "HIGH")]
 
 
-def with_score_inputs(tallies: DataFrame) -> DataFrame:
-    """Adds the counts that are sums or differences of tallied ones."""
-    repo_level = weak_crypto_density().cast("int") + concentrated_surface().cast("int")
-    return tallies.withColumns(
-        {
-            "all_smells_high": F.col("smells_high") + repo_level,
-            "n_other_cves": F.col("n_cves") - F.col("n_critical_cves"),
-            "surface_rating": surface_rating(),
-        }
-    )
-
-
 def _negative_factors() -> Column:
     """Array of (points, factor) in rule order; at most one entry per rule."""
     entry = lambda points, text: F.struct(
@@ -74,23 +62,29 @@ def _positive_factors() -> Column:
     )
 
 
-def security_score(tallies: DataFrame) -> DataFrame:
-    """One projection over the per-repository counts.
+def scored(counts: DataFrame) -> DataFrame:
+    """One projection that adds the score to the per-repository counts.
 
-    Expects the tallies plus ``n_cves``, ``n_critical_cves``, ``has_tests`` and
+    Expects the counts plus ``n_cves``, ``n_critical_cves``, ``has_tests`` and
     ``active_maintenance``.
     """
-    factored = with_score_inputs(tallies).withColumns(
+    rated = counts.withColumns(
+        {
+            "surface_rating": surface_rating(),
+            "n_other_cves": F.col("n_cves") - F.col("n_critical_cves"),
+        }
+    )
+    factored = rated.withColumns(
         {"_negative": _negative_factors(), "positive_factors": _positive_factors()}
     )
     deducted = F.aggregate("_negative", F.lit(0), lambda total, f: total + f["points"])
-    scored = factored.withColumn(
+    with_score = factored.withColumn(
         "score", F.greatest(F.lit(0), F.least(F.lit(MAX_SCORE), MAX_SCORE - deducted))
     )
     risk = F
     for bound, name in RISK_BANDS:
         risk = risk.when(F.col("score") >= bound, name)
-    rated = scored.withColumn("risk", risk.otherwise("CRITICAL"))
+    with_risk = with_score.withColumn("risk", risk.otherwise("CRITICAL"))
     head = F.format_string(
         "Final Score: %d/30 — Risk level: %s. ", F.col("score"), F.col("risk")
     )
@@ -113,15 +107,26 @@ def security_score(tallies: DataFrame) -> DataFrame:
             ),
         )
     )
-    return rated.select(
+    return with_risk.withColumns(
+        {
+            "max_score": F.lit(MAX_SCORE),
+            "negative_factors": F.col("_negative.factor"),
+            "negative_points": F.col("_negative.points"),
+            "explanation": explanation,
+        }
+    ).drop("_negative")
+
+
+def security_score(counts: DataFrame) -> DataFrame:
+    return scored(counts).select(
         "repo",
         "score",
-        F.lit(MAX_SCORE).alias("max_score"),
+        "max_score",
         "risk",
         "positive_factors",
-        F.col("_negative.factor").alias("negative_factors"),
-        F.col("_negative.points").alias("negative_points"),
-        explanation.alias("explanation"),
+        "negative_factors",
+        "negative_points",
+        "explanation",
     )
 
 

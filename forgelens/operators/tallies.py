@@ -1,67 +1,134 @@
 """Per-repository counts over the content hits, and what follows from them.
 
-All counts come out of one ``groupBy("repo")`` with map-side partial
-aggregation: a task sends one row per repository whatever the number of hits.
+One ``groupBy("repo")`` counts the hits of every single rule, with map-side
+partial aggregation: a task sends one row per repository whatever the number of
+hits.  Everything per repository (surface rating, OWASP coverage, score, action
+plan) is a projection of that row, so content is read once for all of them.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registries as R
+from ..functions.text import quoted
 from . import scans
 
 SURFACES = list(R.ATTACK_SURFACE_PATTERNS)
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 
 
-def _ids_in(category: str) -> list[str]:
-    return [rule[0] for rule in R.DANGEROUS_PATTERNS if rule[7] == category]
-
-
-def misconfiguration_title(title: Column) -> Column:
-    lowered = F.lower(title)
-    return lowered.contains("disable") | lowered.contains("csrf") | lowered.contains("bypass")
-
-
-def design_title(title: Column) -> Column:
-    return ~misconfiguration_title(title) & (
-        title.contains("God") | F.lower(title).contains("density")
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A countable rule: the column of its count and how its hits look."""
+
+    column: str
+    kind: str
+    key: str
+    severity: str | None = None
+    title: str | None = None
+    owasp: str | None = None
+
+
+def _smell_owasp(title: str) -> str | None:
+    lowered = title.lower()
+    if any(part in lowered for part in ("disable", "csrf", "bypass")):
+        return R.MISCONFIGURATION_CATEGORY
+    return R.DESIGN_CATEGORY if "God" in title or "density" in lowered else None
+
+
+def _smell_rule(column: str, severity: str, title: str) -> Rule:
+    return Rule(column, scans.SMELL, title, severity, title, _smell_owasp(title))
+
+
+RULES = [
+    *[
+        Rule(f"secret_{i}", scans.SECRET, name, title=name)
+        for i, (name, _) in enumerate(R.SECRET_PATTERNS, start=1)
+    ],
+    *[
+        Rule(rule[0].replace("-", "_"), scans.DANGEROUS, rule[0], rule[3], rule[4], rule[7])
+        for rule in R.DANGEROUS_PATTERNS
+    ],
+    *[Rule(category, scans.SURFACE, category) for category in SURFACES],
+    _smell_rule("smell_god", "Medium", scans.GOD_OBJECT),
+    *[
+        _smell_rule(f"smell_legacy_{i}", "Medium", scans.LEGACY_ENGINE + name)
+        for i, (_, name) in enumerate(R.LEGACY_ENGINES, start=1)
+    ],
+    _smell_rule("smell_sql", "High", scans.DYNAMIC_SQL),
+    _smell_rule("smell_access", "High", scans.OPEN_ACCESS),
+    _smell_rule("smell_reflection", "Medium", scans.REFLECTION),
+]
+# smells of a whole repository, worked out from the counts (M6, M7)
+DENSITY = Rule(
+    "smell_density", scans.SMELL, "", "High", "Density of Weak Cryptography", R.DESIGN_CATEGORY
+)
+CONCENTRATION = Rule(
+    "smell_concentration", scans.SMELL, "", "High", "Concentrated Attack Surface Danger"
+)
+REPO_SMELLS = [DENSITY, CONCENTRATION]
+
+
+def sum_of(rules) -> str:
+    """SQL sum over the counts of the rules."""
+    return " + ".join(rule.column for rule in rules) or "0L"
+
+
+def rules_of(kind: str, severity: str | None = None, owasp: str | None = None) -> list[Rule]:
+    return [
+        rule
+        for rule in [*RULES, *REPO_SMELLS]
+        if rule.kind == kind
+        and severity in (None, rule.severity)
+        and owasp in (None, rule.owasp)
+    ]
 
 
 def tally_hits(hits: DataFrame, kinds=scans.ALL_KINDS) -> DataFrame:
-    """One row per repository with hits; columns of the chosen kinds only."""
-    kind, key, severity = F.col("kind"), F.col("key"), F.col("severity")
-    counts: dict[str, Column] = {}
-    if scans.SECRET in kinds:
-        counts["n_secrets"] = kind == scans.SECRET
-    if scans.DANGEROUS in kinds:
-        dangerous = kind == scans.DANGEROUS
-        counts["n_dangerous"] = dangerous
-        for name in SEVERITIES:
-            counts[f"dangerous_{name.lower()}"] = dangerous & (severity == name)
-        for category, _, _ in R.OWASP_CATEGORIES:
-            if _ids_in(category):
-                counts[f"detected_{category[:3]}"] = dangerous & key.isin(_ids_in(category))
-    if scans.SURFACE in kinds:
-        for category in SURFACES:
-            counts[category] = (kind == scans.SURFACE) & (key == category)
-    if scans.SMELL in kinds:
-        smell = kind == scans.SMELL
-        counts["smells_high"] = smell & (severity == "High")
-        counts["smells_medium"] = smell & (severity == "Medium")
-        counts["smells_misconfiguration"] = smell & misconfiguration_title(key)
-        counts["smells_design"] = smell & design_title(key)
-    return hits.groupBy("repo").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    """One row per repository with hits, one count per rule of the kinds."""
+    counts = [
+        F.expr(f"count_if(kind = '{r.kind}' AND key = {quoted(r.key)})").alias(r.column)
+        for r in RULES
+        if r.kind in kinds
+    ]
+    return hits.groupBy("repo").agg(*counts)
 
 
 def complete(repos: DataFrame, tallies: DataFrame) -> DataFrame:
-    """Every repository, with zeros where it has no hits."""
+    """Every repository, with zeros where it has no hits, and the repository smells."""
     names = [c for c in tallies.columns if c != "repo"]
-    return (
+    filled = (
         repos.select("repo")
         .join(tallies, "repo", "left")
-        .select("repo", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+        .selectExpr("repo", *[f"coalesce({n}, 0L) AS {n}" for n in names])
+    )
+    if set(r.column for r in RULES) <= set(names):
+        return with_totals(filled)
+    return filled
+
+
+def with_totals(counts: DataFrame) -> DataFrame:
+    """Adds the sums the reports use."""
+    crypto = sum_of(rules_of(scans.DANGEROUS, owasp=R.CRYPTO_CATEGORY))
+    base = counts.selectExpr(
+        "*",
+        f"{sum_of(rules_of(scans.SECRET))} AS n_secrets",
+        f"{sum_of(rules_of(scans.DANGEROUS))} AS n_dangerous",
+        *[
+            f"{sum_of(rules_of(scans.DANGEROUS, name))} AS dangerous_{name.lower()}"
+            for name in SEVERITIES
+        ],
+        f"{crypto} AS n_weak_crypto",
+        f"CAST({crypto} >= {R.WEAK_CRYPTO_LIMIT} AS BIGINT) AS {DENSITY.column}",
+        "CAST(file_uploads >= 2 AND rest_endpoints >= 5 AS BIGINT) "
+        f"AS {CONCENTRATION.column}",
+    )
+    return base.selectExpr(
+        "*",
+        f"{sum_of(rules_of(scans.SMELL, 'High'))} AS smells_high",
+        f"{sum_of(rules_of(scans.SMELL, 'Medium'))} AS smells_medium",
     )
 
 
@@ -71,10 +138,7 @@ def complete(repos: DataFrame, tallies: DataFrame) -> DataFrame:
 
 
 def surface_total() -> Column:
-    total = F.lit(0).cast("bigint")
-    for category in SURFACES:
-        total = total + F.col(category)
-    return total
+    return F.expr(" + ".join(SURFACES))
 
 
 def _rating_branches():
@@ -160,51 +224,6 @@ def _surface_counts(repos, files):
 # ---------------------------------------------------------------------------
 
 
-def weak_crypto_density() -> Column:
-    """M6: at least three findings of weak cryptography in a repository."""
-    return F.col("detected_A02") >= R.WEAK_CRYPTO_LIMIT
-
-
-def concentrated_surface() -> Column:
-    """M7: uploads next to many endpoints."""
-    return (F.col("file_uploads") >= 2) & (F.col("rest_endpoints") >= 5)
-
-
-def repo_smells(tallies: DataFrame) -> DataFrame:
-    """M6 and M7 as rows; they carry no file."""
-    smell = lambda title, detail: F.struct(
-        F.lit("High").alias("severity"), F.lit(title).alias("title"), detail.alias("detail")
-    )
-    rows = F.array(
-        F.when(
-            weak_crypto_density(),
-            smell(
-                "Density of Weak Cryptography",
-                F.format_string(
-                    "%d instances of weak cryptography (MD5, SHA-1, DES, Random) "
-                    "scattered across files. Indicates systemic security debt.",
-                    F.col("detected_A02"),
-                ),
-            ),
-        ),
-        F.when(
-            concentrated_surface(),
-            smell(
-                "Concentrated Attack Surface Danger",
-                F.format_string(
-                    "High density of file uploads (%d) combined with web endpoints (%d). "
-                    "A single vulnerability in upload handlers could lead to "
-                    "Remote Code Execution.",
-                    F.col("file_uploads"), F.col("rest_endpoints"),
-                ),
-            ),
-        ),
-    )
-    return tallies.select(
-        "repo", F.inline(F.filter(rows, lambda row: row.isNotNull()))
-    ).withColumn("file", F.lit(None).cast("string"))
-
-
 def file_smells(hits: DataFrame) -> DataFrame:
     """M1-M5; W5 keeps one row per (title, file) of a repository."""
     return (
@@ -215,9 +234,64 @@ def file_smells(hits: DataFrame) -> DataFrame:
     )
 
 
-def smells(files: DataFrame) -> DataFrame:
-    """M0: file smells and repository smells."""
-    kinds = [scans.DANGEROUS, scans.SURFACE, scans.SMELL]
-    by_file = file_smells(scans.scan_files(files, [scans.SMELL]))
-    counted = tally_hits(scans.scan_files(files, kinds[:2]), kinds[:2])
-    return by_file.unionByName(repo_smells(counted))
+def smells(hits: DataFrame) -> DataFrame:
+    """M0: file smells and the two smells of a whole repository, from one pass.
+
+    A hit counts towards the rows it belongs to: a smell towards its own
+    (title, file), weak cryptography and exposed surface towards a row of the
+    repository, which is kept where its counts call for it.
+    """
+    crypto = [r.key for r in rules_of(scans.DANGEROUS, owasp=R.CRYPTO_CATEGORY)]
+    kind, key = F.col("kind"), F.col("key")
+    title = (
+        F.when(kind == scans.SMELL, key)
+        .when((kind == scans.DANGEROUS) & key.isin(crypto), DENSITY.title)
+        .when(key.isin("file_uploads", "rest_endpoints"), CONCENTRATION.title)
+    )
+    grouped = (
+        hits.withColumns(
+            {"title": title, "file": F.when(kind == scans.SMELL, F.col("path"))}
+        )
+        .where(F.col("title").isNotNull())
+        .groupBy("repo", "title", "file")
+        .agg(
+            F.min("severity").alias("severity"),
+            F.min("text").alias("detail"),
+            F.count("*").alias("n"),
+            F.count_if(key == "file_uploads").alias("uploads"),
+            F.count_if(key == "rest_endpoints").alias("endpoints"),
+        )
+    )
+    own = F.col("file").isNotNull()
+    dense = (F.col("title") == DENSITY.title) & (F.col("n") >= R.WEAK_CRYPTO_LIMIT)
+    concentrated = (
+        (F.col("title") == CONCENTRATION.title)
+        & (F.col("uploads") >= 2)
+        & (F.col("endpoints") >= 5)
+    )
+    detail = (
+        F.when(own, F.col("detail"))
+        .when(
+            dense,
+            F.format_string(
+                "%d instances of weak cryptography (MD5, SHA-1, DES, Random) "
+                "scattered across files. Indicates systemic security debt.",
+                F.col("n"),
+            ),
+        )
+        .otherwise(
+            F.format_string(
+                "High density of file uploads (%d) combined with web endpoints (%d). "
+                "A single vulnerability in upload handlers could lead to "
+                "Remote Code Execution.",
+                F.col("uploads"), F.col("endpoints"),
+            )
+        )
+    )
+    return grouped.where(own | dense | concentrated).select(
+        "repo",
+        F.when(own, F.col("severity")).otherwise("High").alias("severity"),
+        "title",
+        detail.alias("detail"),
+        "file",
+    )

@@ -2,13 +2,12 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import registries as R
 from ..operators import dependencies as D
 from ..operators import owasp, scans, score, selection, tallies
-from ..operators.listing import dependency_file, has_tests
-from ..functions import registries as R
 
 
 @dataclass(frozen=True)
@@ -28,6 +27,9 @@ class SecurityAudit:
     The content of every selected file is read once for all scans
     (:attr:`hits`), and :attr:`counts` brings everything down to one row per
     repository.  All members are lazy DataFrames.
+
+    ``paths(repo, path, pos)`` names the files to analyse for some
+    repositories; the others keep the automatic selection.
     """
 
     def __init__(
@@ -37,16 +39,16 @@ class SecurityAudit:
         advisories: DataFrame,
         options: AuditOptions = AuditOptions(),
         active_maintenance: Column | None = None,
+        paths: DataFrame | None = None,
     ):
-        self.repos, self.files, self.options = repos, files, options
-        self.dependencies = D.repo_dependencies(files, options.max_deps)
-        self.rated_advisories = D.rated_advisories(advisories)
+        self.repos, self.files, self.options, self.paths = repos, files, options, paths
         self.active_maintenance = (
             F.lit(True) if active_maintenance is None else active_maintenance
         )
-        self.selected = self._selected()
+        self.dependencies = D.repo_dependencies(files, options.max_deps)
+        self.rated_advisories = D.rated_advisories(advisories)
         self.hits = scans.scan_files(
-            self.selected,
+            self._selected(),
             applies={
                 scans.SECRET: F.col("for_secrets"),
                 **{k: F.col("for_deep") for k in scans.ALL_KINDS if k != scans.SECRET},
@@ -55,50 +57,109 @@ class SecurityAudit:
         )
         self.counts = self._counts()
 
+    # -- inputs -----------------------------------------------------------
+
     def _selected(self) -> DataFrame:
         """Files of either selection with a flag for each."""
         path, options = F.col("path"), self.options
         blobs = selection.blobs(self.files)
         secret, deep = selection.secret_candidate(path), selection.deep_candidate(path)
-        if options.max_secret_files is None and options.max_deep_files is None:
+        if self.paths is None and options.max_secret_files is options.max_deep_files is None:
             return blobs.withColumns({"for_secrets": secret, "for_deep": deep}).where(
                 "for_secrets OR for_deep"
             )
+        return blobs.join(self._chosen_paths(secret, deep), ["repo", "path"])
+
+    def _chosen_paths(self, secret: Column, deep: Column) -> DataFrame:
+        """repo, path, for_secrets, for_deep; only path columns are read for it."""
+        files, options = self.files.select("repo", "path", "kind"), self.options
+        if self.paths is not None:
+            files = files.join(self.paths.select("repo").distinct(), "repo", "left_anti")
 
-        def chosen(condition, limit, flag):
+        def automatic(condition, limit, flag):
             if limit is None:
-                rows = blobs.where(condition).select("repo", "path")
+                rows = selection.blobs(files).where(condition).select("repo", "path")
             else:
-                rows = selection.first_files(self.files, condition, limit).drop("rn")
+                rows = selection.first_files(files, condition, limit).drop("rn")
             return rows.withColumn(flag, F.lit(True))
 
-        flags = chosen(secret, options.max_secret_files, "for_secrets").join(
-            chosen(deep, options.max_deep_files, "for_deep"), ["repo", "path"], "full"
+        chosen = (
+            automatic(secret, options.max_secret_files, "for_secrets")
+            .join(automatic(deep, options.max_deep_files, "for_deep"), ["repo", "path"], "full")
+            .na.fill(False, ["for_secrets", "for_deep"])
         )
-        return blobs.join(flags, ["repo", "path"]).na.fill(
-            False, ["for_secrets", "for_deep"]
+        if self.paths is None:
+            return chosen
+        order = Window.partitionBy("repo").orderBy("pos")
+        limits = {"for_secrets": options.max_secret_files, "for_deep": options.max_deep_files}
+        listed = self.paths.select("repo", "path", F.row_number().over(order).alias("_n"))
+        listed = listed.withColumns(
+            {
+                flag: F.lit(True) if limit is None else F.col("_n") <= limit
+                for flag, limit in limits.items()
+            }
         )
+        return chosen.unionByName(listed.drop("_n").where("for_secrets OR for_deep"))
 
-    def _counts(self) -> DataFrame:
-        per_dependency = D.dependency_counts(
-            self.dependencies, self.rated_advisories, self.options.critical_label
+    def _file_facts(self) -> DataFrame:
+        """Per repository what the paths alone tell, in one narrow pass."""
+        path, options = F.col("path"), self.options
+        blob = F.col("kind") == "blob"
+        names = R.DEPENDENCY_FILES_SECURITY
+        rank = F.array_position(F.array(*[F.lit(n) for n in names]), path)
+
+        def selected(condition, limit):
+            n = F.count_if(blob & condition)
+            return n if limit is None else F.least(n, F.lit(limit).cast("bigint"))
+
+        facts = self.files.groupBy("repo").agg(
+            F.bool_or(F.lower(path).contains("test")).alias("has_tests"),
+            F.min_by(path, F.when(blob & (rank > 0), rank)).alias("dependency_file_scanned"),
+            selected(selection.secret_candidate(path), options.max_secret_files).alias(
+                "files_scanned"
+            ),
+            selected(selection.deep_candidate(path), options.max_deep_files).alias(
+                "files_analyzed"
+            ),
         )
-        zero = F.lit(0).cast("bigint")
-        filled = {
-            name: F.coalesce(name, zero)
-            for name in (
-                "packages_checked", "n_cves", "n_critical_cves", "n_vulnerable_packages",
+        if self.paths is None:
+            return facts
+        listed = self.paths.groupBy("repo").agg(F.count("*").alias("_listed"))
+        capped = lambda limit: (
+            F.col("_listed") if limit is None else F.least("_listed", F.lit(limit).cast("bigint"))
+        )
+        return facts.join(listed, "repo", "left").withColumns(
+            {
+                "files_scanned": F.coalesce(capped(options.max_secret_files), "files_scanned"),
+                "files_analyzed": F.coalesce(capped(options.max_deep_files), "files_analyzed"),
+            }
+        ).drop("_listed")
+
+    def cves(self) -> DataFrame:
+        """Dependency totals per repository that lists any."""
+        return D.vulnerability_totals(
+            D.dependency_counts(
+                self.dependencies, self.rated_advisories, self.options.critical_label
             )
-        }
-        tests = has_tests(self.files).select("repo", F.col("has_test_entries").alias("has_tests"))
+        )
+
+    def _counts(self) -> DataFrame:
+        zeros = [
+            "packages_checked", "n_cves", "n_critical_cves", "n_vulnerable_packages",
+            "files_scanned", "files_analyzed",
+        ]
+        zero = F.lit(0).cast("bigint")
         return (
             tallies.complete(self.repos, tallies.tally_hits(self.hits))
-            .join(D.vulnerability_totals(per_dependency), "repo", "left")
-            .join(tests, "repo", "left")
-            .withColumns(filled)
+            .join(self.cves(), "repo", "left")
+            .join(self._file_facts(), "repo", "left")
             .withColumns(
                 {
+                    **{name: F.coalesce(name, zero) for name in zeros},
                     "has_tests": F.coalesce("has_tests", F.lit(False)),
+                    "dependency_file_scanned": F.coalesce(
+                        "dependency_file_scanned", F.lit("none")
+                    ),
                     "active_maintenance": self.active_maintenance,
                 }
             )
@@ -110,32 +171,27 @@ class SecurityAudit:
         return owasp.owasp_coverage(self.counts)
 
     def owasp_findings(self) -> DataFrame:
-        return owasp.owasp_findings(self.hits, self.counts)
+        return owasp.owasp_findings(self.hits, self.repos, self.cves())
 
     def security_score(self) -> DataFrame:
         return score.security_score(self.counts)
 
     def smells(self) -> DataFrame:
-        return tallies.file_smells(self.hits).unionByName(tallies.repo_smells(self.counts))
+        return tallies.smells(self.hits)
 
     def findings_by_severity(self) -> DataFrame:
         """Dangerous findings and smells per severity, worst first by ``rank``."""
-        scored = score.with_score_inputs(self.counts)
         sums = [
-            ("Critical", F.col("dangerous_critical")),
-            ("High", F.col("dangerous_high") + F.col("all_smells_high")),
-            ("Medium", F.col("dangerous_medium") + F.col("smells_medium")),
-            ("Low", F.col("dangerous_low")),
+            ("Critical", "dangerous_critical"),
+            ("High", "dangerous_high + smells_high"),
+            ("Medium", "dangerous_medium + smells_medium"),
+            ("Low", "dangerous_low"),
         ]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("severity"), n.alias("n"), F.lit(rank).alias("rank")
-                )
-                for rank, (name, n) in enumerate(sums, start=1)
-            ]
+        rows = ", ".join(
+            f"named_struct('severity', '{name}', 'n', {n}, 'rank', {rank})"
+            for rank, (name, n) in enumerate(sums, start=1)
         )
-        return scored.select("repo", F.inline(rows)).where("n > 0")
+        return self.counts.select("repo", F.expr(f"inline(array({rows}))")).where("n > 0")
 
     def totals(self) -> DataFrame:
         """Q7: vulnerabilities, secrets and vulnerable packages per repository."""
@@ -146,27 +202,9 @@ class SecurityAudit:
             "n_vulnerable_packages",
         )
 
-    def _with_files(self, frame: DataFrame) -> DataFrame:
-        counted = self.selected.groupBy("repo").agg(
-            F.count_if("for_secrets").alias("files_scanned"),
-            F.count_if("for_deep").alias("files_analyzed"),
-        )
-        picked = dependency_file(self.files, R.DEPENDENCY_FILES_SECURITY)
-        return (
-            frame.join(counted, "repo", "left")
-            .join(picked, "repo", "left")
-            .withColumns(
-                {
-                    "files_scanned": F.coalesce("files_scanned", F.lit(0)).cast("bigint"),
-                    "files_analyzed": F.coalesce("files_analyzed", F.lit(0)).cast("bigint"),
-                    "dependency_file_scanned": F.coalesce("filename", F.lit("none")),
-                }
-            )
-        )
-
     def basic_report(self) -> DataFrame:
         """Dependency and secret totals with a summary sentence."""
-        return self._with_files(self.counts).select(
+        return self.counts.select(
             "repo",
             "dependency_file_scanned",
             "packages_checked",
@@ -184,11 +222,8 @@ class SecurityAudit:
 
     def report(self) -> DataFrame:
         """C4: one wide row per repository; lists stay in their own tables."""
-        counts = score.with_score_inputs(self.counts).withColumn(
-            "n_smells", F.col("all_smells_high") + F.col("smells_medium")
-        )
-        scored = self.security_score().select("repo", "score", "risk", "explanation")
-        return self._with_files(counts.join(scored, "repo")).select(
+        n_smells = F.col("smells_high") + F.col("smells_medium")
+        return score.scored(self.counts).select(
             "repo",
             "dependency_file_scanned",
             "packages_checked",
@@ -201,7 +236,7 @@ class SecurityAudit:
             "dangerous_critical",
             tallies.surface_total().alias("surface_total"),
             "surface_rating",
-            "n_smells",
+            n_smells.alias("n_smells"),
             "has_tests",
             "score",
             "risk",
@@ -211,6 +246,6 @@ class SecurityAudit:
                 "%d dangerous API(s), %d security smell(s). "
                 "Security score: %d/30 — Risk level: %s.",
                 F.col("repo"), F.col("n_cves"), F.col("n_secrets"), F.col("n_dangerous"),
-                F.col("n_smells"), F.col("score"), F.col("risk"),
+                n_smells, F.col("score"), F.col("risk"),
             ).alias("summary"),
         )

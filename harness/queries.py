@@ -9,7 +9,6 @@ from forgelens.operators import (
     duplication,
     hotspots,
     listing,
-    owasp,
     quality,
     reports,
     scans,
@@ -67,7 +66,7 @@ def _quality(spark, d) -> DataFrame:
 
 def _actions(spark, d, audit) -> DataFrame:
     rollup = deps.package_vulnerability_rollup(audit.dependencies, audit.rated_advisories)
-    return action_plan(audit.hits, tallies.repo_smells(audit.counts), rollup, _quality(spark, d))
+    return action_plan(audit.counts, rollup, _quality(spark, d))
 
 
 def secret_scan_selected(spark, d) -> DataFrame:
@@ -99,7 +98,8 @@ def security_score_compat(spark, d) -> DataFrame:
 
 
 def smells(spark, d) -> DataFrame:
-    return tallies.smells(_deep_files(spark, d)).drop("detail")
+    kinds = [scans.DANGEROUS, scans.SURFACE, scans.SMELL]
+    return tallies.smells(scans.scan_files(_deep_files(spark, d), kinds)).drop("detail")
 
 
 def owasp_coverage(spark, d) -> DataFrame:
@@ -125,9 +125,9 @@ def dependency_counts(spark, d) -> DataFrame:
 
 def report_consistency(spark, d) -> DataFrame:
     audit = _audit(spark, d)
-    scored = audit.counts.join(audit.security_score().select("repo", "score"), "repo")
     spots = hotspots.hotspots(_parsed(spark, d), _churn(spark, d))
-    return reports.report_consistency(scored, _actions(spark, d, audit), spots)
+    order = reports.plan_order(_actions(spark, d, audit))
+    return reports.report_consistency(score.scored(audit.counts), order, spots)
 
 
 def action_plan_of(spark, d) -> DataFrame:

@@ -190,6 +190,7 @@ def dep_lines(spark, sf_dir) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
+    lines = spread(lines, "l_orderkey")
     package = F.concat(F.lit("pkg"), F.col("l_partkey"))
     major = F.col("l_quantity").cast("int") % 6
     minor = F.col("l_orderkey") % 10
