@@ -1,0 +1 @@
+"""Audit analytics over many code repositories as Spark DataFrame jobs."""

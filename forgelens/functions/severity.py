@@ -2,10 +2,11 @@
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .registries import SCORE_TEXT_REGEX, SEVERITY_LABELS, SEVERITY_ORDER
 from .text import contains_any, regex
@@ -74,12 +75,13 @@ def json_score_and_label(document: str | None):
     )
 
 
-@F.pandas_udf(_SCORE_AND_LABEL)
-def advisory_json_severity(documents: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_SCORE_AND_LABEL)
+def advisory_json_severity(documents: pa.Array) -> pa.Array:
     """What a free-form advisory document says about its severity."""
-    found = [json_score_and_label(document) for document in documents]
-    return pd.DataFrame(found, columns=["score", "label"]).astype(
-        {"score": "float64", "label": "object"}
+    found = [json_score_and_label(document.as_py()) for document in documents]
+    return pa.array(
+        [{"score": score, "label": label} for score, label in found],
+        type=to_arrow_type(_SCORE_AND_LABEL),
     )
 
 

@@ -32,7 +32,7 @@ def session_transcript(events: DataFrame) -> DataFrame:
     """
     final = events.where(F.col("is_final") & (F.col("text") != ""))
     part = F.floor(F.col("seq") / EVENTS_PER_PART).alias("part")
-    in_order = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    in_order = F.sort_array(F.collect_list(F.struct("seq", "text")))
     return (
         final.groupBy("session", part)
         .agg(in_order.alias("_texts"))
@@ -71,7 +71,7 @@ def agent_tools(events: DataFrame) -> DataFrame:
     named = F.when(F.col("tool").isNotNull(), F.struct("seq", "tool"))
     return (
         per_tool.groupBy("session", "author")
-        .agg(F.array_sort(F.collect_list(named)).alias("_tools"), F.sum("n").alias("event_count"))
+        .agg(F.sort_array(F.collect_list(named)).alias("_tools"), F.sum("n").alias("event_count"))
         .select(
             "session", "author", F.array_join("_tools.tool", ",").alias("tools"), "event_count"
         )

@@ -101,7 +101,7 @@ def advisory_severity(advisories: DataFrame) -> DataFrame:
 
 
 def dependency_vulnerabilities(
-    dependencies: DataFrame, rated: DataFrame, how: str = "left"
+    dependencies: DataFrame, rated: DataFrame, how: str = "left", extra=()
 ) -> DataFrame:
     """A row per dependency and advisory; a clean dependency keeps one row.
 
@@ -125,6 +125,7 @@ def dependency_vulnerabilities(
         F.when(
             matched, F.coalesce("a.aliases", F.array().cast("array<string>"))
         ).alias("aliases"),
+        *[f"a.{name}" for name in extra],
     )
 
 
@@ -179,22 +180,26 @@ def package_vulnerability_rollup(dependencies: DataFrame, rated: DataFrame) -> D
     ordinary package has one (``part`` 0), and a package with very many
     advisories is spread over several instead of growing one value.
     """
-    per_package = dependencies.select("repo", "ecosystem", "package", "version").distinct()
-    matches = (
-        dependency_vulnerabilities(per_package, rated, "inner")
-        .select("repo", "package", "id", S.severity_rank(F.col("severity")).alias("_rank"))
-        .groupBy("repo", "package", "id")
-        .agg(F.min("_rank").alias("_rank"))
-    )
-    totals = matches.groupBy("repo", "package").agg(
-        F.count("*").alias("n_cve"), F.min("_rank").alias("severity_rank")
+    sizes = rated.groupBy("ecosystem", "package").agg(F.count("*").alias("_size"))
+    n_parts = F.ceil(F.col("_size") / IDS_PER_ROW)
+    parted = rated.join(sizes, ["ecosystem", "package"]).withColumn(
+        "_part", F.pmod(F.xxhash64("id"), n_parts)
     )
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_cve") / IDS_PER_ROW))
-    return (
-        matches.join(totals, ["repo", "package"])
-        .groupBy("repo", "package", "n_cve", "severity_rank", part.alias("part"))
-        .agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("cve_ids"))
-        .withColumn("max_severity", S.severity_name(F.col("severity_rank")))
-        .select("repo", "package", "n_cve", "max_severity", "severity_rank", "part", "cve_ids")
+    per_package = dependencies.select("repo", "ecosystem", "package", "version").distinct()
+    parts = (
+        dependency_vulnerabilities(per_package, parted, "inner", ["_part"])
+        .groupBy("repo", "package", F.col("_part").alias("part"))
+        .agg(
+            F.sort_array(F.collect_set("id")).alias("_ids"),
+            F.min(S.severity_rank(F.col("severity"))).alias("_rank"),
+        )
     )
-
+    package = Window.partitionBy("repo", "package")
+    return parts.select(
+        "repo",
+        "package",
+        F.sum(F.size("_ids")).over(package).alias("n_cve"),
+        F.min("_rank").over(package).alias("severity_rank"),
+        "part",
+        F.array_join("_ids", ",").alias("cve_ids"),
+    ).withColumn("max_severity", S.severity_name(F.col("severity_rank")))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.materialize import materialize
 
 KEY = ["repo", "set_id"]
 
@@ -27,7 +28,7 @@ def line_digests(content: Column) -> Column:
     """Distinct stripped non-empty lines as 128-bit digests, sorted."""
     stripped = F.transform(T.raw_lines(content), T.strip)
     distinct = F.array_distinct(F.filter(stripped, lambda line: line != ""))
-    return F.array_sort(F.transform(distinct, lambda line: F.base64(F.unhex(F.md5(line)))))
+    return F.sort_array(F.transform(distinct, lambda line: F.base64(F.unhex(F.md5(line)))))
 
 
 def similarity(common: Column, smaller: Column) -> Column:
@@ -36,9 +37,11 @@ def similarity(common: Column, smaller: Column) -> Column:
 
 def line_sets(files: DataFrame) -> DataFrame:
     """repo, path, set_id, n_lines, digests of every file with any line."""
+    # the test for emptiness is on the text: on the digests Spark would work
+    # them out once for the filter and once more for the result
     return (
-        files.select("repo", "path", line_digests(F.col("content")).alias("digests"))
-        .where(F.size("digests") > 0)
+        files.where(T.strip(F.col("content")) != "")
+        .select("repo", "path", line_digests(F.col("content")).alias("digests"))
         .select(
             "repo",
             "path",
@@ -56,7 +59,21 @@ def similar_pairs(files: DataFrame, min_similarity: int = 60) -> DataFrame:
     says how many pairs of files it stands for.  The files that share a set are
     in :func:`set_members`.
     """
-    sets = (
+    sets = materialize(_distinct_sets(files), "line-sets")
+    identical = sets.where("copies > 1").select(
+        "repo",
+        F.col("file").alias("file_a"),
+        F.col("last_file").alias("file_b"),
+        F.col("n_lines").cast("bigint").alias("common_lines"),
+        F.lit(100.0).alias("similarity_percent"),
+        (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n_pairs"),
+    )
+    return _different_sets(sets, min_similarity).unionByName(identical)
+
+
+def _distinct_sets(files: DataFrame) -> DataFrame:
+    """One row per line set of a repository; copies are counted on the map side."""
+    return (
         line_sets(files)
         .groupBy(*KEY)
         .agg(
@@ -67,15 +84,6 @@ def similar_pairs(files: DataFrame, min_similarity: int = 60) -> DataFrame:
             F.first("digests").alias("digests"),
         )
     )
-    identical = sets.where("copies > 1").select(
-        "repo",
-        F.col("file").alias("file_a"),
-        F.col("last_file").alias("file_b"),
-        F.col("n_lines").cast("bigint").alias("common_lines"),
-        F.lit(100.0).alias("similarity_percent"),
-        (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n_pairs"),
-    )
-    return _different_sets(sets, min_similarity).unionByName(identical)
 
 
 def _different_sets(sets: DataFrame, min_similarity: int) -> DataFrame:
@@ -90,21 +98,29 @@ def _different_sets(sets: DataFrame, min_similarity: int) -> DataFrame:
             ],
         )
 
+    # one array expression, so that an intersection is worked out once per pair
+    common = F.size(F.array_intersect("digests_a", "digests_b"))
+    measured = F.transform(
+        F.array(common),
+        lambda n: F.struct(
+            n.cast("bigint").alias("common_lines"),
+            similarity(n, F.col("n_lines_a")).alias("similarity_percent"),
+        ),
+    )
     compared = (
         candidates.join(side("a"), ["repo", "set_id_a"])
         .join(side("b"), ["repo", "set_id_b"])
-        .withColumn("common_lines", F.size(F.array_intersect("digests_a", "digests_b")))
-        .withColumn(
-            "similarity_percent", similarity(F.col("common_lines"), F.col("n_lines_a"))
+        .select(
+            "repo", "file_a", "file_b", "copies_a", "copies_b",
+            F.inline(F.filter(measured, lambda m: m["similarity_percent"] > min_similarity)),
         )
-        .where(F.col("similarity_percent") > min_similarity)
     )
     in_order = F.col("file_a") < F.col("file_b")
     return compared.select(
         "repo",
         F.when(in_order, F.col("file_a")).otherwise(F.col("file_b")).alias("file_a"),
         F.when(in_order, F.col("file_b")).otherwise(F.col("file_a")).alias("file_b"),
-        F.col("common_lines").cast("bigint").alias("common_lines"),
+        "common_lines",
         "similarity_percent",
         (F.col("copies_a") * F.col("copies_b")).alias("n_pairs"),
     )
@@ -121,7 +137,7 @@ def _candidates(sets: DataFrame, min_similarity: int) -> DataFrame:
     # they only shorten the rest of the prefix.
     needed = F.ceil(F.col("n_lines") * min_similarity / 100)
     prefix_length = F.col("n_lines") - F.greatest(needed, F.lit(1)) + 1
-    by_rarity = F.array_sort(F.collect_list(F.struct("frequency", "digest")))
+    by_rarity = F.sort_array(F.collect_list(F.struct("frequency", "digest")))
     ranked = shared.groupBy(*KEY, "n_lines").agg(by_rarity.alias("shared"))
     left_over = prefix_length - (F.col("n_lines") - F.size("shared"))
     prefix = ranked.where(left_over > 0).select(
@@ -164,7 +180,7 @@ def pair_matrix(files: DataFrame, chosen: DataFrame) -> DataFrame:
             F.struct("rn", "path", line_digests(F.col("content")).alias("digests")).alias("f"),
         )
         .groupBy("repo")
-        .agg(F.array_sort(F.collect_list("f")).alias("listed"))
+        .agg(F.sort_array(F.collect_list("f")).alias("listed"))
     )
     pairs = F.flatten(
         F.transform(

@@ -145,7 +145,7 @@ def top_negative_factors(scores: DataFrame, n: int = 3) -> DataFrame:
             f["negative_points"].alias("points"),
         ),
     )
-    top = F.slice(F.array_sort(ranked), 1, n)
+    top = F.slice(F.sort_array(ranked), 1, n)
     return scores.select("repo", F.posexplode(top).alias("_pos", "_top")).select(
         "repo",
         (F.col("_pos") + 1).alias("rank"),

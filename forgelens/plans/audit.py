@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import registries as R
 from ..operators import dependencies as D
 from ..operators import owasp, scans, score, selection, tallies
+from ..sources.materialize import materialize
 
 
 @dataclass(frozen=True)
@@ -165,6 +166,14 @@ class SecurityAudit:
             )
         )
 
+    def with_counts_written(self) -> "SecurityAudit":
+        """The same audit with its one row per repository written once.
+
+        For queries that use the counts in more than one branch.
+        """
+        self.counts = materialize(self.counts, "audit-counts")
+        return self
+
     # -- results ----------------------------------------------------------
 
     def owasp_coverage(self) -> DataFrame:

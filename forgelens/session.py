@@ -15,6 +15,7 @@ SETTINGS = {
 LOCAL_SETTINGS = {
     "spark.sql.shuffle.partitions": "8",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
 }
 

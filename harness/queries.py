@@ -124,7 +124,7 @@ def dependency_counts(spark, d) -> DataFrame:
 
 
 def report_consistency(spark, d) -> DataFrame:
-    audit = _audit(spark, d)
+    audit = _audit(spark, d).with_counts_written()
     spots = hotspots.hotspots(_parsed(spark, d), _churn(spark, d))
     order = reports.plan_order(_actions(spark, d, audit))
     return reports.report_consistency(score.scored(audit.counts), order, spots)

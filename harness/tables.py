@@ -20,7 +20,13 @@ def spread(frame: DataFrame, key: str) -> DataFrame:
     process alone.  Input with splits enough for the cluster is left as it is.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
+    source = tuple(frame.inputFiles())
+    if source not in _SPLITS:
+        _SPLITS[source] = frame.rdd.getNumPartitions()
+    return frame if _SPLITS[source] >= cores else frame.repartition(cores, key)
+
+
+_SPLITS: dict[tuple, int] = {}
 
 
 def pick(values: list[str], number: Column) -> Column:
