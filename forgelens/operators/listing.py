@@ -69,12 +69,19 @@ def dependency_file(files: DataFrame, order=None, with_content: bool = False) ->
 
     The path filter reaches the scan, so only the few candidates are read.
     """
-    names = order or R.DEPENDENCY_FILES_SCAN
-    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
-    best = [F.min_by("path", rank).alias("filename")]
+    names = F.array(*[F.lit(n) for n in order or R.DEPENDENCY_FILES_SCAN])
+    rank = F.array_position(names, F.col("path"))
+    # the least rank instead of the path itself keeps the aggregation hash-based
+    best = [F.min(rank).alias("_rank")]
     if with_content:
         best.append(F.min_by("content", rank).alias("content"))
-    return blobs(files).where(F.col("path").isin(names)).groupBy("repo").agg(*best)
+    candidates = blobs(files).where(F.col("path").isin(order or R.DEPENDENCY_FILES_SCAN))
+    return (
+        candidates.groupBy("repo")
+        .agg(*best)
+        .withColumn("filename", F.element_at(names, F.col("_rank").cast("int")))
+        .drop("_rank")
+    )
 
 
 def repo_scan(repos: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ class SecurityAudit:
         """Per repository what the paths alone tell, in one narrow pass."""
         path, options = F.col("path"), self.options
         blob = F.col("kind") == "blob"
-        names = R.DEPENDENCY_FILES_SECURITY
-        rank = F.array_position(F.array(*[F.lit(n) for n in names]), path)
+        names = F.array(*[F.lit(n) for n in R.DEPENDENCY_FILES_SECURITY])
+        rank = F.array_position(names, path)
 
         def selected(condition, limit):
             n = F.count_if(blob & condition)
@@ -115,7 +115,7 @@ class SecurityAudit:
 
         facts = self.files.groupBy("repo").agg(
             F.bool_or(F.lower(path).contains("test")).alias("has_tests"),
-            F.min_by(path, F.when(blob & (rank > 0), rank)).alias("dependency_file_scanned"),
+            F.min(F.when(blob & (rank > 0), rank)).alias("_rank"),
             selected(selection.secret_candidate(path), options.max_secret_files).alias(
                 "files_scanned"
             ),
@@ -123,6 +123,11 @@ class SecurityAudit:
                 "files_analyzed"
             ),
         )
+        facts = facts.withColumn(
+            "dependency_file_scanned",
+            # Spark takes element_at on a constant array for non-null whatever the index
+            F.when(F.col("_rank").isNotNull(), F.element_at(names, F.col("_rank").cast("int"))),
+        ).drop("_rank")
         if self.paths is None:
             return facts
         listed = self.paths.groupBy("repo").agg(F.count("*").alias("_listed"))

@@ -13,7 +13,7 @@ DOCUMENT = (
 
 def read_advisories(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """One row per advisory and affected package; one document per file or per line."""
-    texts = spark.read.option("wholetext", str(whole_files).lower()).text(path)
+    texts = spark.read.text(path, wholetext=whole_files)
     return parse_advisories(texts.select(F.col("value").alias("raw_json")))
 
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from forgelens.operators import scans
 from forgelens.sources import files as sources
+from forgelens.sources.advisories import read_advisories
 from forgelens.sources.materialize import materialize
 from forgelens.sources.sinks import write_reports, write_tables
 from forgelens.streaming.incremental import file_stream, scan_new_files
@@ -32,17 +33,24 @@ def test_trees(spark, tmp_path):
 def test_sinks_and_table_sources(spark, make_files, tmp_path):
     reports = spark.createDataFrame([("o/r", "# T\nx")], "repo string, text string")
     write_reports(reports, str(tmp_path / "md"))
-    back = spark.read.option("wholetext", "true").text(str(tmp_path / "md"))
+    back = spark.read.text(str(tmp_path / "md"), wholetext=True)
     assert [(r.value, r.repo) for r in back.collect()] == [("# T\nx\n", "o/r")]
     write_tables({"files": make_files([("a.py", "eval(x)")])}, str(tmp_path / "tables"))
     files = sources.read_files(spark, str(tmp_path / "tables/files"))
     assert scans.dangerous_scan(files).count() == 1
 
 
+def test_advisory_files(spark, tmp_path):
+    document = '{"id":"O-%s",\n"affected":[{"package":{"ecosystem":"PyPI","name":"p"}}]}'
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(document % name)
+    assert {r.id for r in read_advisories(spark, str(tmp_path)).collect()} == {"O-a", "O-b"}
+
+
 def test_materialized_frame_is_equal(spark):
     frame = spark.range(10).withColumn("x", F.array(F.col("id")))
     written = materialize(frame, "numbers")
-    assert written.schema == frame.schema
+    assert written.dtypes == frame.dtypes
     assert sorted(r.id for r in written.collect()) == list(range(10))
 
 
