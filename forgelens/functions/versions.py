@@ -17,17 +17,27 @@ def is_pinned(version: Column) -> Column:
     return version.isNotNull() & ~version.contains("*")
 
 
-def affects(affected: Column, versions: Column, version: Column) -> Column:
-    """Whether an advisory covers the version: listed, or inside a range.
+def span_keys(affected: Column) -> Column:
+    """(introduced, fixed) ranges with comparable bounds; a null end leaves a range open."""
+    return F.transform(
+        affected,
+        lambda span: F.struct(
+            version_key(F.coalesce(span["introduced"], F.lit("0"))).alias("low"),
+            version_key(span["fixed"]).alias("high"),
+        ),
+    )
 
-    ``affected`` is an array of (introduced, fixed); a null ``fixed`` leaves the
-    range open.  An unpinned version is covered by every advisory.
+
+def affects(spans: Column, versions: Column, version: Column) -> Column:
+    """Whether an advisory covers a version: listed, or inside a range.
+
+    ``spans`` come from :func:`span_keys`, once per advisory.  An unpinned
+    version is covered by every advisory.
     """
     key = version_key(version)
     in_range = F.exists(
-        affected,
-        lambda span: (version_key(F.coalesce(span["introduced"], F.lit("0"))) <= key)
-        & (span["fixed"].isNull() | (key < version_key(span["fixed"]))),
+        spans,
+        lambda span: (span["low"] <= key) & (span["high"].isNull() | (key < span["high"])),
     )
     listed = F.array_contains(versions, version)
     covered = F.coalesce(in_range, F.lit(False)) | F.coalesce(listed, F.lit(False))

@@ -27,22 +27,17 @@ def requirement(line: Column) -> Column:
     spec = F.when(
         stripped.contains("["), F.regexp_replace(stripped, r"\[.*?\]", "")
     ).otherwise(stripped)
-    fields = F.split(
-        F.regexp_replace(spec, T.regex(REQUIREMENT), SEPARATOR.join(["$1", "$2", "$3"])),
-        SEPARATOR,
-    )
-    listed = F.when(
-        ~stripped.startswith("#") & ~stripped.startswith("-"), F.array(fields)
-    )
-    parsed = F.transform(
+    groups = SEPARATOR.join(["$1", "$2", "$3"])
+    fields = F.split(F.regexp_replace(spec, T.regex(REQUIREMENT), groups), SEPARATOR)
+    relevant = ~stripped.startswith("#") & ~stripped.startswith("-")
+    return F.transform(
         # a line that does not match is not split
-        F.filter(listed, lambda f: F.size(f) == 3),
+        F.filter(F.when(relevant, F.array(fields)), lambda f: F.size(f) == 3),
         lambda f: F.struct(
             f[0].alias("package"),
             F.when(f[1].isin(PINNING_OPERATORS), f[2]).alias("version"),
         ),
     )
-    return parsed
 
 
 def parse_dependency_lines(dep_lines: DataFrame, ecosystem: str = "PyPI") -> DataFrame:
@@ -109,11 +104,13 @@ def dependency_vulnerabilities(
     the condition.  Spark broadcasts the advisories where they are small and
     splits the dependencies of a hot package where they are not.
     """
-    deps, adv = dependencies.alias("d"), rated.alias("a")
+    deps = dependencies.alias("d")
+    adv = rated.withColumn("_spans", V.span_keys(F.col("affected"))).alias("a")
+    covers = V.affects(F.col("a._spans"), F.col("a.versions"), F.col("d.version"))
     condition = (
         (F.col("d.ecosystem") == F.col("a.ecosystem"))
         & (F.col("d.package") == F.col("a.package"))
-        & V.affects(F.col("a.affected"), F.col("a.versions"), F.col("d.version"))
+        & covers
     )
     matched = F.col("a.id").isNotNull()
     return deps.join(adv, condition, how).select(

@@ -57,18 +57,25 @@ def sections_of(text: Column) -> Column:
     heading = T.regex(R.HEADING_REGEX, "m")
     titles = F.transform(F.regexp_extract_all(text, F.lit(heading), 1), T.strip)
     bodies = F.transform(F.slice(F.split(text, heading), 2, 1_000_000_000), T.strip)
-    all_sections = F.arrays_zip(titles.alias("title"), bodies.alias("body"))
-    distinct = F.transform(
-        F.array_distinct(titles),
-        lambda title: F.struct(
-            title.alias("section"),
-            F.element_at(F.filter(all_sections, lambda s: s["title"] == title), -1)[
-                "body"
-            ].alias("content"),
-        ),
-    )
     whole = F.array(F.struct(F.lit(FULL_REPORT).alias("section"), text.alias("content")))
-    return F.when(F.size(titles) == 0, whole).otherwise(distinct)
+
+    def sections(found):
+        last = lambda title: (
+            F.size(found["titles"]) - F.array_position(F.reverse(found["titles"]), title)
+        )
+        listed = F.transform(
+            F.array_distinct(found["titles"]),
+            lambda title: F.struct(
+                title.alias("section"),
+                F.get(found["bodies"], last(title).cast("int")).alias("content"),
+            ),
+        )
+        return F.when(F.size(found["titles"]) == 0, whole).otherwise(listed)
+
+    # the outer array binds the two arrays, which would be worked out anew for
+    # every title if the inner lambda named them directly
+    found = F.array(F.struct(titles.alias("titles"), bodies.alias("bodies")))
+    return F.get(F.transform(found, sections), F.lit(0))
 
 
 def report_sections(reports: DataFrame) -> DataFrame:

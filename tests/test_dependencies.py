@@ -60,7 +60,8 @@ def test_picked_file_and_cap(make_files):
 )
 def test_version_ranges(spark, version, expected):
     spans = F.array(F.struct(F.lit("1.0").alias("introduced"), F.lit("1.11").alias("fixed")))
-    test = V.affects(spans, F.array(F.lit("3.1.0")), F.lit(version).cast("string"))
+    given = F.lit(version).cast("string")
+    test = V.affects(V.span_keys(spans), F.array(F.lit("3.1.0")), given)
     assert spark.range(1).select(test).first()[0] is expected
 
 
