@@ -4,6 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
+from .exact_dedup import exact_duplicates
+from .fingerprint import fingerprint_with_edits
+from .lang_id import fit_dictionaries, held_out, identify_languages
+from .mixing import temperature_mix
 from .packing import pack_power_of_two
 from .store import shared_path
 from .token_counts import token_counts
@@ -22,20 +27,60 @@ def op1_pack_power_of_two(spark, sf_dir) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_language_id(spark, sf_dir) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    dictionaries = fit_dictionaries(docs.where(~held_out()))
+    found = identify_languages(docs, dictionaries)
+    return found.withColumn("held_out", held_out())
+
+
 def op4_token_files(spark, sf_dir) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_token_files(_read(spark, sf_dir, "documents"), path, WORD_BPE, 2)
     return with_ids_crc32(read_token_files(spark, path))
 
 
+def op5_warc(spark, sf_dir) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(_read(spark, sf_dir, "pages"), path)
+    page = lambda uri: F.regexp_extract(uri, r"^<urn:x-page:(-?[0-9]+):", 1)
+    number = lambda uri: F.when(page(uri) != "", page(uri)).cast("bigint")
+    return warc.reassembled(spark, path).select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        number("refers_to").alias("refers_to"),
+        "n_segments",
+        "complete",
+    )
+
+
+def op6_scaled_fingerprint(spark, sf_dir) -> DataFrame:
+    return fingerprint_with_edits(_read(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark, sf_dir) -> DataFrame:
+    return exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), BYTE_BPE, 512)
 
 
+def op10_temperature_mix(spark, sf_dir) -> DataFrame:
+    return temperature_mix(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
+    "op2_language_id": op2_language_id,
     "op4_token_files": op4_token_files,
+    "op5_warc": op5_warc,
+    "op6_scaled_fingerprint": op6_scaled_fingerprint,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_temperature_mix": op10_temperature_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
