@@ -1,6 +1,7 @@
 """Language identification by compression with a dictionary per language."""
 
 import math
+import re
 
 import pyarrow as pa
 import zstandard
@@ -17,6 +18,13 @@ LEVEL = 6
 BLOCK = 1 << 13  # bytes compressed at once, so that the dictionary stays in reach
 MARGIN = 0.005  # least gain over the second language, as a share of its size
 _STEPS = 1 << 30
+_OTHER = re.compile(r"[\W\d_]+")
+_PAD = b"0" * 32  # keeps a short text from being stored as it is, whatever the dictionary
+
+
+def letters(text: str) -> bytes:
+    """Lower-case words with one space around each: what is learned and compressed."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
 
 
 def fit_dictionaries(
@@ -26,7 +34,8 @@ def fit_dictionaries(
 
     The sample is chosen by the hash of the text, about SAMPLE_TEXTS per language,
     whatever the size of the table; the driver holds the sample and one count per
-    language.  Rows with a null text or language are not learned from.
+    language.  Languages come in descending number of rows.  Rows with a null text
+    or language are not learned from.
     """
     text = F.col(text_col).cast("string")
     rows = labelled.select(F.col(lang_col).alias("lang"), text.alias("text"))
@@ -40,11 +49,12 @@ def fit_dictionaries(
     for lang, n in counts.items():
         chosen |= (F.col("lang") == lang) & (slot < min(_STEPS, math.ceil(_STEPS * SAMPLE_TEXTS / n)))
     sample = rows.where(chosen).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max("text").alias("t"))
-    made: dict[str, bytearray] = {lang: bytearray() for lang in counts}
+    frequent = sorted(counts, key=lambda lang: (-counts[lang], lang))
+    made: dict[str, bytearray] = {lang: bytearray() for lang in frequent}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):
-        data = row["t"].lower().encode()
+        data = letters(row["t"])
         if len(made[row["lang"]]) + len(data) <= DICTIONARY_BYTES:
-            made[row["lang"]] += data + b"\n"
+            made[row["lang"]] += data
     return {lang: bytes(data) for lang, data in made.items() if data}
 
 
@@ -52,7 +62,7 @@ class Classifier:
     """Compressed sizes under each dictionary; the smallest names the language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.by_lang = []
         for lang in self.langs:
             data = zstandard.ZstdCompressionDict(
@@ -69,8 +79,8 @@ class Classifier:
         """(language, score, margin) of a whole text; ``und`` without a letter."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
-        data = text.lower().encode("utf-8", "surrogatepass")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        data = letters(text)
+        blocks = [_PAD + data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(compress(b)) for b in blocks) for compress in self.by_lang]
         best = min(sizes)
         others = sorted(sizes)[1:] or [best + len(data)]
@@ -89,7 +99,7 @@ def identify_languages(
     """(id, lang_pred, score, margin, rejected) of every row, from its whole text.
 
     A text is compressed in blocks with each language's dictionary; the smallest
-    total wins, equal totals go to the first name.  ``margin`` is the gain over the
+    total wins, equal totals go to the language with more training rows.  ``margin`` is the gain over the
     second language as a share; below the limit, or without a letter (``und``; null
     and empty texts too), the prediction is rejected.  Repeated rows give repeated
     rows, an empty table none.  With no dictionary every text is ``und``.

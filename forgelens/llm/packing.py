@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from .store import save
 from .tokens import encoder
 
+BROADCAST_ROWS = 1 << 20
+
 
 def binary_pieces(n: int, longest: int) -> list[int]:
     """Piece lengths of n tokens: full pieces, then the bits of the rest, largest first."""
@@ -37,7 +39,8 @@ def pack_power_of_two(
     the piece as little-endian unsigned 32-bit numbers.  Repeated rows are packed as
     documents of their own; a null id stays null; an empty table gives no rows.
     The pieces are written once to the shared folder; only counts per task and
-    bucket, a table as small as the number of tasks, are summed for numbering.
+    bucket, a table as small as the number of tasks, are summed for numbering, and
+    broadcast if they are no more than BROADCAST_ROWS rows.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -82,7 +85,7 @@ def pack_power_of_two(
             schema.names,
         )
 
-    cut_up = save(rows.mapInArrow(cut, schema), "packed")
+    cut_up = save(rows.mapInArrow(cut, schema), "packed", compression="zstd")
     per_task = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
     in_bucket = Window.partitionBy("length").orderBy("part")
     first = F.sum("n").over(in_bucket) - F.col("n")
@@ -95,6 +98,9 @@ def pack_power_of_two(
         .join(bases, "length")
         .select("length", "part", (F.col("first") + F.col("base")).alias("first"))
     )
+    numbers = save(numbers.coalesce(1), "packed-numbers")
+    if numbers.count() <= BROADCAST_ROWS:
+        numbers = F.broadcast(numbers)  # 24 bytes a row; otherwise the pieces are shuffled
     return cut_up.join(numbers, ["length", "part"]).select(
         id_col,
         "start",

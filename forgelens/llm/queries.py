@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import warc
 from .exact_dedup import exact_duplicates
 from .fingerprint import fingerprint_with_edits
+from .jaccard import near_duplicates
 from .lang_id import fit_dictionaries, held_out, identify_languages
 from .mixing import temperature_mix
 from .packing import pack_power_of_two
@@ -64,6 +65,10 @@ def op7_exact_dedup(spark, sf_dir) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark, sf_dir) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents")).drop("first")
+
+
 def op9_token_counts(spark, sf_dir) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), BYTE_BPE, 512)
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_scaled_fingerprint": op6_scaled_fingerprint,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_temperature_mix": op10_temperature_mix,
 }
