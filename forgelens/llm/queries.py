@@ -12,6 +12,7 @@ from .lang_id import fit_dictionaries, held_out, identify_languages
 from .mixing import temperature_mix
 from .packing import pack_power_of_two
 from .store import shared_path
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, with_ids_crc32, write_token_files
 
@@ -35,6 +36,10 @@ def op2_language_id(spark, sf_dir) -> DataFrame:
     return found.withColumn("held_out", held_out())
 
 
+def op3_suffix_dedup(spark, sf_dir) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), 100).drop("spans")
+
+
 def op4_token_files(spark, sf_dir) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_token_files(_read(spark, sf_dir, "documents"), path, WORD_BPE, 2)
@@ -80,6 +85,7 @@ def op10_temperature_mix(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
     "op6_scaled_fingerprint": op6_scaled_fingerprint,
