@@ -44,7 +44,7 @@ def sketch(data: bytes, scale: int = SCALE) -> np.ndarray:
     is the union of the sketches and sets of very unequal size can be compared.
     """
     h = shingle_hashes(data)
-    return np.unique(h[h < np.uint64((1 << 64) // scale)])
+    return np.unique(h[h <= np.uint64((1 << 64) // scale - 1)])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:

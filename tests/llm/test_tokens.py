@@ -20,7 +20,7 @@ TEXTS = [
     None, "", " ", "\n", "a", "Hello, world.\nNext line's end", "a  b   c\t\td \n\n e", "  lead", "trail  ",
     "x.,y..z , w . v", "<|endoftext|>", "a<|endoftext|> b <|startoftext|>,<|endoftext|>.", "can't we'll 'S ''s",
     "1,000.50 3.14.15", "éà ñ ΑΣ Σ. ΟΔΟΣ, x", "é ́a ́", "日本語 テスト。 です", "\x01a \x01,",
-    "a b  c　 d", "\x1c \x1d a", "word " * 5000, "z" * 20000, "😀 😀,😀.", "a_b,c_d. _,", "½, Ⅳ. x²,",
+    "a b  c　 d", "\x1c \x1d a", "word " * 5000, "z" * 20000, "😀 😀,😀.", "a_b,c_d. _,", "½, Ⅳ. x²,", "<|ENDOFTEXT|> A", "HELLO There, İx. <|Endoftext|>",
 ]
 
 
