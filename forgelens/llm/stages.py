@@ -1,64 +1,81 @@
 """The operators as stages: what becomes of the rows of a table of documents.
 
 Rows are told apart by their id and the hash of their text, so tables in which ids
-repeat keep the right rows.
+repeat keep the right rows.  While a stage works, a row travels as one struct, so no
+column of a table can clash with the names used here.
 """
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exact_dedup import drop_exact_duplicates
+from .exact_dedup import exact_duplicates
 from .jaccard import near_duplicates
 from .lang_id import fit_dictionaries, held_out, identify_languages
 from .mixing import temperature_mix
 from .packing import pack_power_of_two
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-_SHA = "_text_sha256"
 
 
-def text_sha(text_col: str = "text") -> Column:
-    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str | None = None) -> DataFrame:
+    """(doc, id, text, sha, rest[, source]): the row, what tells it apart, and its order."""
+    text = F.col(text_col).cast("string")
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    rest = [column for name, column in columns.items() if name != text_col]
+    source = [F.col(source_col).cast("string").alias("source")] if source_col else []
+    return docs.select(
+        F.struct(*columns.values()).alias("doc"),
+        F.col(id_col).alias("id"),
+        text.alias("text"),
+        F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"),
+        F.struct(*rest).alias("rest"),
+        *source,
+    )
 
 
-def _same_row(left: DataFrame, right: DataFrame, id_col: str) -> Column:
-    return left[id_col].eqNullSafe(right["_id"]) & (left[_SHA] == right["_sha"])
+def _with(rows: DataFrame, found: DataFrame, *more) -> DataFrame:
+    """The rows with what was found for their (k_id, k_sha)."""
+    same = rows["id"].eqNullSafe(found["k_id"]) & (rows["sha"] == found["k_sha"])
+    for condition in more:
+        same &= condition
+    return rows.join(found, same)
 
 
-def _numbered(joined: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Numbers rows with one id and text from 1, in the order of their other columns."""
-    others = [c for c in columns if c != text_col]
-    return joined.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, _SHA).orderBy(*others)))
+def _numbered(joined: DataFrame, *keys: str) -> DataFrame:
+    """Numbers rows that the keys do not tell apart from 1, in the order of the rest."""
+    return joined.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("rest")))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose language is identified; equal texts are judged alike.
+    """The rows whose language is identified; rows with one id and text are judged alike.
 
     With no labelled text to learn from, the rows with a letter stay.
     """
     dictionaries = fit_dictionaries(docs.where(~held_out(id_col)), text_col)
     if not dictionaries:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    named = docs.withColumn(_SHA, text_sha(text_col))
-    found = identify_languages(named, dictionaries, id_col=_SHA, text_col=text_col)
-    good = found.where("NOT rejected").select(F.col(_SHA).alias("_sha")).distinct()
-    return named.join(good, named[_SHA] == good["_sha"], "left_semi").select(*docs.columns)
+    rows = _rows(docs, id_col, text_col)
+    key = rows.select(F.struct("id", "sha").alias("key"), "text")
+    good = identify_languages(key, dictionaries, id_col="key").where("NOT rejected")
+    good = good.select(F.col("key.id").alias("k_id"), F.col("key.sha").alias("k_sha")).distinct()
+    return _with(rows, good).select("doc.*")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return drop_exact_duplicates(docs, id_col, text_col)
+    """One row of each group of equal texts, that with the largest id."""
+    rows = _rows(docs, id_col, text_col)
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    kept = kept.select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    return _numbered(_with(rows, kept), "id", "sha").where("nth = 1").select("doc.*")
 
 
 def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component, its smallest id; of repeated rows one."""
-    named = docs.withColumn(_SHA, text_sha(text_col))
-    first = near_duplicates(named, id_col, text_col, carry=(_SHA,)).where("first")
-    first = first.groupBy(F.col(id_col).alias("_id"), F.col(_SHA).alias("_sha")).agg(
-        F.count("*").alias("_stay")
-    )
-    joined = named.join(first, _same_row(named, first, id_col))
-    return _numbered(joined, docs.columns, id_col, text_col).where("_nth <= _stay").select(*docs.columns)
+    """One row of each near-duplicate component, that with the smallest id."""
+    rows = _rows(docs, id_col, text_col)
+    first = near_duplicates(rows.select("id", "text", "sha"), "id", "text", carry=("sha",)).where("first")
+    first = first.groupBy(F.col("id").alias("k_id"), F.col("sha").alias("k_sha")).agg(F.count("*").alias("stay"))
+    return _numbered(_with(rows, first), "id", "sha").where("nth <= stay").select("doc.*")
 
 
 def read_in_mixture(
@@ -69,26 +86,20 @@ def read_in_mixture(
     Readings of repeated rows, which the mixture cannot tell apart, are dealt out
     evenly among them.
     """
-    named = docs.withColumn(_SHA, text_sha(text_col))
-    mixed = temperature_mix(named, id_cols=(id_col, _SHA), source_col=source_col, text_col=text_col)
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    rows = _rows(docs, id_col, text_col, source_col)
+    mixed = temperature_mix(rows.select("id", "sha", "source", "text"), id_cols=("id", "sha"))
     reads = mixed.groupBy(
-        F.col(id_col).alias("_id"),
-        F.col(_SHA).alias("_sha"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"),
-    ).agg(F.count("*").alias("_reads"))
-    joined = named.join(reads, _same_row(named, reads, id_col) & (key == reads["_source"]))
-    alike = Window.partitionBy(id_col, _SHA, "_source")
-    others = [c for c in docs.columns if c != text_col]
-    joined = joined.withColumn("_of", F.count("*").over(alike)).withColumn(
-        "_nth", F.row_number().over(alike.orderBy(*others))
-    )
-    times = F.expr("_reads div _of") + (F.col("_nth") <= F.expr("_reads % _of")).cast("bigint")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("_again")).select(
-        *docs.columns
-    )
+        F.col("id").alias("k_id"), F.col("sha").alias("k_sha"), F.col("source").alias("k_source")
+    ).agg(F.count("*").alias("reads"))
+    joined = _with(rows, reads, rows["source"].eqNullSafe(reads["k_source"]))
+    keys = ["id", "sha", "source"]
+    joined = _numbered(joined, *keys).withColumn("alike", F.count("*").over(Window.partitionBy(*keys)))
+    times = F.expr("reads div alike") + (F.col("nth") <= F.expr("reads % alike")).cast("bigint")
+    again = F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("again")
+    return joined.select("doc", again).select("doc.*")
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all rows, their ids as a checksum."""
     pieces = pack_power_of_two(docs, BYTE_BPE, 1024, 0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
