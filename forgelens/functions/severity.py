@@ -28,7 +28,7 @@ def _as_score(value):
     if isinstance(value, (int, float, str)):
         try:
             return float(value)
-        except ValueError:
+        except (ValueError, OverflowError):
             return None
     return None
 
@@ -43,31 +43,29 @@ def _search(node, exact_keys, key_parts, accept):
     At each object the exact keys go first, in their order; then its entries in
     document order, each tried by a part of its name and then descended into.
     """
-    if isinstance(node, list):
-        children = [(None, child) for child in node]
-    elif isinstance(node, dict):
-        for key in exact_keys:
-            value = accept(node.get(key))
-            if value is not None:
-                return value
-        children = node.items()
-    else:
-        return None
-    for key, child in children:
+    pending = [(None, node)]  # what is still to be visited, the next one last
+    while pending:
+        key, child = pending.pop()
         if key is not None and any(part in key.lower() for part in key_parts):
             value = accept(child)
             if value is not None:
                 return value
-        value = _search(child, exact_keys, key_parts, accept)
-        if value is not None:
-            return value
+        if isinstance(child, list):
+            pending += [(None, entry) for entry in reversed(child)]
+        elif isinstance(child, dict):
+            for exact in exact_keys:
+                value = accept(child.get(exact))
+                if value is not None:
+                    return value
+            pending += reversed(child.items())
     return None
 
 
 def json_score_and_label(document: str | None):
+    """Score and label of a document; one that cannot be parsed has neither."""
     try:
         node = json.loads(document) if document else None
-    except ValueError:
+    except (ValueError, RecursionError):
         node = None
     return (
         _search(node, SCORE_KEYS, SCORE_KEY_PARTS, _as_score),

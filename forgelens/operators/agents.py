@@ -7,15 +7,14 @@ from ..functions import registries as R
 
 UNKNOWN = "unknown"
 PREVIEW_MIN, PREVIEW_CUT = 20, 300
-EVENTS_PER_PART = 1000
 
 
-def author_label(author):
-    """display label of a known agent, else its own name."""
-    label = F
-    for name, shown in R.AGENT_LABELS:
-        label = label.when(author == name, shown)
-    return label.when(author.endswith("_orchestrator"), "Orchestrator").otherwise(author)
+def author_label(author, labels=tuple(R.AGENT_LABELS)):
+    """display label of a known agent, looked up by its exact name, else that name."""
+    label = F.lit(None)
+    for name, shown in labels:
+        label = F.when(author == name, shown).otherwise(label)
+    return F.coalesce(label, author)
 
 
 def with_author(events: DataFrame) -> DataFrame:
@@ -24,36 +23,41 @@ def with_author(events: DataFrame) -> DataFrame:
 
 
 def session_transcript(events: DataFrame) -> DataFrame:
-    """The final response texts of a session in order, joined by line feeds.
+    """Session, seq, text of the final responses; in the order of ``seq`` they are
+    the transcript.  A projection, however long a session is."""
+    return events.where(F.col("is_final") & (F.col("text") != "")).select("session", "seq", "text")
 
-    A session is cut into parts of ``EVENTS_PER_PART`` sequence numbers, so a
-    very long one never becomes a single value; the parts joined by line feeds
-    are the transcript.
-    """
-    final = events.where(F.col("is_final") & (F.col("text") != ""))
-    part = F.floor(F.col("seq") / EVENTS_PER_PART).alias("part")
+
+def joined_transcript(events: DataFrame) -> DataFrame:
+    """The lines of each session joined by line feeds, for sessions known to be short:
+    a session becomes one value."""
     in_order = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    return (
-        final.groupBy("session", part)
-        .agg(in_order.alias("_texts"))
-        .select("session", "part", F.array_join("_texts.text", "\n").alias("text"))
-    )
+    texts = session_transcript(events).groupBy("session").agg(in_order.alias("_texts"))
+    return texts.select("session", F.array_join("_texts.text", "\n").alias("text"))
 
 
 def agent_timeline(events: DataFrame) -> DataFrame:
     """Q12: per session and author the event count, first event and text preview.
 
-    Plain aggregates with map-side combine; display order is ``first_seq``.
+    Numbers are aggregated by hash; the one event to preview is then fetched by its
+    ``seq``, which is unique in a session.  Display order is ``first_seq``.
     """
+    authored = with_author(events)
     telling = F.when(F.length("text") > PREVIEW_MIN, F.col("seq"))
+    numbers = authored.groupBy("session", "author").agg(
+        F.min("seq").alias("first_seq"),
+        F.count("*").alias("event_count"),
+        F.min(telling).alias("_seq"),
+    )
+    shown = authored.where(F.length("text") > PREVIEW_MIN).select(
+        "session",
+        "author",
+        F.col("seq").alias("_seq"),
+        F.substring("text", 1, PREVIEW_CUT).alias("text_preview"),
+    )
     return (
-        with_author(events)
-        .groupBy("session", "author")
-        .agg(
-            F.min("seq").alias("first_seq"),
-            F.count("*").alias("event_count"),
-            F.min_by(F.substring("text", 1, PREVIEW_CUT), telling).alias("text_preview"),
-        )
+        numbers.join(shown, ["session", "author", "_seq"], "left")
+        .drop("_seq")
         .withColumn("label", author_label(F.col("author")))
     )
 

@@ -15,7 +15,9 @@ SEPARATOR = "\n"  # cannot occur inside a line
 PINNING_OPERATORS = ["==", "~="]
 NO_SUMMARY = "No summary available"
 NO_DATE = "?"
-IDS_PER_ROW = 500
+# Ecosystem whose package names are compared in one spelling, and its rule.
+SPELLING_ECOSYSTEM, SPELLING_RUNS = "PyPI", "[-_.]+"
+PYPROJECT = "pyproject.toml"
 
 
 def requirement(line: Column) -> Column:
@@ -40,6 +42,47 @@ def requirement(line: Column) -> Column:
     )
 
 
+def package_key(ecosystem: Column, package: Column) -> Column:
+    """The name by which a package is found, whatever its spelling (PEP 503 for PyPI)."""
+    plain = F.lower(F.regexp_replace(package, SPELLING_RUNS, "-"))
+    return F.when(ecosystem == SPELLING_ECOSYSTEM, plain).otherwise(package)
+
+
+def pyproject_specs(content: Column) -> Column:
+    """D3: the quoted requirement strings inside the dependency arrays of a pyproject.toml.
+
+    Arrays are those of ``dependencies`` (in any table), ``requires`` and, under an
+    optional-dependencies or dependency-groups table, of every name.  Comments are left
+    out, and brackets inside quotes do not end an array.
+    """
+    bare = F.regexp_replace(content, r"(?m)^((?:[^\"'#\n]|\"[^\"\n]*\"|'[^'\n]*')*)#[^\n]*$", "$1")
+    tables = F.split(F.concat(F.lit("\n"), bare), r"\n\s*(?=\[[^\n]*\]\s*(?:\n|$))")
+    quoted = r"(?:[^\]\"']|\"[^\"\n]*\"|'[^'\n]*')*"
+    named = rf"(?m)^\s*(?:dependencies|requires)\s*=\s*\[({quoted})\]"
+    every = rf"(?m)^\s*[\w\-.\"']+\s*=\s*\[({quoted})\]"
+    optional = lambda t: t.rlike(r"^\s*\[(?:project\.optional-dependencies|dependency-groups)\]")
+    arrays = F.flatten(
+        F.transform(
+            tables,
+            lambda t: F.when(optional(t), F.regexp_extract_all(t, F.lit(every), F.lit(1))).otherwise(
+                F.regexp_extract_all(t, F.lit(named), F.lit(1))
+            ),
+        )
+    )
+    strings = F.flatten(
+        F.transform(arrays, lambda a: F.regexp_extract_all(a, F.lit(r"\"[^\"\n]*\"|'[^'\n]*'"), F.lit(0)))
+    )
+    return F.transform(strings, lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+
+
+def dependency_specs(filename: Column, content: Column, compat: bool = False) -> Column:
+    """The requirement lines of a dependency file; ``compat`` reads every format by line."""
+    lines = T.raw_lines(content)
+    if compat:
+        return lines
+    return F.when(filename == PYPROJECT, pyproject_specs(content)).otherwise(lines)
+
+
 def parse_dependency_lines(dep_lines: DataFrame, ecosystem: str = "PyPI") -> DataFrame:
     """``dep_lines(repo, dep_file, pos, line)`` to the dependencies table."""
     return dep_lines.select(
@@ -57,7 +100,9 @@ def first_dependencies(dependencies: DataFrame, max_deps: int) -> DataFrame:
     )
 
 
-def repo_dependencies(files: DataFrame, max_deps: int | None = None) -> DataFrame:
+def repo_dependencies(
+    files: DataFrame, max_deps: int | None = None, compat: bool = False
+) -> DataFrame:
     """S4b + F5: dependencies of the dependency file the security analysis picks.
 
     A picked file of a format that is not parsed yields no dependency.
@@ -66,7 +111,9 @@ def repo_dependencies(files: DataFrame, max_deps: int | None = None) -> DataFram
     dep_lines = picked.where(F.col("filename").isin(R.PARSED_DEPENDENCY_FILES)).select(
         "repo",
         F.col("filename").alias("dep_file"),
-        F.posexplode(T.raw_lines(F.col("content"))).alias("pos", "line"),
+        F.posexplode(dependency_specs(F.col("filename"), F.col("content"), compat)).alias(
+            "pos", "line"
+        ),
     )
     parsed = parse_dependency_lines(dep_lines)
     return parsed if max_deps is None else first_dependencies(parsed, max_deps)
@@ -100,21 +147,23 @@ def dependency_vulnerabilities(
 ) -> DataFrame:
     """A row per dependency and advisory; a clean dependency keeps one row.
 
-    An equi-join on (ecosystem, package) with the version test as the rest of
-    the condition.  Spark broadcasts the advisories where they are small and
-    splits the dependencies of a hot package where they are not.
+    An equi-join on ecosystem and :func:`package_key` with the version test as the
+    rest of the condition; the package keeps the spelling of the list.  Spark
+    broadcasts the advisories where they are small and splits the dependencies of a
+    hot package where they are not.
     """
-    deps = dependencies.alias("d")
-    adv = rated.withColumn("_spans", V.span_keys(F.col("affected"))).alias("a")
+    key = package_key(F.col("ecosystem"), F.col("package"))
+    deps = dependencies.withColumn("_key", key).alias("d")
+    adv = rated.withColumns({"_spans": V.span_keys(F.col("affected")), "_key": key}).alias("a")
     covers = V.affects(F.col("a._spans"), F.col("a.versions"), F.col("d.version"))
     condition = (
         (F.col("d.ecosystem") == F.col("a.ecosystem"))
-        & (F.col("d.package") == F.col("a.package"))
+        & (F.col("d._key") == F.col("a._key"))
         & covers
     )
     matched = F.col("a.id").isNotNull()
     return deps.join(adv, condition, how).select(
-        "d.*",
+        *[f"d.{name}" for name in dependencies.columns],
         "a.id",
         F.when(matched, F.coalesce("a.summary", F.lit(NO_SUMMARY))).alias("summary"),
         "a.severity",
@@ -170,33 +219,27 @@ def vulnerable_packages(counts: DataFrame) -> DataFrame:
     return counts.where("vuln_count > 0").select("repo", "pos", "package", "vuln_count")
 
 
+def _package_matches(dependencies: DataFrame, rated: DataFrame) -> DataFrame:
+    per_package = dependencies.select("repo", "ecosystem", "package", "version").distinct()
+    return dependency_vulnerabilities(per_package, rated, "inner")
+
+
+def package_advisory_ids(dependencies: DataFrame, rated: DataFrame) -> DataFrame:
+    """Q11: repo, package, id of every advisory a listed package has, once each."""
+    return _package_matches(dependencies, rated).select("repo", "package", "id").distinct()
+
+
 def package_vulnerability_rollup(dependencies: DataFrame, rated: DataFrame) -> DataFrame:
-    """Q11: per package the number of advisories, the worst severity and the ids.
+    """Q11: per package the number of advisories and the worst severity.
 
-    The ids of a package are listed in rows of about ``IDS_PER_ROW``: an
-    ordinary package has one (``part`` 0), and a package with very many
-    advisories is spread over several instead of growing one value.
+    One narrow row per package, whatever its number of advisories; their ids are in
+    :func:`package_advisory_ids`.
     """
-    sizes = rated.groupBy("ecosystem", "package").agg(F.count("*").alias("_size"))
-    n_parts = F.ceil(F.col("_size") / IDS_PER_ROW)
-    parted = rated.join(sizes, ["ecosystem", "package"]).withColumn(
-        "_part", F.pmod(F.xxhash64("id"), n_parts)
+    rank = S.severity_rank(F.col("severity"))
+    once = _package_matches(dependencies, rated).groupBy("repo", "package", "id").agg(
+        F.min(rank).alias("_rank")
     )
-    per_package = dependencies.select("repo", "ecosystem", "package", "version").distinct()
-    parts = (
-        dependency_vulnerabilities(per_package, parted, "inner", ["_part"])
-        .groupBy("repo", "package", F.col("_part").alias("part"))
-        .agg(
-            F.sort_array(F.collect_set("id")).alias("_ids"),
-            F.min(S.severity_rank(F.col("severity"))).alias("_rank"),
-        )
+    rolled = once.groupBy("repo", "package").agg(
+        F.count("*").alias("n_cve"), F.min("_rank").alias("severity_rank")
     )
-    package = Window.partitionBy("repo", "package")
-    return parts.select(
-        "repo",
-        "package",
-        F.sum(F.size("_ids")).over(package).alias("n_cve"),
-        F.min("_rank").over(package).alias("severity_rank"),
-        "part",
-        F.array_join("_ids", ",").alias("cve_ids"),
-    ).withColumn("max_severity", S.severity_name(F.col("severity_rank")))
+    return rolled.withColumn("max_severity", S.severity_name(F.col("severity_rank")))

@@ -163,8 +163,13 @@ def _candidates(sets: DataFrame, min_similarity: int) -> DataFrame:
 
 
 def set_members(files: DataFrame) -> DataFrame:
-    """Which files share a line set: repo, set_id, path."""
-    return line_sets(files).select("repo", "set_id", "path")
+    """repo, set_file, path, n_lines: every file with the first file of its line set,
+    by which :func:`similar_pairs` names the set."""
+    narrow = line_sets(files).select(
+        "repo", "set_id", "path", F.col("n_lines").cast("bigint").alias("n_lines")
+    )
+    first = narrow.groupBy(*KEY).agg(F.min("path").alias("set_file"))
+    return narrow.join(first, KEY).select("repo", "set_file", "path", "n_lines")
 
 
 def pair_matrix(files: DataFrame, chosen: DataFrame) -> DataFrame:

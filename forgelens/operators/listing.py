@@ -1,6 +1,6 @@
 """Repository listing, file properties and commit activity."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registries as R
@@ -54,13 +54,26 @@ def repo_structure(repos: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def commit_activity(commits: DataFrame, sample_cap: int = 50) -> DataFrame:
-    """Newest commit and the size of the capped sample, per repository."""
-    newest = F.struct("author_date", "sha")
-    return commits.groupBy("repo").agg(
-        F.max("author_date").alias("last_commit_date"),
-        F.max_by("message", newest).alias("last_commit_message"),
-        F.least(F.count("*"), F.lit(sample_cap)).cast("bigint").alias("sample_size"),
+def capped_count(cap: int | None) -> Column:
+    n = F.count("*")
+    return (n if cap is None else F.least(n, F.lit(cap))).cast("bigint")
+
+
+def commit_activity(commits: DataFrame, sample_cap: int | None = None) -> DataFrame:
+    """Newest commit and the number of commits, per repository.
+
+    Dates and counts are aggregated by hash; only the commits of the newest date
+    are then looked at for their message (the greatest ``sha`` of equal dates).
+    """
+    newest = commits.groupBy("repo").agg(
+        F.max("author_date").alias("last_commit_date"), capped_count(sample_cap).alias("sample_size")
+    )
+    last = commits.join(
+        newest.select("repo", F.col("last_commit_date").alias("author_date")), ["repo", "author_date"]
+    )
+    messages = last.groupBy("repo").agg(F.max_by("message", "sha").alias("last_commit_message"))
+    return newest.join(messages, "repo", "left").select(
+        "repo", "last_commit_date", "last_commit_message", "sample_size"
     )
 
 
@@ -96,13 +109,13 @@ def repo_scan(repos: DataFrame, files: DataFrame, commits: DataFrame) -> DataFra
 
 
 def file_churn(
-    commits: DataFrame, as_of, days: int = 90, commit_cap: int = 100
+    commits: DataFrame, as_of, days: int = 90, commit_cap: int | None = None
 ) -> DataFrame:
-    """Commits per file in the window before ``as_of``, saturating at the cap."""
+    """Commits per file in the window before ``as_of``; with a cap they saturate."""
     start = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
     end = F.lit(as_of).cast("timestamp_ntz")
     recent = commits.where(F.col("author_date").between(start, end))
     return recent.groupBy("repo", "path").agg(
-        F.least(F.count("*"), F.lit(commit_cap)).cast("bigint").alias("commit_count"),
+        capped_count(commit_cap).alias("commit_count"),
         F.max("author_date").alias("last_modified"),
     )

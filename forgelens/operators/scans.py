@@ -51,6 +51,11 @@ def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=Fals
     return flagged.select("repo", "path", F.inline(all_hits))
 
 
+def applies_by_flag(kinds=ALL_KINDS) -> dict:
+    """Kinds of hits by the flag of the selection they cover: for_secrets or for_deep."""
+    return {k: F.col("for_secrets" if k == SECRET else "for_deep") for k in kinds}
+
+
 def _with_line_flags(texts: DataFrame, kinds, applies) -> DataFrame:
     """Adds whether each line rule can match, and the lines where any of them can."""
     flags = {}

@@ -31,6 +31,13 @@ def blobs(files: DataFrame) -> DataFrame:
     return files.where("kind = 'blob'")
 
 
+def flagged(files: DataFrame) -> DataFrame:
+    """The files of either scan with a flag for each: for_secrets, for_deep."""
+    path = F.col("path")
+    flags = {"for_secrets": secret_candidate(path), "for_deep": deep_candidate(path)}
+    return blobs(files).withColumns(flags).where("for_secrets OR for_deep")
+
+
 def first_files(files: DataFrame, condition: Column, max_files: int) -> DataFrame:
     """The ``max_files`` files nearest to the root per repository, with rank.
 
@@ -46,12 +53,21 @@ def first_files(files: DataFrame, condition: Column, max_files: int) -> DataFram
     )
 
 
-def secret_candidates(files: DataFrame, max_files: int = 10) -> DataFrame:
-    return first_files(files, secret_candidate(F.col("path")), max_files)
+def candidates(files: DataFrame, condition: Column, max_files: int | None) -> DataFrame:
+    """(repo, path) of the files under the condition; with a number, the first so many."""
+    if max_files is not None:
+        return first_files(files, condition, max_files)
+    return blobs(files).where(condition).select("repo", "path")
+
+
+def secret_candidates(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """L2: candidates of the secret scan, with rank ``rn`` if limited."""
+    return candidates(files, secret_candidate(F.col("path")), max_files)
 
 
-def deep_candidates(files: DataFrame, max_files: int = 20) -> DataFrame:
-    return first_files(files, deep_candidate(F.col("path")), max_files)
+def deep_candidates(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """L2: candidates of the deep scan, with rank ``rn`` if limited."""
+    return candidates(files, deep_candidate(F.col("path")), max_files)
 
 
 def select_files(

@@ -228,9 +228,11 @@ def file_smells(hits: DataFrame) -> DataFrame:
     """M1-M5; W5 keeps one row per (title, file) of a repository."""
     return (
         hits.where(F.col("kind") == scans.SMELL)
-        .groupBy("repo", F.col("key").alias("title"), F.col("path").alias("file"))
-        .agg(F.min("severity").alias("severity"), F.min("text").alias("detail"))
-        .select("repo", "severity", "title", "detail", "file")
+        .select(
+            "repo", "severity", F.col("key").alias("title"), F.col("text").alias("detail"),
+            F.col("path").alias("file"),
+        )
+        .distinct()
     )
 
 
@@ -239,7 +241,9 @@ def smells(hits: DataFrame) -> DataFrame:
 
     A hit counts towards the rows it belongs to: a smell towards its own
     (title, file), weak cryptography and exposed surface towards a row of the
-    repository, which is kept where its counts call for it.
+    repository, which is kept where its counts call for it.  A scan yields a smell
+    once per file, so its texts can stand among the grouping keys and only numbers
+    are aggregated.
     """
     crypto = [r.key for r in rules_of(scans.DANGEROUS, owasp=R.CRYPTO_CATEGORY)]
     kind, key = F.col("kind"), F.col("key")
@@ -250,13 +254,16 @@ def smells(hits: DataFrame) -> DataFrame:
     )
     grouped = (
         hits.withColumns(
-            {"title": title, "file": F.when(kind == scans.SMELL, F.col("path"))}
+            {
+                "title": title,
+                "file": F.when(kind == scans.SMELL, F.col("path")),
+                "severity": F.when(kind == scans.SMELL, F.col("severity")),
+                "detail": F.when(kind == scans.SMELL, F.col("text")),
+            }
         )
         .where(F.col("title").isNotNull())
-        .groupBy("repo", "title", "file")
+        .groupBy("repo", "title", "file", "severity", "detail")
         .agg(
-            F.min("severity").alias("severity"),
-            F.min("text").alias("detail"),
             F.count("*").alias("n"),
             F.count_if(key == "file_uploads").alias("uploads"),
             F.count_if(key == "rest_endpoints").alias("endpoints"),

@@ -45,8 +45,8 @@ def content_issues(counts: DataFrame) -> DataFrame:
 
 
 def package_issues(package_rollup: DataFrame) -> DataFrame:
-    """One issue per vulnerable package; the rollup may list its ids in several rows."""
-    return package_rollup.where("part = 0").select(
+    """One issue per vulnerable package."""
+    return package_rollup.select(
         "repo",
         F.col("max_severity").alias("severity"),
         F.concat(F.lit("Vulnerable dependency: "), F.col("package")).alias("title"),

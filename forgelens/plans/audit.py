@@ -20,6 +20,7 @@ class AuditOptions:
     max_deps: int | None = None
     critical_label: str = "Critical"
     strict_mask: bool = False
+    dependency_lines: bool = False  # read every dependency file line by line
 
 
 class SecurityAudit:
@@ -46,14 +47,13 @@ class SecurityAudit:
         self.active_maintenance = (
             F.lit(True) if active_maintenance is None else active_maintenance
         )
-        self.dependencies = D.repo_dependencies(files, options.max_deps)
+        self.dependencies = D.repo_dependencies(
+            files, options.max_deps, options.dependency_lines
+        )
         self.rated_advisories = D.rated_advisories(advisories)
         self.hits = scans.scan_files(
             self._selected(),
-            applies={
-                scans.SECRET: F.col("for_secrets"),
-                **{k: F.col("for_deep") for k in scans.ALL_KINDS if k != scans.SECRET},
-            },
+            applies=scans.applies_by_flag(),
             strict_mask=options.strict_mask,
         )
         self.counts = self._counts()
@@ -66,9 +66,7 @@ class SecurityAudit:
         blobs = selection.blobs(self.files)
         secret, deep = selection.secret_candidate(path), selection.deep_candidate(path)
         if self.paths is None and options.max_secret_files is options.max_deep_files is None:
-            return blobs.withColumns({"for_secrets": secret, "for_deep": deep}).where(
-                "for_secrets OR for_deep"
-            )
+            return selection.flagged(self.files)
         return blobs.join(self._chosen_paths(secret, deep), ["repo", "path"])
 
     def _chosen_paths(self, secret: Column, deep: Column) -> DataFrame:

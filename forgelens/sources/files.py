@@ -18,21 +18,29 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(restored)
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as file paths show it: with scheme, absolute, without a last slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
 def read_trees(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """``files`` from checked-out trees laid out as ``root/<owner>/<repo>/<path>``.
 
     ``glob`` (such as ``*.py``) limits the files before any of them is opened;
-    contents are read only if ``content`` is used.
+    contents are read only if ``content`` is used.  A file that lies in no repository
+    (directly below the root or an owner) is left out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    prefix = root.rstrip("/") + "/"
-    below = F.substring_index(F.col("path"), prefix, -1)
+    below = F.substring(F.col("path"), F.lit(len(_qualified(spark, root)) + 2), F.length("path"))
     parts = F.split(below, "/", 3)
-    return reader.load(root).select(
-        F.concat_ws("/", parts[0], parts[1]).alias("repo"),
-        parts[2].alias("path"),
+    inside = F.size(parts) == 3
+    return reader.load(root).where(inside).select(
+        F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("repo"),
+        F.get(parts, F.lit(2)).alias("path"),
         F.lit("blob").alias("kind"),
         F.col("length").alias("size_bytes"),
         decode_text(F.col("content")).alias("content"),

@@ -5,10 +5,11 @@ The scans are stateless projections, so the batch operators take a streaming
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import scans
-from ..operators.selection import blobs
+from ..operators.selection import flagged
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -20,7 +21,7 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 def scan_new_files(files: DataFrame, out_path: str, checkpoint: str, kinds=scans.ALL_KINDS):
     """Appends the hits of new files to a Parquet table, exactly once; ends when caught up."""
     return (
-        scans.scan_files(blobs(files), kinds)
+        scans.scan_files(flagged(files), kinds, applies=scans.applies_by_flag(kinds))
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

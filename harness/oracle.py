@@ -184,7 +184,8 @@ def severity_of(name_of_score: str) -> str:
     return (
         f"CASE WHEN {name_of_score} >= 9 THEN 'Critical' WHEN {name_of_score} >= 7 THEN 'High' "
         f"WHEN {name_of_score} >= 4 THEN 'Medium' WHEN {name_of_score} IS NOT NULL THEN 'Low' "
-        "WHEN p_partkey % 6 = 1 THEN 'High' WHEN p_partkey % 6 = 3 THEN 'Medium' "
+        "WHEN p_partkey % 97 > 2 AND p_partkey % 6 = 1 THEN 'High' "
+        "WHEN p_partkey % 97 > 2 AND p_partkey % 6 = 3 THEN 'Medium' "
         "ELSE 'Unknown' END"
     )
 
@@ -256,20 +257,25 @@ CTES = {
         FROM documents""",
     "repo_names": "SELECT DISTINCT source AS repo FROM documents",
     "requirement_texts": f"""
-        SELECT repo, '# generated' || {LF} || {LF} || '-r base.txt' || {LF} ||
-               array_to_string(list_transform(range(0, 25), lambda i: 'pkg' || (({NUM} * 7 + i * 13) % 200) ||
+        SELECT repo, specs, '# generated' || {LF} || {LF} || '-r base.txt' || {LF} ||
+                 array_to_string(specs, {LF}) || {LF} AS content,
+               {text(S.PYPROJECT_HEAD)} || array_to_string(list_transform(specs, lambda s: '    "' || s || '",'), {LF})
+                 || {LF} || {text(S.PYPROJECT_TAIL)} AS project FROM (
+        SELECT repo, list_transform(range(0, 25), lambda i: 'pkg' || (({NUM} * 7 + i * 13) % 200) ||
                  (CASE i % 6 WHEN 0 THEN '==' || {VERSION_I} WHEN 1 THEN '>=' || {VERSION_I}
                   WHEN 2 THEN '[extra]~=' || {VERSION_I} WHEN 3 THEN ' == ' || {VERSION_I} || '  # note'
-                  WHEN 4 THEN '==' || i || '.*' ELSE '' END)), {LF}) || {LF} AS content
-        FROM repo_names""",
+                  WHEN 4 THEN '==' || i || '.*' ELSE '' END)) AS specs
+        FROM repo_names)""",
     "root_files": f"""
-        SELECT r.repo, f.path, 'blob' AS kind, r.content FROM requirement_texts r,
+        SELECT r.repo, f.path, 'blob' AS kind, CASE f.path WHEN 'pyproject.toml' THEN r.project
+          ELSE r.content END AS content, CASE f.path WHEN 'pyproject.toml'
+          THEN array_to_string(r.specs, {LF}) ELSE r.content END AS spec_lines FROM requirement_texts r,
         (VALUES ('requirements.txt', 2, 0), ('package.json', 3, 0), ('pom.xml', 5, 0),
                 ('pyproject.toml', 4, 1)) f(path, m, rest)
         WHERE {NUM.replace('repo', 'r.repo')} % f.m = f.rest""",
     "files": f"""
         SELECT *, CAST(strlen(content) AS BIGINT) AS size_bytes FROM (
-          SELECT * FROM code_blobs UNION ALL SELECT * FROM root_files UNION ALL
+          SELECT * FROM code_blobs UNION ALL SELECT repo, path, kind, content FROM root_files UNION ALL
           SELECT DISTINCT source, rtrim({pick(S.DIRECTORIES)}, '/'), 'tree', '' FROM documents
           WHERE {pick(S.DIRECTORIES)} <> '')""",
     "repos": f"""
@@ -315,7 +321,7 @@ CTES = {
                ts AS author_date, event_type AS message
         FROM events JOIN documents d ON d.doc_id = user_id""",
     "churn": """
-        SELECT repo, path, least(count(*), 100) AS commit_count, max(author_date) AS last_modified
+        SELECT repo, path, count(*) AS commit_count, max(author_date) AS last_modified
         FROM commits WHERE author_date BETWEEN TIMESTAMP '2024-01-31' - INTERVAL 90 DAY
           AND TIMESTAMP '2024-01-31' GROUP BY repo, path""",
     "hot": """
@@ -346,12 +352,13 @@ CTES = {
             CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'CVSS base score 8.1 found'
               WHEN 3 THEN 'severity: 5.5' ELSE p_name END AS summary,
             CASE WHEN p_partkey % 7 <> 0 THEN '2024-01-01' END AS published,
-            CASE WHEN p_partkey % 6 = 2 THEN p_size / 5.0 WHEN p_partkey % 6 = 4 THEN 9.8
+            CASE WHEN p_partkey % 97 > 2 AND p_partkey % 6 = 2 THEN p_size / 5.0
+              WHEN p_partkey % 97 > 2 AND p_partkey % 6 = 4 THEN 9.8
               WHEN p_partkey % 5 = 1 THEN 8.1 WHEN p_partkey % 5 = 3 THEN 5.5 END AS score
           FROM part))""",
     "picked": """
-        SELECT repo, arg_min(path, r) AS filename, arg_min(content, r) AS content FROM (
-          SELECT repo, path, content, CASE path WHEN 'requirements.txt' THEN 1
+        SELECT repo, arg_min(path, r) AS filename, arg_min(spec_lines, r) AS content FROM (
+          SELECT repo, path, spec_lines, CASE path WHEN 'requirements.txt' THEN 1
             WHEN 'pyproject.toml' THEN 2 WHEN 'package.json' THEN 3 END AS r
           FROM root_files) WHERE r IS NOT NULL GROUP BY repo""",
     "repo_deps": f"""
@@ -483,6 +490,23 @@ CTES = {
     "selected_lines": """
         SELECT DISTINCT l.repo, l.path, c.rn, l.s FROM py_lines l JOIN selected c
         ON c.repo = l.repo AND c.path = l.path""",
+    "py_sets": """
+        SELECT repo, path, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS set_id
+        FROM py_lines GROUP BY repo, path""",
+    "py_set_names": """
+        SELECT repo, set_id, n, min(path) AS file, max(path) AS last_file, count(*) AS copies
+        FROM py_sets GROUP BY repo, set_id, n""",
+    "py_set_lines": """
+        SELECT s.repo, s.file, s.n, s.copies, l.s FROM py_set_names s JOIN py_lines l
+        ON l.repo = s.repo AND l.path = s.file""",
+    "py_duplicates": """
+        SELECT a.repo, a.file AS file_a, round_even(count(*) / least(a.n, b.n) * 100, 1) AS similarity_percent,
+          a.copies * b.copies AS n_pairs
+        FROM py_set_lines a JOIN py_set_lines b ON a.repo = b.repo AND a.s = b.s AND a.file < b.file
+        GROUP BY a.repo, a.file, b.file, a.n, b.n, a.copies, b.copies
+        HAVING round_even(count(*) / least(a.n, b.n) * 100, 1) > 60
+        UNION ALL SELECT repo, file, 100.0, CAST(copies * (copies - 1) / 2 AS BIGINT)
+        FROM py_set_names WHERE copies > 1""",
     "selected_pairs": """
         SELECT a.repo, a.path AS file_a, b.path AS file_b,
           round_even(coalesce(c.common, 0) / least(a.n, b.n) * 100, 1) AS similarity_percent,
@@ -505,8 +529,8 @@ CTES = {
         UNION ALL SELECT repo, path, 'todo_accumulation', 'MINOR', NULL, todo + fixme + xxx, 1
           FROM markers WHERE todo + fixme + xxx > 5
         UNION ALL SELECT repo, file_a, 'duplication',
-          CASE WHEN similarity_percent > 80 THEN 'CRITICAL' ELSE 'MAJOR' END, NULL, similarity_percent, 1
-          FROM selected_pairs WHERE similarity_percent > 60""",
+          CASE WHEN similarity_percent > 80 THEN 'CRITICAL' ELSE 'MAJOR' END, NULL, similarity_percent, n_pairs
+          FROM py_duplicates""",
     "texts": f"""
         SELECT source || '/' || doc_id AS repo, CASE WHEN doc_id % 9 = 0 THEN text ELSE
           '# Audit Report: ' || source || {LF} || '## 1. Executive Summary' || {LF} ||
@@ -561,15 +585,15 @@ MATERIALIZED = {
     "files", "deep_lines", "dangers", "secrets", "surface", "file_smells", "tallies", "factor_texts",
     "doc_lines", "set_lines", "blocks", "py_files", "selected", "selected_lines", "rated",
     "order_deps", "repo_deps", "texts", "report_lines", "raw_sections", "quality", "doc_sets",
-    "set_names", "commits",
+    "set_names", "commits", "py_lines", "py_sets", "py_set_names", "py_set_lines",
 }
 
-OWASP_PREFIX = {c[:3].lower(): c for c, _, _ in R.OWASP_CATEGORIES}
+OWASP_PREFIX = {c[:3].lower(): (c, label, about) for c, label, about in R.OWASP_CATEGORIES}
 
 
 def _owasp_rows() -> str:
     rows = []
-    for prefix, category in OWASP_PREFIX.items():
+    for prefix, (category, label, about) in OWASP_PREFIX.items():
         detected = prefix if prefix in ("a01", "a02", "a03", "a08") else "0"
         confirmed = "CAST(n_cves > 0 AS INTEGER)" if prefix == "a06" else "0"
         other = {
@@ -577,7 +601,7 @@ def _owasp_rows() -> str:
             "a05": "s_mis", "a09": "1", "a10": "1",
         }.get(prefix, "0")
         rows.append(
-            f"SELECT repo, '{category}' AS category, CAST({detected} + {confirmed} + {other} AS BIGINT) AS n_findings, "
+            f"SELECT repo, '{category}' AS category, {text(label)} AS label, {text(about)} AS description, CAST({detected} + {confirmed} + {other} AS BIGINT) AS n_findings, "
             f"CASE WHEN {detected} + {confirmed} + {other} = 0 THEN 'No evidence found.' "
             f"WHEN {confirmed} > 0 THEN {confirmed} || ' confirmed finding(s).' "
             f"WHEN {detected} > 0 THEN {detected} || ' dangerous pattern(s) detected — review recommended.' "
@@ -605,7 +629,7 @@ QUERIES = {
         LEFT JOIN (SELECT repo, arg_min(path, list_position(['requirements.txt','package.json','pom.xml','pyproject.toml'], path)) AS filename
                    FROM root_files GROUP BY repo) d ON d.repo = r.repo
         LEFT JOIN (SELECT repo, max(author_date) AS last_commit_date,
-                   arg_max(message, author_date) AS last_commit_message, least(count(*), 50) AS sample_size
+                   arg_max(message, author_date) AS last_commit_message, count(*) AS sample_size
                    FROM commits GROUP BY repo) a ON a.repo = r.repo""",
     "file_extensions": """
         SELECT repo, path, size_bytes, CASE WHEN contains(path, '.')
@@ -619,16 +643,18 @@ QUERIES = {
     "dependency_file_security": "SELECT repo, filename FROM picked",
     "commit_activity": """
         SELECT repo, max(author_date) AS last_commit_date, arg_max(message, author_date) AS last_commit_message,
-          least(count(*), 50) AS sample_size FROM commits GROUP BY repo""",
+          count(*) AS sample_size FROM commits GROUP BY repo""",
     "file_churn": "SELECT * FROM churn",
     "file_churn_week": """
         SELECT repo, path, least(count(*), 10) AS commit_count, max(author_date) AS last_modified
         FROM commits WHERE author_date BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31'
         GROUP BY repo, path""",
-    "secret_candidates": f"""
+    "secret_candidates": f"SELECT repo, path FROM files WHERE {SECRET_OK}",
+    "deep_candidates": f"SELECT repo, path FROM files WHERE {DEEP_OK}",
+    "first_secret_candidates": f"""
         SELECT repo, path, CAST(row_number() OVER w AS INTEGER) AS rn FROM files WHERE {SECRET_OK}
         WINDOW w AS (PARTITION BY repo ORDER BY {DEPTH}, path) QUALIFY row_number() OVER w <= 10""",
-    "deep_candidates": f"""
+    "first_deep_candidates": f"""
         SELECT repo, path, CAST(row_number() OVER w AS INTEGER) AS rn FROM files WHERE {DEEP_OK}
         WINDOW w AS (PARTITION BY repo ORDER BY {DEPTH}, path) QUALIFY row_number() OVER w <= 20""",
     "analyst_selection": "SELECT * FROM selected",
@@ -640,7 +666,10 @@ QUERIES = {
         SELECT s.* FROM secrets s JOIN (SELECT repo, path FROM files WHERE {SECRET_OK}
           QUALIFY row_number() OVER (PARTITION BY repo ORDER BY {DEPTH}, path) <= 10) c
         ON c.repo = s.repo AND c.path = s.path""",
-    "dangerous_scan": "SELECT repo, id, path AS file, line, severity, title, owasp, snippet FROM dangers",
+    "dangerous_scan": "SELECT repo, d.id, path AS file, line, severity, title, risk, remediation, owasp, snippet "
+    "FROM dangers d JOIN (VALUES "
+    + ", ".join(f"({text(p[0])}, {text(p[5])}, {text(p[6])})" for p in R.DANGEROUS_PATTERNS)
+    + ") t(id, risk, remediation) ON t.id = d.id",
     "attack_surface_hits": "SELECT * FROM all_surface",
     "attack_surface": " UNION ALL ".join(
         f"SELECT repo, '{c}' AS category, {c} AS n FROM all_surface_counts" for c in SURFACES
@@ -701,10 +730,19 @@ QUERIES = {
     + "))) WHERE n <= 20",
     "advisory_severity": "SELECT id, severity FROM rated",
     "dependency_vulnerabilities": f"""
-        SELECT repo, pos, package, version, id, severity, summary, published FROM ({matched('order_deps')})
-        UNION ALL SELECT repo, pos, package, version, NULL, NULL, NULL, NULL FROM order_deps d
+        SELECT repo, pos, package, version, id, severity, summary, published, ['CVE-2024-' || substr(id, 5)] AS aliases
+        FROM ({matched('order_deps')})
+        UNION ALL SELECT repo, pos, package, version, NULL, NULL, NULL, NULL, NULL FROM order_deps d
         WHERE (package, coalesce(version, '')) NOT IN
           (SELECT (package, coalesce(version, '')) FROM ({matched('(SELECT DISTINCT package, version FROM order_deps)')}))""",
+    "dependency_vulnerabilities_spelling": f"""
+        SELECT repo, pos, CASE pos % 10 % 3 WHEN 0 THEN 'PKG-' WHEN 1 THEN 'Pkg__' ELSE 'pkg.-_' END
+          || substr(package, 4) AS package, version, id, severity FROM ({matched('order_deps')})""",
+    "vulnerable_packages": f"""
+        SELECT d.repo, d.pos, d.package, m.vuln_count FROM order_deps d JOIN
+          (SELECT package, version, count(*) AS vuln_count
+           FROM ({matched('(SELECT DISTINCT package, version FROM order_deps)')}) GROUP BY ALL) m
+        ON d.package = m.package AND d.version IS NOT DISTINCT FROM m.version""",
     "dependency_counts": f"""
         SELECT d.repo, d.pos, d.package, d.version, coalesce(m.vuln_count, 0) AS vuln_count,
           coalesce(m.critical_count, 0) AS critical_count FROM order_deps d LEFT JOIN
@@ -714,10 +752,10 @@ QUERIES = {
     "package_vulnerability_rollup": f"""
         SELECT repo, package, count(*) AS n_cve,
           list_extract(['Critical','High','Medium','Low','Unknown'], min(r)) AS max_severity,
-          CAST(min(r) AS INTEGER) AS severity_rank, CAST(0 AS BIGINT) AS part,
-          string_agg(id, ',' ORDER BY id) AS cve_ids
+          CAST(min(r) AS INTEGER) AS severity_rank
         FROM (SELECT DISTINCT repo, package, id, {RANK} AS r FROM ({matched('order_deps')}))
         GROUP BY repo, package""",
+    "package_advisory_ids": f"SELECT DISTINCT repo, package, id FROM ({matched('order_deps')})",
     "security_totals": """
         SELECT repo, n_cves AS total_vulnerabilities, n_secrets AS total_secrets, n_vulnerable_packages FROM tallies""",
     "repo_security_basic": f"""
@@ -767,6 +805,9 @@ QUERIES = {
           coalesce(CAST(sum(n_occurrences) FILTER (WHERE severity = 'MINOR') AS BIGINT), 0) AS n_minor
           FROM repo_names r LEFT JOIN quality q ON q.repo = r.repo GROUP BY r.repo)""",
     "duplication_pairs": "SELECT * FROM duplicates",
+    "duplication_members": """
+        SELECT d.repo, n.file AS set_file, d.path, d.n AS n_lines FROM doc_sets d JOIN set_names n
+        ON n.repo = d.repo AND n.set_id = d.set_id AND n.n = d.n""",
     "selected_duplication": "SELECT * FROM selected_pairs",
     "action_plan": """
         SELECT repo, CAST(priority AS INTEGER) AS priority, source, severity, title, n_findings,
@@ -807,8 +848,7 @@ QUERIES = {
         FROM (SELECT session, author, tool, min(seq) AS first_seq, count(*) AS n FROM tool_rows GROUP BY ALL)
         GROUP BY session, author""",
     "session_transcript": f"""
-        SELECT session, CAST(seq // 1000 AS BIGINT) AS part, string_agg(text, {LF} ORDER BY seq) AS text
-        FROM agent_rows WHERE is_final AND text <> '' GROUP BY ALL""",
+        SELECT session, seq, text FROM agent_rows WHERE is_final AND text <> ''""",
 }
 
 

@@ -60,7 +60,8 @@ def _selected_pairs(spark, d) -> DataFrame:
 
 
 def _quality(spark, d) -> DataFrame:
-    pairs = _selected_pairs(spark, d).withColumn("n_pairs", F.lit(1).cast("bigint"))
+    """Findings of whole repositories, duplication between all files included."""
+    pairs = duplication.similar_pairs(T.py_files(spark, d))
     return quality.quality_findings(_parsed(spark, d), pairs)
 
 
@@ -77,7 +78,7 @@ def secret_scan_selected(spark, d) -> DataFrame:
 
 
 def dangerous_scan(spark, d) -> DataFrame:
-    return scans.dangerous_scan(_deep_files(spark, d)).drop("risk", "remediation")
+    return scans.dangerous_scan(_deep_files(spark, d))
 
 
 def security_score(spark, d) -> DataFrame:
@@ -103,7 +104,7 @@ def smells(spark, d) -> DataFrame:
 
 
 def owasp_coverage(spark, d) -> DataFrame:
-    return _audit(spark, d).owasp_coverage().drop("label", "description")
+    return _audit(spark, d).owasp_coverage()
 
 
 def first_dependencies(spark, d) -> DataFrame:
@@ -113,7 +114,16 @@ def first_dependencies(spark, d) -> DataFrame:
 
 def dependency_vulnerabilities(spark, d) -> DataFrame:
     return deps.dependency_vulnerabilities(_order_deps(spark, d), _rated(spark, d)).select(
-        "repo", "pos", "package", "version", "id", "severity", "summary", "published"
+        "repo", "pos", "package", "version", "id", "severity", "summary", "published", "aliases"
+    )
+
+
+def dependency_vulnerabilities_spelling(spark, d) -> DataFrame:
+    """Lists and advisories spell the same packages differently."""
+    listed = deps.parse_dependency_lines(T.respelled_dep_lines(spark, d))
+    rated = deps.rated_advisories(T.respelled_advisories(spark, d))
+    return deps.dependency_vulnerabilities(listed, rated, "inner").select(
+        "repo", "pos", "package", "version", "id", "severity"
     )
 
 
@@ -156,6 +166,8 @@ QUERIES = {
     # selection
     "secret_candidates": lambda s, d: selection.secret_candidates(T.code_files(s, d)),
     "deep_candidates": lambda s, d: selection.deep_candidates(T.code_files(s, d)),
+    "first_secret_candidates": lambda s, d: selection.secret_candidates(T.code_files(s, d), 10),
+    "first_deep_candidates": lambda s, d: selection.deep_candidates(T.code_files(s, d), 20),
     "analyst_selection": lambda s, d: selection.analyst_selection(T.py_files(s, d)),
     # content scans
     "secret_scan": lambda s, d: scans.secret_scan(_secret_files(s, d)),
@@ -183,7 +195,12 @@ QUERIES = {
     "first_dependencies": first_dependencies,
     "advisory_severity": lambda s, d: deps.advisory_severity(T.advisories(s, d)),
     "dependency_vulnerabilities": dependency_vulnerabilities,
+    "dependency_vulnerabilities_spelling": dependency_vulnerabilities_spelling,
     "dependency_counts": dependency_counts,
+    "vulnerable_packages": lambda s, d: deps.vulnerable_packages(dependency_counts(s, d)),
+    "package_advisory_ids": lambda s, d: deps.package_advisory_ids(
+        _order_deps(s, d), _rated(s, d)
+    ),
     "package_vulnerability_rollup": lambda s, d: deps.package_vulnerability_rollup(
         _order_deps(s, d), _rated(s, d)
     ),
@@ -199,6 +216,7 @@ QUERIES = {
     "quality_findings": _quality,
     "debt_score": lambda s, d: quality.debt_score(T.repos(s, d), _quality(s, d)),
     "duplication_pairs": lambda s, d: duplication.similar_pairs(T.text_files(s, d)),
+    "duplication_members": lambda s, d: duplication.set_members(T.text_files(s, d)),
     "selected_duplication": _selected_pairs,
     # reports and agents
     "action_plan": action_plan_of,

@@ -110,3 +110,18 @@ PYTHON_BLOCKS = [
     (12, "Empty", "class", 1, 8, 1, 1, None),
 ]
 PYTHON_ERRORS = [4]
+
+PYPROJECT_HEAD = """[build-system]
+build-backend = "hatchling.build"
+
+[project]
+name = "sample"  # not a "dependency"
+requires-python = ">=3.10"
+keywords = ["one", "two"]
+dependencies = [  # runtime
+"""
+PYPROJECT_TAIL = """]
+
+[tool.black]
+line-length = 100
+"""

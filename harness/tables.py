@@ -104,7 +104,12 @@ def code_files(spark, sf_dir) -> DataFrame:
         repo_names(spark, sf_dir)
         .select("repo", F.explode(present).alias("path"))
         .select(
-            "repo", "path", F.lit("blob").alias("kind"), requirements(number).alias("content")
+            "repo",
+            "path",
+            F.lit("blob").alias("kind"),
+            F.when(F.col("path") == "pyproject.toml", pyproject(number))
+            .otherwise(requirements(number))
+            .alias("content"),
         )
     )
     return (
@@ -126,6 +131,19 @@ def repo_names(spark, sf_dir) -> DataFrame:
 
 def requirements(number: Column) -> Column:
     """A requirements text of 25 packages with a comment, a blank line and an option."""
+    body = F.array_join(specs(number), LF)
+    return F.concat(F.lit("# generated" + LF + LF + "-r base.txt" + LF), body, F.lit(LF))
+
+
+def pyproject(number: Column) -> Column:
+    """The same packages as a project file, with other keys and comments around them."""
+    quoted = F.transform(specs(number), lambda s: F.concat(F.lit('    "'), s, F.lit('",')))
+    return F.concat(
+        F.lit(S.PYPROJECT_HEAD), F.array_join(quoted, LF), F.lit(LF + S.PYPROJECT_TAIL)
+    )
+
+
+def specs(number: Column) -> Column:
     version = lambda i: F.concat(i % 6, F.lit("."), (i + number) % 10)
     line = lambda i: F.concat(
         F.lit("pkg"),
@@ -137,8 +155,7 @@ def requirements(number: Column) -> Column:
         .when(i % 6 == 4, F.concat(F.lit("=="), i, F.lit(".*")))
         .otherwise(""),
     )
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), line), LF)
-    return F.concat(F.lit("# generated" + LF + LF + "-r base.txt" + LF), body, F.lit(LF))
+    return F.transform(F.sequence(F.lit(0), F.lit(24)), line)
 
 
 def repos(spark, sf_dir) -> DataFrame:
@@ -191,6 +208,21 @@ def commits(spark, sf_dir) -> DataFrame:
     )
 
 
+def respelled_dep_lines(spark, sf_dir) -> DataFrame:
+    """The lines of :func:`dep_lines`, their packages in three other spellings."""
+    form = F.col("l_linenumber_") % 3
+    name = F.when(form == 0, "PKG-").when(form == 1, "Pkg__").otherwise("pkg.-_")
+    lines = dep_lines(spark, sf_dir).withColumn("l_linenumber_", F.col("pos") % 10)
+    return lines.withColumn("line", F.replace(F.col("line"), F.lit("pkg"), name)).drop(
+        "l_linenumber_"
+    )
+
+
+def respelled_advisories(spark, sf_dir) -> DataFrame:
+    named = F.replace(F.col("package"), F.lit("pkg"), F.lit("Pkg_"))
+    return advisories(spark, sf_dir).withColumn("package", named)
+
+
 def dep_lines(spark, sf_dir) -> DataFrame:
     """Order lines as requirement lines of their supplier."""
     lines = read(spark, sf_dir, "lineitem").select(
@@ -233,10 +265,15 @@ def advisories(spark, sf_dir) -> DataFrame:
         '{"a":{"b":[{"score":"9.8"}]}}',
         '{"level":"weird"}',
     ]
+    hostile = (
+        F.when(key % 97 == 0, F.concat(F.lit('{"score":1'), F.repeat(F.lit("0"), 400), F.lit("}")))
+        .when(key % 97 == 1, F.concat(F.repeat(F.lit("["), 30000), F.repeat(F.lit("]"), 30000)))
+        .when(key % 97 == 2, '{"score":')
+    )
     scored = F.concat(
         F.lit('{"database_specific":{"cvss_score":'), size / 5.0, F.lit("}}")
     )
-    raw = F.coalesce(F.element_at(F.array(*[F.lit(d) for d in documents_]),
+    raw = F.coalesce(hostile, F.element_at(F.array(*[F.lit(d) for d in documents_]),
                                   (key % 6 + 1).cast("int")), scored)
     summary = (
         F.when(key % 5 == 0, None)

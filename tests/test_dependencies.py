@@ -39,12 +39,12 @@ def test_requirement_lines(spark):
 
 
 def test_picked_file_and_cap(make_files):
-    lines = "\n".join(f"p{i}==1.{i}" for i in range(30))
+    lines = "\n".join(f'"p{i}==1.{i}",' for i in range(30))
     files = make_files(
         [
             ("a", "requirements.txt", "x==1\ny"), ("a", "pyproject.toml", "z==1"),
             ("b", "package.json", "{}"), ("b", "sub/requirements.txt", "q==1"),
-            ("c", "pyproject.toml", lines),
+            ("c", "pyproject.toml", f"[project]\ndependencies = [\n{lines}\n]"),
         ]
     )
     found = D.repo_dependencies(files).collect()
@@ -152,17 +152,76 @@ def test_join_with_advisories(spark):
     assert {r.n_critical_cves for r in label.collect()} == {0}
 
 
-def test_rollup_spreads_the_ids_of_a_hot_package(spark):
+def test_rollup_has_one_row_per_package(spark):
     deps = _dependencies(spark, [("r", "hot", None), ("r", "hot", "1"), ("r", "x", None)])
-    rows = D.package_vulnerability_rollup(deps, _advisories(spark, 1700)).collect()
-    hot = [r for r in rows if r.package == "hot"]
-    assert len(hot) == 4 and {r.n_cve for r in hot} == {1700}
-    ids = [i for r in hot for i in r.cve_ids.split(",")]
-    assert sorted(ids) == [f"H{i:05d}" for i in range(1700)]
-    other = [r for r in rows if r.package == "x"]
-    assert [(r.n_cve, r.max_severity, r.part, r.cve_ids) for r in other] == [
-        (2, "Critical", 0, "A1,A2")
-    ]
+    rated = _advisories(spark, 1700)
+    rows = {r.package: r for r in D.package_vulnerability_rollup(deps, rated).collect()}
+    assert set(rows) == {"hot", "x"} and rows["hot"].n_cve == 1700
+    assert (rows["x"].n_cve, rows["x"].max_severity) == (2, "Critical")
+    ids = D.package_advisory_ids(deps, rated).collect()
+    assert sorted(r.id for r in ids if r.package == "hot") == [f"H{i:05d}" for i in range(1700)]
+    assert sorted(r.id for r in ids if r.package == "x") == ["A1", "A2"]
+
+
+def test_packages_are_found_in_any_spelling(spark):
+    deps = _dependencies(spark, [("r", n, None) for n in ("PyYAML", "typing_extensions", "a..b-_c", "z")])
+    rows = [("1", "PyPI", "pyyaml"), ("2", "PyPI", "typing-extensions"), ("3", "PyPI", "A.B.C"), ("4", "npm", "Z")]
+    rated = D.rated_advisories(
+        spark.createDataFrame(
+            [(i, e, p, [("0", None)], [], None, None, None, None, None) for i, e, p in rows],
+            "id string, ecosystem string, package string, affected array<struct<introduced:string,fixed:string>>, "
+            "versions array<string>, summary string, details string, published string, aliases array<string>, raw_json string",
+        )
+    )
+    found = D.dependency_vulnerabilities(deps, rated).collect()
+    assert {(r.package, r.id) for r in found} == {
+        ("PyYAML", "1"), ("typing_extensions", "2"), ("a..b-_c", "3"), ("z", None),
+    }
+    counts = {r.package: r.vuln_count for r in D.dependency_counts(deps, rated).collect()}
+    assert counts == {"PyYAML": 1, "typing_extensions": 1, "a..b-_c": 1, "z": 0}
+
+
+PROJECT = """[build-system]
+requires = ["setuptools>=61", 'wheel']  # tools
+[project]
+name = "demo"
+keywords = ["not", "deps"]
+dependencies = [
+  "requests[security]==2.28.0",  # with ] and "quotes"
+  # "commented==1.0",
+  'flask ~= 3.0', "numpy",
+]
+[project.optional-dependencies]
+test = ["pytest==7.0"]
+docs = [
+]
+[dependency-groups]
+dev = ["ruff==0.4"]
+[tool.thing]
+dependencies = ["inner==1.0"]
+select = ["E", "F"]
+"""
+
+
+def test_project_files_list_their_quoted_specs(spark, make_files):
+    files = make_files([("pyproject.toml", PROJECT)])
+    found = {(r.package, r.version) for r in D.repo_dependencies(files).collect()}
+    assert found == {
+        ("setuptools", None), ("wheel", None), ("requests", "2.28.0"), ("flask", "3.0"), ("numpy", None),
+        ("pytest", "7.0"), ("ruff", "0.4"), ("inner", "1.0"),
+    }
+    by_line = {r.package for r in D.repo_dependencies(files, compat=True).collect()}
+    assert "name" in by_line and "requests" not in by_line
+    assert D.repo_dependencies(make_files([("pyproject.toml", None)])).count() == 0
+
+
+def test_no_document_ends_a_job(spark):
+    documents = ['{"score":1' + "0" * 400 + "}", "[" * 50000 + "]" * 50000, '{"a":' * 900 + '{"score":"7.5"}' + "}" * 900,
+                 '{"score":', "", None, '{"score":1' + "0" * 400 + ',"cvss_x":"4.5","level":"LOW"}']
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "i int, d string")
+    found = {r.i: r.s for r in frame.select("i", S.advisory_json_severity(F.col("d")).alias("s")).collect()}
+    assert [found[i].score for i in range(7)] == [None, None, 7.5, None, None, None, 4.5]
+    assert found[6].label == "LOW"
 
 
 def test_osv_documents(spark):

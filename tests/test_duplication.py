@@ -29,7 +29,7 @@ def _expanded(pairs, files):
     """File pairs that the rows on line sets stand for."""
     members = {}
     for r in duplication.set_members(files).collect():
-        members.setdefault((r.repo, r.set_id), []).append(r.path)
+        members.setdefault((r.repo, r.set_file), []).append(r.path)
     set_of = {(repo, p): ps for (repo, _), ps in members.items() for p in ps}
     found, n_pairs = {}, 0
     for r in pairs.collect():

@@ -32,10 +32,12 @@ def _commits(spark, n, path="a.py"):
 def test_commit_activity_and_churn(spark):
     commits = _commits(spark, 200)
     row = listing.commit_activity(commits).first()
-    assert (row.last_commit_message, row.sample_size) == ("m0", 50)
+    assert (row.last_commit_message, row.sample_size) == ("m0", 200)
+    assert listing.commit_activity(commits, 50).first().sample_size == 50
     as_of = "2024-01-31 00:00:00"
     assert listing.file_churn(commits, as_of).first().commit_count == 91
-    assert listing.file_churn(commits, as_of, days=150).first().commit_count == 100
+    assert listing.file_churn(commits, as_of, days=150).first().commit_count == 151
+    assert listing.file_churn(commits, as_of, days=150, commit_cap=100).first().commit_count == 100
     assert listing.file_churn(commits, as_of, days=7).first().commit_count == 8
     # what comes after the reference date does not count
     assert listing.file_churn(commits, "2024-01-21 00:00:00", days=1).first().commit_count == 2
@@ -58,14 +60,15 @@ def test_candidates_are_limited_per_repository(make_files):
     rows = [("hot", f"d/f{i:03d}.py", "x") for i in range(300)] + [("hot", "z.py", "x")]
     rows += [("b", p, "x") for p in ("vendor/a.py", "latest.py", ".venv/x.py", "k.kt", "ok.py")]
     files = make_files(rows)
-    found = selection.secret_candidates(files).orderBy("repo", "rn").collect()
+    assert selection.secret_candidates(files).count() == 302
+    found = selection.secret_candidates(files, 10).orderBy("repo", "rn").collect()
     assert [r.path for r in found if r.repo == "hot"][:2] == ["z.py", "d/f000.py"]
     assert len(found) == 11 and [r.path for r in found if r.repo == "b"] == ["ok.py"]
     assert {r.path for r in selection.deep_candidates(files).where("repo='b'").collect()} == {
         "k.kt", "ok.py",
     }
     plan = files._sc._jvm.PythonSQLUtils.explainString(
-        selection.secret_candidates(files)._jdf.queryExecution(), "simple"
+        selection.secret_candidates(files, 10)._jdf.queryExecution(), "simple"
     )
     assert "WindowGroupLimit" in plan and "Partial" in plan
 

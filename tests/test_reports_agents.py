@@ -102,7 +102,9 @@ def test_timeline(spark):
     assert (scanner.first_seq, scanner.event_count, scanner.label) == (1, 3, "Scanner Agent")
     assert scanner.text_preview == "x" * 300
     assert rows["unknown"].text_preview is None and rows["me"].label == "me"
-    assert rows["x_orchestrator"].label == "Orchestrator"
+    assert rows["x_orchestrator"].label == "x_orchestrator"
+    named = _events(spark).select(agents.author_label(F.col("author"), [("me", "Myself")]).alias("l"))
+    assert "Myself" in {r.l for r in named.collect()}
 
 
 def test_tools_in_first_seen_order(spark):
@@ -113,8 +115,9 @@ def test_tools_in_first_seen_order(spark):
     }
 
 
-def test_transcript_parts(spark):
-    rows = agents.session_transcript(_events(spark)).orderBy("part").collect()
-    assert [(r.part, r.text) for r in rows] == [
-        (0, "x" * 400 + "\n" + "y" * 50), (2, "last words of the session"),
-    ]
+def test_transcript(spark):
+    rows = agents.session_transcript(_events(spark)).orderBy("seq").collect()
+    lines = ["x" * 400, "y" * 50, "last words of the session"]
+    assert [r.text for r in rows] == lines
+    (joined,) = agents.joined_transcript(_events(spark)).collect()
+    assert joined.text == "\n".join(lines)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from forgelens.operators import scans
+from forgelens.plans.audit import SecurityAudit
 from forgelens.sources import files as sources
 from forgelens.sources.advisories import read_advisories
 from forgelens.sources.materialize import materialize
@@ -30,6 +31,25 @@ def test_trees(spark, tmp_path):
     assert scans.dangerous_scan(python).count() == 1
 
 
+def test_trees_with_stray_files_and_a_root_that_recurs(spark, tmp_path):
+    root = tmp_path / "src"
+    for path in ("README.md", "o/notes.txt", "o/r/a.py", "o/r/src/o2/r2/b.py"):
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"x")
+    for given in (str(root), f"file://{root}/"):
+        rows = sources.read_trees(spark, given).collect()
+        assert {(r.repo, r.path) for r in rows} == {("o/r", "a.py"), ("o/r", "src/o2/r2/b.py")}
+
+
+def _no_advisories(spark):
+    return spark.createDataFrame(
+        [],
+        "id string, ecosystem string, package string, affected array<struct<introduced:string,fixed:string>>, "
+        "versions array<string>, summary string, details string, published string, aliases array<string>, raw_json string",
+    )
+
+
 def test_sinks_and_table_sources(spark, make_files, tmp_path):
     reports = spark.createDataFrame([("o/r", "# T\nx")], "repo string, text string")
     write_reports(reports, str(tmp_path / "md"))
@@ -55,13 +75,17 @@ def test_materialized_frame_is_equal(spark):
 
 
 def test_stream_finds_what_the_batch_finds(spark, make_files, tmp_path):
-    first = make_files([("a.py", "eval(x)"), ("b.py", "password = 'secret99'")])
-    second = make_files([("c.py", "os.system(x)")])
+    text = "eval(x)\npassword = 'secret99'"
+    first = make_files([("a.py", "eval(x)"), ("b.py", text), ("tests/t.py", text), ("vendor/v.py", text)])
+    second = make_files([("c.py", "os.system(x)"), ("d.txt", text), ("e.java", text), ("node_modules/n.py", text)])
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (first, second):
         part.coalesce(1).write.mode("append").parquet(source)
         scan_new_files(file_stream(spark, source, 1), out, str(tmp_path / "cp")).awaitTermination()
-    expected = scans.scan_files(first.unionByName(second))
+    both = first.unionByName(second)
+    repos = spark.createDataFrame([("r", "main", 1, "Python")], "repo string, default_branch string, stars int, language string")
+    expected = SecurityAudit(repos, both, _no_advisories(spark)).hits
+    assert {r.path for r in expected.collect()} == {"a.py", "b.py", "c.py", "node_modules/n.py"}
     found = spark.read.parquet(out)
     columns = expected.columns
     assert sorted(map(str, found.select(columns).collect())) == sorted(
