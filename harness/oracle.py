@@ -730,7 +730,7 @@ QUERIES = {
     + "))) WHERE n <= 20",
     "advisory_severity": "SELECT id, severity FROM rated",
     "dependency_vulnerabilities": f"""
-        SELECT repo, pos, package, version, id, severity, summary, published, ['CVE-2024-' || substr(id, 5)] AS aliases
+        SELECT repo, pos, package, version, id, severity, summary, published, 'CVE-2024-' || substr(id, 5) AS aliases
         FROM ({matched('order_deps')})
         UNION ALL SELECT repo, pos, package, version, NULL, NULL, NULL, NULL, NULL FROM order_deps d
         WHERE (package, coalesce(version, '')) NOT IN

@@ -114,7 +114,8 @@ def first_dependencies(spark, d) -> DataFrame:
 
 def dependency_vulnerabilities(spark, d) -> DataFrame:
     return deps.dependency_vulnerabilities(_order_deps(spark, d), _rated(spark, d)).select(
-        "repo", "pos", "package", "version", "id", "severity", "summary", "published", "aliases"
+        "repo", "pos", "package", "version", "id", "severity", "summary", "published",
+        F.array_join("aliases", ",").alias("aliases"),
     )
 
 
