@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import file_quality, max_complexity
+from .quality import file_metrics, max_complexity
 
 # Exclusive lower bound of a score and its level.
 LEVELS = [(100, "CRITICAL HOTSPOT"), (40, "MODERATE HOTSPOT")]
@@ -22,7 +22,11 @@ def hotspots(parsed: DataFrame, churn: DataFrame, days: int = 90) -> DataFrame:
 
     A file without commits in the window has a churn of 0.
     """
-    joined = max_complexity(parsed).join(churn, ["repo", "path"], "left")
+    return _scored(max_complexity(parsed), churn, days)
+
+
+def _scored(files: DataFrame, churn: DataFrame, days: int) -> DataFrame:
+    joined = files.join(churn, ["repo", "path"], "left")
     commits = F.coalesce("commit_count", F.lit(0)).cast("bigint")
     score = F.col("max_complexity") * F.col("commit_count")
     return (
@@ -42,5 +46,5 @@ def hotspots(parsed: DataFrame, churn: DataFrame, days: int = 90) -> DataFrame:
 
 
 def file_hotspot_analysis(parsed: DataFrame, churn: DataFrame, days: int = 90) -> DataFrame:
-    """All-in-one file view: quality metrics next to the hotspot columns."""
-    return file_quality(parsed).join(hotspots(parsed, churn, days), ["repo", "path"])
+    """All-in-one file view: quality metrics next to the hotspot columns, in one parse."""
+    return _scored(file_metrics(parsed), churn, days)

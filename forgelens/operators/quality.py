@@ -115,33 +115,45 @@ def most_complex() -> Column:
     return F.array_min(ranked)["block"]
 
 
-def max_complexity(parsed: DataFrame) -> DataFrame:
-    """Q5: 1 and no function for a file without blocks or with a syntax error."""
-    return parsed.withColumn("_top", most_complex()).select(
-        "repo",
-        "path",
+def complexity_columns() -> list[Column]:
+    """Of ``_top``, the most complex block."""
+    return [
         F.coalesce("_top.complexity", F.lit(1)).alias("max_complexity"),
         F.col("_top.name").alias("function_name"),
         F.col("_top.lineno").alias("function_lineno"),
-    )
+    ]
+
+
+def max_complexity(parsed: DataFrame) -> DataFrame:
+    """Q5: 1 and no function for a file without blocks or with a syntax error."""
+    return parsed.withColumn("_top", most_complex()).select("repo", "path", *complexity_columns())
 
 
 def file_quality(parsed: DataFrame) -> DataFrame:
     """The four metrics of each file side by side; map-only."""
+    return parsed.select("repo", "path", *file_quality_columns())
+
+
+def file_metrics(parsed: DataFrame) -> DataFrame:
+    """S8 and Q5 of each file from one row, so that a file is parsed once; map-only."""
+    return parsed.withColumn("_top", most_complex()).select(
+        "repo", "path", *file_quality_columns(), *complexity_columns()
+    )
+
+
+def file_quality_columns() -> list[Column]:
     long_ones = F.filter(_functions_of(), lambda b: b["length"] > LONG_FUNCTION)
     complex_ones = F.filter(_blocks_of(), lambda b: b["complexity"] > COMPLEX_FUNCTION)
     parses = F.col("error").isNull()
     marker_total = sum((F.col(m.lower()) for m in R.TODO_MARKERS), F.lit(0).cast("bigint"))
-    return parsed.select(
-        "repo",
-        "path",
-        "size",
+    return [
+        F.col("size"),
         F.when(parses, F.size(long_ones).cast("bigint")).alias("n_long_functions"),
         F.when(parses, F.size(complex_ones).cast("bigint")).alias("n_complex_functions"),
         marker_total.alias("todo_total"),
         documentation_columns()["documentation_ratio"].alias("documentation_ratio"),
         F.col("error").isNotNull().alias("has_error"),
-    )
+    ]
 
 
 # The two severity grids.  A rule is

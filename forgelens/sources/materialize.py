@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints; a local session makes its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; only a local session makes its own."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="forgelens-")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="forgelens-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder
 
@@ -21,12 +23,9 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read back.
 
     The branches that use it then read columns of a table instead of repeating
-    the scan behind it, and a lost executor costs a re-read only.  Without a
-    shared folder the frame stays as it is: same result, repeated work.
+    the scan behind it, and a lost executor costs a re-read only.  The write is a
+    job of its own, run when this is called.
     """
-    folder = shared_folder(frame.sparkSession)
-    if not folder:
-        return frame
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -797,6 +797,7 @@ QUERIES = {
           m.todo + m.fixme + m.xxx AS todo_total, d.documentation_ratio, d.has_error
         FROM py_files f JOIN doc_ratios d ON d.repo = f.repo AND d.path = f.path
         JOIN markers m ON m.repo = f.repo AND m.path = f.path""",
+    "file_hotspot_analysis": "",
     "quality_findings": "SELECT * FROM quality",
     "debt_score": """
         SELECT repo, n_critical, n_major, n_minor, CAST(greatest(0, 100 - 15 * n_critical - 8 * n_major - 3 * n_minor) AS BIGINT) AS score
@@ -852,6 +853,12 @@ QUERIES = {
 }
 
 
+QUERIES["file_hotspot_analysis"] = (
+    f"SELECT q.*, h.* EXCLUDE (repo, path) FROM ({QUERIES['file_quality']}) q "
+    f"JOIN ({QUERIES['hotspots']}) h ON h.repo = q.repo AND h.path = q.path"
+)
+
+
 def _names(body: str) -> set[str]:
     """CTE names in a query text, string literals aside."""
     return set(re.findall(r"\b[a-z_]+\b", re.sub(r"'[^']*'", "", body))) & CTES.keys()

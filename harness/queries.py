@@ -213,6 +213,9 @@ QUERIES = {
     "documentation_ratio": lambda s, d: quality.documentation_ratio(_parsed(s, d)),
     "max_complexity": lambda s, d: quality.max_complexity(_parsed(s, d)),
     "hotspots": lambda s, d: hotspots.hotspots(_parsed(s, d), _churn(s, d)),
+    "file_hotspot_analysis": lambda s, d: hotspots.file_hotspot_analysis(
+        _parsed(s, d), _churn(s, d)
+    ),
     "file_quality": lambda s, d: quality.file_quality(_parsed(s, d)),
     "quality_findings": _quality,
     "debt_score": lambda s, d: quality.debt_score(T.repos(s, d), _quality(s, d)),

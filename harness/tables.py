@@ -14,19 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Hash-spreads a scan that has fewer splits than the session has cores.
+    """Hash-spreads a scan over the session's cores, whatever its number of splits.
 
     The test tables are one row group each, which one task would read and then
-    process alone.  Input with splits enough for the cluster is left as it is.
+    process alone.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    source = tuple(frame.inputFiles())
-    if source not in _SPLITS:
-        _SPLITS[source] = frame.rdd.getNumPartitions()
-    return frame if _SPLITS[source] >= cores else frame.repartition(cores, key)
-
-
-_SPLITS: dict[tuple, int] = {}
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def pick(values: list[str], number: Column) -> Column:
