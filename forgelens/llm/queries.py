@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import sql, warc
 from .exact_dedup import exact_duplicates
 from .fingerprint import fingerprint_with_edits
 from .jaccard import near_duplicates
@@ -95,4 +95,10 @@ QUERIES = {
     "op10_temperature_mix": op10_temperature_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a tokenizer, a compressor, archives or bytes; the tests compare those
+#: with plain versions.
+ORACLE_SQL = {
+    "op7_exact_dedup": sql.EXACT_DEDUP,
+    "op8_ngram_jaccard": sql.NGRAM_JACCARD,
+    "op10_temperature_mix": sql.TEMPERATURE_MIX,
+}
