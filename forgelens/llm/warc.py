@@ -102,7 +102,7 @@ def write_warc(
     revisit_bytes: int = 0,
     segment: int = 1 << 16,
     chunk: int = 1 << 14,
-    compression: str = "none",
+    compression: str = "gzip",
 ) -> None:
     """Writes every page as WARC 1.1 records below ``path``.
 
@@ -110,6 +110,7 @@ def write_warc(
     id is a response (all of them, if rows repeat that id) and the others revisit it;
     a null id comes after all others.  Null payloads count as empty, null urls are
     left out.  Blocks above ``segment`` bytes are written as continuation records.
+    Files are gzip streams by default; with ``compression="none"`` a reader can split them.
     An empty table writes no records.
 
     Digests are grouped as narrow rows; page contents move once, to meet their roles.
@@ -189,7 +190,7 @@ def parse_record(raw: bytes) -> tuple[dict, bytes]:
 def read_warc(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
     """The records below ``path``, as they stand; ``segmented`` selects by segment number.
 
-    Files are split between records, so a large archive is read by many tasks.
+    Uncompressed files are split between records, so a large one is read by many tasks.
     """
     raw = spark.read.option("lineSep", BETWEEN).text(path).where(F.length("value") > 0)
     if segmented:
