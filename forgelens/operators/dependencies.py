@@ -214,6 +214,23 @@ def vulnerability_totals(counts: DataFrame) -> DataFrame:
     )
 
 
+def listed_totals(
+    dependencies: DataFrame, rated: DataFrame, critical_label: str = "Critical"
+) -> DataFrame:
+    """Q7/Q8 straight from the lists, which are read once.
+
+    For lists as short as dependency files; :func:`dependency_counts` spares a package
+    that everyone lists from meeting its advisories once per list.
+    """
+    per_entry = dependency_vulnerabilities(dependencies, rated).groupBy(
+        "repo", "dep_file", "pos", "package", "version"
+    ).agg(
+        F.count("id").alias("vuln_count"),
+        F.count_if(F.col("severity") == critical_label).alias("critical_count"),
+    )
+    return vulnerability_totals(per_entry)
+
+
 def vulnerable_packages(counts: DataFrame) -> DataFrame:
     """Listed packages with an advisory, in file order by ``pos``."""
     return counts.where("vuln_count > 0").select("repo", "pos", "package", "vuln_count")

@@ -141,10 +141,8 @@ class SecurityAudit:
 
     def cves(self) -> DataFrame:
         """Dependency totals per repository that lists any."""
-        return D.vulnerability_totals(
-            D.dependency_counts(
-                self.dependencies, self.rated_advisories, self.options.critical_label
-            )
+        return D.listed_totals(
+            self.dependencies, self.rated_advisories, self.options.critical_label
         )
 
     def _counts(self) -> DataFrame:
