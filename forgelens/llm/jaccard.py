@@ -4,13 +4,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shingles import shingle_set
-from .store import save
+from .shingles import shingle_hashes, shingle_sets
+from .store import save, shuffle_partitions
 
 #: Jaccard of at least 4/5, in whole numbers: 5 * common >= 4 * union.  The most that
 #: two linked sets of n and m shingles can do with is ceil(4 (n + m) / 9) common ones,
@@ -18,7 +19,9 @@ from .store import save
 SLOTS_BITS = 22  # counters of the frequency sketch, one byte each: 4 MiB whatever the input
 _BLOCKS = 64
 LARGEST_LIGHT = 64  # sets above it are never enumerated
-ROUNDS = 2  # pivot rounds before what is left in a bucket is compared
+ROUNDS = 24  # pivot rounds at most before what is left in the lists is compared
+PER_POSTING = 0.05  # pairs left for each posting at which pivot rounds may end
+LESS = 0.8  # they also end once a round leaves more than this share of the pairs
 
 
 def needed(n):
@@ -39,11 +42,11 @@ def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
         seen = np.zeros(size, np.uint8)
         total = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                slots = (shingle_set(text) >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+            for h in shingle_hashes(batch.column(0).to_pylist()):
+                slots = (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
                 total += len(slots)
-                slots = np.unique(slots)
-                seen[slots[seen[slots] < 255]] += 1
+                now = seen[slots]
+                seen[slots] = now + (now < 255)  # one text counts once
         blocks = [seen[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(_BLOCKS), pa.int64()), pa.array(blocks, pa.binary()),
@@ -91,13 +94,12 @@ def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataF
         frequent = counters.value
         for batch in batches:
             sizes, first, second, weights, keys, ends = [], [], [], [], [], [0]
-            for text in batch.column(len(carry)).to_pylist():
-                h = shingle_set(text)
+            for h in shingle_sets(batch.column(len(carry)).to_pylist()):
                 n = len(h)
                 a, b = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 seen = frequent[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)]
-                level = np.where(seen <= threshold, 0, seen)
-                order = np.lexsort((h, level))[: min(n, n - needed(n) + 2)]
+                level = np.where(seen <= threshold, 0, seen).astype(np.uint8)
+                order = np.argsort(level, kind="stable")[: min(n, n - needed(n) + 2)]
                 sizes.append(n)
                 first.append(a)
                 second.append(b)
@@ -173,25 +175,33 @@ def _possible(a: str, b: str) -> Column:
     return (9 * common >= 4 * (na + nb)) & (5 * na >= 4 * nb) & (5 * nb >= 4 * na)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 5 * common >= 4 * (len(both) - common)
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    schema = "a bigint, b bigint, linked boolean"
-    left = sets.select(F.col("row").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("row").alias("b"), F.col("hashes").alias("y"))
+    left = texts.select(F.col("row").alias("a"), F.col("_z").alias("x"))
+    right = texts.select(F.col("row").alias("b"), F.col("_z").alias("y"))
 
     def compare(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            fine = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                fine.append(5 * common >= 4 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], ["a", "b", "linked"]
-            )
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                a, b, x, y = (c.to_pylist() for c in some.columns)
+                texts = dict(zip([*a, *b], [*x, *y]))  # each text of these pairs once
+                plain = [unpack(z).decode("utf-8", "surrogatepass") for z in texts.values()]
+                sets = dict(zip(texts, shingle_sets(plain)))
+                fine = [similar(sets[i], sets[j]) for i, j in zip(a, b)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(fine, pa.bool_())], ["a", "b", "linked"]
+                )
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compare, schema).where("linked").select("a", "b")
+    return both.mapInArrow(compare, "a bigint, b bigint, linked boolean").where("linked").select("a", "b")
 
 
 def near_duplicates(
@@ -233,63 +243,135 @@ def near_duplicates(
     )
     sets = prefixes.select("row", "n", "weight", "keys").join(classes.select("row"), "row")
     boundary = choose_boundary(sets.select("n", "weight"))
-    postings = _postings(sets, boundary)
-    lists = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    postings = save(postings.join(lists, "key"), "postings")
+    postings = save(_met(_postings(sets, boundary)), "postings")
 
     # the sets that stand in a list with another
     met = postings.select("row").distinct()
     wanted = prefixes.select(F.col("_id").alias("i"), F.col("_sha").alias("s"), "row").join(met, "row")
-    texts = base.join(
-        wanted, base["_id"].eqNullSafe(wanted["i"]) & base["_sha"].eqNullSafe(wanted["s"])
-    ).select("row", "_text")
-    hashes = save(_hashes(texts).dropDuplicates(["row"]), "sets")
+    packed = _packed(base)
+    texts = packed.join(
+        wanted, packed["_id"].eqNullSafe(wanted["i"]) & packed["_sha"].eqNullSafe(wanted["s"])
+    ).select("row", "_z")
+    texts = save(_one_each(texts), "texts")
 
-    found = _compared(postings, hashes)
+    found = _compared(postings, texts)
     own = found.select(F.col("node").alias("row"), "component")
     # a class stands for all rows with its set
     classes = classes.join(own, "row", "left").withColumn("component", F.coalesce("component", "row"))
     joined = members.join(classes.select(*same, "component"), same, "left")
     joined = joined.withColumn("component", F.coalesce("component", "row"))
     joined = save(joined.select("_id", *carry, "n", "row", "component"), "near")
-    least = joined.groupBy("component").agg(F.min(order).alias("least"))
-    return joined.join(least, "component").select(
+    # written, so that the rows of a large component can be split among the tasks of the join
+    least = joined.groupBy("component").agg(F.min(order).alias("least"), F.count("*").alias("of"))
+    least = save(least.where("of > 1").drop("of"), "least")
+    alone = F.col("least").isNull()
+    return joined.join(least, "component", "left").select(
         F.col("_id").alias(id_col),
         *carry,
         F.col("n").alias("n_shingles"),
-        F.col("least.id").alias("component_id"),
-        (F.col("row") == F.col("least.row")).alias("first"),
+        F.when(alone, F.col("_id")).otherwise(F.col("least.id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("least.row"))).alias("first"),
     )
 
 
-def _hashes(texts: DataFrame) -> DataFrame:
-    def each(batches):
+def _met(postings: DataFrame) -> DataFrame:
+    """The postings of lists with at least two members.
+
+    Rows are sorted by key and streamed.  A set is in a list once, so a list can hold
+    no more than its share of all postings, and none is gathered.
+    """
+    columns = ["key", "row", "n", "rest"]
+    packed = postings.select("key", "row", (F.shiftleft("n", 31) + F.col("rest")).alias("sizes"))
+    n = shuffle_partitions(postings.sparkSession)
+    ordered = packed.repartition(n, "key").sortWithinPartitions("key")
+
+    def walk(batches):
+        held = None  # the last row so far, and whether the one before has its key
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            before = np.zeros(0, bool)
+            if held is not None:
+                rows, before = np.concatenate([held[0], rows], axis=1), np.array([held[1]])
+            if not rows.shape[1]:
+                continue
+            same = rows[0, 1:] == rows[0, :-1]
+            earlier = np.concatenate([before if len(before) else [False], same])
+            keep = earlier[:-1] | same
+            held = rows[:, -1:], bool(earlier[-1])
+            yield out(rows[:, :-1][:, keep])
+        if held is not None and held[1]:
+            yield out(held[0])
+
+    def out(rows):
+        key, row, sizes = rows
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (key, row, sizes >> 31, sizes & (1 << 31) - 1)], columns
+        )
+
+    return ordered.mapInArrow(walk, "key bigint, row bigint, n bigint, rest bigint")
+
+
+def _packed(base: DataFrame) -> DataFrame:
+    """(_id, _sha, _z): texts as they cross the network, a third of their sets' size."""
+    schema = T.StructType([base.schema["_id"], base.schema["_sha"], T.StructField("_z", T.BinaryType())])
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            blobs = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], schema.names)
+
+    return base.select("_id", "_sha", "_text").mapInArrow(pack, schema)
+
+
+def _one_each(texts: DataFrame) -> DataFrame:
+    """One of each run of rows with one number, which repeated rows of a table give."""
+
+    def walk(batches):
+        last = None
         for batch in batches:
-            blobs = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["row", "hashes"])
+            rows = batch.column(0).to_pylist()
+            new = [r != b for r, b in zip(rows, [last, *rows])]
+            last = rows[-1] if rows else last
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return texts.mapInArrow(walk, texts.schema)
 
-    return texts.mapInArrow(each, "row bigint, hashes binary")
 
+def _pairs_left(labelled: DataFrame) -> float:
+    """Pairs of different components in one list, whether or not they can be similar."""
+    parts = labelled.groupBy("key", "component").agg(F.count("*").cast("double").alias("c"))
+    lists = parts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    return lists.agg(F.sum(F.col("c") * F.col("c") - F.col("own")) / 2).first()[0] or 0.0
 
-def _compared(postings: DataFrame, hashes: DataFrame) -> DataFrame:
+
+def _compared(postings: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of all sets with a link, from their lists."""
     links = None
     tried = None
     labelled = postings.withColumn("component", F.col("row"))
+    size, before = postings.count(), None
     for turn in range(ROUNDS):
-        pivot = F.min_by(
-            F.struct("row", "n", "rest", "component"), F.xxhash64("row", F.lit(turn))
+        # the pivot of a list is a member of its largest component, another in each round
+        parts = labelled.groupBy("key", "component").agg(
+            F.count("*").alias("c"), F.min_by(F.struct("row", "n", "rest"), F.xxhash64("row", F.lit(turn))).alias("p")
+        )
+        pivots = parts.groupBy("key").agg(
+            F.max_by(F.struct("p", "component"), F.struct("c", "component")).alias("q"),
+            F.count("*").alias("components"),
         )
-        pivots = labelled.groupBy("key").agg(pivot.alias("p"))
-        members = labelled.alias("m").join(pivots.alias("q"), "key").select("m.row", "m.n", "m.rest", "m.component", "p")
-        fits = members.select(
-            F.struct("row", "n", "rest").alias("x"), F.col("p").alias("y"), "component"
-        ).where((F.col("component") != F.col("y.component")) & _possible("x", "y"))
+        pivots = pivots.where("components > 1").select("key", F.col("q.p").alias("y"), F.col("q.component").alias("d"))
+        members = labelled.join(pivots, "key").select(
+            F.struct("row", "n", "rest").alias("x"), "y", F.col("component") != F.col("d")
+        ).toDF("x", "y", "open")
+        fits = members.where(F.col("open") & _possible("x", "y"))
         fits = fits.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("shared"))
+        if tried is not None:
+            fits = fits.join(tried, ["a", "b"], "left_anti")
         # each set is compared with the pivot it shares most keys with
         best = fits.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        best = save(best.select(F.col("a"), F.col("b")), "pivot-pairs")
-        new = save(_links(best, hashes), "pivot-links")
+        best = save(best, "pivot-pairs")
+        new = save(_links(best, texts), "pivot-links")
         links = new if links is None else links.union(new)
         tried = best if tried is None else tried.union(best)
         labels = components(links)
@@ -297,6 +379,10 @@ def _compared(postings: DataFrame, hashes: DataFrame) -> DataFrame:
             "key", "row", "n", "rest", F.coalesce("component", "row").alias("component")
         )
         labelled = save(labelled, "labelled")
+        left = _pairs_left(labelled)
+        if left <= PER_POSTING * size or (before is not None and left > LESS * before):
+            break
+        before = left
     # lists in which several components are left
     open_lists = (
         labelled.groupBy("key")
@@ -315,5 +401,5 @@ def _compared(postings: DataFrame, hashes: DataFrame) -> DataFrame:
     ).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
-    last = save(_links(save(pairs, "open-pairs"), hashes), "open-links")
+    last = save(_links(save(pairs, "open-pairs"), texts), "open-links")
     return components(links.union(last))

@@ -93,6 +93,8 @@ def made_rows():
         rows.append((key, edited(rng, base, rng.choice([0.005, 0.01, 0.02]))))
         key += 1
     rows.append((key, " ".join(f"long{i % 977}" for i in range(20000))))
+    for i, (a, b) in enumerate([("x" * 300, "y"), ("X" * 300, "y"), ("x" * 299 + "z", "y"), ("xz" + "x" * 298, "y")]):
+        rows.append((key + 1 + i, f"{a} {b} " * 3 + "\t" * 400 + "end"))  # words that are hashed alone
     rng.shuffle(rows)
     return rows
 
