@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,27 +168,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classed = save(classed, "classed")
     last = F.max(F.struct(F.col(id_col).alias("id"), "_row"))
     groups = classed.groupBy(*_KEY, "_class").agg(last.alias("last"), F.count("*").alias("group_size"))
-    return classed.join(groups, [*_KEY, "_class"]).select(
+    # written, so that the rows of a large group can be split among the tasks of the join
+    groups = save(groups.where("group_size > 1"), "groups")
+    joined = classed.join(groups, [*_KEY, "_class"], "left")
+    alone = F.col("last").isNull()
+    return joined.select(
         id_col,
-        F.col("last.id").alias("keep_id"),
-        "group_size",
-        (F.col("_row") == F.col("last._row")).alias("kept"),
+        F.when(alone, F.col(id_col)).otherwise(F.col("last.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        (alone | (F.col("_row") == F.col("last._row"))).alias("kept"),
         "text_sha256",
     )
-
-
-def drop_exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    found = exact_duplicates(docs, id_col, text_col).where("kept")
-    found = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_own_sha", sha)
-    joined = rows.join(
-        found, rows[id_col].eqNullSafe(found["_id"]) & (rows["_own_sha"] == found["_sha"])
-    )
-    # repeated rows: one stays
-    others = [c for c in docs.columns if c != text_col]
-    one = Window.partitionBy(id_col, "_own_sha").orderBy(*others)
-    return joined.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

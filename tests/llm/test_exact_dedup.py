@@ -7,9 +7,8 @@ import numpy as np
 import pytest
 
 from forgelens.llm import exact_dedup
-from forgelens.llm.exact_dedup import (
-    BASES, CHUNK, PRIME, combine, drop_exact_duplicates, exact_duplicates, fingerprint,
-)
+from forgelens.llm.exact_dedup import BASES, CHUNK, PRIME, combine, exact_duplicates, fingerprint
+from forgelens.llm.stages import keep_distinct
 
 SCHEMA = "doc_id bigint, text string, n_bytes string, fp_a string, _row string, kept string"
 
@@ -73,7 +72,7 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
 
 def test_rows_that_stay_keep_their_columns(spark):
     made = rows()
-    kept = drop_exact_duplicates(frame(spark, made))
+    kept = keep_distinct(frame(spark, made))
     assert kept.columns == ["doc_id", "text", "n_bytes", "fp_a", "_row", "kept"]
     got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
     groups: dict = {}
@@ -85,4 +84,4 @@ def test_rows_that_stay_keep_their_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert exact_duplicates(empty).count() == 0
-    assert drop_exact_duplicates(empty).count() == 0
+    assert keep_distinct(empty).count() == 0
