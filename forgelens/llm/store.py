@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,3 +37,14 @@ def save(frame: DataFrame, name: str, **options) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BROADCAST_ROWS = 1 << 20
+
+
+def small_side(frame: DataFrame) -> DataFrame:
+    """Marks a written table of a few numbers a row for broadcast if it is small enough.
+
+    Meant for tables with a row per task or file; a larger one is joined by shuffle.
+    """
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame

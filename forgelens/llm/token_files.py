@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packing import slices
-from .store import shuffle_partitions
+from .store import save, shuffle_partitions, small_side
 from .tokens import encoder
 
 #: Row groups of 16 MiB and pages of 256 KiB: a reader that looks for some documents
@@ -52,7 +52,7 @@ def write_token_files(
     def encode_sorted(batches):
         encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, some in slices(batch.column(1), 1 << 22):
+            for at, some in slices(batch.column(1), 1 << 20):
                 ids, counts = encode.encode(some)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
                 ends = np.cumsum(counts + 1)
@@ -84,7 +84,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row per written file
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    offsets = totals.select("part", before.alias("before"))
+    offsets = small_side(save(totals.select("part", before.alias("before")).coalesce(1), "offsets"))
     return files.join(offsets, "part").select(
         id_col, (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )

@@ -6,8 +6,10 @@ pieces one after another.  A batch then encodes each distinct piece once, and a
 very long text costs no more memory than its pieces.
 """
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -18,8 +20,35 @@ _PLAIN = "A-Za-z0-9À-ÖØ-öø-įı-ɏ"
 # between two; before a comma or full stop that follows a plain letter or digit
 _SAFE = re.compile(rf"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_PLAIN}])(?=[,.])")
 _IRREGULAR = re.compile(rf"\s\s|[^{_PLAIN}][,.]|\x01|\A[,.\s]|\s\Z")
-MAX_PIECES = 1 << 19
-BATCH_CHARS = 1 << 22
+MAX_PIECES = 1 << 20
+BATCH_CHARS = 1 << 20
+SLOT_BITS = 20
+LONGEST = 255  # bytes of a piece that is known by its hashes
+_NONE = np.zeros(0, np.int64)
+
+
+def _byte_tables():
+    """Marks and random numbers per byte, and two random multipliers per place."""
+    marks = np.zeros(256, np.uint8)
+    marks[[32, 10, 44, 46]] |= 1  # a piece starts here
+    marks[[44, 46]] |= 2  # the same where white space is dropped
+    marks[10] |= 4  # and after this byte
+    marks[[32, 10]] |= 8  # the same where white space is dropped
+    kinds = np.zeros(256, np.uint8)
+    kinds[[*range(9, 14), *range(28, 33)]] |= 1  # white space
+    kinds[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= 2  # plain letter or digit
+    kinds[[44, 46]] |= 4
+    kinds[[0xC2, 0xE1, 0xE2, 0xE3]] |= 8  # may lead white space of several bytes
+    random = np.random.default_rng(20240601)
+    values = random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    values ^= np.arange(256, dtype=np.uint64) << np.uint64(1)
+    places = random.integers(1, 1 << 63, (2, LONGEST + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    folded = values.copy()
+    folded[[32, 10]] = 0
+    return marks, kinds, values, folded, places
+
+
+_MARKS, _KINDS, _BYTES, _BYTES_FOLDED, _PLACES = _byte_tables()
 
 
 def split_safely(text: str) -> list[str]:
@@ -31,6 +60,37 @@ def split_safely(text: str) -> list[str]:
     return marked.replace(",", "\x01,").replace(".", "\x01.").split("\x01")
 
 
+def irregular(raw: list[bytes]) -> np.ndarray:
+    """Of each UTF-8 text, whether it may have a mark that is not a safe boundary.
+
+    False only if no white space stands at an end or beside other white space, and
+    every comma and full stop follows a plain letter or digit.
+    """
+    d = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    odd = np.zeros(len(raw), bool)
+    if not len(d):
+        return odd
+    kind = _KINDS[d]
+    space = (kind & 1) != 0
+    bad = np.zeros(len(d), bool)
+    np.logical_and(space[1:], space[:-1], out=bad[1:])
+    bad |= (kind & 8) != 0  # may lead a space outside ASCII
+    at = np.flatnonzero(kind & 4)
+    before, lead = d[np.maximum(at - 1, 0)], d[np.maximum(at - 2, 0)]
+    plain = ((_KINDS[before] & 2) != 0) | (
+        (before >= 0x80) & (before <= 0xBF) & (lead >= 0xC3) & (lead <= 0xC8)
+        & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7))) & ~((lead == 0xC4) & (before == 0xB0))
+    )
+    bad[at[~plain]] = True
+    sizes = np.diff(ends, prepend=0)
+    first, last = (ends - sizes)[sizes > 0], ends[sizes > 0] - 1
+    bad[first] |= (kind[first] & 5) != 0
+    bad[last] |= space[last]
+    odd[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
+    return odd
+
+
 class _Numbers(dict):
     """Numbers new keys as they are asked for, and remembers them."""
 
@@ -50,50 +110,124 @@ class BatchEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.model._resize_cache(0)  # pieces are kept here
         self.max_pieces = max_pieces
+        self.folds = _folds(rules)
         self._reset()
 
     def _reset(self):
         self.numbers = _Numbers()
-        self.lengths = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.int32)
+        self.known = 0
+        self.lengths = np.zeros(1 << 12, np.int32)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.int32)
         self.used = 0
+        self.slot_one = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slot_two = np.ones(1 << SLOT_BITS, np.uint64)
+        self.slot_number = np.zeros(1 << SLOT_BITS, np.int32)
 
     def _learn(self):
         new = self.numbers.new
         for at in range(0, len(new), 1 << 14):
             batch = new[at : at + (1 << 14)]
-            found = [e.ids for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
+            encoded = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+            found = [e.ids for e in encoded]
             lengths = np.fromiter(map(len, found), np.int32, len(found))
             total = int(lengths.sum())
-            if self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + total, np.int32)])
-            starts = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+            self.ids = _room(self.ids, self.used + total)
+            self.lengths = _room(self.lengths, self.known + len(found))
+            self.starts = _room(self.starts, self.known + len(found))
+            own = slice(self.known, self.known + len(found))
+            self.lengths[own] = lengths
+            self.starts[own] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
             self.ids[self.used : self.used + total] = np.fromiter(
-                (i for ids in found for i in ids), np.int32, total
+                chain.from_iterable(found), np.int32, total
             )
             self.used += total
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.starts = np.concatenate([self.starts, starts])
+            self.known += len(found)
         new.clear()
 
     def _pieces(self, texts):
         """Piece numbers of the texts, and how many belong to each text."""
         if len(self.numbers) > self.max_pieces:
             self._reset()
-        pieces, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = split_safely(text) if text else ()
-            pieces.extend(own)
-            counts[i] = len(own)
-        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        raw = [(t or "").encode() for t in texts]
+        odd = irregular(raw)
+        regular = [r for r, o in zip(raw, odd) if r and not o]
+        numbers, counts = self._regular(regular) if regular else (_NONE, _NONE)
+        if len(regular) < len(texts):
+            numbers, counts = self._others(texts, odd, numbers, counts)
         self._learn()
         return numbers, counts
 
+    def _others(self, texts, odd, numbers, counts):
+        """Puts the pieces of irregular texts between those of the regular ones."""
+        found, sizes, at, nth = [_NONE], np.zeros(len(texts), np.int64), 0, 0
+        for i, text in enumerate(texts):
+            if text and odd[i]:
+                pieces = split_safely(text)
+                own = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+            elif text:
+                own = numbers[at : at + counts[nth]]
+                at, nth = at + counts[nth], nth + 1
+            else:
+                own = _NONE
+            found.append(own)
+            sizes[i] = len(own)
+        return np.concatenate(found), sizes
+
+    def _regular(self, raw):
+        """The same for encoded texts in which every mark is a safe boundary.
+
+        A piece is known by two independent 64-bit hashes; a table of the latest pieces
+        saves making most of them into strings.
+        """
+        if self.folds:
+            raw = [r.lower() if r.isascii() and b"<" not in r else r for r in raw]
+        data = b"".join(raw)
+        d = np.frombuffer(data, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        first = np.zeros(len(d), bool)
+        kind = _MARKS[d]
+        np.not_equal(kind & (2 if self.folds else 1), 0, out=first)
+        first[1:] |= (kind[:-1] & (8 if self.folds else 4)) != 0
+        first[0] = True
+        first[ends[:-1]] = True
+        starts = np.flatnonzero(first)
+        lengths = np.diff(np.append(starts, len(d)))
+        place = np.arange(len(d)) - np.repeat(starts, lengths)
+        np.minimum(place, LONGEST, out=place)
+        values = (_BYTES_FOLDED if self.folds else _BYTES)[d]
+        one = np.add.reduceat(values * _PLACES[0][place], starts)
+        two = np.add.reduceat(values * _PLACES[1][place], starts)
+        slot = (one >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        numbers = self.slot_number[slot].astype(np.int64)
+        hit = (self.slot_one[slot] == one) & (self.slot_two[slot] == two) & (lengths < LONGEST)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            both = one[missed] ^ two[missed] * np.uint64(0x9E3779B97F4A7C15)
+            _, at, back = np.unique(both, return_index=True, return_inverse=True)
+            long = lengths[missed] >= LONGEST
+            if long.any():  # not told apart by their hashes
+                at, back = np.arange(len(missed)), np.arange(len(missed))
+            new = missed[at]
+            begin = starts[new].tolist()
+            end = (starts[new] + lengths[new]).tolist()
+            cut = (data[a:b].decode() for a, b in zip(begin, end))
+            if self.folds:
+                cut = (piece.strip(" \n") for piece in cut)
+            own = np.fromiter(map(self.numbers.__getitem__, cut), np.int64, len(new))
+            numbers[missed] = own[back]
+            self.slot_one[slot[new]], self.slot_two[slot[new]] = one[new], two[new]
+            self.slot_number[slot[new]] = own
+        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+        return numbers, counts
+
     def counts(self, texts: list) -> np.ndarray:
         """Number of ids of each text; null counts as empty."""
         parts = []
@@ -116,6 +250,25 @@ class BatchEncoder:
         return np.concatenate(all_ids), np.concatenate(all_counts)
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(values):
+        return values
+    return np.concatenate([values, np.zeros(n, values.dtype)])
+
+
+def _folds(rules: dict) -> bool:
+    """Whether a tokenizer lower-cases texts and drops white space between words.
+
+    ASCII text without a special token may then be lower-cased ahead of it.
+    """
+    steps = rules.get("normalizer") or {}
+    cuts = rules.get("pre_tokenizer") or {}
+    lower = any(s.get("type") == "Lowercase" for s in steps.get("normalizers", [steps]))
+    first = cuts.get("pretokenizers", [cuts])[0]
+    words = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(lower and words)
+
+
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     totals = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     ends = np.cumsum(counts)

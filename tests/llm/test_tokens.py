@@ -12,7 +12,7 @@ from forgelens.llm.packing import binary_pieces, pack_power_of_two
 from forgelens.llm.store import shared_path
 from forgelens.llm.token_counts import token_counts
 from forgelens.llm.token_files import read_token_files, with_ids_crc32, write_token_files
-from forgelens.llm.tokens import BatchEncoder, split_safely
+from forgelens.llm.tokens import _IRREGULAR, BatchEncoder, irregular, split_safely
 
 FILES = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")]
 SCHEMA = "doc_id bigint, text string, n_tokens string, length string, part string, ids string"
@@ -43,6 +43,13 @@ def test_encoder_equals_library_on_whole_texts(path):
     assert [g.tolist() for g in got] == expected
 
 
+def test_regular_texts_are_cut_where_it_is_safe():
+    texts = [t or "" for t in TEXTS] + random_texts(20000)
+    odd = irregular([t.encode() for t in texts])
+    assert not odd[4] and not odd[5] and odd[6]
+    assert all(o or not _IRREGULAR.search(t) or "\x01" in t for t, o in zip(texts, odd))
+
+
 def test_pieces_rebuild_the_text():
     for text in TEXTS + random_texts(2000):
         assert "".join(split_safely(text or "")) .replace("\x01", "") == (text or "").replace("\x01", "")
