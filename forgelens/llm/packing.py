@@ -7,11 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import save
+from .store import save, small_side
 from .tokens import encoder
 
-BROADCAST_ROWS = 1 << 20
-
 
 def binary_pieces(n: int, longest: int) -> list[int]:
     """Piece lengths of n tokens: full pieces, then the bits of the rest, largest first."""
@@ -40,7 +38,7 @@ def pack_power_of_two(
     documents of their own; a null id stays null; an empty table gives no rows.
     The pieces are written once to the shared folder; only counts per task and
     bucket, a table as small as the number of tasks, are summed for numbering, and
-    broadcast if they are no more than BROADCAST_ROWS rows.
+    broadcast if they are few enough.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -56,7 +54,7 @@ def pack_power_of_two(
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for at, some in slices(batch.column(1), 1 << 22):
+            for at, some in slices(batch.column(1), 1 << 20):
                 ids, counts = encode.encode(some)
                 yield pieces(batch.column(0).slice(at, len(some)), ids, counts, part, seen)
 
@@ -98,9 +96,7 @@ def pack_power_of_two(
         .join(bases, "length")
         .select("length", "part", (F.col("first") + F.col("base")).alias("first"))
     )
-    numbers = save(numbers.coalesce(1), "packed-numbers")
-    if numbers.count() <= BROADCAST_ROWS:
-        numbers = F.broadcast(numbers)  # 24 bytes a row; otherwise the pieces are shuffled
+    numbers = small_side(save(numbers.coalesce(1), "packed-numbers"))
     return cut_up.join(numbers, ["length", "part"]).select(
         id_col,
         "start",
