@@ -135,7 +135,7 @@ def choose_boundary(sets: DataFrame) -> int:
         light[n] = row["sets"] * first * (first - 1) / 2
         heavy[n] = row["sets"] * (first - 1) + row["met"]
     costs = [
-        light[: x + 1].sum() + heavy[needed(x) if x else 0 :].sum() for x in range(LARGEST_LIGHT + 1)
+        light[: x + 1].sum() + heavy[needed(x + 1) :].sum() for x in range(LARGEST_LIGHT + 1)
     ]
     return int(np.argmin(costs))
 
@@ -146,9 +146,10 @@ def _postings(sets: DataFrame, boundary: int) -> DataFrame:
     Two linked sets share a pair among their first ceil(n / 5) + 2 shingles, and one
     among the first ceil(n / 5) + 1.  In the list of the first such key, ``rest``, the
     shingles from there on and those of the key, bounds what they have in common.
+    Light sets that can link with the smallest heavy one stand in both kinds of list.
     """
     at = F.posexplode("keys").alias("pos", "key")
-    single = sets.where(F.col("n") > needed(boundary)).select("row", "n", F.size("keys").alias("k"), at)
+    single = sets.where(F.col("n") >= needed(boundary + 1)).select("row", "n", F.size("keys").alias("k"), at)
     single = single.where((F.col("pos") < F.col("k") - 1) | (F.col("n") < 2)).select(
         "key", "row", "n", (F.col("n") - F.col("pos")).alias("rest")
     )

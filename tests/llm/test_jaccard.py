@@ -108,6 +108,25 @@ def test_links_equal_all_pairs(spark, monkeypatch, boundary):
     assert result(frame) == expected(rows)
 
 
+@pytest.mark.parametrize("boundary", [4, 9, 14, 63, 64])
+def test_links_across_the_boundary(spark, monkeypatch, boundary):
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda sets: boundary)
+    rows = []
+    for n, m in [(4, 5), (8, 10), (12, 15), (52, 65)]:  # the smaller set lies in the larger one, Jaccard 0.8
+        for cut in range(m - n + 1):
+            words = [f"w{n}_{cut}_{i}" for i in range(m + 4)]
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join(words[cut : cut + n + 4])))
+    found = result(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert found == expected(rows)
+    assert all(component == key - key % 2 for key, _, component in found)
+
+
+def test_cost_counts_the_sets_in_both_kinds_of_list(spark):
+    # sets of 3 stand in pair lists alone from boundary 3 on
+    assert jaccard.choose_boundary(spark.createDataFrame([(3, 1000)], "n bigint, weight bigint")) == 3
+
+
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], "doc_id bigint, text string")) == []
 
