@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .store import shuffle_partitions
 
 SHINGLE = 16  # bytes, a power of two
-SCALE = 32  # one shingle hash in so many is kept
+SCALE = 4  # one shingle hash in so many is kept
 _BASE = 0x9E3779B97F4A7C15
 _LEAST = -(1 << 63)
 
@@ -66,9 +66,11 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), "<u8").astype(np.uint64)
 
 
-def _likeness(a, b, same: bool) -> float:
-    if same:
+def _likeness(a, b, text: str, other: str) -> float:
+    if text == other:
         return 1.0
+    if not len(a):  # too short to estimate, and so short enough to compare whole
+        a, b = (sketch(t.encode("utf-8", "surrogatepass"), 1) for t in (text, other))
     return containment(a, b) or 0.0
 
 
@@ -87,8 +89,9 @@ def fingerprint_with_edits(
     near_next).  Rows are taken in descending id (equal ids by descending text, nulls
     last; a null text counts as empty); the next of the last is the first.  A
     fingerprint lists the sketch in base64.  Likeness is the estimated containment of
-    the document's shingles in the other's; 1 for equal texts, and 0 for different
-    texts where the document's sketch is empty.  An empty table gives no rows.
+    the document's shingles in the other's; 1 for equal texts.  Where the document's
+    sketch is empty it is the exact containment of all shingles; an empty text has none,
+    and 0.  An empty table gives no rows.
 
     Texts are shuffled once, to ranges of ids.  The first row of each range is also
     sent to the range that precedes it, where the last row needs it; only these first
@@ -152,7 +155,7 @@ def fingerprint_with_edits(
         changed = sketch(data, scale)
         return (
             key, len(text), hashlib.sha256(data).hexdigest(), to_text(mine), to_text(changed),
-            _likeness(mine, changed, edited == text), _likeness(mine, next_sketch, next_text == text),
+            _likeness(mine, changed, text, edited), _likeness(mine, next_sketch, text, next_text),
         )
 
     def walk(batches):

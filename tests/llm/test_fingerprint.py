@@ -76,6 +76,36 @@ def test_edits_follow_the_order_of_ids(spark, partitions):
     assert sorted(map(tuple, got), key=str) == expected(made)
 
 
+def test_likeness_is_near_exact_containment(spark):
+    rng = random.Random(11)
+    # standard deviation of the error that is allowed, by bytes of the text
+    allowed = {20: 0.25, 44: 0.2, 100: 0.1, 400: 0.05, 1500: 0.03, 4000: 0.02}
+    texts, size_of = [], {}
+    for size in allowed:
+        for _ in range(60):
+            text = words(rng, size)[:size]
+            for near in (text, text[: size * 3 // 4] + words(rng, size)[: size // 4]):
+                size_of[len(texts)] = size
+                texts.append(near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprint_with_edits(docs).collect()}
+    errors: dict = {size: [] for size in allowed}
+    empty = 0
+    for i, text in enumerate(texts):
+        following = texts[i - 1]
+        pairs = ((got[i].near_edited, edited_text(text, following)), (got[i].near_next, following))
+        a = set(shingle_hashes(text.encode()).tolist())
+        for near, other in pairs:
+            exact = len(a & set(shingle_hashes(other.encode()).tolist())) / len(a)
+            errors[size_of[i]].append(near - exact)
+            if not got[i].fingerprint:  # nothing to estimate from
+                empty += 1
+                assert near == exact
+    assert empty
+    for size, bound in allowed.items():
+        assert np.sqrt(np.mean(np.square(errors[size]))) < bound, size
+
+
 def test_one_row_and_no_rows(spark):
     one = spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")
     (row,) = fingerprint_with_edits(one).collect()
