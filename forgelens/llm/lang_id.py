@@ -32,26 +32,34 @@ def fit_dictionaries(
 ) -> dict[str, bytes]:
     """A raw-content dictionary per language from a bounded sample of whole texts.
 
-    The sample is chosen by the hash of the text, about SAMPLE_TEXTS per language,
-    whatever the size of the table; the driver holds the sample and one count per
-    language.  Languages come in descending number of rows.  Rows with a null text
-    or language are not learned from.
+    The sample is chosen by the hash of the text, about SAMPLE_TEXTS distinct texts per
+    language, whatever the size of the table and however often a text is repeated; a
+    language that gets none so takes the texts of its smallest hashes.  The driver
+    holds the sample and two counts per language.  Languages come in descending number
+    of rows.  Rows with a null text or language are not learned from.
     """
     text = F.col(text_col).cast("string")
     rows = labelled.select(F.col(lang_col).alias("lang"), text.alias("text"))
     size = F.octet_length("text")
     rows = rows.where("lang IS NOT NULL").where((size > 0) & (size <= SAMPLE_TEXT))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    h = F.xxhash64("text")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("d")).collect()
+    if not found:
         return {}
+    counts = {r["lang"]: r["n"] for r in found}
     chosen = F.lit(False)
-    slot = F.pmod(F.xxhash64("text"), F.lit(_STEPS))
-    for lang, n in counts.items():
-        chosen |= (F.col("lang") == lang) & (slot < min(_STEPS, math.ceil(_STEPS * SAMPLE_TEXTS / n)))
-    sample = rows.where(chosen).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max("text").alias("t"))
+    slot = F.pmod(h, F.lit(_STEPS))
+    for r in found:
+        share = math.ceil(_STEPS * SAMPLE_TEXTS / max(r["d"], 1))
+        chosen |= (F.col("lang") == r["lang"]) & (slot < min(_STEPS, share))
+    texts = lambda of: of.groupBy("lang", h.alias("h")).agg(F.max("text").alias("t"))
+    sample = texts(rows.where(chosen)).collect()
+    for lang in sorted(counts.keys() - {r["lang"] for r in sample}):
+        least = texts(rows.where(F.col("lang") == lang)).orderBy(F.pmod("h", F.lit(_STEPS)), "h")
+        sample += least.limit(SAMPLE_TEXTS).collect()
     frequent = sorted(counts, key=lambda lang: (-counts[lang], lang))
     made: dict[str, bytearray] = {lang: bytearray() for lang in frequent}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):
+    for row in sorted(sample, key=lambda r: (r["lang"], r["h"])):
         data = letters(row["t"])
         if len(made[row["lang"]]) + len(data) <= DICTIONARY_BYTES:
             made[row["lang"]] += data

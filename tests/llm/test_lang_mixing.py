@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from forgelens.llm import lang_id
 from forgelens.llm.lang_id import fit_dictionaries, held_out, identify_languages
 from forgelens.llm.mixing import exponent, temperature_mix
 from forgelens.llm.queries import QUERIES
@@ -42,6 +43,26 @@ def test_training_leaves_out_null_and_held_out_rows(spark):
     assert fit_dictionaries(docs.limit(0)) == {}
 
 
+def test_copies_do_not_shrink_the_sample(spark):
+    texts = [f"{''.join(chr(97 + i // 26**k % 26) for k in range(4))} some words" for i in range(300)]
+    others = [(i, f"other {t}", "yy", "s") for i, t in enumerate(texts)]
+    copied = frame(spark, [(i, t, "xx", "s") for i, t in enumerate(texts)] + others)
+    more = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(texts[0]).alias("text"), F.lit("xx").alias("lang"))
+    made = fit_dictionaries(copied.select("doc_id", "text", "lang").unionByName(more))
+    assert list(made) == ["xx", "yy"]
+    assert all(lang_id.letters(t) in made["xx"] for t in texts)
+    assert all(lang_id.letters(f"other {t}") in made["yy"] for t in texts)
+
+
+def test_a_language_without_a_sample_takes_its_smallest_hashes(spark, monkeypatch):
+    texts = spark.range(400).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    texts = texts.withColumn("slot", F.pmod(F.xxhash64("text"), F.lit(lang_id._STEPS)))
+    high = texts.where(F.col("slot") > lang_id._STEPS // 10).limit(40).withColumn("lang", F.lit("xx"))
+    monkeypatch.setattr(lang_id, "SAMPLE_TEXTS", 1)
+    least = high.orderBy("slot").first().text
+    assert fit_dictionaries(high) == {"xx": lang_id.letters(least)}
+
+
 def test_languages_of_odd_texts(spark):
     en = " ".join(["the quick brown fox jumps over the lazy dog and runs away"] * 20)
     de = " ".join(["der schnelle braune fuchs springt über den faulen hund und läuft weg"] * 20)
