@@ -5,8 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql, warc
+from .centroids import cluster_vectors
 from .exact_dedup import exact_duplicates
 from .fingerprint import fingerprint_with_edits
+from .html_text import fit_weights, main_text
 from .jaccard import near_duplicates
 from .lang_id import fit_dictionaries, held_out, identify_languages
 from .mixing import temperature_mix
@@ -15,6 +17,7 @@ from .store import shared_path
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, with_ids_crc32, write_token_files
+from .vector_codes import compress_vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +85,19 @@ def op10_temperature_mix(spark, sf_dir) -> DataFrame:
     return temperature_mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_ptolemaic_clusters(spark, sf_dir) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings")).drop("checked")
+
+
+def op12_gnat_codes(spark, sf_dir) -> DataFrame:
+    return compress_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_html_text(spark, sf_dir) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return main_text(pages, fit_weights(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
     "op2_language_id": op2_language_id,
@@ -93,6 +109,9 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_temperature_mix": op10_temperature_mix,
+    "op11_ptolemaic_clusters": op11_ptolemaic_clusters,
+    "op12_gnat_codes": op12_gnat_codes,
+    "op13_html_text": op13_html_text,
 }
 
 #: The others need a tokenizer, a compressor, archives or bytes; the tests compare those
@@ -101,4 +120,6 @@ ORACLE_SQL = {
     "op7_exact_dedup": sql.EXACT_DEDUP,
     "op8_ngram_jaccard": sql.NGRAM_JACCARD,
     "op10_temperature_mix": sql.TEMPERATURE_MIX,
+    "op11_ptolemaic_clusters": sql.CLUSTERS,
+    "op12_gnat_codes": sql.VECTOR_CODES,
 }

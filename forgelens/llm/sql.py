@@ -82,3 +82,85 @@ SELECT doc_id, source, epoch, CAST(tokens AS BIGINT) AS tokens, start, block,
   CAST(exponent AS DOUBLE) AS exponent, CAST(weight AS DOUBLE) AS weight
 FROM (SELECT *, start // per_block AS block FROM placed WHERE start < quota)
 """
+
+
+def _whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+_USABLE = (
+    "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+)
+_SQUARED = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_FLOOR = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _assigned(i: int) -> str:
+    gap = _SQUARED.format(a="k.v", b="c.v")
+    return f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, v, CAST(nearest % 16 AS INTEGER) AS cluster, CAST(nearest // 16 AS BIGINT) AS distance
+  FROM (SELECT k.vec_id, k.v, min({gap} * 16 + c.cluster) AS nearest
+        FROM kept k, c{i} c GROUP BY k.row, k.vec_id, k.v))"""
+
+
+def _moved(i: int) -> str:
+    return f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY place) AS v FROM (
+      SELECT cluster, place, {_FLOOR} AS mean
+      FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY cluster, place)
+    GROUP BY cluster) m ON m.cluster = c.cluster)"""
+
+
+CLUSTERS = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, {_whole(64)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v
+  FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT 16),
+{_assigned(0)}, {_moved(0)},
+{_assigned(1)}, {_moved(1)},
+{_assigned(2)}, {_moved(2)},
+{_assigned(3)}
+SELECT vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.cluster = a.cluster
+"""
+
+
+def _coded(i: int) -> str:
+    gap = _SQUARED.format(a="p.v", b="b.v")
+    return f"""a{i} AS MATERIALIZED (
+  SELECT row, part, v, nearest % 64 AS entry, nearest // 64 AS error
+  FROM (SELECT p.row, p.part, p.v, min({gap} * 64 + b.entry) AS nearest
+        FROM pieces p JOIN b{i} b ON b.part = p.part GROUP BY p.row, p.part, p.v))"""
+
+
+def _fitted(i: int) -> str:
+    return f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY place) AS v FROM (
+      SELECT part, entry, place, {_FLOOR} AS mean
+      FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM a{i})
+      GROUP BY part, entry, place)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, {_whole(256)}) - 1 AS row, vec_id, label, {_whole(256)} AS v
+  FROM embeddings WHERE {_USABLE}),
+pieces AS MATERIALIZED (
+  SELECT row, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS v
+  FROM (SELECT row, v, unnest(range(16)) AS part FROM kept)),
+b0 AS MATERIALIZED (SELECT part, row AS entry, v FROM pieces WHERE row < 64),
+{_coded(0)}, {_fitted(0)},
+{_coded(1)}, {_fitted(1)},
+{_coded(2)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+codes AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error
+  FROM a2 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes ON codes.row = kept.row, books
+"""
