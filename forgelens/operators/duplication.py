@@ -1,175 +1,326 @@
 """Line duplication between files: shared distinct lines over the smaller file.
 
-Two forms.  :func:`pair_matrix` compares a short explicit list of files per
-repository, every pair of it.  :func:`similar_pairs` finds, among all files of
-a repository, every pair above a similarity, without comparing all pairs:
-
-* files with the same set of lines are one line set from the start, so a group
-  of copies is one row however large it is;
-* two sets can only reach the similarity if they share one of the rarest lines
-  of the smaller set (the prefix rule of set-similarity joins), so lines that
-  occur everywhere do not pair files up;
-* only such candidates are compared in full.
-
-Nothing is sampled or capped: the rule leaves out only pairs below the
-similarity.
+:func:`pair_matrix` compares a short explicit list of files per repository, every pair
+of it.  :class:`Duplication` finds, among all files of a repository, every pair above a
+similarity, without comparing all pairs:
+
+* files with the same set of lines are one *set* from the start, so a group of copies is
+  one row however large it is;
+* only lines that several sets have can be common to two of them, so sets of one size
+  with the same shared lines are one *family*: files with one header and lines of their
+  own beside it are compared once, not with each other;
+* two families can only reach the similarity if they share one of the rarest shared
+  lines of the smaller one (the prefix rule of set-similarity joins), at places that
+  leave enough lines behind them in both.  The index holds (line, place, size); line
+  sets themselves move only to the pairs that are left.
+
+Nothing is sampled or capped: the rules leave out only pairs below the similarity.
+Results are classes of files with their numbers of links, not pairs; pairs of sets can
+be listed where they are wanted.
 """
 
-from pyspark.sql import Column, DataFrame
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.materialize import materialize
+from .components import components
 
 KEY = ["repo", "set_id"]
+#: A line in more sets than this is dealt out over as many tasks as it has times so many.
+DEAL = 4096
 
 
-def line_digests(content: Column) -> Column:
-    """Distinct stripped non-empty lines as 128-bit digests, sorted."""
+def _line_hashes(content: Column) -> Column:
+    """MD5 of the distinct stripped non-empty lines as hex, sorted."""
     stripped = F.transform(T.raw_lines(content), T.strip)
     distinct = F.array_distinct(F.filter(stripped, lambda line: line != ""))
-    return F.sort_array(F.transform(distinct, lambda line: F.base64(F.unhex(F.md5(line)))))
+    return F.sort_array(F.transform(distinct, F.md5))
 
 
 def similarity(common: Column, smaller: Column) -> Column:
     return F.bround(common / smaller * 100, 1)
 
 
-def line_sets(files: DataFrame) -> DataFrame:
-    """repo, path, set_id, n_lines, digests of every file with any line."""
-    # the test for emptiness is on the text: on the digests Spark would work
+def _with_lines(files: DataFrame) -> DataFrame:
+    # the test for emptiness is on the text: on the hashes Spark would work
     # them out once for the filter and once more for the result
-    return (
-        files.where(T.strip(F.col("content")) != "")
-        .select("repo", "path", line_digests(F.col("content")).alias("digests"))
-        .select(
-            "repo",
-            "path",
-            F.sha2(F.array_join("digests", ""), 256).alias("set_id"),
-            F.size("digests").alias("n_lines"),
-            "digests",
-        )
+    kept = files.where(T.strip(F.col("content")) != "")
+    hashed = kept.select("repo", "path", _line_hashes(F.col("content")).alias("hashes"))
+    return hashed.select(
+        "repo",
+        "path",
+        F.unhex(F.sha2(F.array_join("hashes", ""), 256)).alias("set_id"),
+        F.size("hashes").alias("n_lines"),
+        "hashes",
     )
 
 
-def similar_pairs(files: DataFrame, min_similarity: int = 60) -> DataFrame:
-    """J2/Q6 over whole repositories, for pairs above ``min_similarity`` percent.
+def _needed(n_lines: str, min_similarity: int) -> Column:
+    """Fewest common lines of a similarity above the bound, for a smaller side of so many.
 
-    A row compares two line sets, each named by its first file; ``n_pairs``
-    says how many pairs of files it stands for.  The files that share a set are
-    in :func:`set_members`.
+    A similarity that is rounded to more than a whole number is more than it unrounded.
     """
-    sets = materialize(_distinct_sets(files), "line-sets")
-    identical = sets.where("copies > 1").select(
-        "repo",
-        F.col("file").alias("file_a"),
-        F.col("last_file").alias("file_b"),
-        F.col("n_lines").cast("bigint").alias("common_lines"),
-        F.lit(100.0).alias("similarity_percent"),
-        (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n_pairs"),
-    )
-    return _different_sets(sets, min_similarity).unionByName(identical)
-
-
-def _distinct_sets(files: DataFrame) -> DataFrame:
-    """One row per line set of a repository; copies are counted on the map side."""
-    return (
-        line_sets(files)
-        .groupBy(*KEY)
-        .agg(
-            F.min("path").alias("file"),
-            F.max("path").alias("last_file"),
-            F.count("*").alias("copies"),
-            F.first("n_lines").alias("n_lines"),
-            F.first("digests").alias("digests"),
+    return F.expr(f"cast({n_lines} as bigint) * {int(min_similarity)} div 100 + 1").cast("int")
+
+
+class Duplication:
+    """Duplication within the repositories of ``files(repo, path, content)``.
+
+    Similarities are in percent, to one decimal; a link is a pair of files above
+    ``min_similarity``.  Files without a line, or without text, take no part.  Content is
+    read once; what several results need is written to the shared folder when this is
+    made.
+    """
+
+    def __init__(self, files: DataFrame, min_similarity: int = 60):
+        self.min_similarity = min_similarity
+        lines = materialize(_with_lines(files), "file-lines")
+        self.files = lines.drop("hashes")
+        tokens = lines.select(*KEY, "path", "n_lines", F.explode("hashes").alias("line"))
+        # one row per set and line, copies combined on the map side
+        tokens = tokens.groupBy(*KEY, "n_lines", F.unhex("line").alias("line")).agg(
+            F.min("path").alias("file"), F.count("*").alias("copies")
         )
-    )
+        tokens = materialize(tokens, "set-lines")
+        frequency = tokens.groupBy("repo", "line").agg(F.count("*").alias("frequency")).where("frequency > 1")
+        # written, so that the numbers stay, and so that a line of many sets can be split in the join
+        numbered = materialize(frequency.withColumn("number", F.monotonically_increasing_id()), "shared-lines")
+        entry = F.when(F.col("number").isNotNull(), F.struct("frequency", "number"))
+        sets = tokens.join(numbered, ["repo", "line"], "left").groupBy(*KEY, "n_lines", "file", "copies")
+        sets = sets.agg(F.sort_array(F.collect_list(entry)).alias("shared"))
+        # a set that shares no line is a family of its own
+        numbers = F.array_join(F.col("shared.number").cast("array<string>"), ",")
+        alike = F.when(F.size("shared") == 0, F.col("set_id")).otherwise(F.unhex(F.sha2(numbers, 256)))
+        self._line_sets = materialize(sets.withColumn("alike", alike), "line-sets")
+        families = self._line_sets.groupBy("repo", "n_lines", "alike").agg(
+            F.min("file").alias("file"),
+            F.count("*").alias("n_sets"),
+            F.sum("copies").alias("n_files"),
+            F.sum(F.col("copies") * F.col("copies")).alias("squares"),
+            F.first("shared").alias("shared"),
+        )
+        families = families.withColumns({"size": F.size("shared"), "family": F.monotonically_increasing_id()})
+        self.families = materialize(families, "families")
+        self.links = materialize(self._linked(), "family-links")
 
+    @cached_property
+    def sets(self) -> DataFrame:
+        """(repo, set_id, n_lines, file, copies, family) of every line set."""
+        names = self.families.select("repo", "n_lines", "alike", "family")
+        own = self._line_sets.drop("shared").join(names, ["repo", "n_lines", "alike"])
+        return materialize(own.drop("alike"), "sets")
 
-def _different_sets(sets: DataFrame, min_similarity: int) -> DataFrame:
-    candidates = _candidates(sets, min_similarity)
+    def _candidates(self) -> DataFrame:
+        """Pairs (a, b), a the smaller, that share a line of a's prefix with enough lines behind it."""
+        needed = _needed("n_lines", self.min_similarity)
+        index = self.families.select(
+            "repo", "family", "n_lines", "size", F.posexplode("shared").alias("place", "entry")
+        ).select("repo", "family", "n_lines", "size", "place", "entry.number", "entry.frequency")
+        deal = F.expr(f"cast(frequency div {DEAL} as int)")
+        left = index.where(F.col("place") <= F.col("size") - needed).select(
+            "repo", "number", F.explode(F.sequence(F.lit(0), deal)).alias("deal"),
+            *[F.col(c).alias(f"{c}_a") for c in ("family", "n_lines", "size", "place")],
+        )
+        right = index.select(
+            "repo", "number", F.pmod(F.xxhash64("family"), deal + 1).cast("int").alias("deal"),
+            *[F.col(c).alias(f"{c}_b") for c in ("family", "n_lines", "size", "place")],
+        )
+        smaller = F.struct("n_lines_a", "family_a") < F.struct("n_lines_b", "family_b")
+        behind = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+        return (
+            left.join(right, ["repo", "number", "deal"])
+            .where(smaller & (behind >= _needed("n_lines_a", self.min_similarity)))
+            .select("family_a", "family_b")
+            .distinct()
+        )
 
-    def side(letter: str) -> DataFrame:
-        return sets.select(
-            "repo",
-            *[
-                F.col(c).alias(f"{c}_{letter}")
-                for c in ("set_id", "file", "copies", "n_lines", "digests")
-            ],
+    def _linked(self) -> DataFrame:
+        """(repo, family_a, family_b, common_lines, similarity_percent, n_pairs, file_a, file_b)."""
+
+        def side(letter: str) -> DataFrame:
+            numbers = F.col("shared.number").alias(f"numbers_{letter}")
+            columns = [F.col(c).alias(f"{c}_{letter}") for c in ("family", "n_lines", "n_files", "file")]
+            return self.families.select(*(["repo"] if letter == "a" else []), *columns, numbers)
+
+        # one array expression, so that an intersection is worked out once per pair
+        common = F.size(F.array_intersect("numbers_a", "numbers_b"))
+        measured = F.transform(
+            F.array(common),
+            lambda n: F.struct(
+                n.cast("bigint").alias("common_lines"), similarity(n, F.col("n_lines_a")).alias("similarity_percent")
+            ),
         )
+        above = F.filter(measured, lambda m: m["similarity_percent"] > self.min_similarity)
+        compared = (
+            self._candidates().join(side("a"), "family_a").join(side("b"), "family_b")
+            .select("*", F.inline(above))
+        )
+        return compared.select(
+            "repo", "family_a", "family_b", "common_lines", "similarity_percent",
+            (F.col("n_files_a") * F.col("n_files_b")).alias("n_pairs"),
+            F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b"),
+        )
 
-    # one array expression, so that an intersection is worked out once per pair
-    common = F.size(F.array_intersect("digests_a", "digests_b"))
-    measured = F.transform(
-        F.array(common),
-        lambda n: F.struct(
-            n.cast("bigint").alias("common_lines"),
-            similarity(n, F.col("n_lines_a")).alias("similarity_percent"),
-        ),
-    )
-    compared = (
-        candidates.join(side("a"), ["repo", "set_id_a"])
-        .join(side("b"), ["repo", "set_id_b"])
-        .select(
-            "repo", "file_a", "file_b", "copies_a", "copies_b",
-            F.inline(F.filter(measured, lambda m: m["similarity_percent"] > min_similarity)),
+    def _alike(self) -> Column:
+        """Similarity of two different sets of one family."""
+        return similarity(F.col("size"), F.col("n_lines"))
+
+    def by_family(self) -> DataFrame:
+        """Numbers of links as (repo, file, similarity_percent, n_pairs).
+
+        A row counts the pairs of files of one similarity between two families, between
+        the sets of one, or between the copies of its sets, under the first file of these.
+        """
+        across = self.links.select("repo", F.col("file_a").alias("file"), "similarity_percent", "n_pairs")
+        inner = self._inner().select(
+            "repo", "file", self._alike().alias("similarity_percent"),
+            F.expr("cast((n_files * n_files - squares) / 2 as bigint)").alias("n_pairs"),
+        )
+        copies = self.families.where("squares > n_files").select(
+            "repo", "file", F.lit(100.0).alias("similarity_percent"),
+            F.expr("cast((squares - n_files) / 2 as bigint)").alias("n_pairs"),
+        )
+        return across.unionByName(inner).unionByName(copies)
+
+    def _inner(self) -> DataFrame:
+        """Families whose different sets are linked with each other."""
+        return self.families.where((F.col("n_sets") > 1) & (self._alike() > self.min_similarity))
+
+    def _copied(self) -> DataFrame:
+        """Sets of several files, linked with themselves by their first and last file."""
+        last = self.files.groupBy(*KEY).agg(F.max("path").alias("file_b"))
+        return self.sets.where("copies > 1").join(last, KEY).select(
+            "repo", "family", F.col("file").alias("file_a"), "file_b",
+            F.col("n_lines").cast("bigint").alias("common_lines"), F.lit(100.0).alias("similarity_percent"),
+            F.expr("cast(copies * (copies - 1) / 2 as bigint)").alias("n_pairs"), "copies",
+        )
+
+    def counted(self) -> DataFrame:
+        """Links as (repo, family, file_a, file_b, common_lines, similarity_percent, n_pairs, copies).
+
+        As :meth:`by_family`, a row per set for copies (with their number), with the first
+        pair of set names each row stands for.
+        """
+        nth = F.row_number().over(Window.partitionBy("family").orderBy("file"))
+        second = self.sets.withColumn("nth", nth).where("nth <= 2").where("nth = 2")
+        inner = self._inner().join(second.select("family", F.col("file").alias("file_b")), "family").select(
+            "repo", "family", F.col("file").alias("file_a"), "file_b",
+            F.col("size").cast("bigint").alias("common_lines"), self._alike().alias("similarity_percent"),
+            F.expr("cast((n_files * n_files - squares) / 2 as bigint)").alias("n_pairs"),
+        )
+        across = self.links.withColumnRenamed("family_a", "family").drop("family_b")
+        return across.unionByName(inner).unionByName(self._copied(), allowMissingColumns=True)
+
+    @cached_property
+    def classes_of(self) -> DataFrame:
+        """(family, class_id, n_files) of every family that links connect, named by its class's first path.
+
+        The sets of a family are connected if they are linked with each other, or all of
+        them with those of another family.  Otherwise each set is on its own.
+        """
+        ends = self.links.select(F.col("family_a").alias("a"), F.col("family_b").alias("b"))
+        found = components(ends).select(F.col("node").alias("family"), F.col("component").alias("label"))
+        inner = self._inner().select(F.col("family").alias("alone"))
+        labels = found.join(inner, F.col("family") == F.col("alone"), "full").select(
+            F.coalesce("family", "alone").alias("family"), F.coalesce("label", "alone").alias("label")
         )
-    )
-    in_order = F.col("file_a") < F.col("file_b")
-    return compared.select(
-        "repo",
-        F.when(in_order, F.col("file_a")).otherwise(F.col("file_b")).alias("file_a"),
-        F.when(in_order, F.col("file_b")).otherwise(F.col("file_a")).alias("file_b"),
-        "common_lines",
-        "similarity_percent",
-        (F.col("copies_a") * F.col("copies_b")).alias("n_pairs"),
-    )
+        labels = materialize(labels.join(self.families.select("family", "file", "n_files"), "family"), "labels")
+        # written, so that the families of a large class can be split among the tasks of the join
+        named = labels.groupBy("label").agg(F.min("file").alias("class_id"), F.sum("n_files").alias("n_files"))
+        return labels.select("family", "label").join(materialize(named, "classes"), "label").drop("label")
 
+    def classes(self) -> DataFrame:
+        """One row per class: files that links connect, directly or through others.
 
-def _candidates(sets: DataFrame, min_similarity: int) -> DataFrame:
-    """Pairs (smaller, larger) that share a line of the smaller one's prefix."""
-    tokens = sets.select(*KEY, "n_lines", F.explode("digests").alias("digest"))
-    # sets per line, combined on the map side before the shuffle
-    frequency = tokens.groupBy("repo", "digest").agg(F.count("*").alias("frequency"))
-    shared = tokens.join(frequency.where("frequency > 1"), ["repo", "digest"])
-
-    # Lines of a single set come first in rarity order and match nothing, so
-    # they only shorten the rest of the prefix.
-    needed = F.ceil(F.col("n_lines") * min_similarity / 100)
-    prefix_length = F.col("n_lines") - F.greatest(needed, F.lit(1)) + 1
-    by_rarity = F.sort_array(F.collect_list(F.struct("frequency", "digest")))
-    ranked = shared.groupBy(*KEY, "n_lines").agg(by_rarity.alias("shared"))
-    left_over = prefix_length - (F.col("n_lines") - F.size("shared"))
-    prefix = ranked.where(left_over > 0).select(
-        "repo",
-        F.col("set_id").alias("set_id_a"),
-        F.col("n_lines").alias("n_a"),
-        F.explode(F.slice(F.col("shared.digest"), F.lit(1), left_over.cast("int"))).alias(
-            "digest"
-        ),
-    )
-    larger = shared.select(
-        "repo", F.col("set_id").alias("set_id_b"), F.col("n_lines").alias("n_b"), "digest"
-    )
-    smaller_first = (F.col("n_a") < F.col("n_b")) | (
-        (F.col("n_a") == F.col("n_b")) & (F.col("set_id_a") < F.col("set_id_b"))
-    )
-    return (
-        prefix.join(larger, ["repo", "digest"])
-        .where(smaller_first)
-        .select("repo", "set_id_a", "set_id_b")
-        .distinct()
-    )
+        repo, class_id (its first path), n_files, n_links (pairs of files above the
+        similarity), and the closest pair with its similarity and common lines: of equal
+        similarities the first paths.  Files without a link are in no class.
+        """
+        links = self.counted().join(self.classes_of, "family", "left").withColumns({
+            "class_id": F.coalesce("class_id", "file_a"), "n_files": F.coalesce("n_files", "copies"),
+        })
+        closest = F.struct(
+            (-F.col("similarity_percent")).alias("order"), "file_a", "file_b", "common_lines", "similarity_percent"
+        )
+        found = links.groupBy("repo", "class_id", "n_files").agg(
+            F.sum("n_pairs").alias("n_links"), F.min(closest).alias("closest")
+        )
+        return found.select("repo", "class_id", "n_files", "n_links", "closest.file_a", "closest.file_b",
+                            "closest.common_lines", "closest.similarity_percent")
+
+    def members(self) -> DataFrame:
+        """One row per file of a class: repo, class_id, path, n_lines, n_links, closest_percent.
+
+        ``n_links`` is the number of files it is linked to, ``closest_percent`` its
+        highest similarity to one of them.
+        """
+        one = self.links.select("similarity_percent", F.col("family_a").alias("family"), F.col("family_b").alias("other"))
+        other = self.links.select("similarity_percent", F.col("family_b").alias("family"), F.col("family_a").alias("other"))
+        sizes = self.families.select(F.col("family").alias("other"), "n_files")
+        across = one.union(other).join(sizes, "other").groupBy("family").agg(
+            F.sum("n_files").alias("across"), F.max("similarity_percent").alias("closest")
+        )
+        inner = F.when((F.col("n_sets") > 1) & (self._alike() > self.min_similarity), F.col("n_files"))
+        families = self.families.select(
+            "family", inner.alias("inner"), F.when(inner.isNotNull(), self._alike()).alias("inner_percent")
+        )
+        numbers = self.sets.join(families.join(across, "family", "left"), "family").select(
+            *KEY, "family", "file",
+            (F.col("copies") - 1 + F.coalesce(F.col("inner") - F.col("copies"), F.lit(0))
+             + F.coalesce("across", F.lit(0))).alias("n_links"),
+            F.greatest(F.when(F.col("copies") > 1, 100.0), "inner_percent", "closest").alias("closest_percent"),
+        ).where("n_links > 0")
+        numbers = materialize(numbers.join(self.classes_of, "family", "left"), "set-numbers")
+        return self.files.join(numbers.drop("n_lines"), KEY).select(
+            "repo", F.coalesce("class_id", "file").alias("class_id"), "path", F.col("n_lines").cast("bigint").alias("n_lines"), "n_links", "closest_percent"
+        )
+
+    def pairs(self) -> DataFrame:
+        """Pairs of sets: repo, file_a, file_b, common_lines, similarity_percent, n_pairs.
+
+        A set is named by its first file; a set with copies also stands for itself, with
+        its first and last file.  The rows are as many as there are pairs of different
+        sets above the similarity: :meth:`classes` says the same in rows that grow with
+        the files.
+        """
+        left = self.sets.select("family", *[F.col(c).alias(f"{c}_a") for c in ("file", "copies", "set_id")])
+        right = left.toDF("family_", "file_b", "copies_b", "set_id_b")
+        cross = self.links.drop("file_a", "file_b", "n_pairs").join(left, F.col("family_a") == left["family"]).drop("family")
+        cross = cross.join(right, F.col("family_b") == right["family_"])
+        inner = self._inner().select(
+            "repo", F.col("family").alias("within"), F.col("size").cast("bigint").alias("common_lines"),
+            self._alike().alias("similarity_percent"),
+        )
+        inner = inner.join(left, F.col("within") == left["family"]).join(
+            right, (F.col("within") == right["family_"]) & (F.col("file_a") < F.col("file_b"))
+        )
+        columns = ["repo", "file_a", "file_b", "copies_a", "copies_b", "common_lines", "similarity_percent"]
+        different = cross.select(*columns).unionByName(inner.select(*columns)).select(
+            "repo", F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b"),
+            "common_lines", "similarity_percent", (F.col("copies_a") * F.col("copies_b")).alias("n_pairs"),
+        )
+        return different.unionByName(self._copied().drop("family", "copies"))
+
+
+def similar_pairs(files: DataFrame, min_similarity: int = 60) -> DataFrame:
+    """J2/Q6 as pairs of line sets above ``min_similarity`` percent, see :meth:`Duplication.pairs`."""
+    return Duplication(files, min_similarity).pairs()
 
 
 def set_members(files: DataFrame) -> DataFrame:
-    """repo, set_file, path, n_lines: every file with the first file of its line set,
-    by which :func:`similar_pairs` names the set."""
-    narrow = line_sets(files).select(
-        "repo", "set_id", "path", F.col("n_lines").cast("bigint").alias("n_lines")
+    """repo, set_file, path, n_lines: every file with the first file of its line set.
+
+    Content is read once; the first files are written, so that the files of a large set
+    can be split among the tasks of the join.
+    """
+    named = materialize(_with_lines(files).drop("hashes"), "file-sets")
+    first = materialize(named.groupBy(*KEY).agg(F.min("path").alias("set_file")), "set-files")
+    return named.join(first, KEY).select(
+        "repo", "set_file", "path", F.col("n_lines").cast("bigint").alias("n_lines")
     )
-    first = narrow.groupBy(*KEY).agg(F.min("path").alias("set_file"))
-    return narrow.join(first, KEY).select("repo", "set_file", "path", "n_lines")
 
 
 def pair_matrix(files: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -182,7 +333,7 @@ def pair_matrix(files: DataFrame, chosen: DataFrame) -> DataFrame:
         files.join(chosen, ["repo", "path"])
         .select(
             "repo",
-            F.struct("rn", "path", line_digests(F.col("content")).alias("digests")).alias("f"),
+            F.struct("rn", "path", _line_hashes(F.col("content")).alias("digests")).alias("f"),
         )
         .groupBy("repo")
         .agg(F.sort_array(F.collect_list("f")).alias("listed"))

@@ -190,8 +190,9 @@ def quality_findings(
 ) -> DataFrame:
     """Repo, file, smell_type, severity, line, measured_value, n_occurrences.
 
-    ``duplicates`` are duplication pairs, reported for their first file, with
-    the number of file pairs a row stands for as occurrences;
+    ``duplicates(repo, file, similarity_percent, n_pairs)`` count duplicated pairs of
+    files; there is one finding per file and severity, with the highest similarity as
+    measured value and the number of pairs as occurrences.
     ``tests(repo, has_tests_folder)`` feeds the grid that asks for tests.
     """
     grid = GRIDS[ruleset]
@@ -223,15 +224,13 @@ def quality_findings(
         lambda f: f["severity"].isNotNull(),
     )
     findings = parsed.select("repo", F.col("path").alias("file"), F.inline(per_file))
-    pairs = duplicates.select(
-        "repo",
-        F.col("file_a").alias("file"),
-        F.lit("duplication").alias("smell_type"),
-        _graded(grid, "duplication", F.col("similarity_percent")).alias("severity"),
-        none.alias("line"),
-        F.col("similarity_percent").alias("measured_value"),
-        F.col("n_pairs").alias("n_occurrences"),
-    ).where(F.col("severity").isNotNull())
+    graded = duplicates.withColumn("severity", _graded(grid, "duplication", F.col("similarity_percent")))
+    pairs = (
+        graded.where(F.col("severity").isNotNull())
+        .groupBy("repo", "file", "severity")
+        .agg(F.max("similarity_percent").alias("measured_value"), F.sum("n_pairs").alias("n_occurrences"))
+        .withColumns({"smell_type": F.lit("duplication"), "line": none})
+    )
     findings = findings.unionByName(pairs)
     if tests is not None and "no_tests" in grid:
         findings = findings.unionByName(

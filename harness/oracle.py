@@ -478,6 +478,22 @@ CTES = {
         HAVING round_even(count(*) / least(a.n, b.n) * 100, 1) > 60
         UNION ALL SELECT repo, file, last_file, n, 100.0, CAST(copies * (copies - 1) / 2 AS BIGINT)
         FROM set_names WHERE copies > 1""",
+    "set_links": "SELECT repo, file_a AS a, file_b AS b FROM duplicates UNION SELECT repo, file_b, file_a FROM duplicates",
+    "reached": """
+        SELECT repo, file, file AS other FROM set_names
+        UNION SELECT r.repo, r.file, l.b FROM reached r JOIN set_links l ON l.repo = r.repo AND l.a = r.other""",
+    "class_names": "SELECT repo, file, min(other) AS class_id FROM reached GROUP BY repo, file",
+    "class_pairs": """
+        SELECT d.*, c.class_id FROM duplicates d JOIN class_names c ON c.repo = d.repo AND c.file = d.file_a""",
+    "link_counts": """
+        SELECT n.repo, n.file, n.copies - 1 + coalesce(sum(o.copies), 0) AS n_links,
+          greatest(max(d.similarity_percent), CASE WHEN n.copies > 1 THEN 100.0 END) AS closest_percent
+        FROM set_names n LEFT JOIN (SELECT repo, file_a AS x, file_b AS y, similarity_percent FROM duplicates
+            WHERE (repo, file_b) IN (SELECT (repo, file) FROM set_names)
+          UNION ALL SELECT repo, file_b, file_a, similarity_percent FROM duplicates
+            WHERE (repo, file_b) IN (SELECT (repo, file) FROM set_names)) d ON d.repo = n.repo AND d.x = n.file
+        LEFT JOIN set_names o ON o.repo = n.repo AND o.file = d.y
+        GROUP BY n.repo, n.file, n.copies""",
     "py_lines": (
         "SELECT DISTINCT repo, path, s FROM (SELECT repo, path, "
         f"{strip('line')} AS s FROM ({lines_of('py_files')})) WHERE s <> ''"
@@ -499,13 +515,24 @@ CTES = {
     "py_set_lines": """
         SELECT s.repo, s.file, s.n, s.copies, l.s FROM py_set_names s JOIN py_lines l
         ON l.repo = s.repo AND l.path = s.file""",
+    "py_shared": """
+        SELECT repo, file, s FROM py_set_lines WHERE (repo, s) IN (
+          SELECT (repo, s) FROM py_set_lines GROUP BY repo, s HAVING count(*) > 1)""",
+    "py_alike": """
+        SELECT n.repo, n.file, n.n, coalesce(string_agg(h.s, chr(10) ORDER BY h.s), 'set ' || n.file) AS shared
+        FROM py_set_names n LEFT JOIN py_shared h ON h.repo = n.repo AND h.file = n.file GROUP BY n.repo, n.file, n.n""",
+    "py_families": "SELECT repo, file, min(file) OVER (PARTITION BY repo, n, shared) AS family FROM py_alike",
+    "py_counted": """
+        SELECT d.repo, coalesce(least(a.family, b.family), d.file_a) AS file, d.similarity_percent, d.n_pairs
+        FROM py_duplicates d JOIN py_families a ON a.repo = d.repo AND a.file = d.file_a
+        JOIN py_families b ON b.repo = d.repo AND b.file = d.file_b""",
     "py_duplicates": """
-        SELECT a.repo, a.file AS file_a, round_even(count(*) / least(a.n, b.n) * 100, 1) AS similarity_percent,
+        SELECT a.repo, a.file AS file_a, b.file AS file_b, round_even(count(*) / least(a.n, b.n) * 100, 1) AS similarity_percent,
           a.copies * b.copies AS n_pairs
         FROM py_set_lines a JOIN py_set_lines b ON a.repo = b.repo AND a.s = b.s AND a.file < b.file
         GROUP BY a.repo, a.file, b.file, a.n, b.n, a.copies, b.copies
         HAVING round_even(count(*) / least(a.n, b.n) * 100, 1) > 60
-        UNION ALL SELECT repo, file, 100.0, CAST(copies * (copies - 1) / 2 AS BIGINT)
+        UNION ALL SELECT repo, file, file, 100.0, CAST(copies * (copies - 1) / 2 AS BIGINT)
         FROM py_set_names WHERE copies > 1""",
     "selected_pairs": """
         SELECT a.repo, a.path AS file_a, b.path AS file_b,
@@ -528,9 +555,9 @@ CTES = {
           FROM doc_ratios WHERE documentation_ratio < 30
         UNION ALL SELECT repo, path, 'todo_accumulation', 'MINOR', NULL, todo + fixme + xxx, 1
           FROM markers WHERE todo + fixme + xxx > 5
-        UNION ALL SELECT repo, file_a, 'duplication',
-          CASE WHEN similarity_percent > 80 THEN 'CRITICAL' ELSE 'MAJOR' END, NULL, similarity_percent, n_pairs
-          FROM py_duplicates""",
+        UNION ALL SELECT repo, file, 'duplication',
+          CASE WHEN similarity_percent > 80 THEN 'CRITICAL' ELSE 'MAJOR' END AS grade, NULL, max(similarity_percent),
+          CAST(sum(n_pairs) AS BIGINT) FROM py_counted GROUP BY repo, file, grade""",
     "texts": f"""
         SELECT source || '/' || doc_id AS repo, CASE WHEN doc_id % 9 = 0 THEN text ELSE
           '# Audit Report: ' || source || {LF} || '## 1. Executive Summary' || {LF} ||
@@ -585,7 +612,8 @@ MATERIALIZED = {
     "files", "deep_lines", "dangers", "secrets", "surface", "file_smells", "tallies", "factor_texts",
     "doc_lines", "set_lines", "blocks", "py_files", "selected", "selected_lines", "rated",
     "order_deps", "repo_deps", "texts", "report_lines", "raw_sections", "quality", "doc_sets",
-    "set_names", "commits", "py_lines", "py_sets", "py_set_names", "py_set_lines",
+    "set_names", "commits", "py_lines", "py_sets", "py_set_names", "py_set_lines", "duplicates", "class_names",
+    "py_duplicates", "py_families",
 }
 
 OWASP_PREFIX = {c[:3].lower(): (c, label, about) for c, label, about in R.OWASP_CATEGORIES}
@@ -806,6 +834,21 @@ QUERIES = {
           coalesce(CAST(sum(n_occurrences) FILTER (WHERE severity = 'MINOR') AS BIGINT), 0) AS n_minor
           FROM repo_names r LEFT JOIN quality q ON q.repo = r.repo GROUP BY r.repo)""",
     "duplication_pairs": "SELECT * FROM duplicates",
+    "duplication_classes": """
+        SELECT p.repo, p.class_id, m.n_files, CAST(sum(n_pairs) AS BIGINT) AS n_links,
+          arg_min(file_a, o) AS file_a, arg_min(file_b, o) AS file_b, arg_min(common_lines, o) AS common_lines,
+          max(similarity_percent) AS similarity_percent
+        FROM (SELECT *, (-similarity_percent, file_a, file_b) AS o FROM class_pairs) p
+        JOIN (SELECT c.repo, c.class_id, CAST(sum(n.copies) AS BIGINT) AS n_files FROM class_names c
+              JOIN set_names n ON n.repo = c.repo AND n.file = c.file GROUP BY c.repo, c.class_id) m
+          ON m.repo = p.repo AND m.class_id = p.class_id
+        GROUP BY p.repo, p.class_id, m.n_files""",
+    "duplication_class_members": """
+        SELECT d.repo, c.class_id, d.path, d.n AS n_lines, CAST(k.n_links AS BIGINT) AS n_links,
+          CAST(k.closest_percent AS DOUBLE) AS closest_percent
+        FROM doc_sets d JOIN set_names n ON n.repo = d.repo AND n.set_id = d.set_id AND n.n = d.n
+        JOIN class_names c ON c.repo = n.repo AND c.file = n.file
+        JOIN link_counts k ON k.repo = n.repo AND k.file = n.file WHERE k.n_links > 0""",
     "duplication_members": """
         SELECT d.repo, n.file AS set_file, d.path, d.n AS n_lines FROM doc_sets d JOIN set_names n
         ON n.repo = d.repo AND n.set_id = d.set_id AND n.n = d.n""",
@@ -894,4 +937,5 @@ def sql(name: str) -> str:
     for cte in _needed(body):
         kind = " MATERIALIZED" if cte in MATERIALIZED else ""
         parts.append(f"{cte} AS{kind} ({CTES[cte].strip()})")
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    recursive = "RECURSIVE " if any(part.startswith("reached ") for part in parts) else ""
+    return (f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + body.strip()

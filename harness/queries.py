@@ -61,8 +61,8 @@ def _selected_pairs(spark, d) -> DataFrame:
 
 def _quality(spark, d) -> DataFrame:
     """Findings of whole repositories, duplication between all files included."""
-    pairs = duplication.similar_pairs(T.py_files(spark, d))
-    return quality.quality_findings(_parsed(spark, d), pairs)
+    duplicates = duplication.Duplication(T.py_files(spark, d)).by_family()
+    return quality.quality_findings(_parsed(spark, d), duplicates)
 
 
 def _actions(spark, d, audit) -> DataFrame:
@@ -220,6 +220,8 @@ QUERIES = {
     "quality_findings": _quality,
     "debt_score": lambda s, d: quality.debt_score(T.repos(s, d), _quality(s, d)),
     "duplication_pairs": lambda s, d: duplication.similar_pairs(T.text_files(s, d)),
+    "duplication_classes": lambda s, d: duplication.Duplication(T.text_files(s, d)).classes(),
+    "duplication_class_members": lambda s, d: duplication.Duplication(T.text_files(s, d)).members(),
     "duplication_members": lambda s, d: duplication.set_members(T.text_files(s, d)),
     "selected_duplication": _selected_pairs,
     # reports and agents

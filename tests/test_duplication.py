@@ -61,6 +61,8 @@ def _corpus(seed):
             lines = ["line 0"]  # one hot line only
         elif kind < 0.65:
             lines = ["  ", ""]
+        elif kind < 0.75:  # copies of several sets that share one line and are not linked
+            lines = ["line 0"] + [f"group {n % 4} {i}" for i in range(9)]
         else:
             lines = ["line 0"] + rng.sample(base, rng.randint(1, 30)) + [f"own {n} {i}" for i in range(rng.randint(0, 9))]
         rng.shuffle(lines)
@@ -76,6 +78,82 @@ def test_all_pairs_above_the_similarity_and_no_others(make_files, seed, above):
     assert found == _brute_force(rows, above)
 
 
+def _classes(pairs, paths):
+    """{first path: its class} of linked files, by following the pairs."""
+    near = {}
+    for repo, a, b in pairs:
+        near.setdefault((repo, a), set()).add((repo, b))
+        near.setdefault((repo, b), set()).add((repo, a))
+    found, seen = {}, set()
+    for start in sorted(near):
+        members, todo = set(), [start]
+        while todo:
+            file = todo.pop()
+            if file not in members:
+                members.add(file)
+                todo += near[file]
+        if not seen & members:
+            found[start] = members
+        seen |= members
+    return found, near
+
+
+@pytest.mark.parametrize("seed, above, deal", [(1, 60, 4096), (2, 80, 1), (3, 30, 2), (4, 99, 3)])
+def test_classes_count_all_links(make_files, monkeypatch, seed, above, deal):
+    monkeypatch.setattr(duplication, "DEAL", deal)  # lines of more sets are dealt out
+    rows = _corpus(seed)
+    pairs = _brute_force(rows, above)
+    expected, near = _classes(pairs, rows)
+    found = duplication.Duplication(make_files(rows), above)
+    classes = {(r.repo, r.class_id): r for r in found.classes().collect()}
+    assert classes.keys() == expected.keys()
+    for key, row in classes.items():
+        own = {(repo, *p): v for (repo, *p), v in pairs.items() if (repo, p[0]) in expected[key]}
+        assert (row.n_files, row.n_links) == (len(expected[key]), len(own))
+        assert own[(row.repo, row.file_a, row.file_b)] == (row.common_lines, row.similarity_percent)
+        assert row.similarity_percent == max(percent for _, percent in own.values())
+    members = {(r.repo, r.path): r for r in found.members().collect()}
+    assert members.keys() == near.keys()
+    for key, row in members.items():
+        assert row.n_links == len(near[key]) and key in expected[(row.repo, row.class_id)]
+        percents = [v[1] for (repo, *p), v in pairs.items() if repo == row.repo and row.path in p]
+        assert row.closest_percent == max(percents)
+    counted = found.by_family().groupBy("repo", "similarity_percent").agg(F.sum("n_pairs").alias("n")).collect()
+    by_percent = {}
+    for (repo, *_), (_, percent) in pairs.items():
+        by_percent[(repo, percent)] = by_percent.get((repo, percent), 0) + 1
+    assert {(r.repo, r.similarity_percent): r.n for r in counted} == by_percent
+
+
+def test_files_with_one_header_make_no_pairs(make_files):
+    """2,000 files of one header and a few lines of their own, all linked with each other."""
+    header = "\n".join(f"# header {i}" for i in range(10))
+    rows = [(f"f{i:04d}", f"{header}\n" + "\n".join(f"own {i} {k}" for k in range(i % 3 + 1))) for i in range(2000)]
+    found = duplication.Duplication(make_files(rows))
+    assert found.families.count() == 3 and found.links.count() == 3
+    (row,) = found.classes().collect()
+    assert (row.class_id, row.n_files, row.n_links) == ("f0000", 2000, 2000 * 1999 // 2)
+    assert (row.file_a, row.file_b, row.similarity_percent) == ("f0000", "f0001", 90.9)
+    members = found.members()
+    assert members.count() == 2000 and members.where("n_links <> 1999").count() == 0
+    assert found.by_family().count() <= 6
+
+
+def test_no_array_moves_before_the_candidates_are_final(make_files):
+    found = duplication.Duplication(make_files(_corpus(5)))
+    plan = found._candidates()._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and "shared" not in "".join(exchanged)
+    schema = found._candidates().schema
+    assert {f.dataType.typeName() for f in schema} == {"long"}
+
+
+def test_no_files_and_files_without_lines(make_files):
+    found = duplication.Duplication(make_files([("a", ""), ("b", None), ("c", " \n "), ("d", "x")]))
+    assert found.classes().count() == found.members().count() == found.pairs().count() == 0
+    assert found.by_family().count() == 0
+
+
 def test_a_large_group_of_copies_is_one_row(make_files):
     files = make_files([(f"f{i:04d}", "a\nb\nc") for i in range(500)])
     rows = duplication.similar_pairs(files).collect()

@@ -91,8 +91,8 @@ def _findings(spark, make_files, ruleset):
     source = S.PYTHON[6] + "\n" + "def u():\n" + "    x = 1\n" * 110
     parsed = quality.parse_files(make_files([("a.py", source)]))
     pairs = spark.createDataFrame(
-        [("r", "a.py", "b.py", 70.0, 2), ("r", "a.py", "c.py", 90.0, 1)],
-        "repo string, file_a string, file_b string, similarity_percent double, n_pairs bigint",
+        [("r", "a.py", 70.0, 1), ("r", "a.py", 75.0, 1), ("r", "a.py", 90.0, 1)],
+        "repo string, file string, similarity_percent double, n_pairs bigint",
     )
     tests = spark.createDataFrame([("r", False)], "repo string, has_tests_folder boolean")
     return quality.quality_findings(parsed, pairs, tests, ruleset)
