@@ -677,6 +677,15 @@ QUERIES = {
         SELECT repo, path, least(count(*), 10) AS commit_count, max(author_date) AS last_modified
         FROM commits WHERE author_date BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31'
         GROUP BY repo, path""",
+    "churn_history": """
+        SELECT repo, path, as_of, least(count(*), 10) AS commit_count, max(author_date) AS last_modified
+        FROM commits, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-04', INTERVAL 1 DAY)) AS as_of)
+        WHERE author_date BETWEEN as_of - INTERVAL 7 DAY AND as_of GROUP BY repo, path, as_of""",
+    "churn_windows": """
+        SELECT repo, path, as_of, count(*) AS commit_count, max(author_date) AS last_modified
+        FROM (SELECT DISTINCT repo, path, sha, author_date FROM commits),
+          (SELECT unnest(generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-03-01', INTERVAL 1 DAY)) AS as_of)
+        WHERE author_date >= as_of - INTERVAL 7 DAY AND author_date < as_of GROUP BY repo, path, as_of""",
     "secret_candidates": f"SELECT repo, path FROM files WHERE {SECRET_OK}",
     "deep_candidates": f"SELECT repo, path FROM files WHERE {DEEP_OK}",
     "first_secret_candidates": f"""

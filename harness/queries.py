@@ -18,6 +18,7 @@ from forgelens.operators import (
 )
 from forgelens.plans.actions import action_plan
 from forgelens.plans.audit import AuditOptions, SecurityAudit
+from forgelens.streaming.churn import churn_windows
 
 from . import tables as T
 
@@ -164,6 +165,10 @@ QUERIES = {
     "file_churn_week": lambda s, d: listing.file_churn(
         T.commits(s, d), T.AS_OF, days=7, commit_cap=10
     ),
+    "churn_history": lambda s, d: listing.churn_history(
+        T.commits(s, d), "2024-01-01 00:00:00", n_dates=35, days=7, commit_cap=10
+    ),
+    "churn_windows": lambda s, d: churn_windows(T.commits(s, d), days=7),
     # selection
     "secret_candidates": lambda s, d: selection.secret_candidates(T.code_files(s, d)),
     "deep_candidates": lambda s, d: selection.deep_candidates(T.code_files(s, d)),
