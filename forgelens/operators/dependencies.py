@@ -11,6 +11,8 @@ from .listing import dependency_file
 
 # name, then operator and version where both follow
 REQUIREMENT = r"^([a-zA-Z0-9_\-\.]+)(?:\s*([><=!~^]{1,2})\s*([\d\.\*]+))?.*$"
+# the same with the whole version: pre-releases, epochs, local labels
+FULL_REQUIREMENT = r"^([a-zA-Z0-9_\-\.]+)(?:\s*([><=!~^]{1,2})\s*([\w.*+!\-]+))?.*$"
 SEPARATOR = "\n"  # cannot occur inside a line
 PINNING_OPERATORS = ["==", "~="]
 NO_SUMMARY = "No summary available"
@@ -20,9 +22,11 @@ SPELLING_ECOSYSTEM, SPELLING_RUNS = "PyPI", "[-_.]+"
 PYPROJECT = "pyproject.toml"
 
 
-def requirement(line: Column) -> Column:
+def requirement(line: Column, full_versions: bool = False) -> Column:
     """array with the struct(package, version) of a requirement line, or empty.
 
+    By default a version ends before the first character that is no digit, dot or star,
+    so that 1.0rc1 reads as 1.0; with ``full_versions`` it is kept whole.
     The line is matched once; the array functions only name intermediate values.
     """
     stripped = T.strip(line)
@@ -30,7 +34,8 @@ def requirement(line: Column) -> Column:
         stripped.contains("["), F.regexp_replace(stripped, r"\[.*?\]", "")
     ).otherwise(stripped)
     groups = SEPARATOR.join(["$1", "$2", "$3"])
-    fields = F.split(F.regexp_replace(spec, T.regex(REQUIREMENT), groups), SEPARATOR)
+    pattern = FULL_REQUIREMENT if full_versions else REQUIREMENT
+    fields = F.split(F.regexp_replace(spec, T.regex(pattern), groups), SEPARATOR)
     relevant = ~stripped.startswith("#") & ~stripped.startswith("-")
     return F.transform(
         # a line that does not match is not split
@@ -83,10 +88,12 @@ def dependency_specs(filename: Column, content: Column, compat: bool = False) ->
     return F.when(filename == PYPROJECT, pyproject_specs(content)).otherwise(lines)
 
 
-def parse_dependency_lines(dep_lines: DataFrame, ecosystem: str = "PyPI") -> DataFrame:
+def parse_dependency_lines(
+    dep_lines: DataFrame, ecosystem: str = "PyPI", full_versions: bool = False
+) -> DataFrame:
     """``dep_lines(repo, dep_file, pos, line)`` to the dependencies table."""
     return dep_lines.select(
-        "repo", "dep_file", "pos", F.inline(requirement(F.col("line")))
+        "repo", "dep_file", "pos", F.inline(requirement(F.col("line"), full_versions))
     ).withColumn("ecosystem", F.lit(ecosystem))
 
 
@@ -101,7 +108,7 @@ def first_dependencies(dependencies: DataFrame, max_deps: int) -> DataFrame:
 
 
 def repo_dependencies(
-    files: DataFrame, max_deps: int | None = None, compat: bool = False
+    files: DataFrame, max_deps: int | None = None, compat: bool = False, full_versions: bool = False
 ) -> DataFrame:
     """S4b + F5: dependencies of the dependency file the security analysis picks.
 
@@ -115,7 +122,7 @@ def repo_dependencies(
             "pos", "line"
         ),
     )
-    parsed = parse_dependency_lines(dep_lines)
+    parsed = parse_dependency_lines(dep_lines, full_versions=full_versions)
     return parsed if max_deps is None else first_dependencies(parsed, max_deps)
 
 
@@ -153,9 +160,9 @@ def dependency_vulnerabilities(
     hot package where they are not.
     """
     key = package_key(F.col("ecosystem"), F.col("package"))
-    deps = dependencies.withColumn("_key", key).alias("d")
+    deps = dependencies.withColumns({"_key": key, "_version": V.version_key(F.col("version"))}).alias("d")
     adv = rated.withColumns({"_spans": V.span_keys(F.col("affected")), "_key": key}).alias("a")
-    covers = V.affects(F.col("a._spans"), F.col("a.versions"), F.col("d.version"))
+    covers = V.affects(F.col("a._spans"), F.col("a.versions"), F.col("d.version"), F.col("d._version"))
     condition = (
         (F.col("d.ecosystem") == F.col("a.ecosystem"))
         & (F.col("d._key") == F.col("a._key"))
@@ -175,6 +182,16 @@ def dependency_vulnerabilities(
     )
 
 
+def version_order(dependencies: DataFrame) -> DataFrame:
+    """package, version, place: the versions a package is listed with, in their order.
+
+    Spellings of one version share a place; missing versions and wildcards have none.
+    """
+    listed = dependencies.where(V.is_pinned(F.col("version"))).select("ecosystem", "package", "version").distinct()
+    place = F.dense_rank().over(Window.partitionBy("ecosystem", "package").orderBy(V.version_key(F.col("version"))))
+    return listed.select("ecosystem", "package", "version", place.alias("place"))
+
+
 def dependency_counts(
     dependencies: DataFrame, rated: DataFrame, critical_label: str = "Critical"
 ) -> DataFrame:

@@ -356,6 +356,24 @@ CTES = {
               WHEN p_partkey % 97 > 2 AND p_partkey % 6 = 4 THEN 9.8
               WHEN p_partkey % 5 = 1 THEN 8.1 WHEN p_partkey % 5 = 3 THEN 5.5 END AS score
           FROM part))""",
+    "releases": """
+        SELECT 'order' || (l_orderkey % 100) AS repo, l_orderkey * 10 + l_linenumber AS pos, 'pkg' || (l_partkey % 30) AS package,
+          (CASE WHEN l_orderkey % 17 = 0 THEN 'v' ELSE '' END) || (CASE WHEN l_orderkey % 11 = 0 THEN '1!' ELSE '' END) ||
+          (q % 3) || (CASE WHEN l_orderkey % 2 = 0 AND l_orderkey % 3 = 0 THEN '' ELSE '.' || (l_orderkey % 3) END) ||
+          (CASE WHEN l_orderkey % 5 = 0 THEN '.0' ELSE '' END) ||
+          (CASE WHEN l_partkey % 5 IN (1, 2, 3) THEN sep || [['a', 'ALPHA', 'alpha'], ['b', 'Beta', 'beta'],
+             ['rc', 'c', 'preview']][l_partkey % 5][l_partkey % 3 + 1] || sep || (l_partkey // 5 % 12) ELSE '' END) ||
+          (CASE WHEN l_orderkey % 7 = 0 THEN (CASE WHEN l_partkey % 2 = 0 THEN '.post' ELSE '-' END) || (l_partkey % 3) ELSE '' END) ||
+          (CASE WHEN l_orderkey % 6 = 1 THEN '.dev' || (q % 12) ELSE '' END) ||
+          (CASE WHEN l_orderkey % 13 = 5 THEN '+' || l_linenumber ELSE '' END) AS version,
+          [CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END, q % 3, l_orderkey % 3,
+           CASE WHEN l_partkey % 5 IN (1, 2, 3) THEN l_partkey % 5
+             WHEN l_orderkey % 6 = 1 AND l_orderkey % 7 <> 0 THEN 0 ELSE 9 END,
+           CASE WHEN l_partkey % 5 IN (1, 2, 3) THEN l_partkey // 5 % 12 ELSE 0 END,
+           CASE WHEN l_orderkey % 7 = 0 THEN l_partkey % 3 ELSE -1 END,
+           CASE WHEN l_orderkey % 6 = 1 THEN q % 12 ELSE 99 END,
+           CASE WHEN l_orderkey % 13 = 5 THEN l_linenumber ELSE -1 END] AS parts
+        FROM (SELECT *, CAST(floor(l_quantity) AS INTEGER) AS q, ['', '-', '.'][l_partkey % 3 + 1] AS sep FROM lineitem)""",
     "picked": """
         SELECT repo, arg_min(path, r) AS filename, arg_min(spec_lines, r) AS content FROM (
           SELECT repo, path, spec_lines, CASE path WHEN 'requirements.txt' THEN 1
@@ -775,6 +793,15 @@ QUERIES = {
     "dependency_vulnerabilities_spelling": f"""
         SELECT repo, pos, CASE pos % 10 % 3 WHEN 0 THEN 'PKG-' WHEN 1 THEN 'Pkg__' ELSE 'pkg.-_' END
           || substr(package, 4) AS package, version, id, severity FROM ({matched('order_deps')})""",
+    "version_order": """
+        SELECT package, version, CAST(dense_rank() OVER (PARTITION BY package ORDER BY parts) AS INTEGER) AS place
+        FROM (SELECT DISTINCT package, version, parts FROM releases)""",
+    "dependency_vulnerabilities_releases": """
+        SELECT r.repo, r.pos, r.package, r.version, 'ADV-' || p_partkey AS id FROM releases r
+        JOIN part ON p_partkey % 20 = 0 AND r.package = 'pkg' || (p_partkey % 30)
+        WHERE r.parts >= (CASE WHEN p_size % 4 = 0 THEN [0, 1, 0, 1, 1, -1, 99, -1] ELSE [0, 0, 0, 9, 0, -1, 99, -1] END)
+          AND r.parts < (CASE WHEN p_partkey % 2 = 0 THEN [0, p_size % 3, p_partkey % 3, 3, p_size % 12, -1, 99, -1]
+            ELSE [0, p_size % 3, p_partkey % 3, 0, 0, -1, p_size % 12, -1] END)""",
     "vulnerable_packages": f"""
         SELECT d.repo, d.pos, d.package, m.vuln_count FROM order_deps d JOIN
           (SELECT package, version, count(*) AS vuln_count

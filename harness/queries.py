@@ -129,6 +129,17 @@ def dependency_vulnerabilities_spelling(spark, d) -> DataFrame:
     )
 
 
+def _releases(spark, d) -> DataFrame:
+    return deps.parse_dependency_lines(T.release_lines(spark, d), full_versions=True)
+
+
+def dependency_vulnerabilities_releases(spark, d) -> DataFrame:
+    """Lists and ranges with pre-, post- and development releases, epochs and local labels."""
+    rated = deps.rated_advisories(T.release_advisories(spark, d))
+    found = deps.dependency_vulnerabilities(_releases(spark, d), rated, "inner")
+    return found.select("repo", "pos", "package", "version", "id")
+
+
 def dependency_counts(spark, d) -> DataFrame:
     return deps.dependency_counts(_order_deps(spark, d), _rated(spark, d)).select(
         "repo", "pos", "package", "version", "vuln_count", "critical_count"
@@ -202,6 +213,8 @@ QUERIES = {
     "advisory_severity": lambda s, d: deps.advisory_severity(T.advisories(s, d)),
     "dependency_vulnerabilities": dependency_vulnerabilities,
     "dependency_vulnerabilities_spelling": dependency_vulnerabilities_spelling,
+    "dependency_vulnerabilities_releases": dependency_vulnerabilities_releases,
+    "version_order": lambda s, d: deps.version_order(_releases(s, d)).drop("ecosystem"),
     "dependency_counts": dependency_counts,
     "vulnerable_packages": lambda s, d: deps.vulnerable_packages(dependency_counts(s, d)),
     "package_advisory_ids": lambda s, d: deps.package_advisory_ids(

@@ -243,6 +243,53 @@ def dep_lines(spark, sf_dir) -> DataFrame:
     )
 
 
+def release_lines(spark, sf_dir) -> DataFrame:
+    """Order lines as requirement lines with versions of every kind, spelled in three ways."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    lines = spread(lines, "l_orderkey")
+    order, part, quantity = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_quantity").cast("int")
+    spelled = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (part % 3 + 1).cast("int"))
+    minor = order % 3
+    separator = spelled("", "-", ".")
+    kind = part % 5
+    pre = F.when(kind == 1, spelled("a", "ALPHA", "alpha")).when(kind == 2, spelled("b", "Beta", "beta")).when(
+        kind == 3, spelled("rc", "c", "preview")
+    )
+    version = F.concat(
+        F.when(order % 17 == 0, "v").otherwise(""),
+        F.when(order % 11 == 0, "1!").otherwise(""),
+        quantity % 3,
+        F.when((order % 2 == 0) & (minor == 0), "").otherwise(F.concat(F.lit("."), minor)),
+        F.when(order % 5 == 0, ".0").otherwise(""),
+        F.coalesce(F.concat(separator, pre, separator, F.expr("l_partkey div 5 % 12")), F.lit("")),
+        F.when(order % 7 == 0, F.concat(F.when(part % 2 == 0, ".post").otherwise("-"), part % 3)).otherwise(""),
+        F.when(order % 6 == 1, F.concat(F.lit(".dev"), quantity % 12)).otherwise(""),
+        F.when(order % 13 == 5, F.concat(F.lit("+"), F.col("l_linenumber"))).otherwise(""),
+    )
+    return lines.select(
+        F.concat(F.lit("order"), order % 100).alias("repo"),
+        F.lit("requirements.txt").alias("dep_file"),
+        (order * 10 + F.col("l_linenumber")).alias("pos"),
+        F.concat(F.lit("pkg"), part % 30, F.lit("=="), version).alias("line"),
+    )
+
+
+def release_advisories(spark, sf_dir) -> DataFrame:
+    """Parts as advisories whose ranges end at pre-releases and development releases."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    fixed = F.concat(size % 3, F.lit("."), key % 3, F.when(key % 2 == 0, "rc").otherwise(".dev"), size % 12)
+    return read(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(
+        F.concat(F.lit("ADV-"), key).alias("id"),
+        F.lit("PyPI").alias("ecosystem"),
+        F.concat(F.lit("PKG"), key % 30).alias("package"),
+        F.array(F.struct(F.when(size % 4 == 0, "1.0a1").alias("introduced"), fixed.alias("fixed"))).alias("affected"),
+        F.array().cast("array<string>").alias("versions"),
+        *[F.lit(None).cast("string").alias(c) for c in ("summary", "details", "published")],
+        F.array().cast("array<string>").alias("aliases"),
+        F.lit(None).cast("string").alias("raw_json"),
+    )
+
+
 def advisories(spark, sf_dir) -> DataFrame:
     """Parts as advisories; three parts share a package."""
     key, size = F.col("p_partkey"), F.col("p_size")

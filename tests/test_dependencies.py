@@ -65,6 +65,53 @@ def test_version_ranges(spark, version, expected):
     assert spark.range(1).select(test).first()[0] is expected
 
 
+# Versions in the order that PEP 440 gives them, spellings of one version side by side
+ORDERED = [
+    ["0.dev1"], ["0", "0.0", "v0.0.0"], ["0.9.9"], ["1.dev0", "1.0.DEV"], ["1.0.dev456"], ["1.0a0.dev1"], ["1.0a1", "1-alpha1", "1.0.Alpha_1"],
+    ["1.0a2.dev456"], ["1.0a2"], ["1.0a12.dev456"], ["1.0a12"], ["1.0b1.dev456"], ["1.0b2", "1.0beta2"],
+    ["1.0b2.post345.dev456"], ["1.0b2.post345"], ["1.0rc1.dev456"], ["1.0rc1", "1.0c1", "1.0-pre.1", "1.0preview1"],
+    ["1.0rc2"], ["1.0rc11"], ["1", "1.0", " 1.0.0 ", "01.0"], ["1.0+abc.5"], ["1.0+abc.7"], ["1.0+abd"], ["1.0+5"], ["1.0+5.a"], ["1.0+11"],
+    ["1.0.post0.dev1"], ["1.0.post0", "1.0.post", "1.0-0"], ["1.0.post456.dev34"], ["1.0.post456", "1.0-456", "1.0.rev456", "1.0-r456"],
+    ["1.0.15"], ["1.1.dev1"], ["1.1"], ["1.2", "1.2.0-SNAPSHOT+x y"], ["1.2.0.0.0.1"], ["1.10"], ["2.0rc1"], ["2.0"], ["10"],
+    ["100000000000000000000"], ["1!0.1"], ["1!1.0rc1"], ["1!1.0"], ["12!0"],
+]
+
+
+def test_keys_sort_as_versions(spark):
+    rows = [(i, v) for i, group in enumerate(ORDERED) for v in group]
+    frame = spark.createDataFrame(rows, "i int, v string").withColumn("k", V.version_key(F.col("v")))
+    keys = [(bytes(r.k), r.i, r.v) for r in frame.collect()]
+    for a, i, v in keys:
+        for b, j, w in keys:
+            assert (a < b) == (i < j), (v, w)
+    assert [(r.i) for r in frame.orderBy("k", "i").collect()] == sorted(i for i, _ in rows)
+    odd = spark.createDataFrame([("latest",), ("",), (None,)], "v string").select(V.version_key(F.col("v")).alias("k"))
+    none, empty, null = (r.k for r in odd.collect())
+    assert none == empty == next(bytes(r.k) for r in frame.where("v = '0'").collect()) and null is None
+
+
+@pytest.mark.parametrize(
+    "version, expected",
+    [("2.0rc1", True), ("2.0rc2", False), ("2.0.dev9", True), ("2.0", False), ("1.0a1", False), ("1.0", True),
+     ("1.0.post1", True), ("1!0.5", False)],
+)
+def test_pre_releases_in_ranges(spark, version, expected):
+    spans = F.array(F.struct(F.lit("1.0").alias("introduced"), F.lit("2.0rc2").alias("fixed")))
+    test = V.affects(V.span_keys(spans), F.array().cast("array<string>"), F.lit(version))
+    assert spark.range(1).select(test).first()[0] is expected
+
+
+def test_whole_versions_of_requirements(spark):
+    lines = ["e==1.0rc1", "f == 1!2.0.post1+local.2 ; python_version<'3'", "g~=2.1.dev3", "h>=1.0rc1", "i==1.*", "j===1.0", "k[x]==1.0-alpha.1  # n"]
+    frame = spark.createDataFrame(
+        [("r", "requirements.txt", i, line) for i, line in enumerate(lines)], "repo string, dep_file string, pos int, line string"
+    )
+    found = {r.package: r.version for r in D.parse_dependency_lines(frame, full_versions=True).collect()}
+    assert found == {"e": "1.0rc1", "f": "1!2.0.post1+local.2", "g": "2.1.dev3", "h": None, "i": "1.*", "j": None, "k": "1.0-alpha.1"}
+    places = {(r.package, r.version): r.place for r in D.version_order(D.parse_dependency_lines(frame, full_versions=True)).collect()}
+    assert places == {(p, v): 1 for p, v in found.items() if v and "*" not in v}
+
+
 SEVERITIES = [
     ('{"database_specific":{"cvss_score":9.8}}', None, "Critical"),
     ('{"x":[{"cvss3_score":"8.5"}]}', None, "High"),
