@@ -15,21 +15,27 @@ PEP_440 = (
     r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]+)?)?"
     r"(?:[-_.]?(dev)[-_.]?([0-9]+)?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 )
+NUMBERS = r"^[0-9]+(?:\.[0-9]+)*$"
 LEADING_NUMBERS = r"^\s*v?([0-9]+(?:\.[0-9]+)*)"
 _END, _LEAST, _MOST = "!", "0", "z"  # below all numbers and letters, below and above all marks
 
 
 def _number(digits: Column) -> Column:
     """Digits of any number, so that it sorts as the number does; none are 0."""
-    plain = F.regexp_replace(digits, "^0+", "")
+    plain = F.ltrim(digits, F.lit("0"))
     return F.concat(F.char(F.length(plain) + 64), plain)
 
 
 def _release(numbers: Column) -> Column:
-    trimmed = F.regexp_replace(numbers, r"(?:\.0+)+$", "")
+    trimmed = F.when(numbers.endswith("0"), F.regexp_replace(numbers, r"(?:\.0+)+$", "")).otherwise(numbers)
     return F.array_join(F.transform(F.split(trimmed, r"\."), _number), "")
 
 
+def _plain(numbers: Column) -> Column:
+    """The key of a release and nothing else."""
+    return F.concat(_number(F.lit("")), _release(numbers), F.lit(_END + _MOST + _LEAST + _MOST + _LEAST))
+
+
 def version_key(version: Column) -> Column:
     """The key of a version: epoch, release without trailing zeros, pre-release, post-release,
     development release, local label, in that order.
@@ -37,6 +43,11 @@ def version_key(version: Column) -> Column:
     What is no version by PEP 440 counts as the release of its leading numbers, 0 if there
     are none; a null version has no key.
     """
+    # most versions are numbers and dots and need no other part
+    return F.when(version.rlike(NUMBERS), _plain(version).cast("binary")).otherwise(_parsed(version))
+
+
+def _parsed(version: Column) -> Column:
     marked = F.regexp_replace(F.lower(version), PEP_440, "\n".join(f"${i}" for i in range(1, 11)))
     # one element, so that the split parts are worked out once and named
     return F.transform(F.array(F.split(marked, "\n")), lambda f: _key(f, version))[0]
@@ -66,8 +77,7 @@ def _key(f: Column, version: Column) -> Column:
         F.when(has(local), F.concat(F.lit("1"), F.array_join(label, ""), F.lit(_END))).otherwise(_LEAST),
     )
     leading = F.regexp_extract(F.lower(version), LEADING_NUMBERS, 1)
-    plain = F.concat(_number(F.lit("")), _release(leading), F.lit(_END + _MOST + _LEAST + _MOST + _LEAST))
-    return F.when(F.size(f) == 10, full).otherwise(plain).cast("binary")
+    return F.when(F.size(f) == 10, full).otherwise(_plain(leading)).cast("binary")
 
 
 def is_pinned(version: Column) -> Column:
