@@ -4,16 +4,16 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import save, shuffle_partitions
+
 VERSION = b"WARC/1.1\r\n"
-#: Between two records of a file.  The writer's chunk framing cuts every VERSION line
-#: inside a payload in two, so that this occurs between records only.
-BETWEEN = "\r\n\r\nWARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -22,17 +22,11 @@ def payload_digest(data: bytes) -> str:
 
 
 def encode_chunked(data: bytes, size: int) -> bytes:
-    """The data in chunked transfer framing; no chunk holds a whole VERSION line."""
-    cuts = set(range(size, len(data), size))
-    at = data.find(VERSION)
-    while at >= 0:
-        cuts.add(at + 4)
-        at = data.find(VERSION, at + 1)
-    edges = [0, *sorted(cuts), len(data)]
+    """The data in chunked transfer framing."""
     out = []
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            out += [b"%x\r\n" % (b - a), data[a:b], b"\r\n"]
+    for at in range(0, len(data), size):
+        chunk = data[at : at + size]
+        out += [b"%x\r\n" % len(chunk), chunk, b"\r\n"]
     return b"".join([*out, b"0\r\n\r\n"])
 
 
@@ -110,10 +104,11 @@ def write_warc(
     id is a response (all of them, if rows repeat that id) and the others revisit it;
     a null id comes after all others.  Null payloads count as empty, null urls are
     left out.  Blocks above ``segment`` bytes are written as continuation records.
-    Files are gzip streams by default; with ``compression="none"`` a reader can split them.
-    An empty table writes no records.
+    Files are gzip streams by default.  An empty table writes no records.
 
-    Digests are grouped as narrow rows; page contents move once, to meet their roles.
+    Digests are grouped as narrow rows, and the groups written, so that the copies of one
+    payload can be split among the tasks of a join; page contents move once, to meet
+    their roles.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -122,12 +117,8 @@ def write_warc(
     rows = rows.withColumn("_sha", F.sha1("_payload"))
     long_enough = F.octet_length("_payload") >= revisit_bytes
     narrow = rows.where(long_enough).select("_id", "_sha")
-    groups = (
-        narrow.groupBy("_sha")
-        .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
-    )
+    groups = narrow.groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    groups = save(groups.where("_n > 1").drop("_n"), "payload-groups")
     revisits = (
         narrow.join(groups, "_sha")
         .where(~F.col("_id").eqNullSafe(F.col("_first")))
@@ -170,51 +161,176 @@ _FIELDS = {
 _NUMBERS = {"segment", "total_length"}
 _RECORD = T.StructType(
     [T.StructField(n, T.LongType() if n in _NUMBERS else T.StringType()) for n in _FIELDS]
-    + [T.StructField("block", T.BinaryType())]
+    + [T.StructField("block", T.BinaryType()), T.StructField("error", T.StringType())]
 )
 
 
-def parse_record(raw: bytes) -> tuple[dict, bytes]:
-    """Header fields (lower-case names) and the block, cut to its stated length."""
-    raw = raw.removeprefix(VERSION)
-    end = raw.find(b"\r\n\r\n")
-    lines = raw[: end if end >= 0 else len(raw)].split(b"\r\n")
-    pairs = (line.partition(b":") for line in lines)
-    fields = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
-    block, length = raw[end + 4 :], int(fields["content-length"])
-    if len(block) < length:
-        raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
-    return fields, block[:length]
+_START = b"WARC/1."
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
+_BREAKS = re.compile(rb"[\r\n]*")
+LONGEST_HEADER = 1 << 20
+
+
+def header_fields(head: bytes) -> dict:
+    """Header fields by lower-case name; a line that begins with a space goes on with the last one."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.split(b"\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last is not None:
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, _, value = line.partition(b":")
+        last = name.strip().lower().decode("utf-8", "replace")
+        fields[last] = value.strip().decode("utf-8", "replace")
+    return fields
+
+
+class RecordReader:
+    """Cuts the bytes of one archive, fed piece by piece, into records by their Content-Length.
+
+    A record is (fields, block, error).  What stands in a block is never looked at.  Where
+    a record has no usable length or ends early, or bytes stand where a record should
+    begin, a record with an error is given and reading goes on at the next line that
+    begins one.  No more than one record and one piece is held.
+    """
+
+    def __init__(self):
+        self.pieces: list[bytes] = []
+        self.size = 0
+        self.wanted = 0  # bytes without which nothing more can be cut
+        self.lost = 0  # bytes skipped since the last record
+        self.skipping = False
+
+    def feed(self, data: bytes, last: bool = False):
+        self.pieces.append(data)
+        self.size += len(data)
+        if self.size < self.wanted and not last:
+            return
+        buffer = b"".join(self.pieces)
+        at = 0
+        while True:
+            found = self._cut(buffer, at, last)
+            if found is None:
+                break
+            at, record = found
+            if record is not None:
+                yield record
+        rest = buffer[at:]
+        self.pieces, self.size = [rest], len(rest)
+        if last and self.lost:
+            yield {}, None, f"{self.lost} bytes that belong to no record"
+
+    def _cut(self, buffer: bytes, at: int, last: bool):
+        """(place after it, record or None) of what begins at a place; None to wait for more."""
+        self.wanted = 0
+        if self.skipping:
+            found = buffer.find(b"\n" + _START, at)
+            if found < 0:
+                end = len(buffer) if last else max(at, len(buffer) - len(_START))
+                self.lost += len(buffer[at:end].strip(b"\r\n"))
+                return (end, None) if end > at else None
+            lost = self.lost + len(buffer[at:found].strip(b"\r\n"))
+            self.lost, self.skipping = 0, False
+            return found + 1, ({}, None, f"{lost} bytes that belong to no record") if lost else None
+        begin = _BREAKS.match(buffer, at).end()
+        if begin == len(buffer) or not last and _START.startswith(buffer[begin : begin + len(_START)]) and (
+            len(buffer) - begin < len(_START)
+        ):
+            return (begin, None) if begin > at else None
+        if not buffer.startswith(_START, begin):
+            self.skipping = True
+            return begin, None
+        end = _HEADER_END.search(buffer, begin)
+        if end is None and not last and len(buffer) - begin <= LONGEST_HEADER:
+            self.wanted = len(buffer) - at + 1
+            return None
+        if end is None or end.start() - begin > LONGEST_HEADER:
+            self.skipping = True
+            return begin + len(_START), ({}, None, "a header that does not end")
+        fields = header_fields(buffer[begin : end.start()])
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            self.skipping = True
+            return end.end() - 1, (fields, None, f"no usable Content-Length: {length[:80]!r}")
+        stop = end.end() + int(length)
+        if stop <= len(buffer):
+            return stop, (fields, buffer[end.end() : stop], None)
+        if last:
+            return len(buffer), (fields, buffer[end.end() :], "cut short")
+        self.wanted = stop - at
+        return None
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of all archives below ``path``, the lines of a file in their order in one partition.
+
+    Compressed files are not split by Spark; the lines of others are brought together
+    again by file.
+    """
+    read = lambda glob: spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    name = F.xxhash64("_metadata.file_path")
+    line = F.col("value").cast("binary").alias("line")
+    whole = read("*.gz").select(name.alias("file"), line)
+    split = read("{*[!z],*[!g]z,*[!.]gz,z,gz}").select(
+        name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), line
+    )
+    together = split.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "block", "nth")
+    return whole.unionByName(together.select("file", "line"))
 
 
 def read_warc(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
     """The records below ``path``, as they stand; ``segmented`` selects by segment number.
 
-    Uncompressed files are split between records, so a large one is read by many tasks.
+    Archives of any WARC 1.x version, records cut by their Content-Length, whatever their
+    blocks hold; files ending in .gz are gzip streams, of one or many members.  ``error``
+    says what is wrong with a record that cannot be read (no usable length or segment
+    number, cut short, bytes between records); its block is what there is of it, or null.
+    Such rows come with ``segmented`` unset or false.
     """
-    raw = spark.read.option("lineSep", BETWEEN).text(path).where(F.length("value") > 0)
-    if segmented:
-        raw = raw.where(F.contains("value", F.lit("WARC-Segment-Number")))
 
     def parse(batches):
-        for batch in batches:
-            rows = []
-            for value in batch.column(0).to_pylist():
-                fields, block = parse_record(value)
+        reader, current = RecordReader(), None
+        rows: list[dict] = []
+        size = 0
+
+        def kept(records):
+            nonlocal size
+            for fields, block, error in records:
                 row = {n: fields.get(name.lower()) for n, name in _FIELDS.items()}
-                row |= {n: int(row[n]) for n in _NUMBERS if row[n] is not None}
-                if segmented is None or segmented == (row["segment"] is not None):
-                    rows.append(row | {"block": block})
-            columns = [
-                pa.array(
-                    [r[f.name] for r in rows],
-                    pa.binary() if f.name == "block" else pa.int64() if f.name in _NUMBERS else pa.string(),
-                )
-                for f in _RECORD
-            ]
-            yield pa.RecordBatch.from_arrays(columns, _RECORD.names)
+                for n in _NUMBERS:
+                    value = row[n]
+                    if value is not None:
+                        good = value.isascii() and value.isdigit() and len(value) < 19
+                        row[n] = int(value) if good else None
+                        error = error if good else f"no usable {_FIELDS[n]}: {value[:80]!r}"
+                apart = row["segment"] is not None and error is None
+                if segmented is None or segmented == apart:
+                    rows.append(row | {"block": block, "error": error})
+                    size += len(block or b"")
 
-    return raw.select(F.col("value").cast("binary")).mapInArrow(parse, _RECORD)
+        for batch in batches:
+            files, values = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)] if len(files) else []
+            for a, b in zip(edges, edges[1:]):
+                data = b"\n".join(values[a:b])
+                if current == files[a]:
+                    kept(reader.feed(b"\n" + data))
+                else:
+                    kept(reader.feed(b"", last=True))
+                    reader, current = RecordReader(), files[a]
+                    kept(reader.feed(data))
+            if size > 1 << 23:
+                yield made(rows)
+                rows, size = [], 0
+        kept(reader.feed(b"", last=True))
+        yield made(rows)
+
+    def made(rows):
+        kind = {T.LongType(): pa.int64(), T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
+        columns = [pa.array([r[f.name] for r in rows], kind[f.dataType]) for f in _RECORD]
+        return pa.RecordBatch.from_arrays(columns, _RECORD.names)
+
+    return _lines(spark, path).mapInArrow(parse, _RECORD)
 
 
 def reassembled(spark: SparkSession, path: str) -> DataFrame:
@@ -223,14 +339,15 @@ def reassembled(spark: SparkSession, path: str) -> DataFrame:
     Continuations are grouped by the record they continue, ordered by segment number
     and their total length verified; only segmented records are shuffled.  Columns:
     record_id, record_type, target_uri, refers_to, n_segments, complete, payload,
-    payload_bytes, payload_digest (bare, upper case).  A record with a missing or
-    repeated segment, or of another length than stated, is not complete and its
-    payload columns are null.  A revisit has no payload of its own: its length and
-    digest are those it states.
+    payload_bytes, payload_digest (bare, upper case), error.  A record that could not be
+    read, with a missing or repeated segment, of another length than stated, or with
+    chunks that do not fit, is not complete and its payload columns are null; ``error``
+    says why.  A revisit has no payload of its own: its length and digest are those it
+    states.
     """
     keys = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest"]
     whole = read_warc(spark, path, segmented=False).select(
-        *keys, F.array("block").alias("blocks"), F.lit(True).alias("complete")
+        *keys, F.array("block").alias("blocks"), F.col("error").isNull().alias("complete"), "error"
     )
     origin = F.coalesce("origin_id", "record_id")
     head = F.col("segment") == 1
@@ -255,6 +372,7 @@ def reassembled(spark: SparkSession, path: str) -> DataFrame:
         *keys[1:],
         F.transform("parts", lambda p: p["block"]).alias("blocks"),
         F.coalesce(complete, F.lit(False)).alias("complete"),
+        F.when(~F.coalesce(complete, F.lit(False)), "segments that do not make a whole").alias("error"),
     )
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in keys[:-1]]
@@ -264,6 +382,7 @@ def reassembled(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("payload", T.BinaryType()),
             T.StructField("payload_bytes", T.LongType()),
             T.StructField("payload_digest", T.StringType()),
+            T.StructField("error", T.StringType()),
         ]
     )
 
@@ -273,18 +392,23 @@ def reassembled(spark: SparkSession, path: str) -> DataFrame:
             payloads, sizes, digests = [], [], []
             blocks, stated = columns["blocks"].to_pylist(), columns["payload_digest"].to_pylist()
             kinds, fine = columns["record_type"].to_pylist(), columns["complete"].to_pylist()
-            for parts, digest, kind, good in zip(blocks, stated, kinds, fine):
+            errors = columns["error"].to_pylist()
+            for i, (parts, digest, kind) in enumerate(zip(blocks, stated, kinds)):
                 payload = n = own = None
-                if good:
-                    payload, n = http_payload(b"".join(parts), kind == "revisit")
-                    own = (digest or "").removeprefix("sha1:") if payload is None else payload_digest(payload)
+                if fine[i]:
+                    try:
+                        payload, n = http_payload(b"".join(parts), kind == "revisit")
+                        own = (digest or "").removeprefix("sha1:") if payload is None else payload_digest(payload)
+                    except ValueError as problem:
+                        fine[i], errors[i] = False, f"chunked framing: {problem}"
                 payloads.append(payload)
                 sizes.append(n)
                 digests.append(own)
             yield pa.RecordBatch.from_arrays(
                 [columns[k] for k in keys[:-1]]
-                + [pa.array(map(len, blocks), pa.int64()), columns["complete"],
-                   pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
+                + [pa.array(map(len, blocks), pa.int64()), pa.array(fine, pa.bool_()),
+                   pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
+                   pa.array(errors, pa.string())],
                 schema.names,
             )
 
