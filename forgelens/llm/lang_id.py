@@ -3,6 +3,7 @@
 import math
 import re
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of the training sample, per language: distinct texts looked at, and bytes
-#: of the dictionary made from them.  Only texts up to SAMPLE_TEXT bytes are taken.
+#: of the dictionary made from them.  Of a text above SAMPLE_TEXT bytes a piece of
+#: SAMPLE_PIECE characters is taken, from a place that its hash names.
 SAMPLE_TEXTS = 600
 DICTIONARY_BYTES = 1 << 17
 SAMPLE_TEXT = 1 << 14
+SAMPLE_PIECE = 1 << 13
 LEVEL = 6
 BLOCK = 1 << 13  # bytes compressed at once, so that the dictionary stays in reach
 MARGIN = 0.005  # least gain over the second language, as a share of its size
@@ -30,18 +33,19 @@ def letters(text: str) -> bytes:
 def fit_dictionaries(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, bytes]:
-    """A raw-content dictionary per language from a bounded sample of whole texts.
+    """A raw-content dictionary per language from a bounded sample of texts.
 
     The sample is chosen by the hash of the text, about SAMPLE_TEXTS distinct texts per
     language, whatever the size of the table and however often a text is repeated; a
-    language that gets none so takes the texts of its smallest hashes.  The driver
-    holds the sample and two counts per language.  Languages come in descending number
-    of rows.  Rows with a null text or language are not learned from.
+    language that gets none so takes the texts of its smallest hashes.  Short texts are
+    taken whole, of long ones a piece, so that every labelled language is learned.
+    Dictionaries are put together on the executors; the driver holds them, DICTIONARY_BYTES
+    a language at most, and two counts per language.  Languages come in descending number
+    of rows.  Rows with a null or empty text or without a language are not learned from.
     """
     text = F.col(text_col).cast("string")
     rows = labelled.select(F.col(lang_col).alias("lang"), text.alias("text"))
-    size = F.octet_length("text")
-    rows = rows.where("lang IS NOT NULL").where((size > 0) & (size <= SAMPLE_TEXT))
+    rows = rows.where("lang IS NOT NULL").where(F.octet_length("text") > 0)
     h = F.xxhash64("text")
     found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("d")).collect()
     if not found:
@@ -52,18 +56,36 @@ def fit_dictionaries(
     for r in found:
         share = math.ceil(_STEPS * SAMPLE_TEXTS / max(r["d"], 1))
         chosen |= (F.col("lang") == r["lang"]) & (slot < min(_STEPS, share))
-    texts = lambda of: of.groupBy("lang", h.alias("h")).agg(F.max("text").alias("t"))
-    sample = texts(rows.where(chosen)).collect()
-    for lang in sorted(counts.keys() - {r["lang"] for r in sample}):
-        least = texts(rows.where(F.col("lang") == lang)).orderBy(F.pmod("h", F.lit(_STEPS)), "h")
-        sample += least.limit(SAMPLE_TEXTS).collect()
+    made = dict(_dictionaries(_pieces(rows.where(chosen), h)))
+    for lang in sorted(counts.keys() - made.keys()):
+        least = _pieces(rows.where(F.col("lang") == lang), h).orderBy(F.pmod("h", F.lit(_STEPS)), "h")
+        made |= dict(_dictionaries(least.limit(SAMPLE_TEXTS)))
     frequent = sorted(counts, key=lambda lang: (-counts[lang], lang))
-    made: dict[str, bytearray] = {lang: bytearray() for lang in frequent}
-    for row in sorted(sample, key=lambda r: (r["lang"], r["h"])):
-        data = letters(row["t"])
-        if len(made[row["lang"]]) + len(data) <= DICTIONARY_BYTES:
-            made[row["lang"]] += data
-    return {lang: bytes(data) for lang, data in made.items() if data}
+    return {lang: made[lang] for lang in frequent if made.get(lang)}
+
+
+def _pieces(rows: DataFrame, h) -> DataFrame:
+    """(lang, h, t): the distinct texts, long ones cut to a piece where they are read."""
+    length = F.char_length("text")
+    start = (F.pmod(h, F.greatest(length - SAMPLE_PIECE, F.lit(0)) + 1) + 1).cast("int")
+    short = (F.octet_length("text") <= SAMPLE_TEXT) | (length <= SAMPLE_PIECE)
+    piece = F.when(short, F.col("text")).otherwise(F.substring("text", start, F.lit(SAMPLE_PIECE)))
+    return rows.groupBy("lang", h.alias("h")).agg(F.max(piece).alias("t"))
+
+
+def _dictionaries(sample: DataFrame) -> list[tuple]:
+    """(language, dictionary) from the texts of a sample, each made in one task."""
+
+    def build(texts: pd.DataFrame) -> pd.DataFrame:
+        data = bytearray()
+        for text in texts.sort_values("h")["t"]:
+            more = letters(text)
+            if len(data) + len(more) <= DICTIONARY_BYTES:
+                data += more
+        return pd.DataFrame({"lang": texts["lang"].iloc[:1], "dictionary": [bytes(data)]})
+
+    schema = T.StructType([sample.schema["lang"], T.StructField("dictionary", T.BinaryType())])
+    return [(r["lang"], bytes(r["dictionary"])) for r in sample.groupBy("lang").applyInPandas(build, schema).collect()]
 
 
 class Classifier:

@@ -3,9 +3,11 @@
 import math
 import os
 import random
+import re
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from forgelens.llm import lang_id
@@ -63,6 +65,55 @@ def test_a_language_without_a_sample_takes_its_smallest_hashes(spark, monkeypatc
     assert fit_dictionaries(high) == {"xx": lang_id.letters(least)}
 
 
+def test_languages_with_long_texts_only_are_learned(spark):
+    rng = random.Random(2)
+    es = ["el", "perro", "corre", "por", "la", "calle", "y", "no", "vuelve", "nunca", "más"]
+    long = [" ".join(rng.choice(es) for _ in range(5000)) for _ in range(2)]
+    assert min(len(t.encode()) for t in long) > lang_id.SAMPLE_TEXT
+    docs = frame(spark, [(0, "the dog runs along the street", "en", "s"), (1, long[0], "es", "s"), (2, long[1], "es", "s"),
+                         (3, "日本語の文章です。" * 9000, "ja", "s")])
+    made = fit_dictionaries(docs)
+    assert list(made) == ["es", "en", "ja"]
+    assert all(len(d) <= lang_id.DICTIONARY_BYTES for d in made.values())
+    # pieces of whole texts, from different places
+    assert made["es"].decode().strip()[3:-3] not in long[0] and len(made["es"]) > 10_000
+    test = frame(spark, [(9, "la calle por la que corre el perro", None, "s"), (8, "日本語の文章", None, "s")])
+    assert {r.doc_id: r.lang_pred for r in identify_languages(test, made).collect()} == {9: "es", 8: "ja"}
+
+
+def test_many_languages(spark):
+    docs = spark.range(3000).selectExpr(
+        "id as doc_id", "concat('w', id % 150, ' x', id % 150, ' text ', id) as text", "concat('l', id % 150) as lang"
+    )
+    made = fit_dictionaries(docs)
+    assert len(made) == 150 and all(" w " in d.decode() for d in made.values())
+
+
+@needs_tables
+def test_sizes_are_those_of_plain_zstandard(spark):
+    """Predictions of whole texts, from the compressed sizes of a plain zstandard compressor."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    dictionaries = fit_dictionaries(docs.where(~held_out()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for row in QUERIES["op2_language_id"](spark, SF_DIR).where("doc_id % 7 = 0").collect():
+        data = " " + re.sub(r"[\W\d_]+", " ", (texts[row.doc_id] or "").lower()).strip() + " "
+        if not data.strip():
+            assert row.lang_pred == "und"
+            continue
+        raw = data.encode()
+        sizes = {}
+        for lang, words in dictionaries.items():
+            known = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(
+                lang_id.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False
+            )
+            pack = zstandard.ZstdCompressor(compression_params=params, dict_data=known).compress
+            step = lang_id.BLOCK
+            sizes[lang] = sum(len(pack(b"0" * 32 + raw[i : i + step])) for i in range(0, len(raw), step))
+        # the compressor's tables may be laid out for the dictionary, which moves a size by a few bytes
+        assert sizes[row.lang_pred] <= min(sizes.values()) * 1.02 + 4
+
+
 def test_languages_of_odd_texts(spark):
     en = " ".join(["the quick brown fox jumps over the lazy dog and runs away"] * 20)
     de = " ".join(["der schnelle braune fuchs springt über den faulen hund und läuft weg"] * 20)
