@@ -305,3 +305,21 @@ AGENT_LABELS = [
     ("reporter_agent", "Reporter Agent"),
     ("critic_agent", "Critic Agent"),
 ]
+
+# Texts of smells, by title; %s is the file or engine, %d a count.
+SMELL_DETAILS = {
+    "God Security Object": "Security file '%s' is very large (%d lines). "
+    "Overloaded security modules are difficult to audit and prone to flaws.",
+    "Legacy Template Engine: ": "Legacy rendering engine '%s' detected in '%s'. "
+    "Older engines have a history of XSS and SSTI vulnerabilities.",
+    "Dynamic SQL Construction": "Raw SQL queries constructed via concatenation or string formatting in '%s'. "
+    "High risk of SQL injection outside parameterized queries.",
+    "Disabled Security Access Control": "Explicit bypass of access control detected in '%s'. "
+    "Verify that permitAll() does not expose sensitive administration routes.",
+    "Excessive Reflection Usage": "%d dynamic reflection calls detected in '%s'. "
+    "Forced access increases attack surface and hinders static code auditing.",
+    "Density of Weak Cryptography": "%d instances of weak cryptography (MD5, SHA-1, DES, Random) "
+    "scattered across files. Indicates systemic security debt.",
+    "Concentrated Attack Surface Danger": "High density of file uploads (%d) combined with web endpoints (%d). "
+    "A single vulnerability in upload handlers could lead to Remote Code Execution.",
+}

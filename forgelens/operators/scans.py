@@ -174,8 +174,7 @@ def _smell_hits() -> Column:
             "Medium",
             F.lit(GOD_OBJECT),
             F.format_string(
-                "Security file '%s' is very large (%d lines). "
-                "Overloaded security modules are difficult to audit and prone to flaws.",
+                R.SMELL_DETAILS[GOD_OBJECT],
                 path, size,
             ),
         ),
@@ -184,8 +183,7 @@ def _smell_hits() -> Column:
             "Medium",
             F.concat(F.lit(LEGACY_ENGINE), engine),
             F.format_string(
-                "Legacy rendering engine '%s' detected in '%s'. "
-                "Older engines have a history of XSS and SSTI vulnerabilities.",
+                R.SMELL_DETAILS[LEGACY_ENGINE],
                 engine, path,
             ),
         ),
@@ -194,8 +192,7 @@ def _smell_hits() -> Column:
             "High",
             F.lit(DYNAMIC_SQL),
             F.format_string(
-                "Raw SQL queries constructed via concatenation or string formatting in '%s'. "
-                "High risk of SQL injection outside parameterized queries.",
+                R.SMELL_DETAILS[DYNAMIC_SQL],
                 path,
             ),
         ),
@@ -204,8 +201,7 @@ def _smell_hits() -> Column:
             "High",
             F.lit(OPEN_ACCESS),
             F.format_string(
-                "Explicit bypass of access control detected in '%s'. "
-                "Verify that permitAll() does not expose sensitive administration routes.",
+                R.SMELL_DETAILS[OPEN_ACCESS],
                 path,
             ),
         ),
@@ -214,8 +210,7 @@ def _smell_hits() -> Column:
             "Medium",
             F.lit(REFLECTION),
             F.format_string(
-                "%d dynamic reflection calls detected in '%s'. "
-                "Forced access increases attack surface and hinders static code auditing.",
+                R.SMELL_DETAILS[REFLECTION],
                 reflections, path,
             ),
         ),

@@ -281,16 +281,13 @@ def smells(hits: DataFrame) -> DataFrame:
         .when(
             dense,
             F.format_string(
-                "%d instances of weak cryptography (MD5, SHA-1, DES, Random) "
-                "scattered across files. Indicates systemic security debt.",
+                R.SMELL_DETAILS[DENSITY.title],
                 F.col("n"),
             ),
         )
         .otherwise(
             F.format_string(
-                "High density of file uploads (%d) combined with web endpoints (%d). "
-                "A single vulnerability in upload handlers could lead to "
-                "Remote Code Execution.",
+                R.SMELL_DETAILS[CONCENTRATION.title],
                 F.col("uploads"), F.col("endpoints"),
             )
         )

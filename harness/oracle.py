@@ -134,15 +134,34 @@ N_LINES = (
 )
 
 
+def filled(template: str, values: list[str]) -> str:
+    """A text with SQL expressions in place of its %s and %d."""
+    pieces = re.split("%[sd]", template)
+    parts = [text(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [f"CAST(({value}) AS VARCHAR)", text(piece)]
+    return "(" + " || ".join(parts) + ")"
+
+
 def smell_rows(files: str) -> str:
     keyword = " OR ".join(f"contains(lower(path), '{k}')" for k in R.SECURITY_PATH_KEYWORDS)
     engine = "CASE " + " ".join(
         f"WHEN {has('content', p, 'i')} THEN '{n}'" for p, n in R.LEGACY_ENGINES
     ) + " END"
-    one = lambda severity, title, condition: (
-        f"SELECT repo, '{severity}' AS severity, {title} AS title, path AS file "
-        f"FROM {files} WHERE content <> '' AND {condition}"
-    )
+    reflections = f"len(regexp_extract_all(content, {text(R.REFLECTION_REGEX)}))"
+    shown = {
+        "God Security Object": ["path", N_LINES], "Legacy Template Engine: ": [engine, "path"],
+        "Excessive Reflection Usage": [reflections, "path"],
+    }
+
+    def one(severity, title, condition):
+        name = title.split("'")[1]
+        return (
+            f"SELECT repo, '{severity}' AS severity, {title} AS title, path AS file, "
+            f"{filled(R.SMELL_DETAILS[name], shown.get(name, ['path']))} AS detail "
+            f"FROM {files} WHERE content <> '' AND {condition}"
+        )
+
     return " UNION ALL ".join(
         [
             one("Medium", "'God Security Object'", f"({keyword}) AND {N_LINES} > 500"),
@@ -401,6 +420,11 @@ CTES = {
     "secrets": secret_rows("secret_files"),
     "deep_lines": f"SELECT *, {LANGUAGE} AS language FROM ({lines_of('deep_files')})",
     "dangers": dangerous_rows("deep_lines"),
+    "all_blobs": "SELECT repo, path, content FROM files WHERE kind = 'blob'",
+    "listed": f"""
+        SELECT repo, path, pos FROM (SELECT source AS repo, doc_id,
+          {pick(S.DIRECTORIES)} || {STEM} || {pick(S.EXTENSIONS)} AS path, -doc_id AS pos FROM documents)
+        WHERE {NUM} % 2 = 0 AND doc_id % 5 = 0""",
     "surface": surface_rows("deep_files"),
     "surface_counts": surface_pivot("surface"),
     "file_smells": smell_rows("deep_files"),
@@ -743,6 +767,56 @@ QUERIES = {
     "smells": """
         SELECT repo, severity, title, file FROM file_smells
         UNION ALL SELECT repo, severity, title, NULL FROM repo_smells""",
+    "smell_details": f"""
+        SELECT repo, severity, title, detail, file FROM file_smells
+        UNION ALL SELECT t.repo, 'High', 'Density of Weak Cryptography',
+          {filled(R.SMELL_DETAILS["Density of Weak Cryptography"], ["n"])}, NULL
+        FROM tallies t JOIN (SELECT repo, count(*) AS n FROM dangers WHERE owasp LIKE 'A02%' GROUP BY repo) d ON d.repo = t.repo
+        WHERE density = 1
+        UNION ALL SELECT t.repo, 'High', 'Concentrated Attack Surface Danger',
+          {filled(R.SMELL_DETAILS["Concentrated Attack Surface Danger"], ["t.file_uploads", "t.rest_endpoints"])}, NULL
+        FROM tallies t WHERE danger = 1""",
+    "secret_scan_listed": f"""
+        SELECT s.repo, s.path, s.lineno, s.pattern, s.snippet FROM ({secret_rows("all_blobs")}) s JOIN (
+          SELECT repo, path FROM listed QUALIFY row_number() OVER (PARTITION BY repo ORDER BY pos) <= 5
+          UNION ALL SELECT repo, path FROM files WHERE {SECRET_OK} AND repo NOT IN (SELECT repo FROM listed)
+          QUALIFY row_number() OVER (PARTITION BY repo ORDER BY {DEPTH}, path) <= 5) c
+        ON c.repo = s.repo AND c.path = s.path""",
+    "quality_findings_skill": """
+        SELECT repo, path AS file, 'cyclomatic_complexity' AS smell_type,
+          CASE WHEN complexity > 15 THEN 'MAJEUR' ELSE 'MINEUR' END AS severity,
+          CAST(lineno AS BIGINT) AS line, CAST(complexity AS DOUBLE) AS measured_value, CAST(1 AS BIGINT) AS n_occurrences
+        FROM blocks WHERE kind <> 'nested' AND complexity > 10
+        UNION ALL SELECT repo, path, 'long_function', CASE WHEN length > 100 THEN 'MAJEUR' ELSE 'MINEUR' END, lineno, length, 1
+          FROM blocks WHERE kind <> 'class' AND length > 50
+        UNION ALL SELECT repo, path, 'low_documentation', 'MINEUR', NULL, documentation_ratio, 1
+          FROM doc_ratios WHERE documentation_ratio < 30
+        UNION ALL SELECT repo, path, 'todo_accumulation', 'MINEUR', NULL, todo + fixme + xxx, 1
+          FROM markers WHERE todo + fixme + xxx > 5
+        UNION ALL SELECT repo, file, 'duplication', 'MAJEUR', NULL, max(similarity_percent),
+          CAST(sum(n_pairs) AS BIGINT) FROM py_counted WHERE similarity_percent > 80 GROUP BY repo, file
+        UNION ALL SELECT repo, NULL, 'no_tests', 'CRITIQUE', NULL, 0.0, 1 FROM py_files
+          GROUP BY repo HAVING NOT bool_or(contains(lower(path), 'test'))""",
+    "event_log": """
+        SELECT CASE WHEN ok THEN 's' || conv_id END AS session, CASE WHEN ok THEN turn END AS seq,
+          CASE WHEN ok THEN role END AS author,
+          CASE WHEN ok AND role = 'assistant' THEN 'tool_' || (turn % 3) END AS tool,
+          CASE WHEN ok THEN coalesce(text || chr(10), '') || 'end' END AS text,
+          CASE WHEN ok THEN coalesce(role = 'assistant', false) END AS is_final,
+          CASE WHEN ok AND role = 'assistant' THEN 'tool_' || (turn % 3) || ',tool_' || (turn % 3) END AS tools,
+          CASE WHEN ok AND conv_id % 5 = 0 THEN '{"usage":"' || (turn * 10) || '"}' END AS rescued,
+          CASE WHEN kind = 1 THEN substring(line, 1, 30) WHEN kind = 2 THEN replace(line, '"session":', '"sesion":')
+            WHEN kind = 3 THEN replace(line, '"seq":', '"seq":"x"') END AS bad_line,
+          CASE kind WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'no session' WHEN 3 THEN 'no JSON object' END AS error
+        FROM (SELECT *, kind = 0 AS ok,
+            '{"session":"s' || conv_id || '","seq":' || turn || coalesce(',"author":"' || role || '"', '') ||
+            coalesce(',"is_final":' || (role = 'assistant'), '') || ',"content":{"parts":[{' ||
+            coalesce('"text":' || to_json(text), '') || '},{' ||
+            CASE WHEN role = 'assistant' THEN '"function_call":{"name":"tool_' || (turn % 3) || '"}' ELSE '' END ||
+            '},{"text":"end"' ||
+            CASE WHEN role = 'assistant' THEN ',"function_call":{"name":"tool_' || (turn % 3) || '"}' ELSE '' END || '}]}' ||
+            CASE WHEN conv_id % 5 = 0 THEN ',"usage":' || (turn * 10) ELSE '' END || '}' AS line
+          FROM (SELECT *, CASE WHEN turn = 1 AND conv_id % 7 IN (1, 2, 3) THEN conv_id % 7 ELSE 0 END AS kind FROM conversations))""",
     "owasp_coverage": _owasp_rows(),
     "owasp_findings": """
         SELECT repo, owasp AS category, 'Detected' AS type,
@@ -932,6 +1006,20 @@ QUERIES = {
 }
 
 
+QUERIES["report_text"] = f"""
+    WITH_LINES SELECT repo, place, text FROM (
+      SELECT repo, CAST(0 AS BIGINT) AS place, '# Security report: ' || repo AS text FROM explained
+      UNION ALL SELECT repo, 1000, '## Summary' FROM explained
+      UNION ALL SELECT repo, 1001, summary FROM ({QUERIES['repo_security_report']})
+      UNION ALL SELECT repo, 2000, '## Security Score' FROM explained
+      UNION ALL SELECT repo, 2001, '**' || score || '/30** — risk level **' || risk || '**' FROM explained
+      UNION ALL SELECT repo, 2002, explanation FROM explained
+      UNION ALL SELECT DISTINCT repo, 3000, '## Heaviest Factors' FROM ({QUERIES['top_negative_factors']})
+      UNION ALL SELECT repo, 3000 + rank, rank || '. ' || factor FROM ({QUERIES['top_negative_factors']})
+      UNION ALL SELECT repo, 4000, '## OWASP Top 10' FROM explained
+      UNION ALL SELECT repo, 4000 + CAST(regexp_extract(category, '([0-9]+)', 1) AS BIGINT), '- ' || category || ': ' || status
+      FROM ({QUERIES['owasp_coverage']}))""".replace("WITH_LINES ", "")
+
 QUERIES["file_hotspot_analysis"] = (
     f"SELECT q.*, h.* EXCLUDE (repo, path) FROM ({QUERIES['file_quality']}) q "
     f"JOIN ({QUERIES['hotspots']}) h ON h.repo = q.repo AND h.path = q.path"

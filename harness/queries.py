@@ -1,5 +1,7 @@
 """Registered queries: every operator over the audit tables of ``tables``."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from forgelens.operators import (
 )
 from forgelens.plans.actions import action_plan
 from forgelens.plans.audit import AuditOptions, SecurityAudit
+from forgelens.plans.report_text import report_lines
+from forgelens.sources.events import read_event_log
+from forgelens.sources.materialize import shared_folder
+from forgelens.sources.sinks import write_reports
 from forgelens.streaming.churn import churn_windows
 
 from . import tables as T
@@ -104,6 +110,41 @@ def smells(spark, d) -> DataFrame:
     return tallies.smells(scans.scan_files(_deep_files(spark, d), kinds)).drop("detail")
 
 
+def smell_details(spark, d) -> DataFrame:
+    kinds = [scans.DANGEROUS, scans.SURFACE, scans.SMELL]
+    return tallies.smells(scans.scan_files(_deep_files(spark, d), kinds))
+
+
+def secret_scan_listed(spark, d) -> DataFrame:
+    """Listed files, whatever their path, in place of the selection of their repositories."""
+    files = selection.select_files(
+        T.code_files(spark, d), selection.secret_candidate(F.col("path")), max_files=5, paths=T.listed_paths(spark, d)
+    )
+    return scans.secret_scan(files)
+
+
+def quality_findings_skill(spark, d) -> DataFrame:
+    """The second grid, which also asks for tests."""
+    files = T.py_files(spark, d)
+    duplicates = duplication.Duplication(files).by_family()
+    return quality.quality_findings(_parsed(spark, d), duplicates, listing.has_tests(files), "skill")
+
+
+def event_log(spark, d) -> DataFrame:
+    """Events written as JSON lines and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/event-log-{uuid.uuid4().hex}"
+    T.event_lines(spark, d).write.text(path)
+    events = read_event_log(spark, path)
+    return events.withColumn("tools", F.array_join("tools", ","))
+
+
+def report_text(spark, d) -> DataFrame:
+    """Report lines, written by the sink and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    write_reports(report_lines(_audit(spark, d)), path)
+    return spark.read.parquet(f"{path}/lines")
+
+
 def owasp_coverage(spark, d) -> DataFrame:
     return _audit(spark, d).owasp_coverage()
 
@@ -196,7 +237,9 @@ QUERIES = {
     "attack_surface_rating": lambda s, d: tallies.attack_surface_rating(
         T.repos(s, d), _files(s, d)
     ),
+    "secret_scan_listed": secret_scan_listed,
     "smells": smells,
+    "smell_details": smell_details,
     # audit
     "owasp_coverage": owasp_coverage,
     "owasp_findings": lambda s, d: _audit(s, d).owasp_findings(),
@@ -236,6 +279,7 @@ QUERIES = {
     ),
     "file_quality": lambda s, d: quality.file_quality(_parsed(s, d)),
     "quality_findings": _quality,
+    "quality_findings_skill": quality_findings_skill,
     "debt_score": lambda s, d: quality.debt_score(T.repos(s, d), _quality(s, d)),
     "duplication_pairs": lambda s, d: duplication.similar_pairs(T.text_files(s, d)),
     "duplication_classes": lambda s, d: duplication.Duplication(T.text_files(s, d)).classes(),
@@ -248,6 +292,8 @@ QUERIES = {
     "report_sections": lambda s, d: reports.report_sections(T.reports(s, d)),
     "report_tabs": lambda s, d: reports.report_tabs(T.reports(s, d)),
     "report_consistency": report_consistency,
+    "report_text": report_text,
+    "event_log": event_log,
     "agent_timeline": lambda s, d: agents.agent_timeline(T.agent_events(s, d)),
     "agent_tools": lambda s, d: agents.agent_tools(T.tool_events(s, d)),
     "session_transcript": lambda s, d: agents.session_transcript(T.agent_events(s, d)),

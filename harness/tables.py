@@ -151,6 +151,13 @@ def specs(number: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(24)), line)
 
 
+def listed_paths(spark, sf_dir) -> DataFrame:
+    """Every fifth document of even repositories as a file to analyse, the last ones first."""
+    return read(spark, sf_dir, "documents").where((repo_number(F.col("source")) % 2 == 0) & (F.col("doc_id") % 5 == 0)).select(
+        F.col("source").alias("repo"), code_path(F.col("doc_id")).alias("path"), (-F.col("doc_id")).alias("pos")
+    )
+
+
 def repos(spark, sf_dir) -> DataFrame:
     number = repo_number(F.col("repo"))
     return repo_names(spark, sf_dir).select(
@@ -335,6 +342,32 @@ def advisories(spark, sf_dir) -> DataFrame:
     )
 
 
+def event_lines(spark, sf_dir) -> DataFrame:
+    """Conversation turns as JSON lines of runner events, some of them broken or with other fields."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    part = lambda text, call: F.struct(text.alias("text"), call.alias("function_call"))
+    none = F.lit(None).cast("string")
+    call = F.when(F.col("role") == "assistant", F.struct(F.concat(F.lit("tool_"), turn % 3).alias("name")))
+    parts = F.array(part(F.col("text"), F.lit(None).cast("struct<name:string>")), part(none, call), part(F.lit("end"), call))
+    event = F.struct(
+        F.concat(F.lit("s"), conv).alias("session"),
+        turn.alias("seq"),
+        F.col("role").alias("author"),
+        (F.col("role") == "assistant").alias("is_final"),
+        F.struct(parts.alias("parts")).alias("content"),
+        F.when(conv % 5 == 0, turn * 10).alias("usage"),
+    )
+    line = F.to_json(event)
+    broken = (
+        F.when(conv % 7 == 1, F.substring(line, 1, 30))
+        .when(conv % 7 == 2, F.replace(line, F.lit('"session":'), F.lit('"sesion":')))
+        .when(conv % 7 == 3, F.replace(line, F.lit('"seq":'), F.lit('"seq":"x"')))
+    )
+    return read(spark, sf_dir, "conversations").select(
+        F.coalesce(F.when(turn == 1, broken), line).alias("line")
+    )
+
+
 def agent_events(spark, sf_dir) -> DataFrame:
     """Conversation turns as text events of an agent session."""
     role = F.col("role")

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from forgelens.operators import scans
@@ -5,7 +7,8 @@ from forgelens.plans.audit import SecurityAudit
 from forgelens.sources import files as sources
 from forgelens.sources.advisories import read_advisories
 from forgelens.sources.materialize import materialize
-from forgelens.sources.sinks import write_reports, write_tables
+from forgelens.sources.events import parse_events, read_event_log
+from forgelens.sources.sinks import read_report, write_reports, write_tables
 from forgelens.streaming.incremental import file_stream, scan_new_files
 
 BYTES = [b"plain", b"caf\xc3\xa9", b"a\xff\xfeb", b"\xe2\x28\xa1", b"\xef\xbf\xbd\xffx", b""]
@@ -51,15 +54,60 @@ def _no_advisories(spark):
 
 
 def test_sinks_and_table_sources(spark, make_files, tmp_path):
-    reports = spark.createDataFrame([("o/r", "# T\nx")], "repo string, text string")
-    write_reports(reports, str(tmp_path / "md"))
-    back = spark.read.text(str(tmp_path / "md"), wholetext=True)
-    assert [(r.value, r.repo) for r in back.collect()] == [("# T\nx\n", "o/r")]
     write_tables({"files": make_files([("a.py", "eval(x)")])}, str(tmp_path / "tables"))
     files = sources.read_files(spark, str(tmp_path / "tables/files"))
     assert scans.dangerous_scan(files).count() == 1
 
 
+def test_reports_stand_in_files_of_bounded_size(spark, tmp_path):
+    lines = spark.range(600).selectExpr(
+        "concat('o/r', id % 40) as repo", "id div 40 as place", "concat('line ', id) as text"
+    )
+    hot = spark.range(400).selectExpr("'o/hot' as repo", "id as place", "concat('hot ', id) as text")
+    path = str(tmp_path / "out")
+    index = write_reports(lines.unionByName(hot).repartition(5), path, rows_per_file=100)
+    files = spark.read.parquet(f"{path}/lines").groupBy(F.col("_metadata.file_name")).count().collect()
+    assert max(r["count"] for r in files) <= 100 and len(files) < 30
+    assert sum(r.n_lines for r in index.collect()) == 1000
+    assert index.where("repo = 'o/hot'").count() >= 4
+    assert read_report(spark, path, "o/hot") == "".join(f"hot {i}\n" for i in range(400))
+    assert read_report(spark, path, "o/r7") == "".join(f"line {7 + 40 * i}\n" for i in range(15))
+    assert read_report(spark, path, "o/none") is None
+    empty = str(tmp_path / "empty")
+    assert write_reports(lines.limit(0), empty).count() == 0 and read_report(spark, empty, "x") is None
+
+
+EVENTS = [
+    '{"session":"a","seq":1,"author":"scanner","is_final":false,"content":{"parts":[{"function_call":{"name":"t1","args":{"x":1}}},{"text":"one"},{"text":"two"}]}}',
+    '{"session":"a","seq":"2","is_final":true,"content":{"parts":[{"text":"é\\nx"}]},"usage":{"n":[1,2]},"id":"e"}',
+    '{"session":"b","seq":3,"is_final":"maybe","content":"plain text"}',
+    '{"session":7,"seq":4}',
+    '{"seq":5}', '{"session":"a","seq":1.5}', '{"session":"a","seq":null}', "[1]", "oops", '{"session":"a","seq":6', "null",
+    "", "   ", '{"session":"a","seq":7}\r',
+]
+
+
+def test_event_logs(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text("\n".join(EVENTS[:6]) + "\n")
+    (tmp_path / "more.jsonl").write_text("\n".join(EVENTS[6:]))
+    rows = read_event_log(spark, str(tmp_path)).collect()
+    good = {(r.session, r.seq): r for r in rows if r.error is None}
+    assert good.keys() == {("a", 1), ("a", 2), ("b", 3), ("7", 4), ("a", 7)}
+    first, second, third = good[("a", 1)], good[("a", 2)], good[("b", 3)]
+    assert (first.author, first.text, first.tool, first.tools, first.is_final) == ("scanner", "one\ntwo", "t1", ["t1"], False)
+    assert (second.author, second.text, second.tool, second.is_final) == (None, "é\nx", None, True)
+    assert json.loads(second.rescued) == {"usage": '{"n":[1,2]}', "id": "e"} and first.rescued is None
+    assert json.loads(third.rescued) == {"is_final": "maybe", "content": "plain text"} and third.text is None
+    bad = {r.bad_line: r.error for r in rows if r.error is not None}
+    assert bad == {
+        '{"seq":5}': "no session", '{"session":"a","seq":1.5}': "no whole number as seq",
+        '{"session":"a","seq":null}': "no whole number as seq", "[1]": "no JSON object", "oops": "no JSON object",
+        '{"session":"a","seq":6': "no JSON object", "null": "no JSON object",
+    }
+    assert all(r.session is None and r.text is None for r in rows if r.error is not None)
+    assert parse_events(spark.createDataFrame([], "line string")).count() == 0
+
+
 def test_advisory_files(spark, tmp_path):
     document = '{"id":"O-%s",\n"affected":[{"package":{"ecosystem":"PyPI","name":"p"}}]}'
     for name in "ab":
