@@ -126,6 +126,23 @@ def repo_dependencies(
     return parsed if max_deps is None else first_dependencies(parsed, max_deps)
 
 
+def scanned_dependencies(
+    hits: DataFrame, files: DataFrame, max_deps: int | None = None
+) -> DataFrame:
+    """S4b + F5 from the lines that a content scan has brought along.
+
+    Of the dependency files of a repository that ``files`` lists, the first in the order
+    of the security analysis counts; only paths are read for that.
+    """
+    picked = dependency_file(files, R.DEPENDENCY_FILES_SECURITY)
+    lines = hits.select(
+        "repo", F.col("key").alias("dep_file"), F.col("lineno").cast("int").alias("pos"), F.col("text").alias("line")
+    )
+    chosen = lines.join(picked.withColumnRenamed("filename", "dep_file"), ["repo", "dep_file"], "left_semi")
+    parsed = parse_dependency_lines(chosen)
+    return parsed if max_deps is None else first_dependencies(parsed, max_deps)
+
+
 def rated_advisories(advisories: DataFrame) -> DataFrame:
     """every advisory once with its severity, before it meets any dependency."""
     found = S.advisory_json_severity(F.col("raw_json"))

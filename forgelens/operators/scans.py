@@ -15,6 +15,7 @@ from ..functions import text as T
 
 SECRET, DANGEROUS, SURFACE, SMELL = "secret", "dangerous", "surface", "smell"
 ALL_KINDS = (SECRET, DANGEROUS, SURFACE, SMELL)
+DEPENDENCY = "dependency"  # lines of dependency files, read in the same pass
 HIT_ARRAY = "array<struct<kind:string,key:string,severity:string,lineno:bigint,text:string>>"
 
 GOD_OBJECT = "God Security Object"
@@ -24,12 +25,15 @@ OPEN_ACCESS = "Disabled Security Access Control"
 REFLECTION = "Excessive Reflection Usage"
 
 
-def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=False) -> DataFrame:
+def scan_files(
+    files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=False, specs: Column | None = None
+) -> DataFrame:
     """One pass over ``files(repo, path, content)``; one row per hit.
 
     Result: repo, path, kind, key, severity, lineno, text.  ``applies`` maps a
     kind to a condition on the file, for kinds that cover fewer files than the
-    input holds.
+    input holds.  ``specs`` is the array of requirement lines of a dependency file, for
+    the kind of these, which needs a condition.
     """
     applies = applies or {}
     conditions = [c.alias(f"_on_{kind}") for kind, c in applies.items()]
@@ -40,11 +44,12 @@ def scan_files(files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=Fals
         DANGEROUS: _dangerous_hits,
         SURFACE: _surface_hits,
         SMELL: _smell_hits,
+        DEPENDENCY: lambda: _dependency_hits(specs),
     }
     parts = []
     for kind in kinds:
         hits = builders[kind]()
-        if kind in applies and kind in (SURFACE, SMELL):
+        if kind in applies and kind in (SURFACE, SMELL, DEPENDENCY):
             hits = F.when(F.col(f"_on_{kind}"), hits)
         parts.append(F.coalesce(hits, F.array().cast(HIT_ARRAY)))
     all_hits = F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -152,6 +157,13 @@ def _surface_hits() -> Column:
     )
 
 
+def _dependency_hits(specs: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.transform(
+        specs, lambda line, i: _hit(DEPENDENCY, F.col("path"), none, i, line)
+    )
+
+
 def _smell_hits() -> Column:
     path, content = F.col("path"), F.col("content")
 

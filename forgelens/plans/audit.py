@@ -26,9 +26,10 @@ class AuditOptions:
 class SecurityAudit:
     """C3 and C4 over ``repos``, ``files`` and ``advisories``.
 
-    The content of every selected file is read once for all scans
-    (:attr:`hits`), and :attr:`counts` brings everything down to one row per
-    repository.  All members are lazy DataFrames.
+    The content of every selected file is read once for all scans and for dependency
+    lists (:attr:`scanned`), and :attr:`counts` brings everything down to one row per
+    repository.  All members are lazy DataFrames; :meth:`with_hits_written` keeps what
+    was read for all of them.
 
     ``paths(repo, path, pos)`` names the files to analyse for some
     repositories; the others keep the automatic selection.
@@ -47,16 +48,21 @@ class SecurityAudit:
         self.active_maintenance = (
             F.lit(True) if active_maintenance is None else active_maintenance
         )
-        self.dependencies = D.repo_dependencies(
-            files, options.max_deps, options.dependency_lines
-        )
         self.rated_advisories = D.rated_advisories(advisories)
-        self.hits = scans.scan_files(
-            self._selected(),
-            applies=scans.applies_by_flag(),
-            strict_mask=options.strict_mask,
-        )
-        self.counts = self._counts()
+        self._use(self._scan(self._selected()))
+
+    def _scan(self, selected: DataFrame) -> DataFrame:
+        """Hits of all kinds and the lines of dependency files, from one pass over content."""
+        kinds = (*scans.ALL_KINDS, scans.DEPENDENCY)
+        specs = D.dependency_specs(F.col("path"), F.col("content"), self.options.dependency_lines)
+        applies = scans.applies_by_flag() | {scans.DEPENDENCY: F.col("for_dependencies")}
+        return scans.scan_files(selected, kinds, applies, self.options.strict_mask, specs)
+
+    def _use(self, scanned: DataFrame, tallied: DataFrame | None = None) -> None:
+        listed = F.col("kind") == scans.DEPENDENCY
+        self.scanned, self.hits = scanned, scanned.where(~listed)
+        self.dependencies = D.scanned_dependencies(scanned.where(listed), self.files, self.options.max_deps)
+        self.counts = self._counts(tallies.tally_hits(self.hits) if tallied is None else tallied)
 
     # -- inputs -----------------------------------------------------------
 
@@ -65,9 +71,14 @@ class SecurityAudit:
         path, options = F.col("path"), self.options
         blobs = selection.blobs(self.files)
         secret, deep = selection.secret_candidate(path), selection.deep_candidate(path)
+        lists = {"for_dependencies": path.isin(R.PARSED_DEPENDENCY_FILES)}
         if self.paths is None and options.max_secret_files is options.max_deep_files is None:
-            return selection.flagged(self.files)
-        return blobs.join(self._chosen_paths(secret, deep), ["repo", "path"])
+            flags = {"for_secrets": secret, "for_deep": deep} | lists
+            return blobs.withColumns(flags).where("for_secrets OR for_deep OR for_dependencies")
+        flags = ["for_secrets", "for_deep"]
+        listed = selection.blobs(self.files.select("repo", "path", "kind")).where(lists["for_dependencies"])
+        chosen = self._chosen_paths(secret, deep).join(listed.drop("kind"), ["repo", "path"], "full")
+        return blobs.join(chosen.na.fill(False, flags), ["repo", "path"]).withColumns(lists)
 
     def _chosen_paths(self, secret: Column, deep: Column) -> DataFrame:
         """repo, path, for_secrets, for_deep; only path columns are read for it."""
@@ -145,14 +156,14 @@ class SecurityAudit:
             self.dependencies, self.rated_advisories, self.options.critical_label
         )
 
-    def _counts(self) -> DataFrame:
+    def _counts(self, tallied: DataFrame) -> DataFrame:
         zeros = [
             "packages_checked", "n_cves", "n_critical_cves", "n_vulnerable_packages",
             "files_scanned", "files_analyzed",
         ]
         zero = F.lit(0).cast("bigint")
         return (
-            tallies.complete(self.repos, tallies.tally_hits(self.hits))
+            tallies.complete(self.repos, tallied)
             .join(self.cves(), "repo", "left")
             .join(self._file_facts(), "repo", "left")
             .withColumns(
@@ -167,6 +178,14 @@ class SecurityAudit:
             )
         )
 
+    def with_hits_written(self) -> "SecurityAudit":
+        """The same audit with its hits and dependency lines written once.
+
+        Content is read by that write alone, whatever results are asked for.
+        """
+        self._use(materialize(self.scanned, "audit-hits"))
+        return self
+
     def with_counts_written(self) -> "SecurityAudit":
         """The same audit with its one row per repository written once.
 

@@ -1006,6 +1006,7 @@ QUERIES = {
 }
 
 
+QUERIES["updated_report"] = QUERIES["repo_security_report"]
 QUERIES["report_text"] = f"""
     WITH_LINES SELECT repo, place, text FROM (
       SELECT repo, CAST(0 AS BIGINT) AS place, '# Security report: ' || repo AS text FROM explained

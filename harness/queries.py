@@ -20,9 +20,10 @@ from forgelens.operators import (
 )
 from forgelens.plans.actions import action_plan
 from forgelens.plans.audit import AuditOptions, SecurityAudit
+from forgelens.plans.incremental import AuditState
 from forgelens.plans.report_text import report_lines
 from forgelens.sources.events import read_event_log
-from forgelens.sources.materialize import shared_folder
+from forgelens.sources.materialize import materialize, shared_folder
 from forgelens.sources.sinks import write_reports
 from forgelens.streaming.churn import churn_windows
 
@@ -30,7 +31,8 @@ from . import tables as T
 
 
 def _audit(spark, d, options=AuditOptions()) -> SecurityAudit:
-    return SecurityAudit(T.repos(spark, d), T.code_files(spark, d), T.advisories(spark, d), options)
+    audit = SecurityAudit(T.repos(spark, d), T.code_files(spark, d), T.advisories(spark, d), options)
+    return audit.with_hits_written()
 
 
 def _secret_files(spark, d) -> DataFrame:
@@ -149,6 +151,17 @@ def owasp_coverage(spark, d) -> DataFrame:
     return _audit(spark, d).owasp_coverage()
 
 
+def updated_report(spark, d) -> DataFrame:
+    """The report after two updates: an earlier state of the files, then the files as they are."""
+    folder, files = shared_folder(spark), T.code_files(spark, d)
+    state = AuditState(spark)
+    for version in (T.earlier_files(files), files):
+        version = materialize(version, "files")
+        listing = version.withColumn("content_hash", F.sha2("content", 256))
+        state = state.update(listing, lambda asked, v=version: v.join(asked, ["repo", "path"], "left_semi"), folder)
+    return state.audit(T.repos(spark, d), T.advisories(spark, d)).report()
+
+
 def first_dependencies(spark, d) -> DataFrame:
     found = deps.repo_dependencies(T.code_files(spark, d), max_deps=20)
     return found.select("repo", "package", "version")
@@ -249,6 +262,7 @@ QUERIES = {
     "findings_by_severity": lambda s, d: _audit(s, d).findings_by_severity(),
     "security_totals": lambda s, d: _audit(s, d).totals(),
     "repo_security_basic": lambda s, d: _audit(s, d).basic_report(),
+    "updated_report": updated_report,
     "repo_security_report": lambda s, d: _audit(s, d).report(),
     # dependencies
     "dependencies": lambda s, d: _order_deps(s, d).select("repo", "pos", "package", "version"),

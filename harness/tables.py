@@ -112,6 +112,22 @@ def code_files(spark, sf_dir) -> DataFrame:
     )
 
 
+def earlier_files(files: DataFrame) -> DataFrame:
+    """The files before some were added, edited and moved, and before others were deleted."""
+    kind = F.pmod(F.xxhash64("repo", "path"), F.lit(10))
+    blob = F.col("kind") == "blob"
+    root = ~F.contains("path", F.lit("/"))
+    edited = F.concat(F.lit("password = 'hunter22'" + LF + "x==1.0" + LF), F.col("content"))
+    before = files.where((kind != 0) | ~blob).withColumns(
+        {
+            "content": F.when(blob & (kind == 1), edited).otherwise(F.col("content")),
+            "path": F.when(blob & ~root & (kind == 2), F.concat(F.lit("src/old/"), "path")).otherwise(F.col("path")),
+        }
+    )
+    deleted = files.where(blob & (kind == 3)).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    return before.unionByName(deleted)
+
+
 def repo_number(repo: Column) -> Column:
     return F.regexp_extract(repo, r"([0-9]+)$", 1).cast("int")
 
