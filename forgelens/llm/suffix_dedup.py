@@ -81,22 +81,21 @@ def _run_rows(texts: DataFrame, length: int, bits: int) -> DataFrame:
                     np.uint64, len(first),
                 )
                 width = last - first + 1
-                # 50 bits of the run's hash, its width and where its anchor stands
-                x = (name << np.uint64(14)).astype(np.int64) | width << 7 | place - first
-                parts.append((h.astype(np.int64), x, (doc << bits) + first, width + length - 1))
+                # the run's hash in x; its width and where its anchor stands in y
+                y = width << 7 | place - first
+                parts.append((h.astype(np.int64), name.astype(np.int64), y, (doc << bits) + first, width + length - 1))
             if not parts:
                 continue
-            g, x, pos, size = map(np.concatenate, zip(*parts))
+            g, x, y, pos, size = map(np.concatenate, zip(*parts))
             order = np.argsort(pos, kind="stable")
-            g, x, pos, size = g[order], x[order], pos[order], size[order]
-            same = mixed(g.astype(np.uint64) + x.astype(np.uint64) * np.uint64(_BASE))
-            order = np.argsort(same, kind="stable")
-            ranked = same[order]
-            again = np.concatenate([[False], ranked[1:] == ranked[:-1]])
+            g, x, y, pos, size = (c[order] for c in (g, x, y, pos, size))
+            order = np.argsort(mixed(g.astype(np.uint64) + x.astype(np.uint64) * np.uint64(_BASE)), kind="stable")
+            equal = [c[order][1:] == c[order][:-1] for c in (g, x, y)]
+            again = np.concatenate([[False], equal[0] & equal[1] & equal[2]])
             later = np.zeros(len(g), bool)
             later[order[again]] = True
             begin, end = merged(pos[later], pos[later] + size[later])
-            yield _batch([g[~later], x[~later], np.zeros((~later).sum(), np.int64), pos[~later], size[~later]])
+            yield _batch([c[~later] for c in (g, x, y, pos, size)])
             spread = mixed(begin.astype(np.uint64)).astype(np.int64)
             yield _batch([spread, np.zeros_like(begin), np.full_like(begin, _COVERED), begin, end - begin])
 
@@ -174,7 +173,7 @@ def _cell_rows(texts: DataFrame, left: DataFrame, length: int, bits: int) -> Dat
     which of the cell's positions the run has.
     """
     start = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1))
-    runs = left.select(F.shiftright("pos", bits).alias("_doc"), F.struct(start.alias("s"), "g", "x").alias("r"))
+    runs = left.select(F.shiftright("pos", bits).alias("_doc"), F.struct(start.alias("s"), "g", "y").alias("r"))
     runs = runs.groupBy("_doc").agg(F.collect_list("r").alias("runs"))
     joined = texts.join(runs, "_doc").select("_doc", "_z", "runs")
     shared = length - CELL + 1
@@ -185,7 +184,7 @@ def _cell_rows(texts: DataFrame, left: DataFrame, length: int, bits: int) -> Dat
             for doc, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 data, made = unpack(packed), []
                 for run in runs:
-                    width, at = run["x"] >> 7 & 127, run["x"] & 127
+                    width, at = run["y"] >> 7 & 127, run["y"] & 127
                     anchor, seed = run["s"] + at, run["g"] & (1 << 63) - 1
                     lo = at - width + 1  # bytes in front of the anchor: lo to at
                     for cell in range(lo // CELL, at // CELL + 1):
@@ -236,7 +235,9 @@ def remove_repeats(
     end).  Texts shorter than ``length`` keep everything; an empty table gives no rows.
 
     Texts cross the network compressed, twice; all ranking moves rows of five numbers.
-    Strings are told apart by hashes of 64 bits and more, at most within one anchor.
+    Strings are told apart by hashes of 64 bits and more within one anchor, itself known
+    by 64.  Ids may be of any kind that can be sorted; a text so long, and so many
+    documents, that their places do not fit in 62 bits are refused.
     """
     if not 2 * ANCHOR <= length <= ANCHOR + 127:
         raise ValueError(f"length must be from {2 * ANCHOR} to {ANCHOR + 127}")
@@ -247,11 +248,15 @@ def remove_repeats(
         F.min("_id").alias("lo"), F.max("_id").alias("hi"),
     ).first()
     bits = int(facts["longest"] or 1).bit_length()
-    plain = facts["n"] == facts["ids"] and max(abs(facts["lo"] or 0), abs(facts["hi"] or 0)) < 1 << (62 - bits)
+    whole = isinstance(base.schema["_id"].dataType, T.IntegralType)
+    plain = whole and facts["n"] == facts["ids"] and max(abs(facts["lo"] or 0), abs(facts["hi"] or 0)) < 1 << (62 - bits)
     if plain:
         base = base.withColumn("_doc", F.col("_id").cast("bigint"))
     else:
         base = _numbered(base)
+        last = base.agg(F.max("_doc").alias("m")).first()["m"] or 0
+        if last >= 1 << (62 - bits):
+            raise OverflowError(f"{last + 1} documents with texts of up to {facts['longest']} bytes")
     texts = base.select("_doc", F.col("_text").cast("binary").alias("_text"))
     packed = _packed(texts)
 

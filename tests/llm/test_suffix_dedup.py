@@ -94,3 +94,10 @@ def test_empty_table(spark):
 def test_query_equals_table_of_all_strings(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").select("doc_id", "text")
     assert got(QUERIES["op3_suffix_dedup"](spark, SF_DIR)) == expected(map(tuple, docs.collect()))
+
+
+def test_ids_that_are_no_numbers(spark):
+    passage = "a passage that stands in two documents " * 4
+    docs = spark.createDataFrame([("b", f"x{passage}"), ("a", f"{passage}y"), ("c", "short"), (None, passage)], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()}
+    assert got["a"] < len(passage) and got["b"] >= len(passage) and got["c"] == 0 and got[None] == len(passage)
