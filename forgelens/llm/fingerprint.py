@@ -14,6 +14,7 @@ from .store import shuffle_partitions
 
 SHINGLE = 16  # bytes, a power of two
 SCALE = 4  # one shingle hash in so many is kept
+LEAST = 8  # the smallest hashes, kept whatever they are, so that every text has some
 _BASE = 0x9E3779B97F4A7C15
 _LEAST = -(1 << 63)
 
@@ -37,22 +38,39 @@ def shingle_hashes(data: bytes) -> np.ndarray:
     return h
 
 
+def _kept(h: np.ndarray, scale: int) -> np.ndarray:
+    """Of ascending distinct hashes those below 2^64 / scale, and the LEAST smallest."""
+    n = int(np.searchsorted(h, np.uint64((1 << 64) // scale - 1), side="right"))
+    return h[: max(n, LEAST)]
+
+
 def sketch(data: bytes, scale: int = SCALE) -> np.ndarray:
-    """All distinct shingle hashes below 2^64 / scale, ascending.
+    """All distinct shingle hashes below 2^64 / scale, and the smallest few in any case, ascending.
 
-    Whether a hash is kept depends on nothing but the hash, so the sketch of a union
-    is the union of the sketches and sets of very unequal size can be compared.
+    Whether a hash below the bound is kept depends on nothing but the hash, and the
+    smallest of a union are among the smallest of its parts, so :func:`merge` gives the
+    sketch of a union and sets of very unequal size can be compared.
     """
-    h = shingle_hashes(data)
-    return np.unique(h[h <= np.uint64((1 << 64) // scale - 1)])
+    return _kept(np.unique(shingle_hashes(data)), scale)
+
+
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sketch of the union of two sets of shingles, from theirs."""
+    return _kept(np.union1d(a, b), scale)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def _reach(h: np.ndarray, scale: int) -> int:
+    """Up to which hash a sketch holds all that its text has."""
+    if len(h) < LEAST:
+        return (1 << 64) - 1
+    return max((1 << 64) // scale - 1, int(h[-1]))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Share of a's shingles that b has; None if the sketch of ``a`` is empty."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """Share of a's shingles that b has, from the hashes that both sketches would hold;
+    None if ``a`` has none of these."""
+    both = np.uint64(min(_reach(a, scale), _reach(b, scale)))
+    a = a[: np.searchsorted(a, both, side="right")]
     if not len(a):
         return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
@@ -66,12 +84,8 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), "<u8").astype(np.uint64)
 
 
-def _likeness(a, b, text: str, other: str) -> float:
-    if text == other:
-        return 1.0
-    if not len(a):  # too short to estimate, and so short enough to compare whole
-        a, b = (sketch(t.encode("utf-8", "surrogatepass"), 1) for t in (text, other))
-    return containment(a, b) or 0.0
+def _likeness(a, b, same: bool, scale: int) -> float:
+    return 1.0 if same else containment(a, b, scale) or 0.0
 
 
 def edited_text(text: str, following: str) -> str:
@@ -89,9 +103,9 @@ def fingerprint_with_edits(
     near_next).  Rows are taken in descending id (equal ids by descending text, nulls
     last; a null text counts as empty); the next of the last is the first.  A
     fingerprint lists the sketch in base64.  Likeness is the estimated containment of
-    the document's shingles in the other's; 1 for equal texts.  Where the document's
-    sketch is empty it is the exact containment of all shingles; an empty text has none,
-    and 0.  An empty table gives no rows.
+    the document's shingles in the other's, from the two sketches; 1 for equal texts, and
+    0 where an empty text, which alone has an empty sketch, is compared with another.  An
+    empty table gives no rows.
 
     Texts are shuffled once, to ranges of ids.  The first row of each range is also
     sent to the range that precedes it, where the last row needs it; only these first
@@ -155,7 +169,7 @@ def fingerprint_with_edits(
         changed = sketch(data, scale)
         return (
             key, len(text), hashlib.sha256(data).hexdigest(), to_text(mine), to_text(changed),
-            _likeness(mine, changed, text, edited), _likeness(mine, next_sketch, text, next_text),
+            _likeness(mine, changed, text == edited, scale), _likeness(mine, next_sketch, text == next_text, scale),
         )
 
     def walk(batches):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from forgelens.llm.fingerprint import (
-    SCALE, SHINGLE, containment, edited_text, fingerprint_with_edits, from_text, merge, sketch, shingle_hashes, to_text,
+    LEAST, SCALE, SHINGLE, _kept, containment, edited_text, fingerprint_with_edits, from_text, merge, sketch, shingle_hashes, to_text,
 )
 
 SCHEMA = "doc_id bigint, text string, n_chars string, fingerprint string, _n string, _to string"
@@ -90,7 +90,6 @@ def test_likeness_is_near_exact_containment(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in fingerprint_with_edits(docs).collect()}
     errors: dict = {size: [] for size in allowed}
-    empty = 0
     for i, text in enumerate(texts):
         following = texts[i - 1]
         pairs = ((got[i].near_edited, edited_text(text, following)), (got[i].near_next, following))
@@ -98,10 +97,9 @@ def test_likeness_is_near_exact_containment(spark):
         for near, other in pairs:
             exact = len(a & set(shingle_hashes(other.encode()).tolist())) / len(a)
             errors[size_of[i]].append(near - exact)
-            if not got[i].fingerprint:  # nothing to estimate from
-                empty += 1
-                assert near == exact
-    assert empty
+    # no text of any length shares its fingerprint with another, or with an empty one
+    assert all(r.fingerprint for r in got.values())
+    assert len({r.fingerprint for r in got.values()}) == len(set(texts))
     for size, bound in allowed.items():
         assert np.sqrt(np.mean(np.square(errors[size]))) < bound, size
 
@@ -113,6 +111,16 @@ def test_one_row_and_no_rows(spark):
     assert fingerprint_with_edits(one.limit(0)).count() == 0
 
 
+def test_merge_is_the_sketch_of_the_union():
+    rng = random.Random(21)
+    for n in (1, 5, 9, 20, 300):
+        for m in (1, 7, 40, 2000):
+            a, b = (rng.randbytes(k + SHINGLE - 1) for k in (n, m))
+            joined = np.union1d(shingle_hashes(a), shingle_hashes(b))
+            assert merge(sketch(a), sketch(b)).tolist() == _kept(joined, SCALE).tolist()
+            assert containment(sketch(a), sketch(a)) == 1.0 and len(sketch(a)) >= min(n, LEAST)
+
+
 def test_scale_one_keeps_all():
     data = b"some text of some length"
     assert len(sketch(data, 1)) >= len(set(shingle_hashes(data).tolist())) - 1
