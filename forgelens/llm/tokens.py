@@ -21,7 +21,10 @@ _PLAIN = "A-Za-z0-9À-ÖØ-öø-įı-ɏ"
 _SAFE = re.compile(rf"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_PLAIN}])(?=[,.])")
 _IRREGULAR = re.compile(rf"\s\s|[^{_PLAIN}][,.]|\x01|\A[,.\s]|\s\Z")
 MAX_PIECES = 1 << 20
-BATCH_CHARS = 1 << 20
+MAX_BYTES = 1 << 26  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
+PIECE_BYTES = 160  # that a piece takes beside its characters and ids
+LONG_PIECE = 64  # characters of a piece that is forgotten after its batch
+BATCH_BYTES = 1 << 20
 SLOT_BITS = 20
 LONGEST = 255  # bytes of a piece that is known by its hashes
 _NONE = np.zeros(0, np.int64)
@@ -96,17 +99,20 @@ class _Numbers(dict):
 
     def __init__(self):
         self.new = []
+        self.given = 0
 
     def __missing__(self, key):
-        number = self[key] = len(self)
+        number = self[key] = self.given
+        self.given += 1
         self.new.append(key)
         return number
 
 
 class BatchEncoder:
-    """Encodes batches of texts; the ids of up to ``max_pieces`` pieces are kept."""
+    """Encodes batches of texts; the ids of up to ``max_pieces`` pieces, and of about
+    ``max_bytes`` bytes of them, are kept from batch to batch."""
 
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,13 +122,13 @@ class BatchEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.model._resize_cache(0)  # pieces are kept here
-        self.max_pieces = max_pieces
+        self.max_pieces, self.max_bytes = max_pieces, max_bytes
         self.folds = _folds(rules)
         self._reset()
 
     def _reset(self):
         self.numbers = _Numbers()
-        self.known = 0
+        self.known = self.held = 0
         self.lengths = np.zeros(1 << 12, np.int32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
@@ -150,11 +156,17 @@ class BatchEncoder:
             )
             self.used += total
             self.known += len(found)
+            self.held += 4 * total + PIECE_BYTES * len(batch)
+            for piece in batch:
+                if len(piece) > LONG_PIECE:  # hardly met again
+                    del self.numbers[piece]
+                else:
+                    self.held += len(piece)
         new.clear()
 
     def _pieces(self, texts):
         """Piece numbers of the texts, and how many belong to each text."""
-        if len(self.numbers) > self.max_pieces:
+        if self.numbers.given > self.max_pieces or self.held > self.max_bytes:
             self._reset()
         raw = [(t or "").encode() for t in texts]
         odd = irregular(raw)
@@ -275,11 +287,11 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return totals[ends] - totals[ends - counts]
 
 
-def by_size(texts: list, most: int = BATCH_CHARS):
-    """Consecutive slices of about equal size; a text above it is a slice alone."""
+def by_size(texts: list, most: int = BATCH_BYTES):
+    """Consecutive slices of about equal UTF-8 size; a text above it is a slice alone."""
     start = size = 0
     for i, text in enumerate(texts):
-        n = len(text or "")
+        n = 0 if not text else len(text) if text.isascii() else len(text.encode())
         if i > start and size + n > most:
             yield texts[start:i]
             start, size = i, 0

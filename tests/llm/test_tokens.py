@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from forgelens.llm import tokens
 from forgelens.llm.packing import binary_pieces, pack_power_of_two
 from forgelens.llm.store import shared_path
 from forgelens.llm.token_counts import token_counts
@@ -126,3 +127,26 @@ def test_empty_tables(spark):
     path = shared_path(spark, "test-empty")
     write_token_files(empty, path, FILES[1], 2)
     assert read_token_files(spark, path).count() == 0
+
+
+def test_kept_pieces_are_bounded_in_bytes():
+    """Text without spaces is one long piece each: it is not kept, and ids are within the bound."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(60)]
+    texts += [f"word{rng.randrange(10**9)} and word{rng.randrange(10**9)}" for _ in range(3000)]
+    encoder = tokens.BatchEncoder(path, max_bytes=1 << 16)
+    library = Tokenizer.from_file(path)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        counts = encoder.counts(some)
+        assert counts.tolist() == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+        assert max(map(len, encoder.numbers), default=0) <= tokens.LONG_PIECE
+        assert encoder.held < (1 << 16) + 400_000
+    ids, counts = encoder.encode(texts[:40] * 2)
+    assert ids.tolist() == [i for e in library.encode_batch(texts[:40] * 2, add_special_tokens=False) for i in e.ids]
+
+
+def test_batches_go_by_bytes():
+    texts = ["a" * 50, "語" * 50, None, "", "é" * 200, "b" * 50, "c" * 40]
+    assert [len(s) for s in tokens.by_size(texts, 200)] == [4, 1, 2]
