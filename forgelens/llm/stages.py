@@ -29,7 +29,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str | None =
         F.col(id_col).alias("id"),
         text.alias("text"),
         F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"),
-        F.struct(*rest).alias("rest"),
+        # as text: rows with maps and other values that have no order can be ranked too
+        (F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")).alias("rest"),
         *source,
     )
 
@@ -43,7 +44,7 @@ def _with(rows: DataFrame, found: DataFrame, *more) -> DataFrame:
 
 
 def _numbered(joined: DataFrame, *keys: str) -> DataFrame:
-    """Numbers rows that the keys do not tell apart from 1, in the order of the rest."""
+    """Numbers rows that the keys do not tell apart from 1, in the order of the rest as JSON."""
     return joined.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("rest")))
 
 

@@ -114,3 +114,10 @@ def test_run_is_the_stages_in_a_row(spark):
     want = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in stages.packed(frame).collect())
     got = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF_DIR).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_map_columns(spark, docs, name, stage):
+    mapped = docs.selectExpr("*", "map('k', doc_id, 'n', null) as meta", "map(struct(1, 2), array(map(1, 2))) as odd")
+    out = stage(spark, mapped.limit(60), SF_DIR)
+    assert out.count() > 0 and (name == "packing" or out.schema == mapped.schema)
