@@ -21,7 +21,7 @@ _PLAIN = "A-Za-z0-9À-ÖØ-öø-įı-ɏ"
 _SAFE = re.compile(rf"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_PLAIN}])(?=[,.])")
 _IRREGULAR = re.compile(rf"\s\s|[^{_PLAIN}][,.]|\x01|\A[,.\s]|\s\Z")
 MAX_PIECES = 1 << 20
-MAX_BYTES = 1 << 26  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
+MAX_BYTES = 3 << 26  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
 PIECE_BYTES = 160  # that a piece takes beside its characters and ids
 LONG_PIECE = 64  # characters of a piece that is forgotten after its batch
 BATCH_BYTES = 1 << 20
