@@ -10,6 +10,7 @@ from .store import save
 STEPS = 50  # halvings of the exponent's interval
 DIGITS = 6  # of the exponent that are kept
 PER_BUCKET = 256  # rows of a source that one bucket of its permutation should hold
+LEVEL = 3  # hash digits of a bucket that one running sum goes over
 
 
 def words(text: Column) -> Column:
@@ -96,6 +97,31 @@ def source_weights(
     )
 
 
+def _before_buckets(sums: DataFrame, digits: int) -> DataFrame:
+    """(_key, epoch, _bucket, _before): a source's tokens in the buckets before each one.
+
+    Summed level by level over groups of ``LEVEL`` hash digits, the first ones first, so
+    that no window holds more than 16 ** LEVEL rows, however many buckets a source has.
+    """
+    group = ["_key", "epoch"]
+    prefixes = [F.substring("_bucket", 1, min(d, digits)) for d in range(LEVEL, digits + LEVEL, LEVEL)]
+    placed = sums.withColumn("_before", F.lit(0).cast("bigint"))
+    for level, prefix in enumerate(prefixes or [F.col("_bucket")]):
+        above = prefixes[level - 1] if level else F.lit("")
+        totals = sums.groupBy(*group, above.alias("_above"), prefix.alias("_at")).agg(
+            F.sum("_in_bucket").alias("_total")
+        )
+        order = Window.partitionBy(*group, "_above").orderBy("_at")
+        totals = totals.select(*group, "_at", (F.sum("_total").over(order) - F.col("_total")).alias("_more"))
+        placed = (
+            placed.withColumn("_at", prefix)
+            .join(totals, [*group, "_at"])
+            .withColumn("_before", F.col("_before") + F.col("_more"))
+            .drop("_at", "_more")
+        )
+    return placed.select(*group, "_bucket", "_before")
+
+
 def temperature_mix(
     docs: DataFrame,
     target_entropy: float = 0.95,
@@ -106,6 +132,7 @@ def temperature_mix(
     id_cols: tuple[str, ...] = ("doc_id",),
     source_col: str = "source",
     text_col: str = "text",
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """The documents in the order in which a mixture of their sources is read.
 
@@ -119,14 +146,23 @@ def temperature_mix(
     Null sources are a source of their own; null and empty texts count one token,
     their end.  Repeated rows are separate documents.  An empty table gives no rows.
 
+    ``tokens_col`` names a column with the documents' token counts, such as n_tokens of
+    :func:`~forgelens.llm.token_counts.token_counts`; null or negative ones count 0, and
+    the end is added here.  Without it a document's words are counted, which makes little
+    of scripts without spaces.
+
     The permutation is the order of md5(seed, epoch, first id).  Its running token
-    count is summed over buckets of that hash first and inside buckets then, so a
-    source with most of the rows is spread like all others.
+    count is summed over buckets of that hash first, level by level, and inside buckets
+    then, so a source with most of the rows is spread like all others.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    if tokens_col is None:
+        tokens = words(F.col(text_col).cast("string"))
+    else:
+        tokens = F.greatest(F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)), F.lit(0)) + 1
     rows = docs.select(
-        *id_cols, F.col(source_col).alias("source"), key.alias("_key"), words(F.col(text_col).cast("string")).alias("tokens")
-    )
+        *id_cols, F.col(source_col).alias("source"), key.alias("_key"), tokens.alias("tokens")
+    )
     rows = save(rows, "mix-tokens")
     per_source = rows.groupBy(F.col("_key").alias("source")).agg(
         F.sum("tokens").alias("source_tokens"), F.count("*").alias("n")
@@ -148,9 +184,8 @@ def temperature_mix(
         .withColumn("_bucket", F.substring("_hash", 1, digits) if digits else F.lit(""))
     )
     bucket = ["_key", "epoch", "_bucket"]
-    sums = readings.groupBy(*bucket).agg(F.sum("tokens").alias("_in_bucket"))
-    over_buckets = Window.partitionBy("_key", "epoch").orderBy("_bucket")
-    sums = sums.withColumn("_before", F.sum("_in_bucket").over(over_buckets) - F.col("_in_bucket"))
+    in_buckets = save(readings.groupBy(*bucket).agg(F.sum("tokens").alias("_in_bucket")), "mix-buckets")
+    sums = _before_buckets(in_buckets, digits)
     inside = Window.partitionBy(*bucket).orderBy("_hash", *id_cols, "tokens")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = (
@@ -160,7 +195,7 @@ def temperature_mix(
         - F.col("tokens")
     )
     placed = (
-        readings.join(sums.drop("_in_bucket"), bucket)
+        readings.join(sums, bucket)
         .withColumn("start", start)
         .where("start < quota")
         .withColumn("block", F.expr("start div per_block"))

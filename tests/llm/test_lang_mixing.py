@@ -195,6 +195,27 @@ def test_readings_follow_the_weights(spark, monkeypatch, per_bucket):
     assert set(blocks) == set(range(len(blocks)))
 
 
+@pytest.mark.parametrize("per_bucket", [1, 4])
+def test_running_sums_by_level_are_those_of_one_window(spark, monkeypatch, per_bucket):
+    import forgelens.llm.mixing as module
+
+    docs = frame(spark, made())
+    order = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    whole = order(temperature_mix(docs, 0.97, 3.0, 1.0, 500).collect())
+    monkeypatch.setattr(module, "PER_BUCKET", per_bucket)
+    for level in (1, 2, 3):
+        monkeypatch.setattr(module, "LEVEL", level)
+        assert order(temperature_mix(docs, 0.97, 3.0, 1.0, 500).collect()) == whole
+
+
+def test_mixing_by_given_token_counts(spark):
+    rows = [(i, "日本語" * 50, "ja", "a" if i % 3 else "b") for i in range(30)]
+    docs = frame(spark, rows).withColumn("n", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id") - 2))
+    got = temperature_mix(docs, tokens_col="n").collect()
+    assert {(r.doc_id, r.tokens) for r in got} <= {(i, 1 if i < 3 else i - 1) for i in range(30)}
+    assert any(r.tokens > 20 for r in got)
+
+
 def test_mixing_edge_cases(spark):
     empty = frame(spark, made()).limit(0)
     assert temperature_mix(empty).count() == 0
