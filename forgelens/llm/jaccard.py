@@ -16,8 +16,9 @@ from .store import save, shuffle_partitions
 #: Jaccard of at least 4/5, in whole numbers: 5 * common >= 4 * union.  The most that
 #: two linked sets of n and m shingles can do with is ceil(4 (n + m) / 9) common ones,
 #: and ceil(4 n / 5) for n alone.
-SLOTS_BITS = 22  # counters of the frequency sketch, one byte each: 4 MiB whatever the input
+SLOTS_BITS = 22  # slots of the frequency sketch, one byte each once added up: 4 MiB
 _BLOCKS = 64
+_PER_DOUBLING = 8  # levels of the sketch from one frequency to twice as much
 LARGEST_LIGHT = 64  # sets above it are never enumerated
 ROUNDS = 24  # pivot rounds at most before what is left in the lists is compared
 PER_POSTING = 0.05  # pairs left for each posting at which pivot rounds may end
@@ -28,62 +29,78 @@ def needed(n):
     return (4 * n + 4) // 5
 
 
-def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """(counters, threshold): saturating counts of shingles by the top bits of their hash.
+def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, frequency): a level of each slot, the top bits of a shingle's hash, and
+    about how often a shingle of that level occurs.
 
-    Built in every task over whole texts, added up block by block in Spark, and of
-    fixed size, so it can be sent to all tasks.  It only orders shingles, rare ones
-    first; any order gives the same links.
+    Slots are counted in every task over whole texts, without a bound, and added up block
+    by block in Spark.  Level 0 are slots that hold no more than chance deals to them;
+    above, levels grow with the logarithm of what a slot holds beyond that, up to
+    2 ** 31, so frequent shingles are told from rare ones at every size of the input.
+    The levels have a fixed size and can be sent to all tasks.  They only order
+    shingles, rare ones first; any order gives the same links.
     """
     size = 1 << SLOTS_BITS
     width = size // _BLOCKS
 
     def count(batches):
-        seen = np.zeros(size, np.uint8)
-        total = 0
+        seen = np.zeros(size, np.uint32)
         for batch in batches:
             for h in shingle_hashes(batch.column(0).to_pylist()):
                 slots = (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
-                total += len(slots)
-                now = seen[slots]
-                seen[slots] = now + (now < 255)  # one text counts once
-        blocks = [seen[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)]
+                seen[slots] += 1  # one text counts once
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blocks = [pack(seen[i * width : (i + 1) * width].tobytes()) for i in range(_BLOCKS)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_BLOCKS), pa.int64()), pa.array(blocks, pa.binary()),
-             pa.array([total] + [0] * (_BLOCKS - 1), pa.int64())],
-            ["block", "counts", "total"],
-        )
+            [pa.array(range(_BLOCKS), pa.int64()), pa.array(blocks, pa.binary())], ["block", "counts"]
+        )
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        total = 0
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for block, counts, n in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sums.setdefault(block, np.zeros(width, np.uint16))
-                np.minimum(own + np.frombuffer(counts, np.uint8), 255, out=own)
-                total += n
+            for block, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                own = sums.setdefault(block, np.zeros(width, np.uint64))
+                own += np.frombuffer(unpack(counts), np.uint32)
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([sums[k].astype(np.uint8).tobytes() for k in keys], pa.binary()),
-             pa.array([total] + [0] * (len(keys) - 1) if keys else [], pa.int64())],
+            [pa.array(keys, pa.int64()), pa.array([sums[k].tobytes() for k in keys], pa.binary()),
+             pa.array([int(sums[k].sum()) for k in keys], pa.int64())],
             ["block", "counts", "total"],
         )
 
-    schema = "block bigint, counts binary, total bigint"
+    schema = "block bigint, counts binary"
     texts = docs.select(F.col(text_col).cast("string").alias("_text"))
-    rows = texts.mapInArrow(count, schema).repartition(_BLOCKS, "block").mapInArrow(add, schema).collect()
-    counters = np.zeros(size, np.uint8)
-    for row in rows:
-        counters[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], np.uint8)
-    mean = sum(row["total"] for row in rows) / size
-    return counters, int(min(254, mean + 6 * mean**0.5 + 8))
+    counted = texts.mapInArrow(count, schema).repartition(_BLOCKS, "block")
+    added = save(counted.mapInArrow(add, f"{schema}, total bigint"), "frequencies")
+    mean = (added.agg(F.sum("total")).first()[0] or 0) / size
+    chance = int(mean + 6 * mean**0.5 + 8)
+
+    def rate(batches):
+        for batch in batches:
+            levels = [slot_levels(np.frombuffer(c, np.uint64), chance).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.binary())], ["block", "levels"])
+
+    levels = np.zeros(size, np.uint8)
+    for row in added.select("block", "counts").mapInArrow(rate, "block bigint, levels binary").collect():
+        levels[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["levels"], np.uint8)
+    frequency = chance + np.exp2((np.arange(256) - 1) / _PER_DOUBLING)
+    frequency[0] = max(1, mean)
+    return levels, frequency
+
+
+def slot_levels(counts: np.ndarray, chance: int) -> np.ndarray:
+    """0 for counts up to ``chance``, above it by the logarithm of the rest."""
+    rest = np.maximum(counts.astype(np.float64) - chance, 0)
+    levels = 1 + np.floor(_PER_DOUBLING * np.log2(np.maximum(rest, 1)))
+    return np.where(rest > 0, np.minimum(levels, 255), 0).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataFrame:
     """Per row: set size, digest of the set, and its first shingles, rare ones first."""
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
-    counters = docs.sparkSession.sparkContext.broadcast(sketch[0])
-    threshold = sketch[1]
+    levels = docs.sparkSession.sparkContext.broadcast(sketch[0])
+    frequency = sketch[1]
     schema = T.StructType(
         [rows.schema[c] for c in carry]
         + [T.StructField(n, T.LongType()) for n in ("n", "set_a", "set_b", "weight")]
@@ -91,19 +108,18 @@ def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataF
     )
 
     def each(batches):
-        frequent = counters.value
+        level_of = levels.value
         for batch in batches:
             sizes, first, second, weights, keys, ends = [], [], [], [], [], [0]
             for h in shingle_sets(batch.column(len(carry)).to_pylist()):
                 n = len(h)
                 a, b = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                seen = frequent[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)]
-                level = np.where(seen <= threshold, 0, seen).astype(np.uint8)
+                level = level_of[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[: min(n, n - needed(n) + 2)]
                 sizes.append(n)
                 first.append(a)
                 second.append(b)
-                weights.append(int(seen[order[:-1]].sum()))
+                weights.append(int(frequency[level[order[:-1]]].sum()))
                 keys.append(h[order].astype(np.int64))
                 ends.append(ends[-1] + len(order))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from forgelens.llm import jaccard
@@ -148,3 +149,25 @@ def test_query_equals_all_pairs(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op8_ngram_jaccard"](spark, SF_DIR).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected(docs)
+
+
+def test_levels_grow_with_counts_at_every_size():
+    for chance in (8, 300, 10**6):
+        counts = chance + np.array([0, 1, 4, 100, 10**4, 10**6, 10**9], np.uint64)
+        levels = jaccard.slot_levels(counts, chance)
+        assert levels[0] == 0 and all(np.diff(levels.astype(int)) > 0)
+    assert jaccard.slot_levels(np.array([2**63], np.uint64), 8)[0] == 255
+
+
+def test_frequent_shingles_are_told_apart_where_every_slot_is_full(spark, monkeypatch):
+    """Slots hold thousands of shingles each; passages of 400 and 4,000 texts still differ."""
+    monkeypatch.setattr(jaccard, "SLOTS_BITS", 8)
+    rng = random.Random(3)
+    often, more = "one two three four five", "six seven eight nine ten"
+    texts = [" ".join(str(rng.random()) for _ in range(100)) for _ in range(5000)]
+    texts += [often] * 400 + [more] * 4000 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    levels, frequency = jaccard.frequency_sketch(docs, "text")
+    slots = [int(next(jaccard.shingle_hashes([t]))[0] >> np.uint64(56)) for t in (often, more)]
+    assert np.median(levels) == 0 and 0 < levels[slots[0]] < levels[slots[1]]
+    assert frequency[levels[slots[1]]] > frequency[levels[slots[0]]] > frequency[0] > 1500
