@@ -16,6 +16,7 @@ from ..functions import text as T
 SECRET, DANGEROUS, SURFACE, SMELL = "secret", "dangerous", "surface", "smell"
 ALL_KINDS = (SECRET, DANGEROUS, SURFACE, SMELL)
 DEPENDENCY = "dependency"  # lines of dependency files, read in the same pass
+LINES = "lines"  # the number of lines, as one row of every text
 HIT_ARRAY = "array<struct<kind:string,key:string,severity:string,lineno:bigint,text:string>>"
 
 GOD_OBJECT = "God Security Object"
@@ -26,18 +27,24 @@ REFLECTION = "Excessive Reflection Usage"
 
 
 def scan_files(
-    files: DataFrame, kinds=ALL_KINDS, applies=None, strict_mask=False, specs: Column | None = None
+    files: DataFrame,
+    kinds=ALL_KINDS,
+    applies=None,
+    strict_mask=False,
+    specs: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One pass over ``files(repo, path, content)``; one row per hit.
 
     Result: repo, path, kind, key, severity, lineno, text.  ``applies`` maps a
     kind to a condition on the file, for kinds that cover fewer files than the
     input holds.  ``specs`` is the array of requirement lines of a dependency file, for
-    the kind of these, which needs a condition.
+    the kind of these, which needs a condition.  ``keep`` names further columns of
+    ``files`` for the result, after the path.
     """
     applies = applies or {}
     conditions = [c.alias(f"_on_{kind}") for kind, c in applies.items()]
-    texts = files.where("content <> ''").select("repo", "path", "content", *conditions)
+    texts = files.where("content <> ''").select("repo", "path", *keep, "content", *conditions)
     flagged = _with_line_flags(G.with_guard_columns(texts), kinds, applies)
     builders = {
         SECRET: lambda: _secret_hits(strict_mask),
@@ -45,6 +52,7 @@ def scan_files(
         SURFACE: _surface_hits,
         SMELL: _smell_hits,
         DEPENDENCY: lambda: _dependency_hits(specs),
+        LINES: _line_number_hits,
     }
     parts = []
     for kind in kinds:
@@ -53,7 +61,7 @@ def scan_files(
             hits = F.when(F.col(f"_on_{kind}"), hits)
         parts.append(F.coalesce(hits, F.array().cast(HIT_ARRAY)))
     all_hits = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return flagged.select("repo", "path", F.inline(all_hits))
+    return flagged.select("repo", "path", *keep, F.inline(all_hits))
 
 
 def applies_by_flag(kinds=ALL_KINDS) -> dict:
@@ -164,6 +172,11 @@ def _dependency_hits(specs: Column) -> Column:
     )
 
 
+def _line_number_hits() -> Column:
+    none = F.lit(None).cast("string")
+    return F.array(_hit(LINES, none, none, T.line_count(F.col("content")), none))
+
+
 def _smell_hits() -> Column:
     path, content = F.col("path"), F.col("content")
 

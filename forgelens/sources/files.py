@@ -35,16 +35,24 @@ def read_trees(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    below = F.substring(F.col("path"), F.lit(len(_qualified(spark, root)) + 2), F.length("path"))
-    parts = F.split(below, "/", 3)
-    inside = F.size(parts) == 3
-    return reader.load(root).where(inside).select(
-        F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("repo"),
-        F.get(parts, F.lit(2)).alias("path"),
+    files = reader.load(root).select(
+        F.col("path").alias("file"),
         F.lit("blob").alias("kind"),
         F.col("length").alias("size_bytes"),
         decode_text(F.col("content")).alias("content"),
     )
+    return _placed(spark, files, root, "file", ["kind", "size_bytes", "content"])
+
+
+def _placed(spark: SparkSession, files: DataFrame, root: str, file: str, columns: list[str]) -> DataFrame:
+    """(repo, path) from the location of a file below the root, and the columns."""
+    below = F.substring(F.col(file), F.lit(len(_qualified(spark, root)) + 2), F.length(file))
+    parts = F.split(below, "/", 3)
+    return files.where(F.size(parts) == 3).select(
+        F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("repo"),
+        F.get(parts, F.lit(2)).alias("path"),
+        *columns,
+    )
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

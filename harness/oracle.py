@@ -738,6 +738,12 @@ QUERIES = {
         WINDOW w AS (PARTITION BY repo ORDER BY {DEPTH}, path) QUALIFY row_number() OVER w <= 20""",
     "analyst_selection": "SELECT * FROM selected",
     "secret_scan": "SELECT * FROM secrets",
+    "secret_scan_long_files": f"""
+        SELECT s.repo, chapter, CAST(before + s.lineno AS BIGINT) AS lineno, pattern, snippet FROM secrets s JOIN (
+          SELECT repo, path, chapter, sum(n) OVER (PARTITION BY repo, chapter ORDER BY path) - n AS before FROM (
+            SELECT repo, path, len(string_split_regex(content, {BREAK})) AS n,
+              coalesce(TRY_CAST(regexp_extract(path, '_([0-9]+)[.]', 1) AS BIGINT) // 10000, -1) AS chapter
+            FROM secret_files)) f ON f.repo = s.repo AND f.path = s.path""",
     "secret_counts": """
         SELECT f.repo, f.path, count(s.pattern) AS finding_count FROM secret_files f
         LEFT JOIN secrets s ON s.repo = f.repo AND s.path = f.path GROUP BY f.repo, f.path""",

@@ -18,11 +18,13 @@ from forgelens.operators import (
     selection,
     tallies,
 )
+from forgelens.operators.long_files import scan_pieces
 from forgelens.plans.actions import action_plan
 from forgelens.plans.audit import AuditOptions, SecurityAudit
 from forgelens.plans.incremental import AuditState
 from forgelens.plans.report_text import report_lines
 from forgelens.sources.events import read_event_log
+from forgelens.sources.long_files import read_long_files
 from forgelens.sources.materialize import materialize, shared_folder
 from forgelens.sources.sinks import write_reports
 from forgelens.streaming.churn import churn_windows
@@ -125,6 +127,20 @@ def secret_scan_listed(spark, d) -> DataFrame:
     return scans.secret_scan(files)
 
 
+def secret_scan_long_files(spark, d) -> DataFrame:
+    """Secrets of files that are read in pieces, numbered over the whole file."""
+    root = f"{shared_folder(spark).rstrip('/')}/long-files-{uuid.uuid4().hex}"
+    T.write_long_files(_secret_files(spark, d), root)
+    found = scans.secret_findings(scan_pieces(read_long_files(spark, root, 0), [scans.SECRET]))
+    return found.select(
+        F.regexp_extract("repo", "^repo=([^/]*)/", 1).alias("repo"),
+        F.regexp_extract("repo", "/chapter=(.*)$", 1).cast("bigint").alias("chapter"),
+        "lineno",
+        "pattern",
+        "snippet",
+    )
+
+
 def quality_findings_skill(spark, d) -> DataFrame:
     """The second grid, which also asks for tests."""
     files = T.py_files(spark, d)
@@ -251,6 +267,7 @@ QUERIES = {
         T.repos(s, d), _files(s, d)
     ),
     "secret_scan_listed": secret_scan_listed,
+    "secret_scan_long_files": secret_scan_long_files,
     "smells": smells,
     "smell_details": smell_details,
     # audit

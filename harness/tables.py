@@ -434,3 +434,12 @@ def reports(spark, sf_dir) -> DataFrame:
         F.concat_ws("/", "source", doc_id.cast("string")).alias("repo"),
         F.when(doc_id % 9 == 0, F.col("text")).otherwise(text).alias("text"),
     )
+
+
+def write_long_files(files: DataFrame, root: str) -> None:
+    """One file for every 10,000 numbers of a repository's paths: its files one after another."""
+    number = F.regexp_extract("path", r"_([0-9]+)[.]", 1)
+    chapter = F.coalesce(F.floor(number.try_cast("bigint") / 10000), F.lit(-1))
+    named = files.select("repo", chapter.alias("chapter"), "path", "content")
+    ordered = named.repartition("repo", "chapter").sortWithinPartitions("repo", "chapter", "path")
+    ordered.drop("path").write.partitionBy("repo", "chapter").text(root)
