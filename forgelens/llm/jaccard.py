@@ -18,6 +18,7 @@ from .store import save, shuffle_partitions
 #: and ceil(4 n / 5) for n alone.
 SLOTS_BITS = 22  # slots of the frequency sketch, one byte each once added up: 4 MiB
 _BLOCKS = 64
+TEXTS = (1 << 16) - 1  # texts that a task counts before it hands its counters on
 _PER_DOUBLING = 8  # levels of the sketch from one frequency to twice as much
 LARGEST_LIGHT = 64  # sets above it are never enumerated
 ROUNDS = 24  # pivot rounds at most before what is left in the lists is compared
@@ -42,18 +43,26 @@ def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
     """
     size = 1 << SLOTS_BITS
     width = size // _BLOCKS
+    most = TEXTS
 
     def count(batches):
-        seen = np.zeros(size, np.uint32)
+        seen, texts = np.zeros(size, np.uint16), 0
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def blocks():
+            packed = [pack(seen[i * width : (i + 1) * width].tobytes()) for i in range(_BLOCKS)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(range(_BLOCKS), pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"]
+            )
+
         for batch in batches:
             for h in shingle_hashes(batch.column(0).to_pylist()):
-                slots = (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
-                seen[slots] += 1  # one text counts once
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blocks = [pack(seen[i * width : (i + 1) * width].tobytes()) for i in range(_BLOCKS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_BLOCKS), pa.int64()), pa.array(blocks, pa.binary())], ["block", "counts"]
-        )
+                if texts == most:  # a text counts once, so no slot has overflowed
+                    yield blocks()
+                    seen[:], texts = 0, 0
+                seen[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)] += 1
+                texts += 1
+        yield blocks()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -61,7 +70,7 @@ def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
         for batch in batches:
             for block, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums.setdefault(block, np.zeros(width, np.uint64))
-                own += np.frombuffer(unpack(counts), np.uint32)
+                own += np.frombuffer(unpack(counts), np.uint16)
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array([sums[k].tobytes() for k in keys], pa.binary()),

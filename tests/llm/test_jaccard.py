@@ -171,3 +171,5 @@ def test_frequent_shingles_are_told_apart_where_every_slot_is_full(spark, monkey
     slots = [int(next(jaccard.shingle_hashes([t]))[0] >> np.uint64(56)) for t in (often, more)]
     assert np.median(levels) == 0 and 0 < levels[slots[0]] < levels[slots[1]]
     assert frequency[levels[slots[1]]] > frequency[levels[slots[0]]] > frequency[0] > 1500
+    monkeypatch.setattr(jaccard, "TEXTS", 100)  # counters handed on in between
+    assert (jaccard.frequency_sketch(docs, "text")[0] == levels).all()
