@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ _PER_DOUBLING = 8  # levels of the sketch from one frequency to twice as much
 LARGEST_LIGHT = 64  # sets above it are never enumerated
 ROUNDS = 24  # pivot rounds at most before what is left in the lists is compared
 PER_POSTING = 0.05  # pairs left for each posting at which pivot rounds may end
+EARLIER = 2  # lists before one in which the last join looks for a pair
 LESS = 0.8  # they also end once a round leaves more than this share of the pairs
 
 
@@ -83,7 +84,8 @@ def frequency_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
     counted = texts.mapInArrow(count, schema).repartition(_BLOCKS, "block")
     added = save(counted.mapInArrow(add, f"{schema}, total bigint"), "frequencies")
     mean = (added.agg(F.sum("total")).first()[0] or 0) / size
-    chance = int(mean + 6 * mean**0.5 + 8)
+    # a few rare shingles above it come late, which costs less than frequent ones below
+    chance = int(mean + 2 * mean**0.5 + 1)
 
     def rate(batches):
         for batch in batches:
@@ -106,20 +108,20 @@ def slot_levels(counts: np.ndarray, chance: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataFrame:
-    """Per row: set size, digest of the set, and its first shingles, rare ones first."""
+    """Per row: set size, digest and parity of the set, and its first shingles, rare ones first."""
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
     levels = docs.sparkSession.sparkContext.broadcast(sketch[0])
     frequency = sketch[1]
     schema = T.StructType(
         [rows.schema[c] for c in carry]
         + [T.StructField(n, T.LongType()) for n in ("n", "set_a", "set_b", "weight")]
-        + [T.StructField("keys", T.ArrayType(T.LongType()))]
+        + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.BinaryType())]
     )
 
     def each(batches):
         level_of = levels.value
         for batch in batches:
-            sizes, first, second, weights, keys, ends = [], [], [], [], [], [0]
+            sizes, first, second, weights, keys, ends, parities = [], [], [], [], [], [0], []
             for h in shingle_sets(batch.column(len(carry)).to_pylist()):
                 n = len(h)
                 a, b = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
@@ -131,10 +133,11 @@ def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataF
                 weights.append(int(frequency[level[order[:-1]]].sum()))
                 keys.append(h[order].astype(np.int64))
                 ends.append(ends[-1] + len(order))
+                parities.append(parity(h))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             numbers = [pa.array(c, pa.int64()) for c in (sizes, first, second, weights)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *numbers, lists], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *numbers, lists, pa.array(parities, pa.binary())], schema.names)
 
     return rows.mapInArrow(each, schema)
 
@@ -201,14 +204,74 @@ def _possible(a: str, b: str) -> Column:
     return (9 * common >= 4 * (na + nb)) & (5 * na >= 4 * nb) & (5 * nb >= 4 * na)
 
 
+def _with_earlier(postings: DataFrame) -> DataFrame:
+    """The postings with the keys of the set's last EARLIER postings before each."""
+    order = Window.partitionBy("row").orderBy(F.desc("rest"), "key")
+    before = [F.lag("key", i).over(order).alias(f"before_{i}") for i in range(1, EARLIER + 1)]
+    return postings.select("*", *before)
+
+
+def _met_earlier(a: str, b: str) -> Column:
+    """Whether two postings of a list stand together in an earlier list of both sets too.
+
+    What is possible in a list is possible in earlier ones, where more shingles follow.
+    Going back from list to list ends at one that has the pair and no such list before it,
+    so leaving out all others loses none, and a pair of long texts is not made again for
+    each of the many keys that it shares.
+    """
+    same = F.lit(False)
+    for i in range(1, EARLIER + 1):
+        for j in range(1, EARLIER + 1):
+            same = same | F.coalesce(F.col(f"{a}.before_{i}") == F.col(f"{b}.before_{j}"), F.lit(False))
+    return same
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = np.sort(np.concatenate([a, b]))
     common = int((both[1:] == both[:-1]).sum())
     return 5 * common >= 4 * (len(both) - common)
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def parity(h: np.ndarray) -> bytes:
+    """Bits by the last bits of the hashes, each set if an odd number of them falls on it.
+
+    Their number is the power of two from twice the set's size on, 64 at least.
+    """
+    size = max(64, 1 << max(2 * len(h) - 1, 0).bit_length())
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At most the number of shingles that one set has and the other has not: each of
+    them turns one bit.  A longer parity is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by the parities of their sets.
+
+    Sets of n and m that link differ in (n + m) / 9 shingles at most, so no link is lost.
+    """
+    left = parities.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x"))
+    right = parities.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y"))
+
+    def near(batches):
+        for batch in batches:
+            sizes, x, y = (c.to_pylist() for c in batch.columns[2:])
+            fine = [9 * apart(i, j) <= n for n, i, j in zip(sizes, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.select("a", "b", F.col("na") + F.col("nb"), "x", "y").mapInArrow(near, "a bigint, b bigint")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, parities: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; texts move for plausible ones only."""
+    pairs = _plausible(pairs, parities)
     left = texts.select(F.col("row").alias("a"), F.col("_z").alias("x"))
     right = texts.select(F.col("row").alias("b"), F.col("_z").alias("y"))
 
@@ -247,7 +310,7 @@ def near_duplicates(
     ends is the cheapest size.  In each list the sets are first compared with one
     pivot; then only sets that are still in different components and can be similar
     by size and place meet, so a list of near copies costs as many rows as it has
-    members.  All comparisons are exact on 64-bit shingle hashes.
+    members.  Pairs are tried on parities of the sets before their texts move.  All comparisons are exact on 64-bit shingle hashes.
     """
     sketch = frequency_sketch(docs, text_col)
     base = docs.select(F.col(id_col).alias("_id"), *carry, F.col(text_col).cast("string").alias("_text"))
@@ -280,7 +343,8 @@ def near_duplicates(
     ).select("row", "_z")
     texts = save(_one_each(texts), "texts")
 
-    found = _compared(postings, texts)
+    parities = save(prefixes.select("row", "n", "parity").join(met, "row"), "parities")
+    found = _compared(postings, texts, parities)
     own = found.select(F.col("node").alias("row"), "component")
     # a class stands for all rows with its set
     classes = classes.join(own, "row", "left").withColumn("component", F.coalesce("component", "row"))
@@ -371,7 +435,7 @@ def _pairs_left(labelled: DataFrame) -> float:
     return lists.agg(F.sum(F.col("c") * F.col("c") - F.col("own")) / 2).first()[0] or 0.0
 
 
-def _compared(postings: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(postings: DataFrame, texts: DataFrame, parities: DataFrame) -> DataFrame:
     """(node, component) of all sets with a link, from their lists."""
     links = None
     tried = None
@@ -391,15 +455,13 @@ def _compared(postings: DataFrame, texts: DataFrame) -> DataFrame:
             F.struct("row", "n", "rest").alias("x"), "y", F.col("component") != F.col("d")
         ).toDF("x", "y", "open")
         fits = members.where(F.col("open") & _possible("x", "y"))
-        fits = fits.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("shared"))
+        fits = fits.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
         if tried is not None:
             fits = fits.join(tried, ["a", "b"], "left_anti")
-        # each set is compared with the pivot it shares most keys with
-        best = fits.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        best = save(best, "pivot-pairs")
-        new = save(_links(best, texts), "pivot-links")
+        fits = save(fits, "pivot-pairs")
+        new = save(_links(fits, texts, parities), "pivot-links")
         links = new if links is None else links.union(new)
-        tried = best if tried is None else tried.union(best)
+        tried = fits if tried is None else tried.union(fits)
         labels = components(links)
         labelled = postings.join(labels, postings["row"] == labels["node"], "left").select(
             "key", "row", "n", "rest", F.coalesce("component", "row").alias("component")
@@ -416,16 +478,17 @@ def _compared(postings: DataFrame, texts: DataFrame) -> DataFrame:
         .where("lo <> hi")
         .select("key")
     )
-    rest = labelled.join(open_lists, "key")
+    rest = _with_earlier(labelled.join(open_lists, "key"))
     x, y = rest.alias("x"), rest.alias("y")
     pairs = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.row") < F.col("y.row"))
         & (F.col("x.component") != F.col("y.component"))
-        & _possible("x", "y"),
+        & _possible("x", "y")
+        & ~_met_earlier("x", "y"),
     ).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
-    last = save(_links(save(pairs, "open-pairs"), texts), "open-links")
+    last = save(_links(save(pairs, "open-pairs"), texts, parities), "open-links")
     return components(links.union(last))

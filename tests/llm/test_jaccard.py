@@ -173,3 +173,28 @@ def test_frequent_shingles_are_told_apart_where_every_slot_is_full(spark, monkey
     assert frequency[levels[slots[1]]] > frequency[levels[slots[0]]] > frequency[0] > 1500
     monkeypatch.setattr(jaccard, "TEXTS", 100)  # counters handed on in between
     assert (jaccard.frequency_sketch(docs, "text")[0] == levels).all()
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        pool = rng.integers(0, 1 << 64, 900, np.uint64, endpoint=False)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 700))) for _ in range(2))
+        assert jaccard.apart(jaccard.parity(a), jaccard.parity(b)) <= len(np.setxor1d(a, b))
+        assert jaccard.apart(jaccard.parity(a), jaccard.parity(a)) == 0
+
+
+def test_last_join_makes_every_pair_and_few_of_them_twice(spark):
+    """Random sets in lists: with and without the look at earlier lists the same pairs meet."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for row in range(60):
+        keys = rng.choice(40, 12, replace=False).tolist() if row % 3 else list(range(row % 2, 12 + row % 2))
+        rows += [(k, row, 100, 100 - i // 2) for i, k in enumerate(sorted(keys))]
+    postings = jaccard._with_earlier(spark.createDataFrame(rows, "key bigint, row bigint, n bigint, rest bigint"))
+    x, y = postings.alias("x"), postings.alias("y")
+    met = x.join(y, "key").where("x.row < y.row").where(jaccard._possible("x", "y"))
+    pairs = [tuple(r) for r in met.select("x.row", "y.row").collect()]
+    fewer = [tuple(r) for r in met.where(~jaccard._met_earlier("x", "y")).select("x.row", "y.row").collect()]
+    assert set(fewer) == set(pairs)
+    assert len(fewer) < len(pairs) / 2
