@@ -286,3 +286,44 @@ def test_osv_documents(spark):
         ("0", "1.2"), ("2.0", None), ("3", "3.4.0.0.0.1"),
     ]
     assert rows["q"].affected == [] and rows["q"].versions == [] and rows["q"].aliases == []
+
+
+def _much_advised(spark):
+    """One package with 200 advisories, listed in 40 versions of every kind; another with one."""
+    releases = [f"{i % 5}.{i % 3}{kind}" for i in range(15) for kind in ("", "rc1", ".dev2")]
+    versions = [*releases, "0", "9.9", "1.*", "x", None]
+    lists = [("r", "requirements.txt", i, "pkg" if i % 9 else "Pkg", v, "PyPI") for i, v in enumerate(versions)]
+    lists += [("r", "requirements.txt", 900, "one", "1.0", "PyPI"), ("r", "requirements.txt", 901, "none", "1.0", "PyPI")]
+    deps = spark.createDataFrame(
+        lists, "repo string, dep_file string, pos int, package string, version string, ecosystem string"
+    )
+    rows = [
+        (f"A{i}", "PyPI", "PKG", [(None if i % 4 else f"{i % 3}.1", None if i % 7 == 0 else f"{i % 5}.{i % 4}rc1")],
+         ["4.2", "x"] if i % 50 == 0 else [])
+        for i in range(200)
+    ]
+    rows.append(("B", "PyPI", "one", [("0", "2.0")], []))
+    rated = spark.createDataFrame(
+        rows, "id string, ecosystem string, package string, "
+        "affected array<struct<introduced: string, fixed: string>>, versions array<string>",
+    ).withColumns({c: F.lit(None).cast("string") for c in ("summary", "severity", "published")})
+    return deps, rated.withColumn("aliases", F.array().cast("array<string>"))
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("deal", [4_000_000, 5])
+def test_many_advisories_of_a_package_meet_cells_not_versions(spark, monkeypatch, how, deal):
+    monkeypatch.setattr(D, "DEAL", deal, raising=False)
+    deps, rated = _much_advised(spark)
+    found = D.dependency_vulnerabilities(deps, rated, how)
+    name = lambda frame: frame.select("*", F.lower("package").alias("p"))
+    d, a = name(deps).alias("d"), name(rated).alias("a")
+    covered = V.affects(V.span_keys(F.col("a.affected")), F.col("a.versions"), F.col("d.version"))
+    tried = d.join(a, (F.col("d.p") == F.col("a.p")) & covered, how).select("pos", "d.package", "version", "id")
+    key = lambda r: (r.pos, r.package, r.version or "", r.id or "")
+    columns = found.select("pos", "package", "version", "id")
+    assert sorted(map(key, columns.collect())) == sorted(map(key, tried.collect()))
+    # nothing that makes the rows of the large package tests a version
+    plan = columns.where("package = 'pkg'")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_cell" in line]
+    assert joins and not any("exists(" in line for line in joins)
