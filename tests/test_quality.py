@@ -118,3 +118,25 @@ def test_debt_score_counts_occurrences(spark, make_files, repos_of):
     assert (rows["r"].score, rows["s"].score) == (100 - 30 - 24 - 3, 100)
     seven = findings.withColumn("n_occurrences", F.lit(7).cast("bigint"))
     assert quality.debt_score(repos_of("r"), seven).first().score == 0
+
+
+def test_every_pair_is_a_finding_of_its_own(spark, make_files):
+    """Three files of one header: each pair counts, also where two are under one file and severity."""
+    parsed = quality.parse_files(make_files([("a.py", "x = 1")]))
+    pairs = spark.createDataFrame(
+        [("r", "a.py", 70.0, 1), ("r", "a.py", 75.0, 2), ("r", "a.py", 90.0, 1), ("r", "a.py", 60.0, 1)],
+        "repo string, file string, similarity_percent double, n_pairs bigint",
+    )
+    rows = quality.quality_findings(parsed, pairs, each=True).where("smell_type = 'duplication'").collect()
+    assert sorted((r.severity, r.measured_value, r.n_occurrences) for r in rows) == [
+        ("CRITICAL", 90.0, 1), ("MAJOR", 70.0, 1), ("MAJOR", 75.0, 2),
+    ]
+
+
+def test_quality_findings_of_the_test_tables_list_every_pair(spark):
+    from harness import queries, tables
+
+    folder = "/root/testdata/sf0.001"
+    pairs = queries.duplication.similar_pairs(tables.py_files(spark, folder))
+    found = queries.QUERIES["quality_findings"](spark, folder).where("smell_type = 'duplication'")
+    assert found.count() == pairs.count() > 0
