@@ -179,3 +179,27 @@ def test_analyst_selection(make_files):
              ("src/config.py", "x" * 99), ("big.java", "x" * 99), ("config/run.py", "x" * 50)]
     found = selection.analyst_selection(make_files(rows)).orderBy("rn").collect()
     assert [r.path for r in found] == ["config/run.py", "m6.py", "m5.py", "m4.py"]
+
+
+@pytest.mark.parametrize("seed, above", [(1, 60), (2, 60), (3, 30), (4, 80)])
+@pytest.mark.parametrize("common", [2, 6, 512])
+def test_numbers_by_similarity_count_all_links(make_files, monkeypatch, seed, above, common):
+    monkeypatch.setattr(duplication, "COMMON", common, raising=False)  # lines of more sets make classes
+    rows = _corpus(seed)
+    expected = {}
+    for (repo, *_), (_, percent) in _brute_force(rows, above).items():
+        expected[(repo, percent)] = expected.get((repo, percent), 0) + 1
+    found = duplication.Duplication(make_files(rows), above).by_similarity().collect()
+    assert {(r.repo, r.similarity_percent): r.n_pairs for r in found} == expected
+
+
+def test_files_linked_by_a_header_are_counted_without_pairs(make_files, monkeypatch):
+    monkeypatch.setattr(duplication, "COMMON", 10, raising=False)
+    header = [f"line {i}" for i in range(9)]  # any two are linked; two and two share one more line
+    rows = [(f"{n}.py", "\n".join([*header, f"pair {n // 2}", f"own {n}"])) for n in range(200)]
+    found = duplication.Duplication(make_files(rows))
+    assert [(r.similarity_percent, r.n_pairs) for r in found.by_similarity().orderBy("similarity_percent").collect()] == [
+        (81.8, 200 * 199 // 2 - 100), (90.9, 100),
+    ]
+    assert found._candidates().count() == 4950  # pairs of families
+    assert found._candidates(most=10).count() == 0  # what is listed now

@@ -121,7 +121,7 @@ def test_debt_score_counts_occurrences(spark, make_files, repos_of):
 
 
 def test_every_pair_is_a_finding_of_its_own(spark, make_files):
-    """Three files of one header: each pair counts, also where two are under one file and severity."""
+    """Each pair counts, also where two are under one file and severity."""
     parsed = quality.parse_files(make_files([("a.py", "x = 1")]))
     pairs = spark.createDataFrame(
         [("r", "a.py", 70.0, 1), ("r", "a.py", 75.0, 2), ("r", "a.py", 90.0, 1), ("r", "a.py", 60.0, 1)],
