@@ -140,3 +140,11 @@ def test_quality_findings_of_the_test_tables_list_every_pair(spark):
     pairs = queries.duplication.similar_pairs(tables.py_files(spark, folder))
     found = queries.QUERIES["quality_findings"](spark, folder).where("smell_type = 'duplication'")
     assert found.count() == pairs.count() > 0
+
+
+def test_a_consistency_report_parses_its_sources_once(spark):
+    from harness import queries
+
+    plan = queries.QUERIES["report_consistency"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    # parsed before, into a table that hotspots and quality findings read
+    assert "python_blocks" not in plan.optimizedPlan().toString()
