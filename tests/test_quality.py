@@ -148,3 +148,12 @@ def test_a_consistency_report_parses_its_sources_once(spark):
     plan = queries.QUERIES["report_consistency"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
     # parsed before, into a table that hotspots and quality findings read
     assert "python_blocks" not in plan.optimizedPlan().toString()
+
+
+def test_the_second_grid_compares_no_pairs_below_its_bound(spark, monkeypatch):
+    from harness import queries
+
+    made, real = [], queries.duplication.Duplication
+    monkeypatch.setattr(queries.duplication, "Duplication", lambda *args: made.append(real(*args)) or made[-1])
+    queries.QUERIES["quality_findings_skill"](spark, "/root/testdata/sf0.001")
+    assert [d.min_similarity for d in made] == [80]
