@@ -83,3 +83,19 @@ def test_limits_are_refused_and_content_is_read_once(spark, make_files, repos_of
     assert "content" not in plan and "SortAggregate" not in plan
     assert {r.kind for r in written.scanned.collect()} == {scans.DANGEROUS, scans.DEPENDENCY}
     assert written.report().first().packages_checked == 2
+
+
+def test_only_advisories_of_listed_packages_are_rated(spark, make_files, repos_of):
+    """An audit rates what its lists can meet, and not before a result asks for counts."""
+    files = make_files([("requirements.txt", "My.Pkg==1.0\ny"), ("a.py", "eval(x)")])
+    names = ["my-pkg", "MY_pkg", "y", *[f"other{i}" for i in range(200)]]
+    rows = [(f"A{i}", "PyPI", n, [("0", None)], [], None, None, None, None, '{"score":9.9}') for i, n in enumerate(names)]
+    rows.append(("N", "npm", "y", [("0", None)], [], None, None, None, None, '{"score":9.9}'))
+    audit = SecurityAudit(repos_of("r"), files, spark.createDataFrame(rows, ADVISORIES))
+    assert "counts" not in vars(audit)
+    every = audit.report().collect()
+    written = audit.with_hits_written()
+    assert "counts" not in vars(written)
+    assert {r.id for r in written.rated_advisories.collect()} == {"A0", "A1", "A2"}
+    assert written.report().collect() == every
+    assert (every[0].total_vulnerabilities, every[0].critical_vulnerabilities) == (3, 3)
