@@ -23,6 +23,7 @@ _PER_DOUBLING = 8  # levels of the sketch from one frequency to twice as much
 LARGEST_LIGHT = 64  # sets above it are never enumerated
 ROUNDS = 24  # pivot rounds at most before what is left in the lists is compared
 PER_POSTING = 0.05  # pairs left for each posting at which pivot rounds may end
+WORDS = 4  # 64-bit words of the short parity that stands beside a posting in the last join
 EARLIER = 2  # lists before one in which the last join looks for a pair
 LESS = 0.8  # they also end once a round leaves more than this share of the pairs
 
@@ -116,12 +117,13 @@ def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataF
         [rows.schema[c] for c in carry]
         + [T.StructField(n, T.LongType()) for n in ("n", "set_a", "set_b", "weight")]
         + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.BinaryType())]
+        + [T.StructField("words", T.ArrayType(T.LongType()))]
     )
 
     def each(batches):
         level_of = levels.value
         for batch in batches:
-            sizes, first, second, weights, keys, ends, parities = [], [], [], [], [], [0], []
+            sizes, first, second, weights, keys, ends, parities, words = [], [], [], [], [], [0], [], []
             for h in shingle_sets(batch.column(len(carry)).to_pylist()):
                 n = len(h)
                 a, b = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
@@ -134,10 +136,16 @@ def _prefixes(docs: DataFrame, carry: list[str], text_col: str, sketch) -> DataF
                 keys.append(h[order].astype(np.int64))
                 ends.append(ends[-1] + len(order))
                 parities.append(parity(h))
+                words.append(np.frombuffer(parity(h, 64 * WORDS), np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             numbers = [pa.array(c, pa.int64()) for c in (sizes, first, second, weights)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *numbers, lists, pa.array(parities, pa.binary())], schema.names)
+            short = pa.ListArray.from_arrays(
+                pa.array(range(0, WORDS * len(words) + 1, WORDS), pa.int32()),
+                pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)),
+            )
+            columns = [*batch.columns[: len(carry)], *numbers, lists, pa.array(parities, pa.binary()), short]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(each, schema)
 
@@ -211,6 +219,14 @@ def _with_earlier(postings: DataFrame) -> DataFrame:
     return postings.select("*", *before)
 
 
+def _close(a: str, b: str) -> Column:
+    """Whether two sets can be linked by their short parities, see :func:`_plausible`."""
+    turned = sum(
+        (F.bit_count(F.col(f"{a}.word_{i}").bitwiseXOR(F.col(f"{b}.word_{i}"))) for i in range(WORDS)), F.lit(0)
+    )
+    return 9 * turned <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def _met_earlier(a: str, b: str) -> Column:
     """Whether two postings of a list stand together in an earlier list of both sets too.
 
@@ -232,12 +248,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(both) - common)
 
 
-def parity(h: np.ndarray) -> bytes:
+def parity(h: np.ndarray, size: int | None = None) -> bytes:
     """Bits by the last bits of the hashes, each set if an odd number of them falls on it.
 
-    Their number is the power of two from twice the set's size on, 64 at least.
+    Their number is ``size``, or the power of two from twice the set's size on, 64 at least.
     """
-    size = max(64, 1 << max(2 * len(h) - 1, 0).bit_length())
+    size = size or max(64, 1 << max(2 * len(h) - 1, 0).bit_length())
     odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -310,7 +326,8 @@ def near_duplicates(
     ends is the cheapest size.  In each list the sets are first compared with one
     pivot; then only sets that are still in different components and can be similar
     by size and place meet, so a list of near copies costs as many rows as it has
-    members.  Pairs are tried on parities of the sets before their texts move.  All comparisons are exact on 64-bit shingle hashes.
+    members.  Pairs are tried on parities of the sets, the last ones on short parities
+    within their join, before their texts move.  All comparisons are exact on 64-bit shingle hashes.
     """
     sketch = frequency_sketch(docs, text_col)
     base = docs.select(F.col(id_col).alias("_id"), *carry, F.col(text_col).cast("string").alias("_text"))
@@ -343,7 +360,7 @@ def near_duplicates(
     ).select("row", "_z")
     texts = save(_one_each(texts), "texts")
 
-    parities = save(prefixes.select("row", "n", "parity").join(met, "row"), "parities")
+    parities = save(prefixes.select("row", "n", "parity", "words").join(met, "row"), "parities")
     found = _compared(postings, texts, parities)
     own = found.select(F.col("node").alias("row"), "component")
     # a class stands for all rows with its set
@@ -437,8 +454,7 @@ def _pairs_left(labelled: DataFrame) -> float:
 
 def _compared(postings: DataFrame, texts: DataFrame, parities: DataFrame) -> DataFrame:
     """(node, component) of all sets with a link, from their lists."""
-    links = None
-    tried = None
+    labels = tried = None
     labelled = postings.withColumn("component", F.col("row"))
     size, before = postings.count(), None
     for turn in range(ROUNDS):
@@ -460,9 +476,8 @@ def _compared(postings: DataFrame, texts: DataFrame, parities: DataFrame) -> Dat
             fits = fits.join(tried, ["a", "b"], "left_anti")
         fits = save(fits, "pivot-pairs")
         new = save(_links(fits, texts, parities), "pivot-links")
-        links = new if links is None else links.union(new)
         tried = fits if tried is None else tried.union(fits)
-        labels = components(links)
+        labels = components(new if labels is None else new.union(labels.toDF("a", "b")))
         labelled = postings.join(labels, postings["row"] == labels["node"], "left").select(
             "key", "row", "n", "rest", F.coalesce("component", "row").alias("component")
         )
@@ -479,6 +494,8 @@ def _compared(postings: DataFrame, texts: DataFrame, parities: DataFrame) -> Dat
         .select("key")
     )
     rest = _with_earlier(labelled.join(open_lists, "key"))
+    words = [F.col("words")[i].alias(f"word_{i}") for i in range(WORDS)]
+    rest = rest.join(parities.select("row", *words), "row")
     x, y = rest.alias("x"), rest.alias("y")
     pairs = x.join(
         y,
@@ -486,9 +503,10 @@ def _compared(postings: DataFrame, texts: DataFrame, parities: DataFrame) -> Dat
         & (F.col("x.row") < F.col("y.row"))
         & (F.col("x.component") != F.col("y.component"))
         & _possible("x", "y")
+        & _close("x", "y")
         & ~_met_earlier("x", "y"),
     ).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
     last = save(_links(save(pairs, "open-pairs"), texts, parities), "open-links")
-    return components(links.union(last))
+    return components(last.union(labels.toDF("a", "b")))

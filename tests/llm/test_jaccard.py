@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from forgelens.llm import jaccard
 from forgelens.llm.components import components
 from forgelens.llm.jaccard import near_duplicates
@@ -198,3 +200,22 @@ def test_last_join_makes_every_pair_and_few_of_them_twice(spark):
     fewer = [tuple(r) for r in met.where(~jaccard._met_earlier("x", "y")).select("x.row", "y.row").collect()]
     assert set(fewer) == set(pairs)
     assert len(fewer) < len(pairs) / 2
+
+
+def test_short_parities_lose_no_link_and_leave_out_most_pairs(spark):
+    """Near copies of one text that are not linked are left out before their pair is made."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        kept = rng.choice(base, 150 - int(rng.integers(0, 60)), replace=False)
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, 150 - len(kept), dtype=np.uint64)])))
+    words = [np.frombuffer(jaccard.parity(h, 64 * jaccard.WORDS), np.int64).tolist() for h in sets]
+    names = ", ".join(f"word_{i} bigint" for i in range(jaccard.WORDS))
+    frame = spark.createDataFrame([(i, len(h), *w) for i, (h, w) in enumerate(zip(sets, words))], f"row int, n int, {names}")
+    x, y = frame.alias("x"), frame.alias("y")
+    pairs = x.join(y, (F.col("x.row") < F.col("y.row")) & jaccard._close("x", "y")).select("x.row", "y.row").collect()
+    close = {tuple(p) for p in pairs}
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if jaccard.similar(sets[i], sets[j])}
+    assert linked and linked <= close
+    assert len(close) < 2 * len(linked) < 60 * 59 / 2
