@@ -203,3 +203,23 @@ def test_files_linked_by_a_header_are_counted_without_pairs(make_files, monkeypa
     ]
     assert found._candidates().count() == 4950  # pairs of families
     assert found._candidates(most=10).count() == 0  # what is listed now
+
+
+@pytest.mark.parametrize("seed, above, common", [(1, 60, 3), (2, 80, 8), (3, 30, 0), (4, 60, 10_000)])
+def test_pairs_by_file_are_those_of_families_and_listed_for_rarer_lines_only(make_files, monkeypatch, seed, above, common):
+    monkeypatch.setattr(duplication, "COMMON", common)
+    made = duplication.Duplication(make_files(_corpus(seed)), above)
+    listed = made.by_family().groupBy("repo", "file").agg(F.max("similarity_percent"), F.sum("n_pairs"))
+    found = made.by_file()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.collect()))
+    assert found.count() > 0
+
+
+def test_pairs_by_file_do_not_list_families_of_common_lines(make_files, monkeypatch):
+    """Families of one header, each with a rarer line of its own and a copy of it, are not met in pairs."""
+    monkeypatch.setattr(duplication, "COMMON", 4)
+    header = [f"header {i}" for i in range(20)]
+    rows = [("r", f"f{i:02d}", "\n".join([*header, f"rare {i // 2}", f"own {i}"])) for i in range(40)]
+    made = duplication.Duplication(make_files(rows), 80)
+    assert made.by_family().agg(F.sum("n_pairs")).first()[0] == made.by_file().agg(F.sum("n_pairs")).first()[0] == 780
+    assert made.links.count() == 190 and made._by_rarer().count() == 0 and made._by_class_and_file().count() == 19
