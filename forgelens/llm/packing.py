@@ -2,12 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import save, small_side
+from .store import save, small_batches, small_side
 from .tokens import encoder
 
 
@@ -83,7 +84,8 @@ def pack_power_of_two(
             schema.names,
         )
 
-    cut_up = save(rows.mapInArrow(cut, schema), "packed", compression="zstd")
+    with small_batches(docs.sparkSession):
+        cut_up = save(rows.mapInArrow(cut, schema), "packed", compression="zstd")
     per_task = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
     in_bucket = Window.partitionBy("length").orderBy("part")
     first = F.sum("n").over(in_bucket) - F.col("n")
@@ -109,13 +111,12 @@ def pack_power_of_two(
 
 
 def slices(texts: pa.Array, most: int):
-    """(first row, texts) of consecutive rows of about ``most`` characters."""
-    values, start, size = texts.to_pylist(), 0, 0
-    for i, text in enumerate(values):
-        n = len(text or "")
+    """(first row, texts) of consecutive rows of about ``most`` bytes; only these become strings at once."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > start and size + n > most:
-            yield start, values[start:i]
+            yield start, texts.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
-    if start < len(values):
-        yield start, values[start:]
+    if start < len(texts):
+        yield start, texts.slice(start).to_pylist()

@@ -21,11 +21,14 @@ _PLAIN = "A-Za-z0-9À-ÖØ-öø-įı-ɏ"
 _SAFE = re.compile(rf"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_PLAIN}])(?=[,.])")
 _IRREGULAR = re.compile(rf"\s\s|[^{_PLAIN}][,.]|\x01|\A[,.\s]|\s\Z")
 MAX_PIECES = 1 << 20
-MAX_BYTES = 3 << 26  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
-PIECE_BYTES = 160  # that a piece takes beside its characters and ids
+MAX_BYTES = 3 << 25  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
+PIECE_BYTES = 280  # that a piece which is looked up by its text takes beside its characters and ids
+PLACE_BYTES = 24  # that any piece takes beside its ids
 LONG_PIECE = 64  # characters of a piece that is forgotten after its batch
 BATCH_BYTES = 1 << 20
 SLOT_BITS = 20
+MET_BITS = 22
+LEARNT = 1 << 11  # pieces that are encoded at once
 LONGEST = 255  # bytes of a piece that is known by its hashes
 _NONE = np.zeros(0, np.int64)
 
@@ -110,7 +113,11 @@ class _Numbers(dict):
 
 class BatchEncoder:
     """Encodes batches of texts; the ids of up to ``max_pieces`` pieces, and of about
-    ``max_bytes`` bytes of them, are kept from batch to batch."""
+    ``max_bytes`` bytes of them, are kept from batch to batch.
+
+    A piece is looked up by its text from its second batch on.  Most pieces are met in one
+    batch only; of these no text is kept, and one that comes back is encoded once more
+    unless its hashes are still in their slot."""
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,11 +143,12 @@ class BatchEncoder:
         self.slot_one = np.zeros(1 << SLOT_BITS, np.uint64)
         self.slot_two = np.ones(1 << SLOT_BITS, np.uint64)
         self.slot_number = np.zeros(1 << SLOT_BITS, np.int32)
+        self.met = np.zeros(1 << MET_BITS, bool)
 
     def _learn(self):
         new = self.numbers.new
-        for at in range(0, len(new), 1 << 14):
-            batch = new[at : at + (1 << 14)]
+        for at in range(0, len(new), LEARNT):
+            batch = new[at : at + LEARNT]
             encoded = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
             found = [e.ids for e in encoded]
             lengths = np.fromiter(map(len, found), np.int32, len(found))
@@ -156,12 +164,14 @@ class BatchEncoder:
             )
             self.used += total
             self.known += len(found)
-            self.held += 4 * total + PIECE_BYTES * len(batch)
-            for piece in batch:
-                if len(piece) > LONG_PIECE:  # hardly met again
+            self.held += 4 * total + PLACE_BYTES * len(batch)
+            mark = np.fromiter(map(hash, batch), np.int64, len(batch)) & (len(self.met) - 1)
+            for piece, met in zip(batch, self.met[mark].tolist()):
+                if met and len(piece) <= LONG_PIECE:
+                    self.held += PIECE_BYTES + len(piece)
+                else:  # hardly met again
                     del self.numbers[piece]
-                else:
-                    self.held += len(piece)
+            self.met[mark] = True
         new.clear()
 
     def _pieces(self, texts):

@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from forgelens.llm import tokens
-from forgelens.llm.packing import binary_pieces, pack_power_of_two
-from forgelens.llm.store import shared_path
+from forgelens.llm.packing import binary_pieces, pack_power_of_two, slices
+from forgelens.llm.store import BATCH_ROWS, shared_path, small_batches
 from forgelens.llm.token_counts import token_counts
 from forgelens.llm.token_files import read_token_files, with_ids_crc32, write_token_files
 from forgelens.llm.tokens import _IRREGULAR, BatchEncoder, irregular, split_safely
@@ -150,3 +151,37 @@ def test_kept_pieces_are_bounded_in_bytes():
 def test_batches_go_by_bytes():
     texts = ["a" * 50, "語" * 50, None, "", "é" * 200, "b" * 50, "c" * 40]
     assert [len(s) for s in tokens.by_size(texts, 200)] == [4, 1, 2]
+
+
+def test_texts_of_pieces_met_once_are_not_kept():
+    """Names that never come back take no room in the encoder beyond their ids; pieces that do stay known."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = [f"name{rng.randrange(10**9)} and many  name{rng.randrange(10**9)}" for _ in range(6000)]
+    encoder, library = tokens.BatchEncoder(path), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500] + ["and many"]
+        ids, _ = encoder.encode(some)
+        assert ids.tolist() == [i for e in library.encode_batch(some, add_special_tokens=False) for i in e.ids]
+    assert encoder.numbers.given > 12000 and len(encoder.numbers) < 200
+
+
+def test_packing_gets_small_batches(spark, rows):
+    """Whole texts reach Python 500 rows at a time under any setting, which is as before afterwards."""
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for given, held in (("10000", "500"), ("-1", "500"), ("50", "50")):
+            spark.conf.set(BATCH_ROWS, given)
+            with small_batches(spark):
+                assert spark.conf.get(BATCH_ROWS) == held
+            assert pack_power_of_two(rows[0], FILES[0]).count() > 0
+            assert spark.conf.get(BATCH_ROWS) == given
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def test_slices_cover_every_row():
+    texts = pa.array(["a" * 50, "語" * 50, None, "", "é" * 200, "b" * 50, "c" * 40])
+    got = list(slices(texts.slice(1), 200))
+    assert [t for _, some in got for t in some] == texts.to_pylist()[1:]
+    assert [at for at, _ in got] == [0, 3, 4] and all(some for _, some in got)
