@@ -223,3 +223,35 @@ def test_pairs_by_file_do_not_list_families_of_common_lines(make_files, monkeypa
     made = duplication.Duplication(make_files(rows), 80)
     assert made.by_family().agg(F.sum("n_pairs")).first()[0] == made.by_file().agg(F.sum("n_pairs")).first()[0] == 780
     assert made.links.count() == 190 and made._by_rarer().count() == 0 and made._by_class_and_file().count() == 19
+
+
+@pytest.mark.parametrize("seed, above, common", [(1, 60, 3), (4, 30, 0)])
+def test_pairs_of_classes_are_all_links(make_files, monkeypatch, seed, above, common):
+    """Families that share common lines only are linked by classes, whatever is dealt out; no pair is lost or doubled."""
+    monkeypatch.setattr(duplication, "COMMON", common)
+    monkeypatch.setattr(duplication, "MEMBERS", 2)
+    rows = _corpus(seed)
+    expected = {}
+    for (repo, *_), (_, percent) in _brute_force(rows, above).items():
+        expected[(repo, percent)] = expected.get((repo, percent), 0) + 1
+    made = duplication.Duplication(make_files(rows), above)
+    assert made._class_links().count() > 0
+    found = made.pairs().groupBy("repo", "similarity_percent").agg(F.sum("n_pairs").alias("n"))
+    assert {(r.repo, r.similarity_percent): r.n for r in found.collect()} == expected
+    assert made.links.count() == made.links.select("family_a", "family_b").distinct().count()
+
+
+def test_links_of_common_lines_need_no_candidates(make_files, monkeypatch):
+    monkeypatch.setattr(duplication, "COMMON", 10)
+    header = [f"line {i}" for i in range(9)]
+    rows = [("r", f"{n}.py", "\n".join([*header, f"pair {n // 2}", f"own {n}"])) for n in range(60)]
+    made = duplication.Duplication(make_files(rows))
+    tried, candidates = [], made._candidates
+
+    def counted(*args, **kwargs):
+        tried.append(candidates(*args, **kwargs).count())
+        return candidates(*args, **kwargs)
+
+    monkeypatch.setattr(made, "_candidates", counted)
+    assert made.links.count() == 30 * 29 // 2  # families of two files
+    assert sum(tried) == 0
