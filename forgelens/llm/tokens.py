@@ -9,6 +9,7 @@ very long text costs no more memory than its pieces.
 import json
 import os
 import re
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -21,15 +22,11 @@ _PLAIN = "A-Za-z0-9À-ÖØ-öø-įı-ɏ"
 _SAFE = re.compile(rf"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[{_PLAIN}])(?=[,.])")
 _IRREGULAR = re.compile(rf"\s\s|[^{_PLAIN}][,.]|\x01|\A[,.\s]|\s\Z")
 MAX_PIECES = 1 << 20
-MAX_BYTES = 3 << 25  # of the pieces and ids that are kept, as estimated by PIECE_BYTES
-PIECE_BYTES = 280  # that a piece which is looked up by its text takes beside its characters and ids
-PLACE_BYTES = 24  # that any piece takes beside its ids
-LONG_PIECE = 64  # characters of a piece that is forgotten after its batch
+MAX_BYTES = 3 << 25  # of the pieces and ids that are kept, with PIECE_BYTES
+PIECE_BYTES = 44  # that a piece takes beside its ids: hashes, place and length of its ids, slots
 BATCH_BYTES = 1 << 20
-SLOT_BITS = 20
-MET_BITS = 22
 LEARNT = 1 << 11  # pieces that are encoded at once
-LONGEST = 255  # bytes of a piece that is known by its hashes
+LONG_PIECE = 255  # bytes of a piece that is hashed by a digest
 _NONE = np.zeros(0, np.int64)
 
 
@@ -48,7 +45,7 @@ def _byte_tables():
     random = np.random.default_rng(20240601)
     values = random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     values ^= np.arange(256, dtype=np.uint64) << np.uint64(1)
-    places = random.integers(1, 1 << 63, (2, LONGEST + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    places = random.integers(1, 1 << 63, (2, LONG_PIECE + 1), np.uint64) * np.uint64(2) + np.uint64(1)
     folded = values.copy()
     folded[[32, 10]] = 0
     return marks, kinds, values, folded, places
@@ -97,27 +94,19 @@ def irregular(raw: list[bytes]) -> np.ndarray:
     return odd
 
 
-class _Numbers(dict):
-    """Numbers new keys as they are asked for, and remembers them."""
+class _Numbers(list):
+    """Texts of the pieces that have a number and no ids yet, and how many numbers were given."""
 
-    def __init__(self):
-        self.new = []
-        self.given = 0
-
-    def __missing__(self, key):
-        number = self[key] = self.given
-        self.given += 1
-        self.new.append(key)
-        return number
+    given = 0
 
 
 class BatchEncoder:
     """Encodes batches of texts; the ids of up to ``max_pieces`` pieces, and of about
     ``max_bytes`` bytes of them, are kept from batch to batch.
 
-    A piece is looked up by its text from its second batch on.  Most pieces are met in one
-    batch only; of these no text is kept, and one that comes back is encoded once more
-    unless its hashes are still in their slot."""
+    A piece is known by two independent 64-bit hashes, in an open table of numbers; its
+    text is dropped once it is encoded, so that even pieces met in one batch only take
+    little room, and none is encoded twice until all are forgotten."""
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,15 +129,13 @@ class BatchEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
         self.used = 0
-        self.slot_one = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.slot_two = np.ones(1 << SLOT_BITS, np.uint64)
-        self.slot_number = np.zeros(1 << SLOT_BITS, np.int32)
-        self.met = np.zeros(1 << MET_BITS, bool)
+        self.ones = np.zeros(1 << 12, np.uint64)
+        self.twos = np.zeros(1 << 12, np.uint64)
+        self.slots = np.full(1 << 13, -1, np.int32)
 
     def _learn(self):
-        new = self.numbers.new
-        for at in range(0, len(new), LEARNT):
-            batch = new[at : at + LEARNT]
+        for at in range(0, len(self.numbers), LEARNT):
+            batch = self.numbers[at : at + LEARNT]
             encoded = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
             found = [e.ids for e in encoded]
             lengths = np.fromiter(map(len, found), np.int32, len(found))
@@ -164,15 +151,50 @@ class BatchEncoder:
             )
             self.used += total
             self.known += len(found)
-            self.held += 4 * total + PLACE_BYTES * len(batch)
-            mark = np.fromiter(map(hash, batch), np.int64, len(batch)) & (len(self.met) - 1)
-            for piece, met in zip(batch, self.met[mark].tolist()):
-                if met and len(piece) <= LONG_PIECE:
-                    self.held += PIECE_BYTES + len(piece)
-                else:  # hardly met again
-                    del self.numbers[piece]
-            self.met[mark] = True
-        new.clear()
+            self.held += 4 * total + PIECE_BYTES * len(batch)
+        self.numbers.clear()
+
+    def _slot(self, one):
+        """Where the search for pieces of these first hashes begins."""
+        return (one >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, one, two):
+        """Numbers of the pieces of these hashes, -1 if unknown."""
+        slot = self._slot(one)
+        numbers = self.slots[slot]
+        other = (self.ones[numbers] != one) | (self.twos[numbers] != two)
+        left = np.flatnonzero((numbers >= 0) & other)
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            found = self.slots[slot]
+            numbers[left] = found
+            other = (self.ones[found] != one[left]) | (self.twos[found] != two[left])
+            more = np.flatnonzero((found >= 0) & other)
+            left, slot = left[more], slot[more]
+        return numbers.astype(np.int64)
+
+    def _keep(self, one, two):
+        """Numbers for pieces of different hashes that are not known yet."""
+        first, given = self.numbers.given, self.numbers.given + len(one)
+        self.ones, self.twos = _room(self.ones, given), _room(self.twos, given)
+        self.ones[first:given], self.twos[first:given] = one, two
+        self.numbers.given = given
+        new = np.arange(first, given)
+        if 2 * given > len(self.slots):  # at most half of the slots are taken
+            self.slots = np.full(1 << (2 * given - 1).bit_length(), -1, np.int32)
+            self._place(np.arange(given))
+        else:
+            self._place(new)
+        return new
+
+    def _place(self, numbers):
+        slot = self._slot(self.ones[numbers])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            pushed = self.slots[slot] != numbers
+            numbers, slot = numbers[pushed], (slot[pushed] + 1) & (len(self.slots) - 1)
 
     def _pieces(self, texts):
         """Piece numbers of the texts, and how many belong to each text."""
@@ -189,26 +211,28 @@ class BatchEncoder:
 
     def _others(self, texts, odd, numbers, counts):
         """Puts the pieces of irregular texts between those of the regular ones."""
-        found, sizes, at, nth = [_NONE], np.zeros(len(texts), np.int64), 0, 0
+        pieces, sizes = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text and odd[i]:
-                pieces = split_safely(text)
-                own = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-            elif text:
-                own = numbers[at : at + counts[nth]]
-                at, nth = at + counts[nth], nth + 1
-            else:
-                own = _NONE
-            found.append(own)
-            sizes[i] = len(own)
-        return np.concatenate(found), sizes
+                own = split_safely(text)
+                if self.folds:
+                    own = [piece.strip(" \n") for piece in own]
+                own = [piece.encode() for piece in own if piece]
+                sizes[i] = len(own)
+                pieces += own
+        regular = np.fromiter((bool(t) and not o for t, o in zip(texts, odd)), bool, len(texts))
+        sizes[regular] = counts
+        found = np.empty(int(sizes.sum()), np.int64)
+        among = np.repeat(regular, sizes)
+        found[among] = numbers
+        if pieces:
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            starts = np.cumsum(lengths) - lengths
+            found[~among] = self._look_up(b"".join(pieces), starts, lengths, _BYTES)
+        return found, sizes
 
     def _regular(self, raw):
-        """The same for encoded texts in which every mark is a safe boundary.
-
-        A piece is known by two independent 64-bit hashes; a table of the latest pieces
-        saves making most of them into strings.
-        """
+        """The same for encoded texts in which every mark is a safe boundary."""
         if self.folds:
             raw = [r.lower() if r.isascii() and b"<" not in r else r for r in raw]
         data = b"".join(raw)
@@ -222,33 +246,36 @@ class BatchEncoder:
         first[ends[:-1]] = True
         starts = np.flatnonzero(first)
         lengths = np.diff(np.append(starts, len(d)))
+        values = _BYTES_FOLDED if self.folds else _BYTES
+        numbers = self._look_up(data, starts, lengths, values)
+        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+        return numbers, counts
+
+    def _look_up(self, data, starts, lengths, values):
+        """Numbers of the pieces that begin at these bytes; unknown ones are to be learnt."""
+        d = np.frombuffer(data, np.uint8)
         place = np.arange(len(d)) - np.repeat(starts, lengths)
-        np.minimum(place, LONGEST, out=place)
-        values = (_BYTES_FOLDED if self.folds else _BYTES)[d]
+        np.minimum(place, LONG_PIECE, out=place)
+        values = values[d]
         one = np.add.reduceat(values * _PLACES[0][place], starts)
         two = np.add.reduceat(values * _PLACES[1][place], starts)
-        slot = (one >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        numbers = self.slot_number[slot].astype(np.int64)
-        hit = (self.slot_one[slot] == one) & (self.slot_two[slot] == two) & (lengths < LONGEST)
-        missed = np.flatnonzero(~hit)
+        for i in np.flatnonzero(lengths >= LONG_PIECE):
+            digest = blake2b(data[starts[i] : starts[i] + lengths[i]], digest_size=16).digest()
+            one[i], two[i] = np.frombuffer(digest, np.uint64)
+        numbers = self._find(one, two)
+        missed = np.flatnonzero(numbers < 0)
         if len(missed):
             both = one[missed] ^ two[missed] * np.uint64(0x9E3779B97F4A7C15)
             _, at, back = np.unique(both, return_index=True, return_inverse=True)
-            long = lengths[missed] >= LONGEST
-            if long.any():  # not told apart by their hashes
-                at, back = np.arange(len(missed)), np.arange(len(missed))
             new = missed[at]
             begin = starts[new].tolist()
             end = (starts[new] + lengths[new]).tolist()
             cut = (data[a:b].decode() for a, b in zip(begin, end))
             if self.folds:
                 cut = (piece.strip(" \n") for piece in cut)
-            own = np.fromiter(map(self.numbers.__getitem__, cut), np.int64, len(new))
-            numbers[missed] = own[back]
-            self.slot_one[slot[new]], self.slot_two[slot[new]] = one[new], two[new]
-            self.slot_number[slot[new]] = own
-        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
-        return numbers, counts
+            self.numbers += cut
+            numbers[missed] = self._keep(one[new], two[new])[back]
+        return numbers
 
     def counts(self, texts: list) -> np.ndarray:
         """Number of ids of each text; null counts as empty."""
@@ -275,7 +302,9 @@ class BatchEncoder:
 def _room(values: np.ndarray, n: int) -> np.ndarray:
     if n <= len(values):
         return values
-    return np.concatenate([values, np.zeros(n, values.dtype)])
+    more = np.empty(len(values) + n, values.dtype)  # what is not used yet takes no memory
+    more[: len(values)] = values
+    return more
 
 
 def _folds(rules: dict) -> bool:

@@ -166,6 +166,30 @@ def test_texts_of_pieces_met_once_are_not_kept():
     assert encoder.numbers.given > 12000 and len(encoder.numbers) < 200
 
 
+@pytest.mark.parametrize("path", FILES)
+def test_a_piece_is_encoded_once(path):
+    """Pieces of any length that come back in a later batch, in texts of either kind, are known by then."""
+    rng = random.Random(4)
+    texts = [f"name{rng.randrange(10**9)} and many{'  ' * (i % 2)} name{rng.randrange(10**9)}" for i in range(3000)]
+    texts += ["long" + str(rng.randrange(10**9)) * 40 + " end" for _ in range(20)]
+    encoder, library = tokens.BatchEncoder(path), Tokenizer.from_file(path)
+    expected = [i for e in library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert encoder.encode(texts)[0].tolist() == expected
+    known = encoder.known
+    assert known > 6000
+    assert encoder.encode(texts)[0].tolist() == expected
+    assert encoder.encode(texts[::-1])[1].tolist() == encoder.counts(texts)[::-1].tolist()
+    assert encoder.known == known
+
+
+def test_pieces_that_begin_at_one_slot_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens.BatchEncoder, "_slot", lambda self, one: np.full(len(one), len(self.slots) - 2))
+    encoder, library = tokens.BatchEncoder(FILES[0]), Tokenizer.from_file(FILES[0])
+    for texts in (TEXTS, random_texts(200), TEXTS + random_texts(250)):
+        ids, _ = encoder.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
+
+
 def test_packing_gets_small_batches(spark, rows):
     """Whole texts reach Python 500 rows at a time under any setting, which is as before afterwards."""
     before = spark.conf.get(BATCH_ROWS)
