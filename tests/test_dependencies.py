@@ -327,3 +327,31 @@ def test_many_advisories_of_a_package_meet_cells_not_versions(spark, monkeypatch
     plan = columns.where("package = 'pkg'")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "_cell" in line]
     assert joins and not any("exists(" in line for line in joins)
+
+
+@pytest.mark.parametrize("how, together, deal", [("left", 512, 4_000_000), ("inner", 7, 4_000_000), ("left", 7, 5)])
+def test_advisories_of_a_cell_meet_a_dependency_as_arrays(spark, monkeypatch, how, together, deal):
+    """Rows are made behind the join, of the columns asked for, all of one advisory."""
+    monkeypatch.setattr(D, "DEAL", deal)
+    monkeypatch.setattr(D, "TOGETHER", together, raising=False)
+    deps, rated = _much_advised(spark)
+    rated = rated.withColumns({
+        "summary": F.when(F.col("id") != "A7", F.concat(F.lit("about "), "id")), "severity": F.concat(F.lit("s"), "id"),
+        "aliases": F.array("id", F.lit("x")), "score": F.length("id"),
+    })
+    deps = deps.withColumn("version", F.when(F.col("pos") % 2 == 0, "*").otherwise(F.col("version")))
+    found = D.dependency_vulnerabilities(deps, rated, how, extra=["score"])
+    rows = found.collect()
+    clean = [r for r in rows if r.id is None]
+    assert ("none" in {r.package for r in clean}) == (how == "left") and (how == "left" or not clean)
+    assert all(r.summary is None and r.score is None for r in clean)
+    for r in rows:
+        if r.id is not None:
+            summary = D.NO_SUMMARY if r.id == "A7" else f"about {r.id}"
+            assert (r.summary, r.severity, r.aliases, r.score) == (summary, f"s{r.id}", [r.id, "x"], len(r.id))
+    every = [r.id for r in rows if r.pos == 2]
+    assert len(every) == len(set(every)) == 200  # not pinned: all of its package, once
+    plan = found.select("pos", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "severity" not in plan.split("posexplode")[-1].split("Join")[0]
+    collected = [line for line in plan.splitlines() if "collect_list" in line]
+    assert len(collected) == 1 and collected[0].count("collect_list") == 2  # numbers and ids
