@@ -255,3 +255,38 @@ def test_links_of_common_lines_need_no_candidates(make_files, monkeypatch):
     monkeypatch.setattr(made, "_candidates", counted)
     assert made.links.count() == 30 * 29 // 2  # families of two files
     assert sum(tried) == 0
+
+
+@pytest.mark.parametrize("seed, above, common, members", [(1, 60, 3, 2), (2, 80, 0, 512), (3, 30, 6, 3), (4, 30, 1, 1)])
+def test_pairs_of_sets_by_classes_are_all_pairs(make_files, monkeypatch, seed, above, common, members):
+    """Each pair once, whether of a family, of a class, by a rarer line or by common ones."""
+    monkeypatch.setattr(duplication, "COMMON", common)
+    monkeypatch.setattr(duplication, "MEMBERS", members)
+    rows = _corpus(seed)
+    files = make_files(rows)
+    listed = [(r.repo, r.file_a, r.file_b) for r in duplication.similar_pairs(files, above).collect()]
+    assert len(listed) == len(set(listed))
+    assert _expanded(duplication.similar_pairs(files, above), files) == _brute_force(rows, above)
+
+
+def test_listed_pairs_are_not_moved(make_files, monkeypatch):
+    """Families that share common lines only: their pairs are neither written nor shuffled, only members are."""
+    monkeypatch.setattr(duplication, "COMMON", 10)
+    header = [f"line {i}" for i in range(9)]
+    rows = [("r", f"{n}.py", "\n".join([*header, f"pair {n // 2}", f"own {n}"])) for n in range(60)]
+    rows += [("r", f"plain {n}.py", "\n".join([*header, f"alone {n}"])) for n in range(20)]
+    written, write = {}, duplication.materialize
+
+    def counted(frame, name):
+        written[name] = write(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(duplication, "materialize", counted)
+    made = duplication.Duplication(make_files(rows))
+    pairs = made.pairs()
+    assert "family-links" not in written and all(frame.count() <= 200 * 11 for frame in written.values())
+    assert pairs.count() == 80 * 79 // 2
+    # above the join that makes them there is no exchange
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    last = next(n for n, line in enumerate(plan.splitlines()) if "Join" in line and "class_b" in line)
+    assert not any("Exchange" in line or "Repartition" in line for line in plan.splitlines()[:last])
