@@ -139,3 +139,16 @@ def test_stream_finds_what_the_batch_finds(spark, make_files, tmp_path):
     assert sorted(map(str, found.select(columns).collect())) == sorted(
         map(str, expected.collect())
     )
+
+
+def test_texts_of_many_files_are_not_shuffled(spark, tmp_path):
+    """A table of one file is dealt out to the cores; one of as many files as cores is read as it is, all rows of it."""
+    from harness import tables
+
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('src', id % 3) AS source", "concat('text ', id) AS text")
+    for files in (1, spark.sparkContext.defaultParallelism):
+        rows.repartition(files).write.parquet(f"{tmp_path}/{files}/documents.parquet")
+        read = tables.documents(spark, f"{tmp_path}/{files}", "text")
+        assert sorted(read.collect()) == sorted(rows.select(read.columns).collect())
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Repartition" in plan) == (files == 1)
